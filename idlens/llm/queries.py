@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idlens.llm import bpe, language, line_dedup, minhash_dedup, mixing, token_files, toxicity
+from idlens.llm import bpe, language, line_dedup, minhash_dedup, mixing, pii, token_files, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_minhash_dedup, op5_language, op6_mixing, op9_line_dedup, op10_token_files)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_minhash_dedup, op5_language, op6_mixing, op8_pii, op9_line_dedup, op10_token_files)
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

@@ -49,17 +49,18 @@ def covered_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> Da
 def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> DataFrame:
     """``docs`` with the covered lines taken out of ``text``, and columns n_lines and n_removed.
 
-    Null text stays null with no lines; a text losing every line becomes empty; other columns pass through.
+    Null text stays null with no lines; a text losing every line becomes empty; other columns pass through, but for
+    input columns of the two added names.
     Rows that share a doc_id share the places found for it.
     """
-    gone = covered_lines(docs, text, lines).select(F.col("doc_id").alias("gone_id"), "gone")
-    rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id == gone.gone_id, "left")
-    split = F.split(F.col(text), "\n")
-    left = F.filter(split, lambda x, i: ~F.array_contains("gone", i + 1))
+    gone = covered_lines(docs, text, lines).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id == gone._gone_id, "left")
+    split = F.split(docs[text], "\n")
+    left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i + 1))
     return rows.select(
-        *(F.when(F.col("gone").isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in docs.columns),
+        *(F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")),
         F.coalesce(F.when(docs[text].isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -83,13 +83,14 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as ``taken`` holds its size, to the nearest whole number.
 
-    Texts stay whole: the one document at each source's cut is in or out. Documents without words go.
+    Texts stay whole: the one document at each source's cut is in or out. Documents without words, or without an
+    id, go; rows that share an id are taken alike.
     """
-    copies = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))
-    want = mix(docs).where("size > 0").select(F.col("doc_id").alias("mixed_id"), copies.cast("int").alias("copies")).where("copies > 0")
-    want = want.groupBy("mixed_id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(want, docs.doc_id.eqNullSafe(want.mixed_id))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*(docs[c] for c in docs.columns))
+    copies = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
+    want = mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), copies.alias("_copies")).where("_copies > 0")
+    want = want.groupBy("_id").agg(F.max("_copies").alias("_copies"))
+    joined = docs.join(want, docs.doc_id == want._id)
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), want._copies)).alias("_copy")).drop("_copy")
 
 
 ORACLE = r"""

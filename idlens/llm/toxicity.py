@@ -135,15 +135,15 @@ class ToxicityModel:
     def _margin():
         return vector_to_array("rawPrediction")[1]
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """(doc_id, score): the calibrated chance that the whole text is toxic; one narrow pass over ``docs``."""
-        rows = with_features(docs, self.lexicon, ["doc_id"], text)
+    def score(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """(``key``, score): the calibrated chance that the whole text is toxic; one narrow pass over ``docs``."""
+        rows = with_features(docs, self.lexicon, [key], text)
         if self.trees is None:
-            return rows.select("doc_id", F.lit(float(self.prior)).alias("score"))
-        scored = self.trees.transform(rows.withColumn("features", array_to_vector("features"))).select("doc_id", self._margin().alias("margin"))
+            return rows.select(key, F.lit(float(self.prior)).alias("score"))
+        scored = self.trees.transform(rows.withColumn("features", array_to_vector("features"))).select(key, self._margin().alias("margin"))
         if self.calibration is None:
-            return scored.select("doc_id", (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
-        return self.calibration.transform(scored).select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
+            return scored.select(key, (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
+        return self.calibration.transform(scored).select(key, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -153,6 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the documents predicted toxic; other columns pass through."""
-    gone = classify(docs, labels, text).where("predicted = 1").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    """``docs`` without the rows predicted toxic; all columns pass through one narrow pass, whatever their names."""
+    model = ToxicityModel.fit(docs, labels, text)
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return model.score(packed, "_text", "_row").where("score < 0.5").select("_row.*")

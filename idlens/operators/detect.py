@@ -255,7 +255,9 @@ def detect_env_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     lines = lines.join(F.broadcast(named), "key", "left")
     url = F.col("key").rlike(r"_(?:URL|URI|DSN)$")
     linked = F.col("value").rlike(CREDENTIAL_URL)
-    secret = S.looks_like_secret(F.col("value")) | F.col("value").contains("PRIVATE KEY")
+    # tests of the value are columns of their own, so that no expression repeats them
+    lines = lines.withColumn("secret", S.looks_like_secret(F.col("value")) | F.col("value").contains("PRIVATE KEY")).withColumn("fake", S.is_placeholder(F.col("value")))
+    secret = F.col("secret")
     fallback = F.col("kind").isNull() & F.col("key").rlike(SUFFIXES) & secret
     wanted = (url & linked) | (~url & F.col("kind").isNotNull() & ((F.col("value") == "") | secret)) | fallback
     ai = F.col("key").isin(AI_KEYS)
@@ -270,7 +272,7 @@ def detect_env_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     )
     tags = F.when(ai, lit_array(["plaintext_secret", "env_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "env_secret"]))
     base = make_signal(lines.where(wanted), keys, rule, tags=tags, explicit_confidence=low, **common)
-    live = lines.where(wanted & ai & production & low.isNull() & ~S.is_placeholder(F.col("value")) & (F.col("value") != "") & ~F.col("value").contains(S.FIXTURE_MARKER))
+    live = lines.where(wanted & ai & production & low.isNull() & ~F.col("fake") & (F.col("value") != "") & ~F.col("value").contains(S.FIXTURE_MARKER))
     more = make_signal(live, keys, F.lit("nhi_production_ai_key_in_env"), tags=lit_array(["plaintext_secret", "env_secret", "ai_provider", "production"]), explicit_confidence=F.lit("high"), **common)
     return base.unionByName(more)
 

@@ -12,7 +12,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,16 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words a partition remembers before it starts afresh; bounds a worker's memory.
-CACHE_WORDS = 200_000
+from idlens.llm.common import text_batches
+
+#: Distinct words a worker remembers before it starts afresh; bounds its memory.
+CACHE_WORDS = 500_000
 
 # Fixed values of the vocabulary file's pre-tokenizer: contractions, letters, single numbers, other signs.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# The same for texts that hold nothing but ASCII and the letters of Latin-1 and Latin Extended-A.
+# The same for texts in Latin-1 without the signs of ``NOT_LATIN``.
 SPLIT_LATIN = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^\t-\r\x1c-\x20a-z0-9\xdf-\xf6\xf8-ſ]+"
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r\x20a-z0-9\xdf-\xf6\xf8-\xff]+"
 )
-NOT_LATIN = re.compile("[^\x00-\x1b\x21-\x7e\x20\xc0-\xd6\xd8-\xf6\xf8-ſ]|[\x1c-\x1f]")
+# Signs of Latin-1 that ``SPLIT_LATIN`` would take for punctuation: separators, blanks, letters and numbers.
+NOT_LATIN = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
 
 
 def byte_symbols() -> list[str]:
@@ -55,18 +58,22 @@ class Vocabulary:
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.suffix = suffix
         signs = byte_symbols()
-        self.inner = [vocab[s] for s in signs]
-        self.last = [vocab[s + suffix] for s in signs]
-        self.merge: dict[int, tuple[int, int]] = {}
-        made: dict[int, int] = {}
+        self.inner = np.array([vocab[s] for s in signs], np.int64)
+        self.last = np.array([vocab[s + suffix] for s in signs], np.int64)
+        self.made: dict[int, tuple[int, int, int]] = {}
+        first: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             x, y = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = vocab[x], vocab[y], vocab[x + y]
-            if max(made.get(x, -1), made.get(y, -1)) >= rank:
+            if max(first.get(x, -1), first.get(y, -1)) >= rank:
                 raise ValueError("a merge precedes the one that makes its parts")
-            made.setdefault(z, rank)
-            self.merge.setdefault(x << 32 | y, (rank, z))
+            first.setdefault(z, rank)
+            self.made[rank] = x, y, z
+        keys = np.array([x << 32 | y for x, y, _ in self.made.values()], np.int64)
+        self.keys, at = np.unique(keys, return_index=True)
+        self.ranks = np.array(list(self.made), np.int64)[at]
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -81,62 +88,145 @@ class Vocabulary:
 
     @staticmethod
     def plain_words(text: str) -> list[str]:
-        if text.isascii():
-            if not NOT_LATIN.search(text := text.replace("\n", " ").lower()):
-                return SPLIT_LATIN.findall(text)
-        else:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
             text = unicodedata.normalize("NFC", text)
-            if not NOT_LATIN.search(text) and "İ" not in text:
+        else:
+            if len(raw.translate(None, NOT_LATIN)) == len(raw):
                 return SPLIT_LATIN.findall(text.lower())
         # final sigma has no rule of its own here
         return SPLIT.findall(text.replace("Σ", "σ").lower())
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, by the pair occurrence index over all of them."""
-        ids: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            b = w.encode("utf-8")
-            starts.append(len(ids))
-            ids.extend(self.inner[x] for x in b[:-1])
-            ids.append(self.last[b[-1]])
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs can merge, and the ranks of those."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return hit, self.ranks[at[hit]]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in one array, and how many each has, by the pair occurrence index over all of them."""
+        raw = [w.encode("utf-8") for w in words]
+        ends = np.cumsum([len(b) for b in raw])
+        symbols = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.inner[symbols]
         n = len(ids)
-        starts.append(n)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts[1:]:
-            if s:
-                after[s - 1] = -1
-            if s < n:
-                before[s] = -1
-        merge, where, made = self.merge, {}, {}
-        for i in range(n - 1):
-            if after[i] >= 0 and (m := merge.get(ids[i] << 32 | ids[i + 1])):
-                if m[0] in where:
-                    where[m[0]].append(i)
+        if not n:
+            return ids, np.zeros(len(words), np.int64)
+        ids[ends - 1] = self.last[symbols[ends - 1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends[:-1]] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def note(left: np.ndarray, right: np.ndarray) -> None:
+            hit, rank = self.pairs(ids[left], ids[right])
+            if not len(rank):
+                return
+            order = rank.argsort(kind="stable")
+            rank, spots = rank[order], left[hit][order]
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            for a, b in zip(cuts, cuts[1:]):
+                r = int(rank[a])
+                if r in index:
+                    index[r].append(spots[a:b])
                 else:
-                    where[m[0]], made[m[0]] = [i], (ids[i], ids[i + 1], m[1])
-        active = list(where)
-        heapq.heapify(active)
+                    index[r] = [spots[a:b]]
+                    heapq.heappush(active, r)
+
+        first = np.flatnonzero(after >= 0)
+        note(first, first + 1)
         while active:
             rank = heapq.heappop(active)
-            x, y, z = made[rank]
-            spots = where.pop(rank)
-            spots.sort()
-            for i in spots:
-                if ids[i] != x or (j := after[i]) < 0 or ids[j] != y:
-                    continue
-                ids[i], ids[j] = z, -1
-                after[i] = k = after[j]
-                if k >= 0:
-                    before[k] = i
-                for p, q in ((before[i], i), (i, k)):
-                    if p >= 0 and q >= 0 and (m := merge.get(ids[p] << 32 | ids[q])):
-                        if m[0] in where:
-                            where[m[0]].append(p)
-                        else:
-                            where[m[0]], made[m[0]] = [p], (ids[p], ids[q], m[1])
-                            heapq.heappush(active, m[0])
-        return [[t for t in ids[a:b] if t >= 0] for a, b in zip(starts, starts[1:])]
+            x, y, z = self.made[rank]
+            lists = index.pop(rank)
+            i = lists[0] if len(lists) == 1 else np.concatenate(lists)
+            j = after[i]
+            good = (ids[i] == x) & (j >= 0) & (ids[j] == y)
+            i = i[good]
+            if x == y:
+                i = self.apart(np.unique(i), after)
+            j = after[i]
+            k = after[j]
+            ids[i], ids[j], after[i] = z, -1, k
+            inner = k >= 0
+            before[k[inner]] = i[inner]
+            p = before[i]
+            led = p >= 0
+            note(np.concatenate([p[led], i[inner]]), np.concatenate([i[led], k[inner]]))
+        bounds = np.concatenate([[0], np.cumsum(ids >= 0)])[np.concatenate([[0], ends])]
+        return ids[ids >= 0], np.diff(bounds)
+
+    @staticmethod
+    def apart(i: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of ascending places of a pair of equal symbols, those left once each merge takes its second one."""
+        out, taken = [], -1
+        for a, b in zip(i.tolist(), after[i].tolist()):
+            if a != taken:
+                out.append(a)
+                taken = b
+        return np.array(out, np.int64)
+
+
+class Places(dict):
+    """Word to its place; a new word gets the next one."""
+
+    def __init__(self, words):
+        super().__init__(zip(words, range(len(words))))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
+class WordIds:
+    """Ids of the words seen so far; starts afresh beyond ``CACHE_WORDS`` of them.
+
+    One object serves all tasks that a Python worker runs, so a word is encoded once a worker.
+    """
+
+    def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.vocab, self.encode_words = vocab, encode_words
+        self.clear()
+
+    def clear(self) -> None:
+        special = self.vocab.special
+        self.place = Places(list(special))
+        self.pool = np.array(list(special.values()), np.int32)
+        self.size = np.ones(len(special), np.int32)
+        self.start = np.arange(len(special), dtype=np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin (and the end)."""
+        if len(self.place) > CACHE_WORDS:
+            self.clear()
+        docs = [self.vocab.words(t) for t in texts]
+        count = [len(d) for d in docs]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(docs)), np.int64, sum(count))
+        if new := self.place.new:
+            flat, size = self.encode_words(new)
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size.astype(np.int32)])
+            self.pool = np.concatenate([self.pool, flat.astype(np.int32)])
+            self.place.new = []
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        ids = self.pool[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
+
+
+_words: dict[tuple[str, str], WordIds] = {}
+
+
+def word_ids(path: str, kind: str, make: Callable[[Vocabulary], Callable]) -> WordIds:
+    """The worker's ``WordIds`` of a vocabulary file and a way to encode."""
+    if (path, kind) not in _words:
+        _words[path, kind] = WordIds(vocabulary(path), make(vocabulary(path)))
+    return _words[path, kind]
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -148,16 +238,22 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches of about ``chars`` characters, with their texts (null: empty)."""
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of Arrow batches of about ``chars`` characters, with their texts (null: empty).
+
+    ``column`` may be a field of a struct, as ``row.text``.
+    """
+    name, _, field = column.partition(".")
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        values = batch.column(name).field(field) if field else batch.column(name)
+        texts: list[str] = []
         at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= chars or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+        for i, t in enumerate(values):
+            texts.append(t.as_py() or "")
+            size += len(texts[-1])
+            if size >= chars or i + 1 == len(values):
+                yield batch.slice(at, i + 1 - at), texts
+                texts, at, size = [], i + 1, 0
 
 
 def with_column(batch: pa.RecordBatch, *columns: tuple[str, pa.Array]) -> pa.RecordBatch:
@@ -176,24 +272,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        known: dict[str, list[int]] = {}
+        known = word_ids(path, "index", lambda vocab: vocab.encode_words)
         for batch, texts in text_blocks(batches, text):
-            docs = [vocab.words(t) for t in texts]
-            if len(known) > CACHE_WORDS:
-                known = {}
-            known |= {s: [i] for s, i in vocab.special.items()}
-            if new := list(set(chain.from_iterable(docs)).difference(known)):
-                known.update(zip(new, vocab.encode_words(new)))
-            flat, ends = [], [0]
-            get = known.__getitem__
-            for words in docs:
-                flat.extend(chain.from_iterable(map(get, words)))
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+            flat, ends = known.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield with_column(batch.select(kept), (ids, lists))
 
-    return source.mapInArrow(run, schema)
+    return text_batches(source).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -210,7 +295,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         size = max(tokens) + 1
         table = [tokens.get(i) for i in range(size)]
         whole = None not in table
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             lists = batch.column(ids)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
@@ -222,7 +307,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts.append(" ".join([table[i] for i in part]))
             yield with_column(batch, (out, pa.array(texts, pa.string())))
 
-    return source.mapInArrow(run, schema)
+    return text_batches(source).mapInArrow(run, schema)
 
 
 def digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:

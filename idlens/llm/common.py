@@ -35,6 +35,16 @@ def materialize(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     return out
 
 
+#: Rows of an Arrow batch where whole texts cross to Python: bounds what a worker and the JVM hold at once.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, once the session sends texts to Python workers in batches of ``TEXT_ROWS`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table written by ``materialize`` that nothing reads any more."""
     path = getattr(df, "_idlens_path", None)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idlens.llm.bpe import CACHE_WORDS, text_blocks, vocabulary, with_column
-from idlens.llm.common import scratch_dir
+from idlens.llm.bpe import Vocabulary, text_blocks, with_column, word_ids
+from idlens.llm.common import scratch_dir, text_batches
 
 #: Options of the Parquet writer: sizes in bytes, page row limit, encodings.
 LAYOUT = {
@@ -37,6 +37,27 @@ LAYOUT = {
 }
 
 
+def library_encoder(path: str, vocab: Vocabulary) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes pre-tokens with the tokenizers library, many in one call."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    ends_word = np.zeros(max(vocab.tokens) + 1, bool)
+    ends_word[[i for i, t in vocab.tokens.items() if t.endswith(vocab.suffix)]] = True
+
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # blanks part pre-tokens as well as their own rules do; a token with the suffix ends its word
+        ids = np.array(library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        last = np.flatnonzero(ends_word[ids])
+        if len(last) == len(words):
+            return ids, np.diff(last, prepend=-1)
+        each = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(each)), np.int64), np.array([len(x) for x in each])
+
+    return encode_words
+
+
 def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = 2) -> DataFrame:
     """(doc_id, at, n_tokens, ids) for each row, in the order of its partition.
 
@@ -53,27 +74,16 @@ def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = 2) -> D
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        library, vocab, known, before = Tokenizer.from_file(path), vocabulary(path), {}, 0
+        before, known = 0, word_ids(path, "library", lambda vocab: library_encoder(path, vocab))
         for batch, texts in text_blocks(batches, text):
-            docs = [vocab.words(t) for t in texts]
-            if len(known) > CACHE_WORDS:
-                known = {}
-            new = list(set(chain.from_iterable(docs)).difference(known))
-            known.update((w, e.ids) for w, e in zip(new, library.encode_batch_fast(new, add_special_tokens=False)))
-            flat, ends, get = [], [0], known.__getitem__
-            for words in docs:
-                flat.extend(chain.from_iterable(map(get, words)))
-                flat.append(end_id)
-                ends.append(len(flat))
-            bounds = np.array(ends, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.array(flat, np.int32)))
+            flat, bounds = known.encode(texts)
+            flat = np.insert(flat, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
             yield with_column(batch.select(["doc_id"]), ("at", pa.array(before + bounds[:-1])), ("n_tokens", pa.array(np.diff(bounds))), ("ids", lists))
             before += len(flat)
 
-    return df.select("doc_id", text).mapInArrow(run, schema)
+    return text_batches(df.select("doc_id", text)).mapInArrow(run, schema)
 
 
 def write_tokens(df: DataFrame, path: str, to: str, text: str = "text", end_id: int = 2) -> None:
@@ -115,7 +125,7 @@ def with_crc(tokens: DataFrame, ids: str = "ids") -> DataFrame:
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
             yield with_column(batch.select(kept), ("ids_crc32", pa.array(sums, pa.int64())))
 
-    return tokens.mapInArrow(run, schema)
+    return text_batches(tokens).mapInArrow(run, schema)
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idlens.llm.bpe import text_blocks
-from idlens.llm.common import connected_components, materialize
+from idlens.llm.common import connected_components, materialize, text_batches
 
 WORDS, PERMUTATIONS, BANDS = 5, 64, 32
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return text_batches(docs.select("doc_id", text)).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:

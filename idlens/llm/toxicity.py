@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idlens.llm.bpe import text_blocks, with_column
-from idlens.llm.common import hash_fraction, held_out, materialize
+from idlens.llm.common import hash_fraction, held_out, materialize, text_batches
 from idlens.llm.unicode_tables import code_points, letters
 
 #: About how many labelled documents everything is learned from, at most.
@@ -72,7 +72,8 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], keep: list[str], t
             ends = np.arange(len(texts) + 1, dtype=np.int32) * len(_NAMES)
             yield with_column(batch.select(keep), ("features", pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))))
 
-    return rows.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    inner = "." in text  # the text is a field of a kept struct
+    return text_batches(rows.select(*keep, *([] if text in keep or inner else [text]))).mapInArrow(run, schema)
 
 
 def learn_lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
@@ -155,5 +156,5 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic; all columns pass through one narrow pass, whatever their names."""
     model = ToxicityModel.fit(docs, labels, text)
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return model.score(packed, "_text", "_row").where("score < 0.5").select("_row.*")
+    packed = docs.select(F.struct("*").alias("_row"))
+    return model.score(packed, f"_row.{text}", "_row").where("score < 0.5").select("_row.*")

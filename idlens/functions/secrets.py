@@ -10,18 +10,28 @@ import secrets as random_source
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlens.functions.text import unquote
-
 #: Marks a test value: detected like a secret, refused by every sink.
 FIXTURE_MARKER = "FAKE_SECRET_DO_NOT_USE"
 
 # Whole-string placeholders, words that mark a phrase as one, and weaker conventions.
-PLACEHOLDER = r"(?i)^(?:changeme|change-me|example|example[_-]?key|dummy|fake|test|token|password|secret|your[_-]?api[_-]?key|replace[_-]?me|<[^>]+>|\$\{[^}]+\}|\$[A-Za-z_][A-Za-z0-9_]*)$"
-PHRASE_MARKERS = ["your", "changeme", "placeholder", "example", "redacted", "goes", "xxx", "todo"]
-LEADING_MARKERS = ["replace", "insert", "paste", "enter", "change"]
+PLACEHOLDERS = r"changeme|change-me|example|example[_-]?key|dummy|fake|test|token|password|secret|your[_-]?api[_-]?key|replace[_-]?me|<[^>]+>|\$\{[^}]+\}|\$[A-Za-z_][A-Za-z0-9_]*"
+PHRASE_MARKERS = "your|changeme|placeholder|example|redacted|goes|xxx|todo"
+LEADING_MARKERS = "replace|insert|paste|enter|change"
 DEMO_SIGNATURE = "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
-WEAK_WORDS = ["changeme", "change-me", "replace_me", "replace-me", "replace_with", "replace-with", "your-api-key", "example", "dummy"]
-MORE_WEAK_WORDS = ["placeholder", "sample", "your_", "your-", "_here", "-here", "insert_", "insert-", "redacted", "todo"]
+WEAK_WORDS = "changeme|change-me|replace_me|replace-me|replace_with|replace-with|your-api-key|example|dummy"
+MORE_WEAK_WORDS = "placeholder|sample|your_|your-|_here|-here|insert_|insert-|redacted|todo"
+
+# One regex a question keeps expressions small. A phrase is letters only and has a marker as a segment, or leads
+# with one; a run repeats a sign five times and knows at most three, dashes aside.
+_PHRASE = rf"(?=[A-Za-z]+(?:[._-][A-Za-z]+)*['\"]*\s*$)(?:(?:\S*[._-])?(?:{PHRASE_MARKERS})(?:[._-]\S*)?|(?:{LEADING_MARKERS})\S*)"
+_RUN = r"(?=\S*?(\S)\1{4})-*(\S)(?:-|\2)*(?:(\S)(?:-|\2|\3)*(?:(\S)(?:-|\2|\3|\4)*)?)?"
+_LOCAL = r"(?!.*(?:@|://)).*localhost.*"
+STRUCTURAL = rf"(?is)^\s*['\"]*(?:|\$\{{\{{.*\}}\}}|{PLACEHOLDERS}|{_PHRASE}|{_RUN}|{_LOCAL})['\"]*\s*$"
+TEST_KEY = rf"^\s*['\"]*(?:(?i:sk_test_|pk_test_))|{DEMO_SIGNATURE}"
+SECRET_SHAPE = (
+    r"^\s*(?:(?=\S{16,}\s*$)(?=\S*[A-Za-z])(?:(?=\S*[0-9])|(?=\S*[_\-/+=])(?![a-z]+(?:[-_][a-z]+)+\s*$))"
+    r"|(?:sk|pk|ghp|gho|xoxb|SG|AKIA|AIza|sk-ant|whsec)_?[A-Za-z0-9_\-]{8,})"
+)
 
 # Prefixes of secrets and their labels, first match wins.
 LABELS = [
@@ -47,39 +57,20 @@ LABELS = [
 ]
 
 
-def any_of(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
-
-
 def is_structural_placeholder(v: Column) -> Column:
     """Holds no credential at all: empty, a reference, a placeholder word or phrase, one sign repeated."""
-    t = unquote(F.trim(v))
-    low = F.lower(t)
-    phrase = t.rlike(r"^[A-Za-z]+(?:[._-][A-Za-z]+)*$") & (
-        F.arrays_overlap(F.split(low, "[._-]+"), F.array(*map(F.lit, PHRASE_MARKERS))) | low.rlike(f"^(?:{'|'.join(LEADING_MARKERS)})")
-    )
-    run = t.rlike(r"(.)\1{4,}") & (F.size(F.array_distinct(F.regexp_extract_all(F.regexp_replace(low, "-", ""), F.lit("(?s)."), F.lit(0)))) <= 3)
-    host = low.contains("localhost") & ~t.rlike("@|://")
-    shaped = (t == "") | t.rlike(r"^\$\{\{(?s).*\}\}$") | host | t.rlike(PLACEHOLDER) | phrase | run
-    return F.coalesce(shaped & ~t.contains(FIXTURE_MARKER), F.lit(True))
+    return F.coalesce(v.rlike(STRUCTURAL) & ~v.contains(FIXTURE_MARKER), F.lit(True))
 
 
 def is_placeholder(v: Column) -> Column:
     """Suppresses detection: structural, test-mode payment keys, or a well-known demo signature."""
-    t = unquote(F.trim(v))
-    known = F.lower(t).rlike("^(?:sk_test_|pk_test_)") | t.contains(DEMO_SIGNATURE)
-    return ~t.contains(FIXTURE_MARKER) & (is_structural_placeholder(v) | known)
+    return ~v.contains(FIXTURE_MARKER) & (v.rlike(STRUCTURAL) | v.rlike(TEST_KEY))
 
 
 def is_weak_placeholder(v: Column) -> Column:
     """Lowers confidence only."""
-    t = F.lower(unquote(F.trim(v)))
-    few = F.length(F.regexp_replace(t, "[^0-9]", "")) < 4
-    weak = t.rlike("[_-]here$") | any_of(t, WEAK_WORDS) | (few & any_of(t, MORE_WEAK_WORDS))
-    return is_placeholder(v) | (weak & ~F.upper(t).contains(FIXTURE_MARKER))
+    weak = v.rlike(rf"(?i)[_-]here['\"]*\s*$|{WEAK_WORDS}") | v.rlike(rf"(?i)^(?!(?:.*[0-9]){{4}}).*(?:{MORE_WEAK_WORDS})")
+    return is_placeholder(v) | (weak & ~v.contains(FIXTURE_MARKER))
 
 
 def suppress_candidate(name: Column, v: Column) -> Column:
@@ -87,10 +78,9 @@ def suppress_candidate(name: Column, v: Column) -> Column:
 
 
 def looks_like_secret(v: Column) -> Column:
-    t = F.trim(v)
-    long_ = (F.length(t) >= 16) & ~t.rlike(r"\s") & t.rlike("[A-Za-z]") & (t.rlike("[0-9]") | (t.rlike(r"[_\-/+=]") & ~t.rlike("^[a-z]+(?:[-_][a-z]+)+$")))
-    prefixed = t.rlike(r"^(?:sk|pk|ghp|gho|xoxb|SG|AKIA|AIza|sk-ant|whsec)_?[A-Za-z0-9_\-]{8,}")
-    return F.coalesce((t != "") & ~t.startswith("$") & (t.contains(FIXTURE_MARKER) | (~is_placeholder(v) & (long_ | prefixed))), F.lit(False))
+    """Long, unbroken and mixed, or with a known prefix; no reference and no placeholder."""
+    shaped = v.contains(FIXTURE_MARKER) | (v.rlike(SECRET_SHAPE) & ~v.rlike(STRUCTURAL) & ~v.rlike(TEST_KEY))
+    return F.coalesce(shaped & ~v.rlike(r"^\s*(?:\$|$)"), F.lit(False))
 
 
 def infer_confidence(rule: Column, evidence: Column, v: Column, explicit: Column, sure_rules: list[str]) -> Column:

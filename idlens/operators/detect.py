@@ -93,6 +93,8 @@ def spec_table(spark: SparkSession, specs: list[Spec]) -> DataFrame:
     return spark.createDataFrame(rows, kind)
 
 
+#: Specs in a pass over the artifacts.
+PASS = 48
 MATCH = "array<struct<spec:int,value:string,name:string,production:boolean>>"
 
 
@@ -149,8 +151,9 @@ def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, famil
             ok = ok & ~comment
         return F.when(ok, _matches(i, s, F.col("line"))).otherwise(F.array().cast(MATCH))
 
-    found = lines.withColumn("m", F.concat(*(hit(i, s) for i, s in enumerate(specs)))).where(F.size("m") > 0)
-    opened = found.select(*[c for c in found.columns if c in (*X.FILE, *HISTORY, "line_no", "line")], F.inline("m"))
+    # outer, so that no filter on the array's size is derived, which would work it out twice
+    found = lines.withColumn("m", F.concat(*(hit(i, s) for i, s in enumerate(specs))))
+    opened = found.select(*[c for c in found.columns if c in (*X.FILE, *HISTORY, "line_no", "line")], F.inline_outer("m")).where("spec IS NOT NULL")
     if any(s.once for s in specs):
         once = [i for i, s in enumerate(specs) if s.once]
         first = opened.where(F.col("spec").isin(once)).groupBy(*X.FILE, "spec").agg(F.min("line_no").alias("first_line"))
@@ -170,19 +173,18 @@ def detect_files(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, famil
         return F.when(_file_gate(s) & F.col("content").rlike(s.match), one.cast(kind)).otherwise(F.array().cast(kind))
 
     gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(s.path) for s in specs))
-    found = rows.where(gate).withColumn("m", F.concat(*(hit(i, s) for i, s in enumerate(specs)))).where(F.size("m") > 0)
-    opened = found.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], F.inline("m")).withColumn("line", F.lit(""))
+    found = rows.where(gate).withColumn("m", F.concat(*(hit(i, s) for i, s in enumerate(specs))))
+    opened = found.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], F.inline_outer("m")).where("spec IS NOT NULL").withColumn("line", F.lit(""))
     return _finish(opened, specs, keys, family)
 
 
 def detect_family(artifacts: DataFrame, family: str, keys: DataFrame) -> DataFrame:
-    """Every spec of a family: one line pass, one whole-text pass, and one for each kind of block."""
+    """Every spec of a family: line passes, whole-text passes, and one for each kind of block."""
     own = [s for s in ALL if s.family == family]
     parts = []
-    if plain := [s for s in own if s.each == "line" and not s.block]:
-        parts.append(detect_lines(artifacts, plain, keys, family))
-    if whole := [s for s in own if s.each == "file"]:
-        parts.append(detect_files(artifacts, whole, keys, family))
+    plain, whole = ([s for s in own if s.each == each and not s.block] for each in ("line", "file"))
+    parts += [detect_lines(artifacts, plain[i : i + PASS], keys, family) for i in range(0, len(plain), PASS)]
+    parts += [detect_files(artifacts, whole[i : i + PASS], keys, family) for i in range(0, len(whole), PASS)]
     for block in dict.fromkeys(s.block for s in own if s.block):
         parts.append(detect_lines(artifacts, [s for s in own if s.block == block], keys, family))
     return reduce(DataFrame.unionByName, parts)
@@ -291,7 +293,7 @@ def config_rows(artifacts: DataFrame, path: str = CONFIG_PATH, gate: str = f"(?i
     json_pairs = F.transform(X.flatten_json(content), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), X.line_for_key_value(content, p["key"], p["value"]).alias("line_no")))
     is_json = F.col("low_path").endswith(".json") & F.try_parse_json(content).isNotNull()
     pairs = F.when(is_json, json_pairs.cast(X.PAIR)).when(F.col("low_path").rlike(r"\.ya?ml$"), X.yaml_pairs(content)).when(F.col("low_path").rlike(r"\.(?:toml|ini|cfg|conf)$"), X.kv_pairs(content))
-    config = rows.select(*keep, pairs.alias("pairs")).where("pairs IS NOT NULL").select(*keep, F.inline("pairs"))
+    config = rows.select(*keep, pairs.alias("pairs")).select(*keep, F.inline_outer("pairs")).where("key IS NOT NULL")
     code = X.explode_lines(rows.where(pairs.isNull()), keep=keep)
     code = code.where(F.col("line").rlike(CODE_PAIR)).select(*keep, F.regexp_extract("line", CODE_PAIR, 1).alias("key"), F.regexp_extract("line", CODE_PAIR, 2).alias("value"), "line_no")
     return config.unionByName(code)
@@ -321,9 +323,9 @@ def detect_credential_assignments(artifacts: DataFrame, keys: DataFrame) -> Data
 def detect_nested_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     """JSON kinds: CDK context and Terraform state secrets; a state secret's provider is its resource type's."""
     rows = file_columns(artifacts).where(F.col("low_path").rlike(r"(?:^|/)cdk(?:\.context)?\.json$|\.tfstate(?:\.backup)?$"))
-    flat = rows.select(*X.FILE, "content", F.col("low_path").endswith(".json").alias("cdk"), X.flatten_json(F.col("content")).alias("pairs")).where("pairs IS NOT NULL")
+    flat = rows.select(*X.FILE, "content", F.col("low_path").endswith(".json").alias("cdk"), X.flatten_json(F.col("content")).alias("pairs"))
     types = F.filter("pairs", lambda p: p["key"].endswith(".type"))
-    rows = flat.select(*X.FILE, "content", "cdk", types.alias("types"), F.inline("pairs"))
+    rows = flat.select(*X.FILE, "content", "cdk", types.alias("types"), F.inline_outer("pairs")).where("key IS NOT NULL")
     rows = rows.where(F.lower(F.regexp_extract("key", r"([^.]*)$", 1)).rlike(SECRET_NAME) & S.looks_like_secret(F.col("value")))
     above = F.filter("types", lambda t: F.startswith(F.col("key"), F.regexp_replace(t["key"], "type$", "")))
     deepest = F.element_at(F.array_sort(F.transform(above, lambda t: F.struct(F.length(t["key"]).alias("n"), t["value"].alias("v")))), -1)["v"]
@@ -479,7 +481,7 @@ def detect_mcp(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     ]
     kind = "array<struct<rule:string,label:string,marks:array<string>,admin:boolean,sure:string,attack:string>>"
     made = [F.when(ok, F.array(F.struct(F.lit(f"nhi_{r}").alias("rule"), F.lit(n).alias("label"), lit_array(t).alias("marks"), F.lit(a).alias("admin"), F.lit(c).alias("sure"), F.lit(k).alias("attack"))).cast(kind)).otherwise(F.array().cast(kind)) for r, ok, n, t, a, c, k in checks]
-    found = per.withColumn("exposed", exposed).withColumn("m", F.concat(*made)).select(*X.FILE, "line_no", "server", "exposed", F.inline("m"))
+    found = per.withColumn("exposed", exposed).withColumn("m", F.concat(*made)).select(*X.FILE, "line_no", "server", "exposed", F.inline_outer("m")).where("rule IS NOT NULL")
     level = F.when(F.array_contains("exposed", "filesystem"), "source-code").otherwise("unknown")
     servers = make_signal(found, keys, F.col("rule"), F.concat_ws(" ", "label", "server"), None, detector="mcp", name=F.col("label"), identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), tools=F.col("exposed"), tags=F.col("marks"), admin_access=F.col("admin"), external_access=F.lit(True), data_access_level=level, explicit_confidence=F.col("sure"), ai_attack_class=F.col("attack"))
     bare = F.regexp_replace(value, "(?i)^bearer ", "")
@@ -525,7 +527,7 @@ def detect_ai_agents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     ]
     kind = "array<struct<rule:string,kind:string,marks:array<string>,said:string>>"
     made = [F.when(ok, F.array(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("kind"), lit_array(t).alias("marks"), F.lit(e).alias("said"))).cast(kind)).otherwise(F.array().cast(kind)) for r, ok, k, t, e in checks]
-    more = rows.withColumn("m", F.concat(*made)).select("*", F.inline("m"))
+    more = rows.withColumn("m", F.concat(*made)).select("*", F.inline_outer("m")).where("rule IS NOT NULL")
     level = F.when(F.col("rule").contains("sensitive_data"), "customer").otherwise("unknown")
     return agents.unionByName(make_signal(more, keys, F.col("rule"), F.col("said"), identity_type=F.col("kind"), tags=F.col("marks"), external_access=F.lit(True), data_access_level=level, **common))
 

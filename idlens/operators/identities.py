@@ -10,7 +10,7 @@ from idlens.functions.catalog import IDENTITY_TYPES, TYPE_ALIASES
 from idlens.functions.text import FILE, explode_lines
 
 SCAN = ["scan_id", "repo"]
-ORDER = F.struct("path", "detector", "line_no", "rule_id", "name", "evidence")
+ORDER = ["path", "detector", "line_no", "rule_id", "name", "evidence"]
 
 
 def dedupe_signals(signals: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def normalize_signals(signals: DataFrame) -> DataFrame:
         "ai_attack_class", "attack_chain_stage", "confidence", tags.alias("tags"), F.array_compact(evidence).alias("evidence"),
         F.array().cast("array<string>").alias("related_identities"),
         sha.alias("commit_sha"), "commit_short_sha", "commit_author", "commit_date",
-        ORDER.alias("ord"),
+        F.struct(*ORDER).alias("ord"),
     )
 
 

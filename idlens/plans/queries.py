@@ -1,0 +1,394 @@
+"""Registered queries of the machine-identity operators, and the same in SQL.
+
+Detection queries run over the derived corpus; their SQL starts from the order keys, which say what was planted,
+and knows no pattern. Relational queries start from rows that both engines derive from the tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from idlens.functions import secrets as S
+from idlens.functions import text as X
+from idlens.functions.catalog import rule_rows
+from idlens.operators import baseline as B
+from idlens.operators import correlate as C
+from idlens.operators import detect as D
+from idlens.operators import identities as I
+from idlens.operators import reports as A
+from idlens.operators import rules as R
+from idlens.plans import corpus, synthetic
+from idlens.plans.scan import scan
+from idlens.sources import artifacts as src
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+#: A fixed key, so that fingerprints compare between engines.
+KEY = b"idlens registered queries"
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def by_rule(signals: DataFrame) -> DataFrame:
+    return signals.groupBy("repo", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+
+
+# What each kind of file of the corpus must yield: detector, kind, rule.
+PLANTED = [
+    ("env", 0, "plaintext_env_secret"), ("env", 0, "cloud_key_detected"), ("vendor", 0, "cloud_key_detected"), ("vendor", 14, "encoded_registry_auth_detected"),
+    ("config", 2, "hardcoded_secret"), ("config", 3, "hardcoded_secret"), ("config", 5, "hardcoded_secret"), ("config", 9, "hardcoded_secret"),
+    ("ci", 4, "github_actions_write_all"), ("ci", 4, "github_actions_unpinned_action"), ("ci", 4, "github_actions_expression_injection"), ("ci", 5, "gitlab_ci_plaintext_variable"),
+    ("iac", 6, "plaintext_env_secret"), ("iac", 6, "docker_remote_script_execution"), ("iac", 7, "cloud_admin_policy"), ("iac", 7, "cloud_key_detected"), ("iac", 8, "overprivileged_nhi"),
+    ("windowed", 8, "kubernetes_env_plaintext_secret"), ("registry", 14, "npm_registry_token_in_npmrc"),
+    ("ai", 13, "prompt_artifact_prompt_injection"), ("ai", 13, "prompt_artifact_system_prompt_leakage"), ("ai", 10, "rag_context_to_tool_bridge"),
+    ("host", 15, "linux_pam_absolute_module_path"), ("host", 15, "linux_pam_module_outside_trusted_dir"), ("host", 15, "linux_pam_unknown_module"), ("host", 15, "linux_pam_auth_chain_modified"),
+    ("agents", 10, "ai_agent_shell_access"), ("mcp", 12, "mcp_package_install_without_pinning"), ("mcp", 12, "mcp_server_high_risk_tool_access"),
+]
+REPO_SQL = f"'repo_' || (o_custkey % {corpus.REPOS})"
+N_KINDS = len(corpus.KINDS)
+
+
+def planted_sql(detector: str) -> str:
+    rows = ", ".join(f"({k}, 'nhi_{r}')" for d, k, r in PLANTED if d == detector)
+    return f"SELECT {REPO_SQL} AS repo, rule_id, count(*) AS n, count(DISTINCT o_orderkey) AS files FROM orders JOIN (VALUES {rows}) v(kind, rule_id) ON o_orderkey % {N_KINDS} = kind GROUP BY ALL"
+
+
+def _detection(name: str, f) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return by_rule(f(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
+
+    register(f"detect_{name}", planted_sql(name))(run)
+
+
+def _family(f: str):
+    return lambda a, k: D.detect_family(a, f, k)
+
+
+for _f in D.FAMILIES:
+    _detection(_f, _family(_f))
+for _n, _d in (("env", D.detect_env_secrets), ("config", D.detect_credential_assignments), ("windowed", D.detect_windowed), ("mcp", D.detect_mcp), ("agents", D.detect_ai_agents)):
+    _detection(_n, _d)
+
+
+@register("detect_nested_secrets")
+def detect_nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_rule(D.detect_nested_secrets(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
+
+
+@register("detect_documents_settings")
+def detect_documents_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_rule(D.detect_documents(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
+
+
+@register("detect_custom_regex", f"SELECT {REPO_SQL} AS repo, 'custom_hex' AS rule_id, count(*) AS n, count(DISTINCT o_orderkey) AS files FROM orders WHERE o_orderkey % {N_KINDS} IN (0, 2, 3, 5, 6, 7, 8, 9, 14) GROUP BY ALL")
+def detect_custom_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = src.load_rule_pack('{"rules": [{"id": "custom_hex", "severity": "high", "pattern": "[0-9a-f]{40}"}, {"id": "bad", "pattern": "(a+)+$"}]}')
+    return by_rule(D.detect_custom_regex(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY), pack))
+
+
+@register(
+    "detect_document_tokens",
+    r"""SELECT source AS repo, count(*) AS n FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '(?i)[A-Za-z0-9_.-]*(api_key|apikey|secret|token|password|private_key|access_key)[A-Za-z0-9_.-]*\s*[:=]\s*[''"][0-9a-f]{40}[''"]') GROUP BY source""",
+)
+def detect_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.detect_credential_assignments(corpus.document_artifacts(spark, sf_dir), S.key_table(spark, KEY))
+    return found.groupBy("repo").agg(F.count("*").alias("n"))
+
+
+def _pad(x: int) -> str:
+    return bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex()
+
+
+@register(
+    "fingerprints",
+    f"SELECT o_orderkey, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(md5(o_orderkey::VARCHAR))))) AS fingerprint FROM orders",
+)
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    value = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    return orders.select("o_orderkey", S.fingerprint(value, S.key_table(spark, KEY)).alias("fingerprint"))
+
+
+@register(
+    "secret_shapes",
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 4 THEN true WHEN 5 THEN true ELSE false END AS secret,
+    o_orderkey % 6 IN (1, 2, 3) AS placeholder, CASE o_orderkey % 6 WHEN 4 THEN 'github_token' WHEN 5 THEN 'openai_api_key' WHEN 3 THEN 'payment_key' ELSE 'secret' END AS label FROM orders""",
+)
+def secret_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    h = F.md5(k.cast("string").cast("binary"))
+    v = F.element_at(F.array(F.concat(F.lit("v1"), h), F.lit("your-token-here"), F.lit("xxxxxxxxxxxxxxxx"), F.concat(F.lit("sk_test_"), h), F.concat(F.lit("ghp_a1"), h), F.concat(F.lit("sk-a1"), h)), (k % 6 + 1).cast("int"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", v.alias("v"))
+    return orders.select("o_orderkey", S.looks_like_secret(F.col("v")).alias("secret"), S.is_placeholder(F.col("v")).alias("placeholder"), S.secret_label(F.col("v")).alias("label"))
+
+
+@register("prepared_artifacts", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % {N_KINDS} NOT IN (4) GROUP BY ALL")
+def prepared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name gate, pruned folders, size gate and ignore rules in a row."""
+    a = corpus.artifacts(spark, sf_dir)
+    in_vendor = F.regexp_extract("path", r"[/w](\d+)", 1).cast("long") % 3 == 0
+    a = a.withColumn("path", F.when(in_vendor, F.concat(F.lit("node_modules/"), "path")).otherwise(F.col("path")))
+    rules = a.select("repo").distinct().select("repo", F.inline(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("pattern")) for i, p in enumerate((".github/", "*.md", "!notes.md"))))))
+    kept = src.apply_ignore_rules(src.size_gate(src.prune_dirs(src.scan_target_filter(a))), rules)
+    return kept.groupBy("repo").agg(F.count("*").alias("files"))
+
+
+@register("changed_only", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL")
+def changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = corpus.artifacts(spark, sf_dir)
+    changed = a.where(F.regexp_extract("path", r"[/w](\d+)", 1).cast("long") % 5 == 0).select("repo", "path")
+    return src.restrict_to_changed(a, changed).groupBy("repo").agg(F.count("*").alias("files"))
+
+
+@register("incremental_misses", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % {N_KINDS} <> 4 OR o_orderkey % 4 <> 0 GROUP BY ALL")
+def incremental_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine tenths of a second scan come from the cache; here the workflow files, whose signals hold no secret."""
+    a = corpus.artifacts(spark, sf_dir)
+    cached = a.where(F.col("path").startswith(".github")).select("content_sha", X.base_name().alias("name_key"), F.lit("v1").alias("version"), F.lit(None).cast("string").alias("secret_fingerprint"), F.lit("ci").alias("detector"))
+    misses, _ = src.split_cached(a, cached, "v1")
+    return misses.groupBy("repo").agg(F.count("*").alias("files"))
+
+
+@register("flattened_json", "SELECT event_id, 'a.k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'b[1].c', event_type FROM events UNION ALL SELECT event_id, 'b[0]', '1' FROM events")
+def flattened_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat(F.lit('{"a":'), "props", F.lit(',"b":[1,{"c":"'), "event_type", F.lit('"}]}'))
+    return events.select("event_id", F.inline(X.flatten_json(text)))
+
+
+@register("config_pairs", f"SELECT o_orderkey, 'password' AS key, 2 AS line_no FROM orders WHERE o_orderkey % {N_KINDS} = 2 UNION ALL SELECT o_orderkey, 'host', 3 FROM orders WHERE o_orderkey % {N_KINDS} = 2")
+def config_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = corpus.artifacts(spark, sf_dir).where(F.col("path").endswith(".toml"))
+    return a.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("o_orderkey"), F.inline(X.kv_pairs(F.col("content")))).drop("value")
+
+
+@register(
+    "codeowners_match",
+    f"""SELECT {REPO_SQL} AS repo, CASE WHEN o_orderkey % {N_KINDS} IN (2, 3) THEN '@config' WHEN o_orderkey % {N_KINDS} = 7 THEN '@infra @ops' ELSE '@all' END AS owners, count(*) AS files FROM orders GROUP BY ALL""",
+)
+def codeowners_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = corpus.artifacts(spark, sf_dir)
+    text = "# owners\n* @all\n/conf/ @config\n*.tf @infra @ops\nnothing-here\n"
+    files = a.select("scan_id", "repo").distinct().select("scan_id", "repo", F.lit("CODEOWNERS").alias("path"), F.lit(text).alias("content"))
+    return I.match_codeowners(a, I.parse_codeowners(files)).groupBy("repo", "owners").agg(F.count("*").alias("files"))
+
+
+@register("added_lines", "SELECT o_orderkey AS patch_id, 'a/x.py' AS path, unnest([5, 6, 20]) AS line_no FROM orders UNION ALL SELECT o_orderkey, 'b y.txt', 1 FROM orders WHERE o_orderkey % 2 = 0")
+def added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = "0123456789abcdef\t0123456\tAnn\tann@example.org\t2024-05-01T00:00:00+00:00\tsubject\n"
+    diff = "diff --git a/a/x.py b/a/x.py\n--- a/a/x.py\n+++ b/a/x.py\n@@ -4,0 +5,2 @@ def f\n+one\n+two\n@@ -18 +20 @@\n-old\n+new\n"
+    more = 'diff --git a/b y.txt b/b y.txt\n--- /dev/null\n+++ "b/b y.txt"\n@@ -0,0 +1 @@\n+first\n'
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = F.concat(F.lit(head + diff), F.when(F.col("o_orderkey") % 2 == 0, F.lit(more)).otherwise(F.lit("")))
+    patches = orders.select(F.lit("r").alias("repo"), F.col("o_orderkey").alias("patch_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit("")).alias("_k"), text.alias("patch_text"))
+    return src.added_lines(patches.select(F.col("_k").alias("repo"), "patch_id", "patch_text")).select(F.col("repo").cast("long").alias("patch_id"), "path", "line_no")
+
+
+IDS = f"WITH b AS ({synthetic.BASE_SQL}), "
+OWNERLESS = "owner IS NULL"
+UNGATED = "coalesce(approval_required, false) = false"
+UNLOGGED = "coalesce(logging_enabled, false) = false"
+CORRELATIONS = f"""c AS (
+  SELECT repo, 'nhi_secret_sprawl_same_file' AS rule_id FROM b WHERE has_secret GROUP BY repo, file_path HAVING count(*) >= 3
+  UNION ALL SELECT repo, 'nhi_identity_exposure_chain' FROM b WHERE provider IS NOT NULL GROUP BY repo, provider HAVING count(*) >= 2 AND count(DISTINCT source) >= 2
+  UNION ALL SELECT repo, 'nhi_history_secret_still_current' FROM b WHERE secret_fingerprint IS NOT NULL GROUP BY repo, secret_fingerprint HAVING bool_or(commit_sha IS NOT NULL) AND bool_or(commit_sha IS NULL)
+  UNION ALL SELECT repo, 'nhi_customer_data_secret_coupling' FROM b WHERE has_secret AND data_access_level = 'customer' AND confidence <> 'low' GROUP BY repo, file_path, name
+  UNION ALL SELECT repo, 'nhi_ai_mcp_privilege_bridge' FROM b GROUP BY repo HAVING bool_or(kind = 0 AND approval_required = false) AND bool_or(kind = 1)
+  UNION ALL SELECT repo, 'nhi_ai_toxic_flow_untrusted_context_to_privileged_tool' FROM b GROUP BY repo HAVING bool_or(o_orderkey % 30 = 0) AND bool_or(kind IN (0, 1) AND {UNGATED})
+  UNION ALL SELECT repo, 'nhi_ci_deployment_without_approval' FROM b GROUP BY repo HAVING bool_or(kind IN (3, 6) AND admin_access) AND bool_or(production_access AND kind IN (3, 6) AND {UNGATED} AND (admin_access OR deploys))
+  UNION ALL SELECT repo, 'nhi_orphaned_identity_cluster' FROM b GROUP BY repo HAVING count(*) >= 8 AND count(*) FILTER ({OWNERLESS}) >= 0.75 * count(*) AND count(*) FILTER ({UNLOGGED}) >= 0.75 * count(*)
+  UNION ALL SELECT repo, 'nhi_production_without_approval_gate' FROM b GROUP BY repo HAVING count(*) FILTER (production_access AND {UNGATED} AND (admin_access OR has_secret OR kind IN (0, 1) OR deploys)) >= 2
+  UNION ALL SELECT repo, 'nhi_shared_target_exposure' FROM (SELECT repo, unnest([provider, CASE WHEN data_access_level <> 'unknown' THEN data_access_level END]) AS target, kind, admin_access OR production_access OR has_secret AS big FROM b)
+    WHERE target IS NOT NULL GROUP BY repo HAVING max(0) = 0 AND repo IN (SELECT repo FROM (SELECT repo, provider AS t, kind, admin_access OR production_access OR has_secret AS big FROM b WHERE provider IS NOT NULL
+      UNION ALL SELECT repo, data_access_level, kind, admin_access OR production_access OR has_secret FROM b WHERE data_access_level <> 'unknown') GROUP BY repo, t HAVING count(*) >= 3 AND count(DISTINCT kind) >= 2 AND bool_or(big)))"""
+
+
+@register("correlations", IDS + CORRELATIONS + " SELECT repo, rule_id, count(*) AS n FROM c GROUP BY ALL")
+def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = C.correlate(synthetic.identities(spark, sf_dir))
+    return made.select("repo", F.col("ord.rule_id").alias("rule_id")).groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
+
+
+RISK_SQL = (
+    IDS
+    + f"""a AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path, line_number, name, id) AS r FROM b WHERE kind IN (0, 1) AND ({UNGATED} OR admin_access)),
+s AS (SELECT b.repo, b.id AS source, min_by(a.id, a.r) AS agent, any_value(b.file_path) AS f, any_value(b.line_number) AS l, any_value(b.name) AS n FROM b JOIN a ON a.repo = b.repo AND a.r <= 2 AND a.id <> b.id WHERE b.o_orderkey % 30 = 0 GROUP BY b.repo, b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY f, l, n, source) AS rk FROM s)
+SELECT repo, source, agent FROM k WHERE rk <= 10"""
+)
+
+
+@register("risk_paths", RISK_SQL)
+def risk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = C.risk_paths(synthetic.identities(spark, sf_dir))
+    return made.select("repo", F.element_at("related_identities", 1).alias("source"), F.element_at("related_identities", 2).alias("agent"))
+
+
+SCORE = f"""least(100, CASE WHEN has_secret THEN 30 ELSE 0 END + CASE WHEN admin_access THEN 25 ELSE 0 END + CASE WHEN production_access THEN 15 ELSE 0 END
+ + CASE WHEN external_access THEN 10 ELSE 0 END + CASE WHEN data_access_level IN ('customer', 'session') THEN 15 ELSE 0 END + CASE WHEN approval_required = false THEN 15 ELSE 0 END
+ + CASE WHEN {OWNERLESS} THEN 5 ELSE 0 END + CASE WHEN {UNLOGGED} THEN 5 ELSE 0 END)"""
+
+
+@register("identity_scores", IDS + f"s AS (SELECT id, {SCORE} AS score FROM b) SELECT id, score, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 60 THEN 'High' WHEN score >= 40 THEN 'Medium' WHEN score >= 20 THEN 'Low' ELSE 'Clean' END AS label FROM s")
+def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.identities(spark, sf_dir).select("id", R.score_identity().alias("score")).select("id", "score", R.severity_label(F.col("score")).alias("label"))
+
+
+MATTERS = "(admin_access OR production_access OR external_access OR data_access_level <> 'unknown' OR deploys OR kind IN (0, 1, 2, 3, 4, 6))"
+FINDINGS = f"""f AS (
+  SELECT b.*, 'nhi_hardcoded_secret' AS rule_id, 75 AS base, true AS boosted FROM b WHERE has_secret
+  UNION ALL SELECT b.*, 'nhi_overprivileged_nhi', 75, true FROM b WHERE admin_access
+  UNION ALL SELECT b.*, 'nhi_ci_deployment_without_approval', 95, false FROM b WHERE kind IN (3, 6) AND production_access AND {UNGATED} AND (admin_access OR deploys)
+  UNION ALL SELECT b.*, 'nhi_long_lived_unowned_credential', 75, false FROM b WHERE has_secret AND {OWNERLESS}
+  UNION ALL SELECT b.*, 'nhi_no_rotation_policy', 45, false FROM b WHERE has_secret AND NOT {OWNERLESS}
+  UNION ALL SELECT b.*, 'nhi_long_lived_secret', 55, false FROM b WHERE has_secret AND NOT {OWNERLESS}
+  UNION ALL SELECT b.*, 'nhi_missing_owner', 30, false FROM b WHERE {MATTERS} AND {OWNERLESS} AND NOT has_secret
+  UNION ALL SELECT b.*, 'nhi_missing_logging_evidence', 30, false FROM b WHERE {MATTERS} AND {UNLOGGED}
+  UNION ALL SELECT b.*, 'nhi_nhi_reuse_suspected', 45, false FROM b WHERE secret_fingerprint IS NOT NULL AND (repo, secret_fingerprint) IN
+    (SELECT (repo, secret_fingerprint) FROM (SELECT repo, secret_fingerprint, file_path, line_number FROM b WHERE secret_fingerprint IS NOT NULL GROUP BY ALL) GROUP BY repo, secret_fingerprint HAVING count(*) > 1)),
+g AS (SELECT *, least(100, base + CASE WHEN boosted AND admin_access THEN 10 ELSE 0 END) AS raw FROM f),
+h AS (SELECT *, CASE WHEN confidence = 'low' THEN greatest(20, raw - 25) ELSE raw END AS risk FROM g),
+v AS (SELECT *, CASE WHEN risk >= 85 THEN 'critical' WHEN risk >= 65 THEN 'high' WHEN risk >= 40 THEN 'medium' ELSE 'low' END AS severity FROM h)"""
+
+
+def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.run_rules(synthetic.identities(spark, sf_dir))
+
+
+@register("findings", IDS + FINDINGS + " SELECT id AS identity_id, rule_id, risk AS risk_score, severity, CASE WHEN risk >= 80 THEN 'fix now' WHEN risk >= 60 THEN 'next sprint' ELSE 'planned hardening' END AS priority FROM v")
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings_of(spark, sf_dir).select("identity_id", "rule_id", "risk_score", "severity", "priority")
+
+
+OVERALL = f"""s AS (SELECT repo, max({SCORE}) AS m, count(*) AS n_identities FROM b GROUP BY repo), t AS (SELECT repo, max(risk) AS m, count(*) AS n_findings, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high FROM v GROUP BY repo)
+SELECT repo, least(100, greatest(s.m, t.m) + least(30, n_findings * 3) + least(20, n_critical * 5))::BIGINT AS overall_score, n_identities, n_findings, n_critical,
+CASE WHEN n_critical > 0 OR n_high > 0 THEN 'action_required' ELSE 'clean' END AS trust_level, CASE WHEN n_critical > 0 THEN 'block' WHEN n_high > 0 THEN 'manual_review' ELSE 'pass' END AS policy FROM s JOIN t USING (repo)"""
+
+
+@register("scan_summary", IDS + FINDINGS + ", " + OVERALL)
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = synthetic.identities(spark, sf_dir)
+    return R.scan_summary(i, R.run_rules(i)).select("repo", "overall_score", "n_identities", "n_findings", "n_critical", "trust_level", "policy")
+
+
+@register("severity_counts", IDS + FINDINGS + " SELECT repo, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + " FROM v GROUP BY repo")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.severity_counts(findings_of(spark, sf_dir))
+
+
+CATALOG_SQL = "(VALUES " + ", ".join(f"('{r}', '{c}', {o!r}, {a!r})".replace('"', "'") for r, _, _, c, o, a in rule_rows()) + ") k(rule_id, category, owasp, ai)"
+
+
+@register("owasp_counts", IDS + FINDINGS + f" SELECT ref, count(*) AS n FROM (SELECT unnest(owasp) AS ref FROM v JOIN {CATALOG_SQL} USING (rule_id)) GROUP BY ref")
+def owasp_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.owasp_counts(findings_of(spark, sf_dir))
+
+
+@register("top_themes", IDS + FINDINGS + f", q AS (SELECT repo, category, count(*) AS n FROM v JOIN {CATALOG_SQL} USING (rule_id) GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, category) AS rank FROM q) SELECT * FROM w WHERE rank <= 5")
+def top_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.top_themes(findings_of(spark, sf_dir))
+
+
+@register("blast_radius", IDS.rstrip(", ") + " SELECT repo, bool_or(has_secret) AS secrets, bool_or(admin_access) AS admin, bool_or(production_access) AS production, bool_or(external_access) AS external, bool_or(data_access_level = 'customer') AS customer_data, bool_or(data_access_level = 'source-code') AS source_code, bool_or(kind IN (0, 1)) AS tools FROM b GROUP BY repo")
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.blast_radius(synthetic.identities(spark, sf_dir)).drop("scan_id")
+
+
+@register("identity_inventory", IDS.rstrip(", ") + " SELECT repo, " + "[" + ", ".join(f"'{t}'" for t in synthetic.TYPES) + "][kind + 1] AS identity_type, provider, count(*) AS n, count(*) FILTER (has_secret) AS n_secret FROM b GROUP BY ALL")
+def identity_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.identity_inventory(synthetic.identities(spark, sf_dir))
+
+
+MONTHS = "WITH f AS (SELECT DISTINCT 'repo_' || (l_suppkey % 20) AS repo, strftime(l_shipdate, '%Y-%m') AS scan_id, (l_partkey % 60)::VARCHAR AS key FROM lineitem), s AS (SELECT DISTINCT repo, scan_id FROM f), p AS (SELECT repo, scan_id, lag(scan_id) OVER (PARTITION BY repo ORDER BY scan_id) AS previous_scan_id FROM s)"
+
+
+@register(
+    "trend_history",
+    MONTHS
+    + """, q AS (SELECT * FROM p WHERE previous_scan_id IS NOT NULL), n AS (SELECT q.*, f.key FROM q JOIN f USING (repo, scan_id)), w AS (SELECT q.*, f.key FROM q JOIN f ON f.repo = q.repo AND f.scan_id = q.previous_scan_id)
+SELECT repo, scan_id, previous_scan_id, count(*) FILTER (w.key IS NULL) AS n_new, count(*) FILTER (n.key IS NULL) AS n_resolved, count(*) FILTER (n.key IS NOT NULL AND w.key IS NOT NULL) AS n_unchanged
+FROM n FULL JOIN w USING (repo, scan_id, previous_scan_id, key) GROUP BY ALL""".replace("n.key IS NULL", "n.k2 IS NULL").replace("w.key IS NULL", "w.k2 IS NULL").replace("n.key IS NOT NULL AND w.key IS NOT NULL", "n.k2 IS NOT NULL AND w.k2 IS NOT NULL").replace("SELECT q.*, f.key FROM", "SELECT q.*, f.key, f.key AS k2 FROM"),
+)
+def trend_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.trend_history(*synthetic.scan_keys(spark, sf_dir))
+
+
+@register("previous_scan", MONTHS + " SELECT * FROM p")
+def previous_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.previous_scan(synthetic.scan_keys(spark, sf_dir)[1]).drop("completed_at")
+
+
+@register(
+    "baseline_status",
+    IDS + FINDINGS + """ SELECT repo, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'known' ELSE 'new' END AS baseline_status, count(*) AS n FROM (SELECT DISTINCT ON (id, rule_id) * FROM v) GROUP BY ALL""",
+)
+def baseline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth identity's findings are accepted; the odd half of them under a date that is over."""
+    own = F.array(F.concat(F.lit("evidence of "), "identity_id"))
+    f = findings_of(spark, sf_dir).withColumn("evidence", own)
+    number = F.substring("identity_id", 2, 20).cast("long")
+    base = B.write_baseline(f.where(number % 5 == 0)).withColumn("review_required", F.lit(False))
+    keyed = f.where(number % 5 == 0).select(B.baseline_key().alias("key"), (number % 2 == 1).alias("over"))
+    base = base.join(keyed.distinct(), "key").withColumn("accepted_until", F.when(F.col("over"), "2020-01-01").otherwise("2999-12-31"))
+    return B.apply_baseline(f, B.active_baseline(base)).groupBy("repo", "baseline_status").agg(F.count("*").alias("n"))
+
+
+@register("gate_status", IDS + FINDINGS + " SELECT repo, CASE WHEN bool_or(severity IN ('high', 'critical')) THEN 2 ELSE 1 END AS gate FROM v GROUP BY repo")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = synthetic.identities(spark, sf_dir)
+    f = R.run_rules(i)
+    return R.gate_status(f.withColumn("baseline_status", F.lit("new")), R.scan_summary(i, f)).drop("scan_id")
+
+
+@register("detection_scorecard", f"SELECT 'planted' AS kind, count(*) AS cases, count(*) AS hit FROM orders WHERE o_orderkey % {N_KINDS} IN (2, 9) UNION ALL SELECT 'placebo', count(*), 0 FROM orders WHERE o_orderkey % {N_KINDS} IN (1, 11)")
+def detection_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = corpus.artifacts(spark, sf_dir)
+    found = D.detect_credential_assignments(a, S.key_table(spark, KEY)).unionByName(D.detect_env_secrets(a, S.key_table(spark, KEY)))
+    kind = F.when(F.col("path").rlike(r"settings\.toml|client\.py"), "planted").when(F.col("path").rlike(r"\.env\.example|notes\.md"), "placebo")
+    labels = a.select(F.col("path").alias("case_id"), "repo", "path", F.lit("nhi_hardcoded_secret").alias("rule_id"), kind.alias("kind")).where("kind IS NOT NULL")
+    return A.detection_scorecard(found.withColumnRenamed("path", "file_path"), labels)
+
+
+@register("sarif_documents")
+def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sarif(findings_of(spark, sf_dir))
+
+
+@register("scan_documents")
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = synthetic.identities(spark, sf_dir)
+    return A.scan_json(i, R.run_rules(i), C.risk_paths(i))
+
+
+@register(
+    "audit_hosts",
+    """WITH h AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS w, s_suppkey % 3 = 0 AS odd FROM supplier)
+SELECT 'nhi_linux_pam_module_world_writable' AS rule_id, count(*) AS n FROM h WHERE w UNION ALL SELECT 'nhi_linux_pam_unknown_module', 2 * count(*) FROM h WHERE odd
+UNION ALL SELECT 'nhi_linux_pam_referenced_module_missing', count(*) FROM h WHERE NOT odd UNION ALL SELECT 'nhi_linux_pam_ssh_credential_theft_indicators', count(*) FROM h WHERE odd""",
+)
+def audit_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("concat('h', cast(s_suppkey AS string)) AS host", "s_suppkey % 2 = 0 AS w", "s_suppkey % 3 = 0 AS odd")
+    module = F.when(F.col("odd"), "pam_steal.so").otherwise("pam_unix.so")
+    lib = s.select("host", F.concat(F.lit("/lib/security/"), module).alias("path"), F.when(F.col("w"), 0o666).otherwise(0o644).alias("mode"), F.when(F.col("odd"), "\x01PAM_AUTHTOK\x02").otherwise("\x01plain text\x02").cast("binary").alias("content"))
+    line = F.when(F.col("odd"), "auth required pam_steal.so\n").otherwise("auth required pam_deny.so\n")
+    conf = s.select("host", F.lit("/etc/pam.d/sshd").alias("path"), F.lit(0o644).alias("mode"), line.cast("binary").alias("content"))
+    return D.audit_hosts(src.host_inventory(lib.unionByName(conf)), S.key_table(spark, KEY)).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@register("full_scan")
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole scan of the derived corpus: the flagship."""
+    return scan(corpus.artifacts(spark, sf_dir), KEY)["scans"]

@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 from idlens.plans.scan import scan
 
 
-def scan_stream(artifacts: DataFrame, sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str, key: bytes, arrived: str = "arrived_at", late: str = "1 hour") -> StreamingQuery:
-    """Scan each micro-batch of new artifacts; the same content at the same path counts once within ``late``."""
+def scan_stream(artifacts: DataFrame, sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str, key: bytes, arrived: str = "arrived_at", late: str = "1 hour", run: Callable[[DataFrame, bytes], dict[str, DataFrame]] = scan) -> StreamingQuery:
+    """``run`` each micro-batch of new artifacts; the same content at the same path counts once within ``late``."""
     fresh = artifacts.withWatermark(arrived, late).dropDuplicatesWithinWatermark(["repo", "path", "content_sha"])
 
     def batch(df: DataFrame, number: int) -> None:
-        sink(scan(df, key), number)
+        sink(run(df, key), number)
 
     return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -230,6 +230,20 @@ REF_LABELS = {
     "LLM08:2025": "Vector and Embedding Weaknesses",
     "LLM09:2025": "Misinformation",
     "LLM10:2025": "Unbounded Consumption",
+    "ASI01": "Agent Goal Hijacking",
+    "ASI02": "Tool Misuse",
+    "ASI03": "Identity and Privilege Abuse",
+    "ASI04": "Agentic Supply Chain Vulnerabilities",
+    "ASI05": "Unexpected Code Execution",
+    "ASI06": "Memory and Context Poisoning",
+    "ASI07": "Insecure Inter-Agent Communication",
+    "ASI08": "Cascading Failures",
+    "ASI09": "Human-Agent Trust Exploitation",
+    "ASI10": "Rogue Agents",
+    "NIST-AML:Evasion": "Evasion",
+    "NIST-AML:Poisoning": "Poisoning",
+    "NIST-AML:Privacy": "Privacy",
+    "NIST-AML:Misuse": "Misuse",
 }
 
 

@@ -82,7 +82,7 @@ def identity_inventory(identities: DataFrame) -> DataFrame:
 
 
 # Where a CODEOWNERS file may stand, best first.
-CODEOWNERS = [".github/codeowners", "codeowners", ".gitlab/codeowners", "docs/codeowners"]
+CODEOWNERS = [".github/codeowners", ".gitlab/codeowners", "docs/codeowners", "codeowners"]
 
 
 def parse_codeowners(artifacts: DataFrame) -> DataFrame:

@@ -12,14 +12,20 @@ from idlens.functions.text import base_name, extension
 
 MAX_BYTES = 2_097_152
 
-# Folders never scanned, and names and endings that are.
-IGNORED_DIRS = """.git .hg .svn node_modules .venv venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build target
-vendor .next .nuxt coverage .tox .idea .vscode-test .terraform .gradle out""".split()
-NAMES = """dockerfile jenkinsfile .npmrc .pypirc .netrc .git-credentials .yarnrc .gitlab-ci.yml .gitlab-ci.yaml codeowners manifest.json
-package.json gradle.properties .cursorrules .windsurfrules .clinerules renovate.json .renovaterc dependabot.yml sshd_config sshd
-common-auth system-auth password-auth login sudo su credentials config agents.md claude.md system_prompt developer_prompt""".split()
-EXTENSIONS = """.env .txt .json .json5 .yaml .yml .toml .ini .cfg .conf .md .mdx .mdc .prompt .ipynb .py .js .ts .tsx .jsx .go .rb .php
-.java .cs .tf .sh .bash .zsh .ps1 .bicep .gradle .properties .dockerfile .pem .key .pkl .pickle .pt .pth .safetensors""".split()
+# Folders never scanned, and names, endings and paths that are.
+IGNORED_DIRS = """.git node_modules venv .venv __pycache__ dist build .next .cache target vendor .tox .mypy_cache .pytest_cache
+.ruff_cache .eggs htmlcov site-packages .svn .hg .parcel-cache .turbo Pods bower_components""".split()
+NAMES = """dockerfile docker-compose.yml docker-compose.yaml package.json requirements.txt pyproject.toml manifest.json .mcp.json
+mcp.json mcp_config.json claude_desktop_config.json cursor_mcp.json agents.yaml agents.yml agents.json crew.py autogen_config.json
+litellm_config.yaml litellm_config.yml model_gateway.yaml model_gateway.yml agents.md agent.md claude.md skill.md .cursorrules
+.windsurfrules copilot-instructions.md azure-pipelines.yml .gitlab-ci.yml cdk.json cdk.context.json pulumi.yaml renovate.json
+renovate.json5 .renovaterc .renovaterc.json .renovaterc.json5 dependabot.yml dependabot.yaml sshd_config sshd common-auth
+system-auth password-auth id_rsa id_dsa id_ecdsa id_ed25519 .pgpass .my.cnf .s3cfg kubeconfig credentials jenkinsfile
+bitbucket-pipelines.yml .clinerules .npmrc .pypirc .netrc gradle.properties .yarnrc .git-credentials""".split()
+EXTENSIONS = """.env .txt .json .yaml .yml .toml .ini .cfg .conf .md .mdx .prompt .ipynb .cursorrules .windsurfrules .pkl .pickle
+.pt .pth .safetensors .py .js .ts .tsx .jsx .go .rb .php .java .cs .tf .bicep .sh .bash .zsh .ps1 .cloud-init .pem .key .ppk .p12
+.pfx .tfvars .properties .xml .mdc""".split()
+CREDENTIAL_PATHS = r"\.cargo/(?:credentials|config)(?:\.toml)?$|\.gradle/(?:init\.gradle|gradle\.properties)$|\.aws/credentials$|\.kube/config$"
 
 
 def normalize_text(content: Column) -> Column:
@@ -45,7 +51,8 @@ def artifacts_from_table(df: DataFrame, repo: Column, path: Column, content: Col
 
 def scan_target_filter(df: DataFrame) -> DataFrame:
     name = base_name()
-    return df.where(name.isin(NAMES) | extension().isin(EXTENSIONS) | name.rlike(r"^\.env|\.tfstate(\.backup)?$|^dockerfile\.|^docker-compose|^pulumi.*\.ya?ml$"))
+    telling = name.rlike(r"^\.env|\.tfstate(\.backup)?$|^dockerfile\.|^pulumi\..*ya?ml$")
+    return df.where(name.isin(NAMES) | extension().isin(EXTENSIONS) | telling | F.lower(F.regexp_replace("path", r"\\", "/")).rlike(CREDENTIAL_PATHS))
 
 
 def prune_dirs(df: DataFrame) -> DataFrame:

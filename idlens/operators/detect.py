@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idlens.functions import secrets as S
@@ -134,9 +134,15 @@ def _finish(rows: DataFrame, specs: list[Spec], keys: DataFrame, family: str) ->
 
 def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, family: str) -> DataFrame:
     """Line specs of a family in one pass. ``block`` specs see lines with their block flags and go in passes of their own."""
-    gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(s.path) & F.col("content").rlike(f"(?m){s.match}") for s in specs))
+    by_path: dict[str, list[str]] = {}
+    for s in specs:
+        by_path.setdefault(s.path, []).append(f"(?:{s.match})")
+    gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(p) & F.col("content").rlike("(?m)" + "|".join(m)) for p, m in by_path.items()))
     rows = file_columns(artifacts).where(gate)
-    flags = [_file_gate(s).alias(f"g{i}") for i, s in enumerate(specs)]
+    # specs with equal conditions on the file share a flag
+    gates = {(s.path, s.also, s.unless): s for s in specs}
+    flag = {key: f"g{i}" for i, key in enumerate(gates)}
+    flags = [_file_gate(s).alias(flag[key]) for key, s in gates.items()]
     lines = rows.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], "content", *flags)
     lines = X.explode_lines(lines, keep=[c for c in lines.columns if c != "content"])
     if block := specs[0].block:
@@ -144,7 +150,7 @@ def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, famil
     comment = F.col("line").rlike(r"^\s*(?:#|//)")
 
     def hit(i: int, s: Spec) -> Column:
-        ok = F.col(f"g{i}") & F.col("line").rlike(s.match)
+        ok = F.col(flag[s.path, s.also, s.unless]) & F.col("line").rlike(s.match)
         if s.skip:
             ok = ok & ~F.col("line").rlike(s.skip)
         if not s.comments:
@@ -156,8 +162,8 @@ def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, famil
     opened = found.select(*[c for c in found.columns if c in (*X.FILE, *HISTORY, "line_no", "line")], F.inline_outer("m")).where("spec IS NOT NULL")
     if any(s.once for s in specs):
         once = [i for i, s in enumerate(specs) if s.once]
-        first = opened.where(F.col("spec").isin(once)).groupBy(*X.FILE, "spec").agg(F.min("line_no").alias("first_line"))
-        opened = opened.join(first, [*X.FILE, "spec"], "left").where(F.col("first_line").isNull() | (F.col("line_no") == F.col("first_line"))).drop("first_line")
+        first = F.min("line_no").over(Window.partitionBy(*X.FILE, "spec"))
+        opened = opened.withColumn("first_line", first).where(~F.col("spec").isin(once) | (F.col("line_no") == F.col("first_line"))).drop("first_line")
     return _finish(opened, specs, keys, family)
 
 
@@ -339,8 +345,6 @@ def detect_nested_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
 def detect_windowed(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     """What needs earlier lines: Kubernetes env values by their name, Bicep parameters without ``@secure()``,
     passwords of pypirc sections and netrc machines."""
-    from pyspark.sql import Window
-
     rows = file_columns(artifacts)
     in_file = Window.partitionBy(*X.FILE).orderBy("line_no")
     before = in_file.rowsBetween(Window.unboundedPreceding, 0)

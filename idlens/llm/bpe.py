@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from idlens.llm.common import text_batches
 
 #: Distinct words a worker remembers before it starts afresh; bounds its memory.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 # Fixed values of the vocabulary file's pre-tokenizer: contractions, letters, single numbers, other signs.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

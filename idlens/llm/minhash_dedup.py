@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_blocks(batches, text, 1_500_000):
+        for batch, texts in text_blocks(batches, text, 500_000):
             sets = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -142,7 +142,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
     rows = docs.select("doc_id", F.col(text).alias("text")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_blocks(batches, "text", 1_500_000):
+        for batch, texts in text_blocks(batches, "text", 500_000):
             found = [(d, s.tobytes()) for d, s in zip(batch.column("digest").to_pylist(), shingle_sets(texts)) if _digest(s) == d]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["digest", "hashes"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 from idlens.functions.secrets import key_table
@@ -17,10 +19,18 @@ def identities_of(signals: DataFrame, artifacts: DataFrame | None = None, surfac
     return base.unionByName(dedupe_identities(correlate(base, artifacts, surface)))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: later stages start from rows, not from the detectors' plans."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="idlens-"))
+    return df.checkpoint()
+
+
 def scan(artifacts: DataFrame, key: bytes | None = None, custom: list[dict] | None = None, blame: DataFrame | None = None, codeowners: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a scan, lazily: signals, identities, findings, risk_paths, scans."""
-    signals = detect_all(artifacts, key_table(artifacts.sparkSession, key), custom)
-    identities = identities_of(signals, artifacts)
+    """The tables of a scan: signals, identities, findings, risk_paths, scans. The first two are computed here."""
+    signals = settled(detect_all(artifacts, key_table(artifacts.sparkSession, key), custom))
+    identities = settled(identities_of(signals, artifacts))
     if blame is not None and codeowners is not None:
         identities = enrich_owners(identities, blame, codeowners)
     findings = run_rules(identities, custom)

@@ -90,7 +90,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     want = mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), copies.alias("_copies")).where("_copies > 0")
     want = want.groupBy("_id").agg(F.max("_copies").alias("_copies"))
     joined = docs.join(want, docs.doc_id == want._id)
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), want._copies)).alias("_copy")).drop("_copy")
+    extra = "_copy" + "_".join(docs.columns)  # a name that no column has
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), want._copies)).alias(extra)).drop(extra)
 
 
 ORACLE = r"""

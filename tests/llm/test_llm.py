@@ -27,7 +27,7 @@ def docs(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
     more = spark.createDataFrame(EXTRA, base.schema)
     # names that operators use inside must not clash
-    return base.union(more).withColumn("features", F.lit(1)).withColumn("gone", F.lit("g")).withColumn("copies", F.lit(2)).withColumn("digest", F.lit("d")).cache()
+    return base.union(more).withColumn("features", F.lit(1)).withColumn("gone", F.lit("g")).withColumn("copies", F.lit(2)).withColumn("digest", F.lit("d")).withColumn("_copy", F.lit("c")).cache()
 
 
 @pytest.fixture(scope="module")
@@ -228,3 +228,15 @@ def test_pipeline_keeps_clean_and_drops_copies(spark):
         out = stage(spark, out, SF)
         assert out.columns == d.columns, name
     assert 0 < out.count() <= d.count()
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Rows without an id come back once each, beside repeats of a text."""
+    rows = [(None, None, None, None), (None, "same text of five words", None, "a"), (None, "same text of five words", "en", None), (1, "same text of five words", "en", "a"), (2, "", "en", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for made in (bpe.digest(d, tokenizer_path()), token_files.digest(d, tokenizer_path()), minhash_dedup.components(d), mixing.mix(d), line_dedup.digest(d), pii.digest(d), language.identify(d)):
+        assert sorted(r.doc_id or 0 for r in made.collect()) == [0, 0, 0, 1, 2]
+    assert {r.component_id for r in minhash_dedup.components(d).where("n_shingles = 1").collect()} == {1}
+    e = spark.createDataFrame([(None, [1.0, 2.0], 1), (None, None, None), (50, [1.0, 2.0], 1), (51, [], 1), (52, [1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(r.vec_id or 0 for r in embedding_dedup.links(e).collect()) == [0, 0, 50, 51, 52]
+    assert all(r.vec_id is not None for r in ann.neighbours(e).collect())

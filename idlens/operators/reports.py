@@ -55,13 +55,13 @@ def sarif(findings: DataFrame) -> DataFrame:
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     uri = F.regexp_replace(F.regexp_replace("file_path", r"\\", "/"), "^/+", "")
     result = F.struct(
-        "rule_id",
+        F.col("rule_id").alias("ruleId"),
         level.alias("level"),
         F.struct(F.col("title").alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.lit(1), F.coalesce("line_number", F.lit(1))).alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"),
         F.struct(F.col("id").alias("findingId")).alias("partialFingerprints"),
     )
-    rule = F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), F.format_string("%.1f", F.col("risk_score") / 10).alias("securitySeverity"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct(F.format_string("%.1f", F.col("risk_score") / 10).alias("security-severity")).alias("properties"))
     rules = findings.groupBy(*SCAN, "rule_id").agg(F.min_by(rule, "id").alias("r")).groupBy(*SCAN).agg(F.array_sort(F.collect_list("r")).alias("rules"))
     results = findings.groupBy(*SCAN).agg(F.array_sort(F.collect_list(result)).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("idlens").alias("name"), "rules").alias("driver")).alias("tool"), "results")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idlens.functions import secrets as S
 from idlens.functions import text as X
@@ -23,6 +24,7 @@ from idlens.operators import rules as R
 from idlens.plans import corpus, synthetic
 from idlens.plans.scan import scan
 from idlens.sources import artifacts as src
+from idlens.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,6 +390,119 @@ def audit_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.audit_hosts(src.host_inventory(lib.unionByName(conf)), S.key_table(spark, KEY)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+AGENT_RULE = "nhi_ai_agent_shell_access"
+
+
+@register("ai_ref_counts", IDS.rstrip(", ") + f" SELECT ref, count(*) AS n FROM (SELECT unnest(ai) AS ref FROM b JOIN {CATALOG_SQL} ON k.rule_id = '{AGENT_RULE}' WHERE kind = 0) GROUP BY ref")
+def ai_ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of agents that carry one more tag."""
+    i = synthetic.identities(spark, sf_dir)
+    tags = F.when(F.col("identity_type") == "ai_agent", F.array_append("tags", F.lit(AGENT_RULE))).otherwise(F.col("tags"))
+    return A.ai_ref_counts(R.run_rules(i.withColumn("tags", tags)))
+
+
+@register("sarif_results", IDS + FINDINGS + " SELECT repo, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM v GROUP BY ALL")
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SARIF documents say, read back from their JSON."""
+    kind = "runs array<struct<results: array<struct<ruleId: string, level: string>>>>"
+    read = A.sarif(findings_of(spark, sf_dir)).select("repo", F.explode(F.from_json("sarif", kind)["runs"][0]["results"]).alias("r"))
+    return read.groupBy("repo", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level")).agg(F.count("*").alias("n"))
+
+
+@register(
+    "enriched_owners",
+    IDS.rstrip(", ") + """ SELECT id, CASE WHEN owner IS NULL AND commit_sha IS NULL THEN
+    concat_ws('; ', CASE WHEN line_number % 2 = 0 THEN 'u' || line_number || '@example.org (last modified ' || strftime(make_timestamp((1705276800 + line_number % 10 * 2678400)::BIGINT * 1000000), '%Y-%m') || ')' END,
+      CASE WHEN file_path LIKE 'f/1%.env' THEN '@ones' ELSE '@all' END || ' via CODEOWNERS') ELSE owner END AS owner FROM b""",
+)
+def enriched_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners by last author of the line and by code owners; dates lie in the middle of months."""
+    i = synthetic.identities(spark, sf_dir)
+    blame = i.where("line_number % 2 = 0").selectExpr("repo", "file_path AS path", "line_number AS line", "concat('u', line_number, '@example.org') AS email", "1705276800L + line_number % 10 * 2678400L AS ts").distinct()
+    owners = F.inline(F.array(*(F.struct(F.lit(n).alias("ord"), F.lit(g).alias("pattern"), F.lit(o).alias("owners")) for n, g, o in ((1, "*", "@all"), (2, "/f/1*.env", "@ones")))))
+    return I.enrich_owners(i, blame, i.select("repo").distinct().select("repo", owners)).select("id", "owner")
+
+
+@register("custom_structural", IDS.rstrip(", ") + " SELECT id, 'shell_secret' AS rule_id FROM b WHERE has_secret AND kind IN (0, 1) UNION ALL SELECT id, 'admin_by_name' FROM b WHERE admin_access AND name LIKE '%n1%'")
+def custom_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = """{"rules": [{"id": "shell_secret", "type": "structural", "severity": "high", "when": {"has_secret": true, "tools_contains_any": ["SHELL"]}},
+      {"id": "admin_by_name", "type": "structural", "severity": "low", "when": {"admin_access": true, "identity_name_contains": "N1"}}, {"id": "empty", "type": "structural", "severity": "low", "when": {}}]}"""
+    return R.custom_structural(synthetic.identities(spark, sf_dir), src.load_rule_pack(pack)).select("id", "rule_id")
+
+
+@register("deduped_signals", planted_sql("env"))
+def deduped_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal twice; one stays."""
+    found = D.detect_env_secrets(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY))
+    return by_rule(I.dedupe_signals(found.unionByName(found)))
+
+
+@register("deduped_identities", IDS.rstrip(", ") + " SELECT id, 'last' AS name, file_path AS first_path FROM b")
+def deduped_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each identity again at a later place under another name: the last content at the first position."""
+    i = synthetic.identities(spark, sf_dir)
+    later = i.withColumn("name", F.lit("last")).withColumn("ord", F.col("ord").withField("path", F.concat(F.lit("z"), F.col("ord.path"))))
+    return I.dedupe_identities(i.unionByName(later)).select("id", "name", F.col("ord.path").alias("first_path"))
+
+
+@register(
+    "normalized_fields",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'x|' || o_orderpriority ELSE 'a|' || o_orderpriority || '|b' END AS items, o_orderkey % 5 IN (0, 2) AS flag,
+    CASE o_orderkey % 5 WHEN 0 THEN 'ai_agent' WHEN 1 THEN 'ci_runner' WHEN 2 THEN 'odd_thing' ELSE 'non_human_identity' END AS kind FROM orders""",
+)
+def normalized_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, booleans and identity types as signals write them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    items = F.when(k % 2 == 0, F.concat(F.lit('["x", " '), p, F.lit('", "x"]'))).otherwise(F.concat(F.lit("a, "), p, F.lit("; 'b',a")))
+    pick = lambda *w: F.element_at(F.array(*map(F.lit, w)), (k % 5 + 1).cast("int"))
+    return orders.select(
+        "o_orderkey", F.array_join(I.normalize_string_list(items), "|").alias("items"), I.normalize_bool(pick("Yes", "off", "2", "maybe", None)).alias("flag"),
+        I.canonical_identity_type(pick("AI-Agent", "ci/runner", "Odd  thing!", "", None)).alias("kind"),
+    )
+
+
+@register("redacted_text", "SELECT o_orderkey, false AS leaks, true AS keeps FROM orders")
+def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No secret is left in a redacted text, and what stands around it stays."""
+    k = F.col("o_orderkey")
+    h = F.concat(F.lit("a1"), F.md5(k.cast("string").cast("binary")))
+    shapes = F.array(F.concat(F.lit("user api_key="), h), F.concat(F.lit("user Authorization: Bearer "), h), F.concat(F.lit("user postgres://u:"), h, F.lit("@h/db")), F.concat(F.lit("user saw "), h, F.lit(" here")))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", h.alias("h"), F.element_at(shapes, (k % 4 + 1).cast("int")).alias("t"))
+    return S.redact_text(orders, "t", "r").select("o_orderkey", F.contains("r", "h").alias("leaks"), F.startswith("r", F.lit("user ")).alias("keeps"))
+
+
+@register("tolerant_rows", "SELECT event_id % 3 = 0 AS skipped, count(*) AS n, count(CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END) AS n_k FROM events GROUP BY ALL")
+def tolerant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row lacks the required key."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("""CASE WHEN event_id % 3 = 0 THEN '{"other": 1}' ELSE props END""").alias("row"))
+    read = store.read_store_tolerant(events, "row", T.StructType([T.StructField("k", T.StringType()), T.StructField("new", T.StringType())]), ["k"])
+    return read.groupBy("skipped").agg(F.count("*").alias("n"), F.count("k").alias("n_k"))
+
+
+@register(
+    "block_lines",
+    f"""SELECT o_orderkey, 2 AS line_no, '' AS key FROM orders WHERE o_orderkey % {N_KINDS} = 5 UNION ALL SELECT o_orderkey, 2, 'db.password' FROM orders WHERE o_orderkey % {N_KINDS} = 2
+    UNION ALL SELECT o_orderkey, 3, 'db.host' FROM orders WHERE o_orderkey % {N_KINDS} = 2""",
+)
+def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines inside a `variables:` block, and pairs under their section."""
+    a = corpus.artifacts(spark, sf_dir)
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("o_orderkey")
+    inside = X.in_block(X.explode_lines(a.where(F.col("path").endswith(".gitlab-ci.yml"))), r"^variables:").where("inside")
+    pairs = X.toml_section_pairs(a.where(F.col("path").endswith(".toml")))
+    return inside.select(number, "line_no", F.lit("").alias("key")).unionByName(pairs.select(number, "line_no", "key"))
+
+
+@register("printable_runs", "SELECT s_suppkey, s_name AS runs, 3 AS key_line, 2 AS offset_line FROM supplier")
+def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printable runs of a binary, and lines of a key and of an offset."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    text = F.concat(F.lit("a\nb\nkey = "), "s_name")
+    runs = X.bounded_strings(F.concat(F.lit("\x01abc\x02"), "s_name", F.lit("\x00")).cast("binary"))
+    return s.select("s_suppkey", F.array_join(runs, "|").alias("runs"), X.line_for_key_value(text, F.lit("x.key"), F.col("s_name")).alias("key_line"), X.line_at_offset(text, F.instr(text, "b")).alias("offset_line"))
+
+
 @register("full_scan")
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole scan of the derived corpus: the flagship."""

@@ -79,3 +79,17 @@ def test_in_block(spark):
     df = spark.createDataFrame([("s", "r", "p", text)], "scan_id string, repo string, path string, content string")
     rows = X.in_block(X.explode_lines(df), r"^\s*(?:-\s+)?run\s*:").where("inside AND trim(line) <> ''").collect()
     assert sorted(r.line.strip() for r in rows) == ["one", "two"]
+
+
+def test_sarif_keys(spark):
+    import json
+
+    from idlens.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    run = json.loads(QUERIES["sarif_documents"](spark, SF).first().sarif)["runs"][0]
+    rule, result = run["tool"]["driver"]["rules"][0], run["results"][0]
+    assert rule["properties"]["security-severity"] and rule["shortDescription"]["text"]
+    assert result["level"] in ("error", "warning", "note") and result["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1
+    assert {r["ruleId"] for r in run["results"]} == {r["id"] for r in run["tool"]["driver"]["rules"]}

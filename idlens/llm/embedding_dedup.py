@@ -2,13 +2,15 @@
 
 1. Equal vectors of one label form a class; only classes are compared.
 2. Random hyperplanes part each label's classes into leaves, in several tables; within a leaf every class meets
-   every other and keeps its nearest in a list. More classes in a label mean deeper leaves and more tables.
+   every other and keeps its nearest in a list. What a cut list leaves out cannot part a component: each leaf also
+   gives links that join all its classes at the threshold. More classes in a label mean deeper leaves and more tables.
 3. Descent: the members of each list meet one another (neighbours of neighbours), and better ones enter the lists,
    until a round brings no new link.
 4. Lists full of links are saturated: they are enlarged to the whole component, compared block by block, so
    links are counted exactly there and not listed.
-5. Audit: the links of a bounded sample are counted against all rows; below the wanted recall the search is
-   repeated with twice the tables.
+5. Audit: the links of bounded samples of saturated, linked and unlinked classes are counted against all rows; below
+   the wanted recall in any of them the search is repeated with twice the tables, and at last with each label as one
+   leaf, which compares all.
 """
 
 from __future__ import annotations
@@ -96,15 +98,37 @@ def cosines(pdf: pd.DataFrame) -> np.ndarray:
     return s
 
 
-def nearest(rep: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-    """The edges that stand in a list of ``LIST`` at one of their ends."""
+def joining(s: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that span the components of ``s`` at the threshold: one fewer than a component has members."""
+    near = s >= threshold
+    free = near.any(axis=1)
+    i: list[int] = []
+    j: list[int] = []
+    for start in np.flatnonzero(free):
+        if not free[start]:
+            continue
+        free[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & free)
+            free[new] = False
+            i += [at] * len(new)
+            j += new.tolist()
+            todo += new.tolist()
+    return i, j
+
+
+def nearest(rep: np.ndarray, s: np.ndarray, threshold: float) -> pd.DataFrame:
+    """The edges that stand in a list of ``LIST`` at one of their ends, and those that join at the threshold."""
     k = min(LIST, len(rep) - 1)
     if k < 1:
         return pd.DataFrame({"a": [], "b": [], "sim": []})
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     i, j = np.repeat(np.arange(len(rep)), k), top.ravel()
     keep = s[i, j] >= EXPLORE
-    i, j = i[keep], j[keep]
+    more = joining(s, threshold)
+    i, j = np.append(i[keep], more[0]).astype(int), np.append(j[keep], more[1]).astype(int)
     a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
     return pd.DataFrame({"a": a, "b": b, "sim": s[i, j]}).drop_duplicates(["a", "b"])
 
@@ -112,19 +136,20 @@ def nearest(rep: np.ndarray, s: np.ndarray) -> pd.DataFrame:
 EDGES = "a long, b long, sim double"
 
 
-def first_lists(nodes: DataFrame, effort: int) -> DataFrame:
+def first_lists(nodes: DataFrame, threshold: float, effort: int | None) -> DataFrame:
+    """Edges of all leaves; without an ``effort`` each label is one leaf."""
     keys = ["label", "dim", "place", "leaf"]
-    rows = leaves(nodes, effort)
+    rows = leaves(nodes, effort) if effort else nodes.select("label", "dim", "rep", "v", F.lit(0).alias("place"), F.lit(0).alias("leaf"))
     large = rows.groupBy(*keys).agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
     groups = in_blocks(rows, keys, large).groupBy(*keys, "i", "j")
-    return groups.applyInPandas(lambda pdf: nearest(pdf["rep"].to_numpy(), cosines(pdf)), EDGES).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return groups.applyInPandas(lambda pdf: nearest(pdf["rep"].to_numpy(), cosines(pdf), threshold), EDGES).groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "sim").union(edges.select("b", "a", "sim"))
 
 
-def descend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def descend(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """One round: edges and those that the members of each list make with one another."""
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     lists = both_ways(edges).withColumn("r", F.row_number().over(order)).where(F.col("r") <= LIST)
@@ -134,20 +159,23 @@ def descend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         m = unit(pdf["v"])
         s = m @ m.T
         np.fill_diagonal(s, -2)
-        return nearest(pdf["rep"].to_numpy(), s)
+        return nearest(pdf["rep"].to_numpy(), s, threshold)
 
     found = local.groupBy("centre").applyInPandas(meet, EDGES)
     return edges.union(found).groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def search(nodes: DataFrame, threshold: float, effort: int) -> DataFrame:
-    """(rep, comp, links): each linked class's component and how many vectors of other classes it links with."""
-    edges = materialize(first_lists(nodes, effort), "edges")
+def search(nodes: DataFrame, threshold: float, effort: int | None) -> DataFrame:
+    """(rep, comp, links): each linked class's component and how many vectors of other classes it links with.
+
+    Without an ``effort`` all classes of a label are compared, block by block.
+    """
+    edges = materialize(first_lists(nodes, threshold, effort), "edges")
     links = edges.where(F.col("sim") >= threshold).count()
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if effort else 0):
         if not links:
             break
-        edges = materialize(descend(nodes, edges), "edges")
+        edges = materialize(descend(nodes, edges, threshold), "edges")
         was, links = links, edges.where(F.col("sim") >= threshold).count()
         if links == was:
             break
@@ -164,8 +192,13 @@ def search(nodes: DataFrame, threshold: float, effort: int) -> DataFrame:
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the true links of at most ``AUDIT_ROWS`` classes that were found; the truth is counted over all rows."""
-    sample = nodes.orderBy(F.xxhash64("rep")).limit(AUDIT_ROWS).select("rep", "label", "dim", "v").toPandas()
+    """Least share of the true links that was found for at most ``AUDIT_ROWS`` classes each of those with a full list
+    of links, with fewer and with none; the truth is counted over all rows."""
+    kind = F.when(F.col("links") >= LIST, 2).when(F.col("links") > 0, 1).otherwise(0)
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("rep"))
+    drawn = nodes.join(found, "rep", "left").withColumn("kind", kind).select("rep", "kind").withColumn("r", F.row_number().over(order)).where(F.col("r") <= AUDIT_ROWS)
+    drawn = materialize(drawn.select("rep", "kind"), "drawn")
+    sample = nodes.join(F.broadcast(drawn), "rep").select("rep", "label", "dim", "v").toPandas()
     if not len(sample):
         return 1.0
 
@@ -179,8 +212,9 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
                     yield pd.DataFrame({"rep": own["rep"], "true": (s >= threshold) @ part["mult"].to_numpy(np.int64)})
 
     true = nodes.mapInPandas(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    row = true.join(found, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return 1.0 if not row.t else row.f / row.t
+    both = true.join(drawn, "rep").join(found, "rep", "left")
+    rows = both.groupBy("kind").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).collect()
+    return min((r.f / r.t for r in rows if r.t), default=1.0)
 
 
 def links(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,9 +224,9 @@ def links(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lengths never meet. Repeated rows link with each other. An empty table gives no rows.
     """
     nodes = materialize(classes(df), "nodes")
-    for effort in (1, 2, 4):
+    for effort in (1, 2, 4, None):
         found = search(nodes, threshold, effort)
-        if audit(nodes, found, threshold) >= RECALL:
+        if effort is None or audit(nodes, found, threshold) >= RECALL:
             break
     labelled = nodes.join(found, "rep", "left").select("label", "v", "mult", F.coalesce("comp", "rep").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
     good = usable("embedding") & F.col("vec_id").isNotNull()

@@ -155,6 +155,28 @@ def test_embedding_links(spark):
     assert embedding_dedup.links(df.limit(0)).count() == 0
 
 
+def two_groups(pairs, size):
+    """Pairs of tight groups of one label, each larger than a list, whose cosines across are about 0.945."""
+    rnd = np.random.default_rng(5)
+    out = []
+    for _ in range(pairs):
+        a, b = np.linalg.qr(rnd.standard_normal((24, 2)))[0].T
+        for centre in (a, 0.945 * a + np.sqrt(1 - 0.945**2) * b):
+            out += [centre + rnd.standard_normal(24) * 0.001 for _ in range(size)]
+    return np.array(out)
+
+
+@pytest.mark.parametrize("pairs, audited", [(1, True), (30, True), (30, False)])
+def test_embedding_links_between_tight_groups(spark, monkeypatch, pairs, audited):
+    """Full lists hold their own group only; links across still join and count, in one leaf, in many, and after a failed audit."""
+    if not audited:
+        monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.0)
+    vecs = two_groups(pairs, 15)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.links(df).collect()}
+    assert all(got[i].n_links == 29 and got[i].component_id == i // 30 * 30 and got[i].kept == (i % 30 == 0) for i in range(len(vecs)))
+
+
 def test_neighbours(spark):
     rows, df = vectors(spark)
     good = [(i, np.array(v, np.float64)) for i, v, y in rows if v and None not in v and np.isfinite(v).all() and any(v)]

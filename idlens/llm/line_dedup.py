@@ -4,6 +4,10 @@ Native: DataFrame functions only. Every three consecutive lines of a document ar
 than once anywhere have a first occurrence, the smallest (doc_id, place); the lines of every later one go, and
 the covered places of a document are merged before its text is put together again. The first occurrence of a
 line is never covered by a later window, so every distinct line survives somewhere.
+
+Each row without a doc_id is a document of its own, after all that have one: it loses its later occurrences and
+takes nothing from rows with ids. ``ORACLE`` joins by doc_id and so leaves rows without one as they are; it agrees
+on all others.
 """
 
 from __future__ import annotations
@@ -16,34 +20,46 @@ from idlens.llm.common import materialize
 LINES = 3
 
 
+#: Names a row without a doc_id; empty where there is one. Sorts rows without ids last.
+ROW = "_line_dedup_row"
+DOC = [ROW, "doc_id"]
+
+
+def name_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``ROW``: hash of the text and a number. Rows without ids are written once, so their numbers stay."""
+    number = F.concat_ws("-", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    nameless = materialize(docs.where(F.col("doc_id").isNull()).withColumn(ROW, number), "nameless")
+    return docs.where(F.col("doc_id").isNotNull()).withColumn(ROW, F.lit("")).union(nameless)
+
+
 def windows(docs: DataFrame, text: str = "text", lines: int = LINES) -> DataFrame:
-    """(doc_id, at, h1, h2): place and 128-bit hash of each window; texts of fewer lines have none.
+    """(row, doc_id, at, h1, h2): place and 128-bit hash of each window; texts of fewer lines have none.
 
     Windows of blank lines only do not count. Lines compare exactly, as LF ends them.
     """
-    parts = docs.select("doc_id", F.split(text, "\n").alias("l")).where(F.size("l") >= lines)
+    parts = docs.select(*DOC, F.split(text, "\n").alias("l")).where(F.size("l") >= lines)
 
     def window(i):
         piece = F.slice("l", i, lines)
         joined = F.array_join(piece, "\n")
         return F.struct(i.alias("at"), F.xxhash64(joined).alias("h1"), F.xxhash64(joined, F.lit(1)).alias("h2"), (F.trim(F.regexp_replace(joined, r"\s+", "")) == "").alias("blank"))
 
-    made = parts.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - lines + 1), window)).alias("w"))
-    return made.select("doc_id", "w.at", "w.h1", "w.h2").where("NOT w.blank")
+    made = parts.select(*DOC, F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - lines + 1), window)).alias("w"))
+    return made.select(*DOC, "w.at", "w.h1", "w.h2").where("NOT w.blank")
 
 
 def covered_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> DataFrame:
-    """(doc_id, gone): the 1-based places of a document's lines that later occurrences cover, merged.
+    """(row, doc_id, gone): the 1-based places of a document's lines that later occurrences cover, merged.
 
     First occurrences are found by a partial aggregate, so a window in every document costs a row a task; a
     document's list is bounded by its own lines.
     """
     found = materialize(windows(docs, text, lines), "windows")
-    here = F.struct("doc_id", "at")
+    here = F.struct(*DOC, "at")
     repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(repeated, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    later = found.join(repeated, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
     places = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + lines - 1)))))
-    return later.groupBy("doc_id").agg(places.alias("gone"))
+    return later.groupBy(*DOC).agg(places.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> DataFrame:
@@ -53,12 +69,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> Data
     input columns of the two added names.
     Rows that share a doc_id share the places found for it.
     """
-    gone = covered_lines(docs, text, lines).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
-    rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id == gone._gone_id, "left")
+    columns = docs.columns
+    docs = name_rows(docs, text)
+    gone = covered_lines(docs, text, lines).select(F.col(ROW).alias("_gone_row"), F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id.eqNullSafe(gone._gone_id) & (docs[ROW] == gone._gone_row), "left")
     split = F.split(docs[text], "\n")
     left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i + 1))
     return rows.select(
-        *(F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")),
+        *(F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in columns if c not in ("n_lines", "n_removed")),
         F.coalesce(F.when(docs[text].isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

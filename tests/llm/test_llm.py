@@ -222,6 +222,14 @@ def test_line_dedup(docs):
     assert {x for x in lines if x} <= left  # every distinct line survives somewhere
 
 
+def test_line_dedup_without_ids(spark):
+    """A row without an id stops no cut elsewhere, is cut itself as a later occurrence, and shares no places with others."""
+    head = "licence a\nlicence b\nlicence c\n"
+    rows = [(None, head + "x"), (7, head + "one"), (8, head + "two"), (None, "y\n" + head + "z"), (None, "p\nq\nr"), (None, "p\nq\nr"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in got) == [(0, "", 0), (0, "", 3), (0, "p\nq\nr", 0), (0, "x", 3), (0, "y\nz", 3), (7, head + "one", 0), (8, "two", 3)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -93,10 +93,18 @@ def toml_section_pairs(df: DataFrame) -> DataFrame:
     return pairs.select(*FILE, "line_no", F.concat_ws(".", "section", key).alias("key"), value.alias("value"))
 
 
-def flatten_json(content: Column, depth: int = 7) -> Column:
+def json_depth(content: Column) -> Column:
+    """How many containers of a JSON text stand in one another at most: the highest count of open brackets outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(content, r"(?s)\\.", ""), '"[^"]*"', "")
+    steps = F.transform(F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda a, x: F.struct((a["open"] + x).alias("open"), F.greatest(a["most"], a["open"] + x).alias("most")), lambda a: a["most"])
+
+
+def flatten_json(content: Column) -> Column:
     """array<struct<key,value>> of a JSON text's leaves, keys as ``a.b[0].c``; null if it does not parse.
 
-    Containers are opened level by level inside one projection, down to ``depth``; deeper ones stay JSON text.
+    Containers are opened level by level inside one projection, as many levels as the text has.
     """
     node = "array<struct<key:string,v:variant>>"
     level = F.array(F.struct(F.lit("").alias("key"), F.try_parse_json(content).alias("v"))).cast(node)
@@ -113,8 +121,8 @@ def flatten_json(content: Column, depth: int = 7) -> Column:
         opened = F.when(is_kind(x["v"], "OBJECT"), as_fields.cast(node)).when(is_kind(x["v"], "ARRAY"), as_items.cast(node))
         return F.coalesce(opened, F.array(x).cast(node))
 
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, open_))
+    parsed = F.when(F.try_parse_json(content).isNotNull(), content)
+    level = F.aggregate(F.array_repeat(F.lit(0), json_depth(parsed)), level, lambda a, _: F.flatten(F.transform(a, open_)).cast(node))
     leaves = F.transform(level, lambda x: F.struct(x["key"].alias("key"), F.coalesce(F.try_variant_get(x["v"], "$", "string"), F.to_json(x["v"])).alias("value")))
     return F.when(F.try_parse_json(content).isNotNull(), leaves)
 

@@ -67,6 +67,15 @@ def test_flatten_json(spark):
     assert {(p["key"], p["value"]) for p in got[0]["flat"]} >= {("a.b[0]", "1"), ("a.b[1].c", "x")} and got[1]["flat"] is None
 
 
+def test_flatten_json_opens_every_level(spark):
+    deep = '{"a": ' * 11 + '[{"password": "x", "s": "[[{\\"}"}]' + "}" * 11
+    very = "[" * 300 + "7" + "]" * 300
+    got = ask(spark, [deep, very, "3", "{}", None, '{"a": [[], {}]}'], flat=X.flatten_json)
+    flat = [r["flat"] and sorted((p["key"], p["value"]) for p in r["flat"]) for r in got]
+    at = ".".join("a" * 11) + "[0]."
+    assert flat == [[(at + "password", "x"), (at + "s", '[[{"}')], [("[0]" * 300, "7")], [("", "3")], [], None, []]
+
+
 def test_pairs(spark):
     got = ask(spark, ["[db]\npassword = \"x # y\" # c\nurl: z ; c\n# no=1"], kv=X.kv_pairs)
     assert [(p["key"], p["value"], p["line_no"]) for p in got[0]["kv"]] == [("password", "x # y", 2), ("url", "z", 3)]

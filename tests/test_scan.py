@@ -70,6 +70,15 @@ def test_documents_and_state(spark):
     assert [(r.rule_id[4:], r.provider) for r in D.detect_nested_secrets(a, keys).collect()] == [("terraform_state_plaintext_secret", "aws")]
 
 
+def test_deep_state_secrets(spark):
+    """A secret at level 12 of a Terraform state, below its resource's type."""
+    value = {"client_secret": HEX}
+    for k in range(7):
+        value = {f"k{k}": value}
+    a = art(spark, ("t/a.tfstate", json.dumps({"resources": [{"type": "google_container_cluster", "instances": [{"attributes": value}]}]})))
+    assert [(r.rule_id[4:], r.provider, r.name.count(".")) for r in D.detect_nested_secrets(a, S.key_table(spark, b"k")).collect()] == [("terraform_state_plaintext_secret", "google", 10)]
+
+
 def test_ignore_rules(spark):
     a = art(spark, ("a/b.md", "x"), ("keep.md", "x"), ("build/deep/x.py", "x"), ("src/build.py", "x"), ("a/q/z.tf", "x"))
     rules = spark.createDataFrame([("r1", 1, "*.md"), ("r1", 2, "!keep.md"), ("r1", 3, "build/"), ("r1", 4, "a/**/z.tf")], "repo string, ord int, pattern string")

@@ -326,15 +326,20 @@ def detect_credential_assignments(artifacts: DataFrame, keys: DataFrame) -> Data
     return make_signal(rows, keys, rule, F.concat("key", F.lit(": "), value), value, detector="config", name=F.col("key"), identity_type=kind, source=F.lit("generic config"), provider=provider, tags=tags)
 
 
+# Names of state attributes that hold secrets, beside those of any secret.
+STATE_NAME = rf"{SECRET_NAME}|access_key|auth_key|ssh_key|tls_key|certificate_pem"
+
+
 def detect_nested_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     """JSON kinds: CDK context and Terraform state secrets; a state secret's provider is its resource type's."""
     rows = file_columns(artifacts).where(F.col("low_path").rlike(r"(?:^|/)cdk(?:\.context)?\.json$|\.tfstate(?:\.backup)?$"))
     flat = rows.select(*X.FILE, "content", F.col("low_path").endswith(".json").alias("cdk"), X.flatten_json(F.col("content")).alias("pairs"))
     types = F.filter("pairs", lambda p: p["key"].endswith(".type"))
     rows = flat.select(*X.FILE, "content", "cdk", types.alias("types"), F.inline_outer("pairs")).where("key IS NOT NULL")
-    rows = rows.where(F.lower(F.regexp_extract("key", r"([^.]*)$", 1)).rlike(SECRET_NAME) & S.looks_like_secret(F.col("value")))
+    last = F.lower(F.regexp_extract("key", r"([^.]*)$", 1))
+    rows = rows.where(F.when(F.col("cdk"), last.rlike(SECRET_NAME)).otherwise(last.rlike(STATE_NAME)) & S.looks_like_secret(F.col("value")))
     above = F.filter("types", lambda t: F.startswith(F.col("key"), F.regexp_replace(t["key"], "type$", "")))
-    deepest = F.element_at(F.array_sort(F.transform(above, lambda t: F.struct(F.length(t["key"]).alias("n"), t["value"].alias("v")))), -1)["v"]
+    deepest = F.try_element_at(F.array_sort(F.transform(above, lambda t: F.struct(F.length(t["key"]).alias("n"), t["value"].alias("v")))), F.lit(-1))["v"]
     provider = F.when(F.col("cdk"), "aws").otherwise(F.coalesce(F.regexp_extract(deepest, "^([a-z0-9]+)_", 1), F.lit("terraform")))
     rule = F.when(F.col("cdk"), "nhi_aws_cdk_context_secret").otherwise("nhi_terraform_state_plaintext_secret")
     tags = F.when(F.col("cdk"), lit_array(["aws_cdk", "iac", "plaintext_secret"])).otherwise(lit_array(["terraform_state", "iac", "plaintext_secret"]))

@@ -79,6 +79,14 @@ def test_deep_state_secrets(spark):
     assert [(r.rule_id[4:], r.provider, r.name.count(".")) for r in D.detect_nested_secrets(a, S.key_table(spark, b"k")).collect()] == [("terraform_state_plaintext_secret", "google", 10)]
 
 
+def test_state_names(spark):
+    """Every attribute name that the reference lists for Terraform state; CDK context keeps the names of any secret."""
+    names = "secret password passwd private_key client_secret primary_access_key api_key token auth_key encrypted_password session_token ssh_key tls_key certificate_pem".split()
+    values = json.dumps({n: HEX for n in [*names, "location"]})
+    got = D.detect_nested_secrets(art(spark, ("t/a.tfstate", values), ("cdk.json", json.dumps({"primary_access_key": HEX, "token": HEX}))), S.key_table(spark, b"k")).collect()
+    assert sorted(r.name for r in got if r.path == "t/a.tfstate") == sorted(names) and [r.name for r in got if r.path == "cdk.json"] == ["token"]
+
+
 def test_ignore_rules(spark):
     a = art(spark, ("a/b.md", "x"), ("keep.md", "x"), ("build/deep/x.py", "x"), ("src/build.py", "x"), ("a/q/z.tf", "x"))
     rules = spark.createDataFrame([("r1", 1, "*.md"), ("r1", 2, "!keep.md"), ("r1", 3, "build/"), ("r1", 4, "a/**/z.tf")], "repo string, ord int, pattern string")

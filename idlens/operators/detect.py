@@ -430,12 +430,13 @@ def detect_documents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     for rule, ok, value, tags, production in checks:
         parts.append(make_signal(scripts.where(ok), keys, F.lit(rule), F.concat("script", F.lit(": "), "command"), value, X.line_for_key_value(content, F.col("script"), F.col("command")), "package", name=F.concat(F.lit("npm script "), "script"), identity_type=F.lit("automation script credential"), source=F.lit("package scripts"), tags=lit_array(tags), production_access=F.lit(production)))
 
-    bots = rows.where(F.col("low_path").rlike(r"renovate[^/]*\.json5?$|\.renovaterc|dependabot\.ya?ml$")).withColumn("is_renovate", F.col("low_path").contains("renovate")).withColumn("flat", F.coalesce(X.flatten_json(X.json5_lite(content)), F.array().cast("array<struct<key:string,value:string>>")))
+    bots = rows.where(F.col("low_path").rlike(r"renovate[^/]*\.json5?$|\.renovaterc|dependabot\.ya?ml$")).withColumn("is_renovate", F.col("low_path").contains("renovate")).withColumn("flat", X.flatten_json(X.json5_lite(content)))
+    bots = bots.withColumn("unread", F.col("flat").isNull()).withColumn("flat", F.coalesce("flat", F.array().cast("array<struct<key:string,value:string>>")))
     pair = lambda test: F.exists("flat", test)
     token = F.filter("flat", lambda p: p["key"].rlike(r"(?i)hostRules.*\.(?:token|password|encrypted)$") & S.looks_like_secret(p["value"]))
     renovate = [
         ("nhi_renovate_bot_identity", F.lit(True), "renovate", ()),
-        ("nhi_renovate_automerge_enabled", pair(lambda p: p["key"].rlike(r"(?i)automerge$") & (p["value"] == "true")), "automerge", ("automerge",)),
+        ("nhi_renovate_automerge_enabled", pair(lambda p: p["key"].rlike(r"(?i)automerge$") & (p["value"] == "true")) | F.col("unread") & content.rlike(r"(?i)\bautomerge\b\s*[:=]\s*true"), "automerge", ("automerge",)),
         ("nhi_renovate_vulnerability_alerts_disabled", pair(lambda p: p["key"].rlike(r"(?i)vulnerabilityAlerts(?:\.enabled)?$") & (p["value"] == "false")), "vulnerabilityAlerts", ("alerts_disabled",)),
         ("nhi_renovate_extends_github_preset", pair(lambda p: p["key"].rlike(r"(?i)^extends") & p["value"].startswith("github>")), "github>", ("third_party",)),
     ]
@@ -444,6 +445,10 @@ def detect_documents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
         parts.append(make_signal(bots.where(F.col("is_renovate") & ok), keys, F.lit(rule), F.lit(needle), None, F.coalesce(X.line_of_pattern(content, f"(?i){needle}"), F.lit(1)), name=F.lit("Renovate bot"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", *tags]), **bot))
     held = bots.where("is_renovate").select("*", F.explode(token).alias("t"))
     parts.append(make_signal(held, keys, F.lit("nhi_renovate_host_rules_plaintext_token"), F.concat("t.key", F.lit(": "), "t.value"), F.col("t.value"), X.line_for_key_value(content, F.col("t.key"), F.col("t.value")), name=F.lit("Renovate host rule token"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", "plaintext_secret"]), **bot))
+    # what does not parse even without comments and trailing commas is read a line at a time
+    loose = X.explode_lines(bots.where(F.col("is_renovate") & F.col("unread") & F.lower(content).contains("hostrules")), keep=[*X.FILE, *[c for c in HISTORY if c in artifacts.columns]])
+    loose = loose.withColumn("value", F.regexp_extract("line", r"(?i)\btoken\b\s*[:=]\s*['\"]?([^'\"\s,]+)", 1)).where(~F.col("value").startswith("$") & S.looks_like_secret(F.col("value")))
+    parts.append(make_signal(loose, keys, F.lit("nhi_renovate_host_rules_plaintext_token"), F.trim("line"), F.col("value"), name=F.lit("Renovate host rule token"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", "plaintext_secret"]), **bot))
     for rule, pattern, tags in (("nhi_dependabot_bot_identity", "(?m)^updates:", ()), ("nhi_dependabot_targets_protected_branch", r"(?m)^\s*target-branch\s*:\s*['\"]?(?:main|master|production|release)", ("protected_branch",))):
         parts.append(make_signal(bots.where(~F.col("is_renovate") & content.rlike(pattern)), keys, F.lit(rule), F.lit("dependabot update settings"), None, X.line_of_pattern(content, pattern), name=F.lit("Dependabot"), provider=F.lit("github"), tags=lit_array(["bot", "dependabot", *tags]), **bot))
     return reduce(DataFrame.unionByName, parts)

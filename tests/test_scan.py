@@ -87,6 +87,19 @@ def test_state_names(spark):
     assert sorted(r.name for r in got if r.path == "t/a.tfstate") == sorted(names) and [r.name for r in got if r.path == "cdk.json"] == ["token"]
 
 
+def test_renovate_json5_by_lines(spark):
+    """JSON5 with unquoted keys is read a line at a time; a variable is no token, nor is one outside host rules."""
+    one = f"{{automerge: true, hostRules: [{{token: '{HEX}'}}]}}"
+    more = f"{{\n  automerge: false,\n  hostRules: [\n    {{token: '$TOKEN'}},\n    {{matchHost: 'x', token: \"{HEX}\"}},\n  ],\n}}"
+    a = art(spark, ("renovate.json5", one), ("x/renovate.json5", more), ("y/.renovaterc", f"{{token: '{HEX}'}}"))
+    got = D.detect_documents(a, S.key_table(spark, b"k")).collect()
+    assert sorted((r.path, r.rule_id[13:], r.line_no) for r in got) == [
+        ("renovate.json5", "automerge_enabled", 1), ("renovate.json5", "bot_identity", 1), ("renovate.json5", "host_rules_plaintext_token", 1),
+        ("x/renovate.json5", "bot_identity", 1), ("x/renovate.json5", "host_rules_plaintext_token", 5), ("y/.renovaterc", "bot_identity", 1),
+    ]
+    assert HEX not in str(got)
+
+
 def test_ignore_rules(spark):
     a = art(spark, ("a/b.md", "x"), ("keep.md", "x"), ("build/deep/x.py", "x"), ("src/build.py", "x"), ("a/q/z.tf", "x"))
     rules = spark.createDataFrame([("r1", 1, "*.md"), ("r1", 2, "!keep.md"), ("r1", 3, "build/"), ("r1", 4, "a/**/z.tf")], "repo string, ord int, pattern string")

@@ -170,7 +170,7 @@ def two_groups(pairs, size):
 def test_embedding_links_between_tight_groups(spark, monkeypatch, pairs, audited):
     """Full lists hold their own group only; links across still join and count, in one leaf, in many, and after a failed audit."""
     if not audited:
-        monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.0)
+        monkeypatch.setattr(embedding_dedup, "recall", lambda _: 0.0)
     vecs = two_groups(pairs, 15)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in embedding_dedup.links(df).collect()}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idlens.llm.common import text_batches
+from idlens.llm.common import lean, text_batches
 
 #: Distinct words a worker remembers before it starts afresh; bounds its memory.
 CACHE_WORDS = 300_000
@@ -261,16 +261,7 @@ def with_column(batch: pa.RecordBatch, *columns: tuple[str, pa.Array]) -> pa.Rec
     return pa.RecordBatch.from_arrays([*batch.columns, *(c for _, c in columns)], names=names)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Add ``ids`` (array<int>) to ``df``: the whole text's token ids; null or blank text has none.
-
-    ``keep`` names the columns passed through (default: all; a column named as ``ids`` is replaced). Narrow:
-    one pass, no shuffle; rows may repeat.
-    """
-    kept = [c for c in (keep or df.columns) if c != ids]
-    source = df.select(*kept, *([] if text in kept else [text]))
-    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-
+def encoder(path: str, text: str, kept: list[str], ids: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path, "index", lambda vocab: vocab.encode_words)
         for batch, texts in text_blocks(batches, text):
@@ -278,18 +269,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield with_column(batch.select(kept), (ids, lists))
 
-    return text_batches(source).mapInArrow(run, schema)
-
-
-def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the tokens of ``ids`` joined by blanks, as a file without a decoder asks; null ids: empty.
+    return run
 
-    Unknown ids are left out.
-    """
-    others = [c for c in df.columns if c != out]
-    source = df.select(*others)
-    schema = T.StructType([*source.schema.fields, T.StructField(out, T.StringType(), False)])
 
+def decoder(path: str, ids: str, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path).tokens
         size = max(tokens) + 1
@@ -307,13 +290,47 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts.append(" ".join([table[i] for i in part]))
             yield with_column(batch, (out, pa.array(texts, pa.string())))
 
-    return text_batches(source).mapInArrow(run, schema)
+    return run
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Add ``ids`` (array<int>) to ``df``: the whole text's token ids; null or blank text has none.
+
+    ``keep`` names the columns passed through (default: all; a column named as ``ids`` is replaced). Narrow:
+    one pass, no shuffle; rows may repeat, ids may be null. An empty table gives no rows.
+    """
+    kept = [c for c in (keep or df.columns) if c != ids]
+    source = df.select(*kept, *([] if text in kept else [text]))
+    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(ids, IDS, False)])
+    return text_batches(source).mapInArrow(lean(encoder(path, text, kept, ids)), schema)
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``: the tokens of ``ids`` joined by blanks, as a file without a decoder asks; null ids: empty.
+
+    Unknown ids are left out. A column named as ``out`` is replaced.
+    """
+    others = [c for c in df.columns if c != out]
+    source = df.select(*others)
+    schema = T.StructType([*source.schema.fields, T.StructField(out, T.StringType(), False)])
+    return text_batches(source).mapInArrow(lean(decoder(path, ids, out)), schema)
+
+
+def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass through one Python worker a task: the ids it decodes are those it made."""
+    kept = [c for c in (keep or df.columns) if c not in (ids, out)]
+    source = df.select(*kept, *([] if text in kept else [text]))
+    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(ids, IDS, False), T.StructField(out, T.StringType(), False)])
+    first, second = encoder(path, text, kept, ids), decoder(path, ids, out)
+    return text_batches(source).mapInArrow(lean(lambda batches: second(first(batches))), schema)
 
 
 def digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The query of the contract: encode, decode, and digests of both."""
-    both = decode(encode(df, path, text, keep=("doc_id",)), path)
-    return both.select(
+    return encode_decode(df, path, text, keep=("doc_id",)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

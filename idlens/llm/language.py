@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idlens.llm.bpe import text_blocks, with_column
-from idlens.llm.common import hash_fraction, held_out, text_batches
+from idlens.llm.common import hash_fraction, held_out, lean, text_batches
 from idlens.llm.unicode_tables import code_points, letters
 
 #: Entries of a profile, and of a document's list.
@@ -70,7 +70,7 @@ def learn(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
                 kinds, count = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
     out: dict[str, list[int]] = {}
@@ -113,7 +113,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text")
                 scores.append(second / (second + int(d[best])) if second else 0.5)
             yield with_column(batch.select(["doc_id"]), ("lang_pred", pa.array(names, pa.string())), ("score", pa.array(scores, pa.float64())))
 
-    return text_batches(docs.select("doc_id", text)).mapInArrow(run, schema)
+    return text_batches(docs.select("doc_id", text)).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -1,13 +1,16 @@
 """Near-duplicate documents by min-max hashing of word shingles, confirmed on full shingle sets.
 
 Each permutation keeps its minimum and its maximum, so 128 signature values cost 64 hash evaluations a
-shingle; 32 bands of 2 minima and 2 maxima propose pairs (a pair at similarity 0.75 misses all of them with a
-chance of 5e-6). Confirmation needs no list of all pairs of a bucket:
+shingle; 32 bands of 2 minima and 2 maxima propose pairs. A pair at similarity 0.75 misses all of them with a
+chance of 1e-5 at most. In small sets a minimum and a maximum depend on each other, so sets of fewer than ``SHORT``
+shingles have twice the bands; pairs of those miss with a chance of 2e-8 at most. Confirmation needs no list of all
+pairs of a bucket:
 
 1. documents with equal sets form a class and only classes are compared;
 2. in each bucket the classes are compared with one leader, and links joined into components;
 3. buckets that still hold several components are compared in blocks of classes, each pair of blocks one small
-   group whose overlaps are counted at once; only links that join components leave it.
+   group whose overlaps are counted at once; only links that join components leave it. Blocks are bounded by the
+   number and the summed size of their sets, so that long texts make small blocks.
 
 So every pair that shares a band is confirmed exactly or already known to be connected.
 """
@@ -25,18 +28,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idlens.llm.bpe import text_blocks
-from idlens.llm.common import connected_components, materialize, text_batches
+from idlens.llm.common import connected_components, discard, give_back, lean, materialize, text_batches
 
 WORDS, PERMUTATIONS, BANDS = 5, 64, 32
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Classes in a block when a bucket is compared exactly.
-BLOCK = 320
+#: Sets below this size have twice the permutations and bands.
+SHORT = 22
+#: Classes and shingles of a block, on average and at most, when a bucket is compared exactly.
+BLOCK, BLOCK_SHINGLES = 320, 1_000_000
+#: Pairs of one leader that a task compares.
+STAR = 4096
 
 _draw = np.random.default_rng(20240607)
 _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = _draw.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-_PERM = _draw.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
+_PERM = _draw.integers(0, 2**64, 2 * PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _BASE = int(_STEP[63])
 
 
@@ -95,26 +102,34 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
 def band_keys(s: np.ndarray) -> np.ndarray:
     """Keys of the bands over minima and maxima under every permutation."""
-    low, high = np.full(PERMUTATIONS, 2**64 - 1, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
+    times = 2 if len(s) < SHORT else 1
+    perm, bands = _PERM[: times * PERMUTATIONS], times * BANDS
+    low, high = np.full(len(perm), 2**64 - 1, np.uint64), np.zeros(len(perm), np.uint64)
     for i in range(0, len(s), 2048):
-        x = s[i : i + 2048] * _PERM[:, None]
+        x = s[i : i + 2048] * perm[:, None]
         np.minimum(low, x.min(1), out=low)
         np.maximum(high, x.max(1), out=high)
     per = PERMUTATIONS // BANDS
-    v = np.concatenate([low.reshape(BANDS, per), high.reshape(BANDS, per)], 1)
+    v = np.concatenate([low.reshape(bands, per), high.reshape(bands, per)], 1)
     v = _mix(v) * _STEP[20 : 20 + 2 * per]
-    return _mix(v.sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return _mix(v.sum(1) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def text_key(text: str) -> F.Column:
+    """A hash that finds a class's text again, also where its rows have no id."""
+    return F.xxhash64(F.col(text), F.lit(24))
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of each row; digest and bands are null for an empty set."""
+    """(doc_id, text_key, n_shingles, digest, bands) of each row; digest and bands are null for an empty set."""
     schema = T.StructType(
         [
             docs.schema["doc_id"],
+            T.StructField("text_key", T.LongType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("digest", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
@@ -122,24 +137,27 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_blocks(batches, text, 500_000):
+        for batch, texts in text_blocks(batches, "text", 500_000):
             sets = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "digest", "bands"],
             )
 
-    return text_batches(docs.select("doc_id", text)).mapInArrow(run, schema)
+    rows = docs.select("doc_id", text_key(text).alias("text_key"), F.col(text).alias("text"))
+    return text_batches(rows).mapInArrow(lean(run), schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(digest, hashes) for the classes of ``wanted`` (digest, rep), made anew from the text of ``rep``."""
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
+    """(digest, hashes) for the classes of ``wanted`` (digest, rep, key), made anew from the text of their first row."""
+    rows = docs.select("doc_id", text_key(text).alias("key"), F.col(text).alias("text"))
+    rows = rows.join(wanted, (rows["key"] == wanted["key"]) & rows["doc_id"].eqNullSafe(wanted["rep"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches, "text", 500_000):
@@ -147,7 +165,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["digest", "hashes"])
 
     # equal ids may stand on several rows with one text
-    return rows.select("digest", "text").mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
+    return text_batches(rows.select("digest", "text")).mapInArrow(lean(run), "digest binary, hashes binary").dropDuplicates(["digest"])
 
 
 def linked(overlap, a, b):
@@ -155,8 +173,11 @@ def linked(overlap, a, b):
 
 
 def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough."""
-    both = pairs.join(sets.withColumnsRenamed({"digest": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"digest": "b", "hashes": "hb"}), "b")
+    """The (a, b) of ``pairs`` whose full sets are similar enough; an ``a`` of many pairs is dealt to several tasks."""
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    pairs = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(25)), "parts").cast("int").alias("part"))
+    leaders = sets.withColumnsRenamed({"digest": "a", "hashes": "ha"}).join(load, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = pairs.join(sets.withColumnsRenamed({"digest": "b", "hashes": "hb"}), "b").join(leaders, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +187,7 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "ha", "hb").mapInArrow(lean(run), "a binary, b binary")
 
 
 def overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -212,24 +233,28 @@ def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         if x != y:
             root[max(x, y)] = min(x, y)
             found.append((comp[i], comp[j]))
+    del sets, common, good
+    if len(pdf) > BLOCK // 4:
+        give_back()
     return pd.DataFrame(found, columns=["a", "b"])
 
 
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
-    Null or blank texts have an empty set, no links and their own id; rows with a null id stand alone unless
-    their set equals another's. Ties do not arise: ids are compared as numbers. An empty table gives no rows.
+    Null or blank texts have an empty set, no links and their own id. Rows with a null id link like others; they are
+    kept, and their component is the smallest id linked with, null where there is none. Rows that repeat an id stand
+    for themselves. Texts are read whole, whatever their length. Ties do not arise: ids are compared as numbers. An
+    empty table gives no rows. Only ``doc_id`` and the text are read, so other columns never clash.
     """
     rows = materialize(signatures(docs, text), "signatures")
-    classes = materialize(
-        rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    banded = classes.select("digest", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = materialize(banded.join(buckets, "key"), "members")
-    wanted = members.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("rep"), F.col("text_key").alias("key")))
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("digest", "first.rep", "first.key", "n", "bands"), "classes")
+    banded = classes.select("digest", "n", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min(F.struct("digest", "n")).alias("leader"), F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1")
+    members = materialize(banded.join(buckets, "band"), "members")
+    wanted = members.select("digest").distinct().join(classes.select("digest", "rep", "key"), "digest")
     sets = materialize(full_sets(docs, wanted, text), "sets")
     close = f"{PERCENT} * greatest(n, leader.n) <= 100 * least(n, leader.n)"
     stars = members.where("digest <> leader.digest").where(close).select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
@@ -240,21 +265,25 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     # a pair's bucket is settled by its leader; equal buckets are compared once
     open_ = (
         named.where("m > 2")
-        .groupBy("key", "m")
+        .groupBy("band", "m")
         .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.expr("bit_xor(xxhash64(digest))").alias("x"), F.expr("bit_xor(xxhash64(digest, 1))").alias("y"))
         .where("c0 <> c1")
         .groupBy("m", "x", "y")
-        .agg(F.min("key").alias("key"))
+        .agg(F.min("band").alias("band"))
     )
-    todo = named.join(open_.select("key"), "key", "left_semi").select("key", "digest", "comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    todo = named.join(open_.select("band"), "band", "left_semi").select("band", "digest", "comp", blocks.alias("blocks"))
     todo = todo.withColumn("block", F.pmod(h, "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("key", "digest", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = todo.join(sets, "digest").groupBy("key", "i", "j").applyInPandas(block_links, "a binary, b binary")
+    todo = todo.select("band", "digest", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = todo.join(sets, "digest").groupBy("band", "i", "j").applyInPandas(block_links, "a binary, b binary")
     over = materialize(connected_components(rest), "over")
+    for done in (members, sets):
+        discard(done)
 
     label = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     label = label.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("outer")), "comp", "left").withColumn("comp", F.coalesce("outer", "comp"))
     label = materialize(label.select("digest", "comp", "rep"), "label")
+    discard(classes)
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = label.join(least, "comp").select("digest", "component_id")
     out = rows.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
@@ -265,7 +294,7 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest id.
 
-    Rows of an equal id are told apart by nothing here and stay together.
+    Rows of an equal id are told apart by nothing here and stay together; rows without an id stay.
     """
-    gone = components(docs, text).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    gone = components(docs, text).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs.doc_id == gone._gone_id, "left_anti")

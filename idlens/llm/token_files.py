@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idlens.llm.bpe import Vocabulary, text_blocks, with_column, word_ids
-from idlens.llm.common import scratch_dir, text_batches
+from idlens.llm.common import lean, scratch_dir, text_batches
 
 #: Options of the Parquet writer: sizes in bytes, page row limit, encodings.
 LAYOUT = {
@@ -83,7 +83,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = 2) -> D
             yield with_column(batch.select(["doc_id"]), ("at", pa.array(before + bounds[:-1])), ("n_tokens", pa.array(np.diff(bounds))), ("ids", lists))
             before += len(flat)
 
-    return text_batches(df.select("doc_id", text)).mapInArrow(run, schema)
+    return text_batches(df.select("doc_id", text)).mapInArrow(lean(run), schema)
 
 
 def write_tokens(df: DataFrame, path: str, to: str, text: str = "text", end_id: int = 2) -> None:
@@ -125,7 +125,7 @@ def with_crc(tokens: DataFrame, ids: str = "ids") -> DataFrame:
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
             yield with_column(batch.select(kept), ("ids_crc32", pa.array(sums, pa.int64())))
 
-    return text_batches(tokens).mapInArrow(run, schema)
+    return text_batches(tokens).mapInArrow(lean(run), schema)
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:

@@ -3,6 +3,11 @@
 Features of a whole text: densities of a learned lexicon (plain and de-obfuscated words), how near its words
 stand to the second person, capitals, punctuation and obfuscation rates. The lexicon, the trees and the
 calibration are learned from separate parts of one bounded sample of labelled documents.
+
+Null text counts as empty; an empty or blank text has zero features and is scored like any other. Long texts are read
+whole. Every row is scored on its own, so rows that repeat get equal scores, and rows with a null id are scored too.
+A score of exactly 0.5 counts as toxic. An empty table gives no rows, and without labels of both kinds every score is
+the share of toxic labels (0 without any). Other columns are not read, so their names never clash.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idlens.llm.bpe import text_blocks, with_column
-from idlens.llm.common import hash_fraction, held_out, materialize, text_batches
+from idlens.llm.common import hash_fraction, held_out, lean, materialize, text_batches
 from idlens.llm.unicode_tables import code_points, letters
 
 #: About how many labelled documents everything is learned from, at most.
@@ -62,18 +67,16 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     return [len(hits) / n, log1p(len(hits)), found / n, sum(odds) / n, max(odds, default=0.0), near / max(1, len(hits)), n_upper / max(1, n_alpha), shouting / n, text.count("!") / size, signs / size, len(masked) / n, log1p(len(words))]
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float], keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and ``features`` (array<double>) of each row's whole text (null: empty)."""
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("features", T.ArrayType(T.DoubleType(), False), False)])
+def feature_column(lexicon: dict[str, float], text: F.Column) -> F.Column:
+    """array<double>: features of each row's whole text (null: empty). Only texts cross to Python, features come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_blocks(batches, text):
-            flat = np.array([features(t, lexicon) for t in texts], np.float64).reshape(len(texts), len(_NAMES))
-            ends = np.arange(len(texts) + 1, dtype=np.int32) * len(_NAMES)
-            yield with_column(batch.select(keep), ("features", pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat = np.array([features(t.as_py() or "", lexicon) for t in batch], np.float64)
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * len(_NAMES)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
 
-    inner = "." in text  # the text is a field of a kept struct
-    return text_batches(rows.select(*keep, *([] if text in keep or inner else [text]))).mapInArrow(run, schema)
+    return F.arrow_udf(lean(run), T.ArrayType(T.DoubleType()))(text)
 
 
 def learn_lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
@@ -88,7 +91,7 @@ def learn_lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
             columns = [pa.array(words, pa.string()), *(pa.array([count[y][w] for w in words], pa.int64()) for y in (1, 0))]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "pos", "neg"])
 
-    sums = rows.select("label", text).mapInArrow(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = text_batches(rows.select("label", text)).mapInArrow(lean(run), "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sums = materialize(sums.where(f"pos >= {LEAST_DOCS} OR word = ''"), "lexicon")
     whole = sums.where("word = ''").first()
     if not whole:
@@ -120,7 +123,8 @@ class ToxicityModel:
         fold = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(10))
         rows = docs.select("doc_id", text).where(part).join(known.where(part), "doc_id").withColumn("fold", fold)
         lexicon = learn_lexicon(rows.where("fold < 5"), text)
-        fit = materialize(with_features(rows.where("fold >= 5"), lexicon, ["label", "fold"], text), "features")
+        fit = text_batches(rows.where("fold >= 5")).select("label", "fold", feature_column(lexicon, F.col(text)).alias("features"))
+        fit = materialize(fit, "features")
         fit = fit.coalesce(4).withColumn("features", array_to_vector("features")).cache()
         counts = {r.label: r.n for r in fit.where("fold < 8").groupBy("label").agg(F.count("*").alias("n")).collect()}
         if len(counts) < 2:
@@ -138,10 +142,10 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """(``key``, score): the calibrated chance that the whole text is toxic; one narrow pass over ``docs``."""
-        rows = with_features(docs, self.lexicon, [key], text)
         if self.trees is None:
-            return rows.select(key, F.lit(float(self.prior)).alias("score"))
-        scored = self.trees.transform(rows.withColumn("features", array_to_vector("features"))).select(key, self._margin().alias("margin"))
+            return docs.select(key, F.lit(float(self.prior)).alias("score"))
+        rows = text_batches(docs).select(key, array_to_vector(feature_column(self.lexicon, F.col(text))).alias("features"))
+        scored = self.trees.transform(rows).select(key, self._margin().alias("margin"))
         if self.calibration is None:
             return scored.select(key, (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
         return self.calibration.transform(scored).select(key, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
@@ -154,7 +158,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns pass through one narrow pass, whatever their names."""
+    """``docs`` without the rows predicted toxic, all columns kept, whatever their names.
+
+    One narrow pass in which only texts go to Python and only features come back.
+    """
     model = ToxicityModel.fit(docs, labels, text)
     packed = docs.select(F.struct("*").alias("_row"))
     return model.score(packed, f"_row.{text}", "_row").where("score < 0.5").select("_row.*")

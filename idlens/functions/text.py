@@ -134,17 +134,25 @@ def json5_lite(content: Column) -> Column:
     return F.when(F.try_parse_json(content).isNotNull(), content).otherwise(bare)
 
 
+def in_blocks(lines: DataFrame, headers: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Lines with a flag for each name of ``headers``: they stand in the indented block that the last line of its
+    pattern opened, among files of its condition. All flags share one sort of a file's lines."""
+    upto = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    bare = F.regexp_replace("line", r"#.*$", "")
+    rows = lines.withColumns({"_indent": F.length(F.regexp_extract(bare, r"^( *(?:- +)?)", 1)), "_lead": F.length(F.regexp_extract("line", r"^( *)", 1)), "_blank": F.trim(bare) == ""})
+    opens = {n: where & F.col("line").rlike(header) for n, (header, where) in headers.items()}
+    heads = {f"_head_{n}": F.last(F.when(o, F.struct("line_no", F.col("_indent").alias("indent"))), True).over(upto) for n, o in opens.items()}
+    rows = rows.withColumns(heads)
+    # the last line at or left of its block's header ends the block
+    ends = {f"_end_{n}": F.max(F.when(~F.col("_blank") & ~o & (F.col("_lead") <= F.col(f"_head_{n}.indent")), F.col("line_no"))).over(upto) for n, o in opens.items()}
+    rows = rows.withColumns(ends)
+    inside = {n: F.col(f"_head_{n}").isNotNull() & ~o & (F.coalesce(f"_end_{n}", F.lit(0)) < F.col(f"_head_{n}.line_no")) for n, o in opens.items()}
+    return rows.withColumns(inside).drop("_indent", "_lead", "_blank", *heads, *ends)
+
+
 def in_block(lines: DataFrame, header: str) -> DataFrame:
     """Lines with ``inside``: they stand in the indented block that the last ``header`` line opened."""
-    bare = F.regexp_replace("line", r"#.*$", "")
-    indent = F.length(F.regexp_extract(bare, r"^( *(?:- +)?)", 1))
-    rows = lines.withColumn("opens", F.col("line").rlike(header)).withColumn("indent", indent).withColumn("blank", F.trim(bare) == "")
-    upto = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", F.last(F.when(F.col("opens"), F.struct("line_no", "indent")), True).over(upto))
-    leaves = ~F.col("blank") & ~F.col("opens") & (F.length(F.regexp_extract("line", r"^( *)", 1)) <= F.col("head.indent"))
-    block = Window.partitionBy(*FILE, "head.line_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.max(F.coalesce(leaves, F.lit(False)).cast("int")).over(block)
-    return rows.withColumn("inside", F.col("head").isNotNull() & ~F.col("opens") & (left == 0)).drop("opens", "indent", "blank", "head")
+    return in_blocks(lines, {"inside": (header, F.lit(True))})
 
 
 # Names of one capability.

@@ -7,7 +7,8 @@ and fingerprinted in the projection that finds them and dropped there.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from idlens.functions import secrets as S
 from idlens.functions import text as X
 from idlens.functions.catalog import SURE_RULES
 from idlens.operators.specs import ALL, FAMILIES, KNOWN_PAM, SECRET_NAME, TRUSTED, Spec
+from idlens.sources.store import staged
 
 # What a detector says of an identity besides where it stands: column and type.
 FACTS = {
@@ -47,54 +49,103 @@ def lit_array(words) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
 
 
-def make_signal(df: DataFrame, keys: DataFrame, rule: Column, evidence: Column, value: Column | None = None, line: Column | None = None, detector: str = "", **facts: Column) -> DataFrame:
-    """The signal projection all detectors share; ``value`` is used here and nowhere after."""
-    raw = F.lit(None).cast("string") if value is None else value
-    columns = {"_raw": raw, "_rule": rule, "_said": evidence, "_line": line if line is not None else F.col("line_no")}
+def hit(df: DataFrame, rule: Column, evidence: Column, value: Column | None = None, line: Column | None = None, detector: Column | str = "", **facts: Column) -> DataFrame:
+    """What a detector found, in the columns that all detectors share. ``value`` goes no further than ``signals``."""
+    columns = {
+        "_raw": F.lit(None).cast("string") if value is None else value,
+        "_rule": rule,
+        "_said": evidence,
+        "_line": (line if line is not None else F.col("line_no")).cast("int"),
+        "_detector": F.lit(detector) if isinstance(detector, str) else detector,
+    }
     for c, kind in FACTS.items():
         given = facts.get(c)
         empty = F.lit(None) if c in NULLABLE else EMPTY[kind]()
         columns[f"_{c}"] = (empty if given is None else given).cast(kind)
-    history = [c for c in HISTORY if c in df.columns]
-    df = df.select(*X.FILE, *history, *(v.alias(k) for k, v in columns.items()))
+    history = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in HISTORY]
+    return df.select(*X.FILE, *history, *(v.alias(k) for k, v in columns.items()))
+
+
+def signals(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """Hits of any detectors as signals: values masked and fingerprinted, evidence redacted, confidence inferred."""
     held = F.col("_raw").isNotNull() & (F.col("_raw") != "")
-    if value is not None:
-        df = df.withColumn("_print", F.when(held, S.fingerprint(F.col("_raw"), keys))).withColumn("_mask", F.when(held, S.mask(F.col("_raw"))))
-        df = df.withColumn("_said", F.when(held, F.replace("_said", "_raw", "_mask")).otherwise(F.col("_said")))
-    else:
-        df = df.withColumn("_print", F.lit(None).cast("string")).withColumn("_mask", F.lit(None).cast("string"))
+    df = hits.withColumns({"_print": F.when(held, S.fingerprint(F.col("_raw"), keys)), "_mask": F.when(held, S.mask(F.col("_raw")))})
+    df = df.withColumn("_said", F.when(held, F.replace("_said", "_raw", "_mask")).otherwise(F.col("_said")))
     df = S.redact_text(df, "_said", "_shown")
-    sure = S.infer_confidence(F.col("_rule"), F.col("_shown"), F.col("_raw") if value is not None else F.lit(None).cast("string"), F.col("_explicit_confidence"), SURE_RULES)
+    sure = S.infer_confidence(F.col("_rule"), F.col("_shown"), F.col("_raw"), F.col("_explicit_confidence"), SURE_RULES)
     with_print = F.concat(F.regexp_replace("_mask", r"\]$", " fp="), F.left("_print", F.lit(8)), F.lit("]"))
     return df.select(
         *X.FILE,
-        F.col("_line").cast("int").alias("line_no"),
-        F.lit(detector).alias("detector"),
+        F.col("_line").alias("line_no"),
+        F.col("_detector").alias("detector"),
         F.col("_rule").alias("rule_id"),
         *(F.col(f"_{c}").alias(c) for c in FACTS if c != "explicit_confidence"),
         F.col("_shown").alias("evidence"),
         F.col("_print").alias("secret_fingerprint"),
         with_print.alias("masked_secret"),
         F.coalesce(sure, F.lit("medium")).alias("confidence"),
-        *(F.col(c) if c in history else F.lit(None).cast("string").alias(c) for c in HISTORY),
+        *HISTORY,
     )
 
 
+ENTRY = "array<struct<rule:string,said:string,value:string,line:int,detector:string," + ",".join(f"{c}:{kind}" for c, kind in FACTS.items()) + ">>"
+
+
+def entry(rule: Column | str, said: Column, line: Column, detector: str, value: Column | None = None, **facts: Column) -> Column:
+    """A hit as a struct, so that one projection can hold the hits of many checks."""
+    shared = {"rule": F.lit(rule) if isinstance(rule, str) else rule, "said": said, "value": F.lit(None) if value is None else value, "line": line, "detector": F.lit(detector)}
+    given = {c: facts[c] if c in facts else F.lit(None) if c in NULLABLE else EMPTY[kind]() for c, kind in FACTS.items()}
+    return F.struct(*(v.cast("string" if k != "line" else "int").alias(k) for k, v in shared.items()), *(v.cast(FACTS[c]).alias(c) for c, v in given.items()))
+
+
+def entries(*checks: tuple[Column, Column]) -> Column:
+    """One array of the entries whose condition holds; an entry may itself be an array of entries."""
+    none = F.array().cast(ENTRY)
+    return F.concat(*(F.when(ok, e).otherwise(none) for ok, e in checks))
+
+
+def opened(rows: DataFrame, found: Column) -> DataFrame:
+    """The hits of an array of entries a row."""
+    history = [c for c in HISTORY if c in rows.columns]
+    # outer, so that no filter on the array's size is derived, which would work it out twice
+    out = rows.select(*X.FILE, *history, F.inline_outer(found)).where("rule IS NOT NULL")
+    return hit(out, F.col("rule"), F.col("said"), F.col("value"), F.col("line"), F.col("detector"), **{c: F.col(c) for c in FACTS})
+
+
+def one(e: Column) -> Column:
+    return F.array(e).cast(ENTRY)
+
+
+def make_signal(df: DataFrame, keys: DataFrame, rule: Column, evidence: Column, value: Column | None = None, line: Column | None = None, detector: str = "", **facts: Column) -> DataFrame:
+    """One detector's signals."""
+    return signals(hit(df, rule, evidence, value, line, detector, **facts), keys)
+
+
+def detector(find: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A detector (artifacts, keys, ...) of signals from a function (artifacts, ...) of hits, which stays at hand as
+    ``hits``, so that a whole scan makes signals of all hits at once."""
+
+    @wraps(find)
+    def run(artifacts: DataFrame, keys: DataFrame, *more) -> DataFrame:
+        return signals(find(artifacts, *more), keys)
+
+    run.hits = find
+    return run
+
+
 def file_columns(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("low_path", F.lower(F.regexp_replace("path", r"\\", "/")))
 
 
 def spec_table(spark: SparkSession, specs: list[Spec]) -> DataFrame:
     rows = [
-        (i, f"nhi_{s.rule}", s.kind, s.source, s.provider, list(s.tags), list(s.permissions), [], list(s.tools), list(s.data_classes), s.admin, s.external, s.approval, s.logging, s.level, s.confidence, s.attack, s.stage, s.evidence)
+        (i, s.family, f"nhi_{s.rule}", s.kind, s.source, s.provider, list(s.tags), list(s.permissions), [], list(s.tools), list(s.data_classes), s.admin, s.external, s.approval, s.logging, s.level, s.confidence, s.attack, s.stage, s.evidence)
         for i, s in enumerate(specs)
     ]
-    kind = "spec int, rule_id string, identity_type string, source string, provider string, tags array<string>, permissions array<string>, scopes array<string>, tools array<string>, data_classes array<string>, admin_access boolean, external_access boolean, approval_required boolean, logging_enabled boolean, data_access_level string, explicit_confidence string, ai_attack_class string, attack_chain_stage string, said string"
+    kind = "spec int, family string, rule_id string, identity_type string, source string, provider string, tags array<string>, permissions array<string>, scopes array<string>, tools array<string>, data_classes array<string>, admin_access boolean, external_access boolean, approval_required boolean, logging_enabled boolean, data_access_level string, explicit_confidence string, ai_attack_class string, attack_chain_stage string, said string"
     return spark.createDataFrame(rows, kind)
 
 
-#: Specs in a pass over the artifacts.
-PASS = 48
 MATCH = "array<struct<spec:int,value:string,name:string,production:boolean>>"
 
 
@@ -108,7 +159,10 @@ def _matches(i: int, s: Spec, text: Column) -> Column:
 
     if s.value < 0:
         return F.array(one(F.lit(None).cast("string"))).cast(MATCH)
-    return F.transform(F.regexp_extract_all(text, F.lit(s.match), F.lit(s.value)), one).cast(MATCH)
+    values = F.regexp_extract_all(text, F.lit(s.match), F.lit(s.value))
+    if s.whole:  # the whole match where its group is empty
+        values = F.zip_with(values, F.regexp_extract_all(text, F.lit(s.match), F.lit(0)), lambda v, w: F.coalesce(F.nullif(v, F.lit("")), w))
+    return F.transform(values, one).cast(MATCH)
 
 
 def _file_gate(s: Spec) -> Column:
@@ -118,39 +172,49 @@ def _file_gate(s: Spec) -> Column:
     return gate & ~F.col("content").rlike(s.unless) if s.unless else gate
 
 
-def _finish(rows: DataFrame, specs: list[Spec], keys: DataFrame, family: str) -> DataFrame:
+def _finish(rows: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Hits of opened matches; ``specs`` are a fixed list, so its table broadcasts."""
     dims = F.broadcast(spec_table(rows.sparkSession, specs))
     valued = [i for i, s in enumerate(specs) if s.value >= 0]
     tested = [i for i, s in enumerate(specs) if s.value >= 0 and s.tested]
     rows = rows.withColumn("value", F.when(F.col("spec").isin(valued), X.unquote(F.trim("value"))))
-    fine = F.when(F.col("spec").isin(tested), S.looks_like_secret(F.col("value"))).otherwise((F.col("value") != "") & ~S.is_placeholder(F.col("value")))
+    # a URL of a host that is not known to take webhooks is a credential only by its last part
+    judged = F.when(F.col("spec").isin([i for i, s in enumerate(specs) if s.tail]), F.regexp_extract("value", r"([^/]*)/*$", 1)).otherwise(F.col("value"))
+    fine = F.when(F.col("spec").isin(tested), S.looks_like_secret(judged)).otherwise((F.col("value") != "") & ~S.is_placeholder(F.col("value")))
     rows = rows.where(F.col("value").isNull() | fine).join(dims, "spec")
     facts = {c: F.col(c) for c in FACTS if c not in ("name", "production_access")}
-    return make_signal(
-        rows, keys, F.col("rule_id"), F.coalesce("said", F.trim("line")), F.col("value"), detector=family,
+    shown = F.when(F.col("spec").isin([i for i, s in enumerate(specs) if s.hidden]), F.lit(None)).otherwise(F.col("value"))
+    return hit(
+        rows, F.col("rule_id"), F.coalesce("said", F.trim("line")), shown, detector=F.col("family"),
         **facts, name=F.coalesce("name", "rule_id"), production_access=F.col("production"),
     )
 
 
-def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, family: str) -> DataFrame:
-    """Line specs of a family in one pass. ``block`` specs see lines with their block flags and go in passes of their own."""
+def line_hits(artifacts: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Line specs in one pass, whatever their families and blocks. ``block`` specs see the lines that stand in their
+    block, and its header."""
     by_path: dict[str, list[str]] = {}
     for s in specs:
         by_path.setdefault(s.path, []).append(f"(?:{s.match})")
     gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(p) & F.col("content").rlike("(?m)" + "|".join(m)) for p, m in by_path.items()))
     rows = file_columns(artifacts).where(gate)
-    # specs with equal conditions on the file share a flag
+    # specs with equal conditions on the file share a flag; one array of them all, as the optimizer would try every way
+    # to put columns of their own into the gate
     gates = {(s.path, s.also, s.unless): s for s in specs}
-    flag = {key: f"g{i}" for i, key in enumerate(gates)}
-    flags = [_file_gate(s).alias(flag[key]) for key, s in gates.items()]
-    lines = rows.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], "content", *flags)
-    lines = X.explode_lines(lines, keep=[c for c in lines.columns if c != "content"])
-    if block := specs[0].block:
-        lines = X.in_block(lines, block).where(F.col("inside") | F.col("line").rlike(block))
+    flag = {key: F.col("flags")[i] for i, key in enumerate(gates)}
+    flags = F.array(*map(_file_gate, gates.values())).alias("flags")
+    kept = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
+    lines = X.explode_lines(rows.select(*kept, "low_path", "content", flags), keep=[*kept, "low_path", "flags"])
+    blocks = {(s.path, s.block): f"b{i}" for i, s in enumerate(s for s in specs if s.block)}
+    if blocks:
+        # only lines of files that have blocks take part in the windows
+        lines = X.in_blocks(lines, {name: (block, F.col("low_path").rlike(path)) for (path, block), name in blocks.items()})
     comment = F.col("line").rlike(r"^\s*(?:#|//)")
 
-    def hit(i: int, s: Spec) -> Column:
-        ok = F.col(flag[s.path, s.also, s.unless]) & F.col("line").rlike(s.match)
+    def found(i: int, s: Spec) -> Column:
+        ok = flag[s.path, s.also, s.unless] & F.col("line").rlike(s.match)
+        if s.block:
+            ok = ok & (F.col(blocks[s.path, s.block]) | F.col("line").rlike(s.block))
         if s.skip:
             ok = ok & ~F.col("line").rlike(s.skip)
         if not s.comments:
@@ -158,101 +222,108 @@ def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, famil
         return F.when(ok, _matches(i, s, F.col("line"))).otherwise(F.array().cast(MATCH))
 
     # outer, so that no filter on the array's size is derived, which would work it out twice
-    found = lines.withColumn("m", F.concat(*(hit(i, s) for i, s in enumerate(specs))))
-    opened = found.select(*[c for c in found.columns if c in (*X.FILE, *HISTORY, "line_no", "line")], F.inline_outer("m")).where("spec IS NOT NULL")
+    rows = lines.withColumn("m", F.concat(*(found(i, s) for i, s in enumerate(specs))))
+    opened = rows.select(*kept, "line_no", "line", F.inline_outer("m")).where("spec IS NOT NULL")
     if any(s.once for s in specs):
         once = [i for i, s in enumerate(specs) if s.once]
         first = F.min("line_no").over(Window.partitionBy(*X.FILE, "spec"))
         opened = opened.withColumn("first_line", first).where(~F.col("spec").isin(once) | (F.col("line_no") == F.col("first_line"))).drop("first_line")
-    return _finish(opened, specs, keys, family)
+    return _finish(opened, specs)
 
 
-def detect_files(artifacts: DataFrame, specs: list[Spec], keys: DataFrame, family: str) -> DataFrame:
-    """Whole-text specs of a family in one projection; the line is that of the first match."""
+def file_hits(artifacts: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Whole-text specs in one projection; the line is that of the first match."""
     rows = file_columns(artifacts)
-
     kind = MATCH[:-2] + ",line_no:int>>"
 
-    def hit(i: int, s: Spec) -> Column:
+    def found(i: int, s: Spec) -> Column:
         line = X.line_of_pattern(F.col("content"), s.match)
         one = F.transform(_matches(i, s, F.col("content")), lambda m: F.struct(m["spec"].alias("spec"), m["value"].alias("value"), m["name"].alias("name"), m["production"].alias("production"), line.alias("line_no")))
         return F.when(_file_gate(s) & F.col("content").rlike(s.match), one.cast(kind)).otherwise(F.array().cast(kind))
 
-    gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(s.path) for s in specs))
-    found = rows.where(gate).withColumn("m", F.concat(*(hit(i, s) for i, s in enumerate(specs))))
-    opened = found.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], F.inline_outer("m")).where("spec IS NOT NULL").withColumn("line", F.lit(""))
-    return _finish(opened, specs, keys, family)
+    gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(p) for p in dict.fromkeys(s.path for s in specs)))
+    rows = rows.where(gate).withColumn("m", F.concat(*(found(i, s) for i, s in enumerate(specs))))
+    opened = rows.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], F.inline_outer("m")).where("spec IS NOT NULL").withColumn("line", F.lit(""))
+    return _finish(opened, specs)
+
+
+def spec_hits(artifacts: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Hits of specs: at most three passes, over lines, over lines with their blocks, and over whole texts."""
+    passes = [
+        (line_hits, [s for s in specs if s.each == "line" and not s.block]),
+        (line_hits, [s for s in specs if s.each == "line" and s.block]),
+        (file_hits, [s for s in specs if s.each == "file"]),
+    ]
+    return reduce(DataFrame.unionByName, (f(artifacts, own) for f, own in passes if own))
+
+
+def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame) -> DataFrame:
+    return signals(line_hits(artifacts, specs), keys)
 
 
 def detect_family(artifacts: DataFrame, family: str, keys: DataFrame) -> DataFrame:
-    """Every spec of a family: line passes, whole-text passes, and one for each kind of block."""
-    own = [s for s in ALL if s.family == family]
-    parts = []
-    plain, whole = ([s for s in own if s.each == each and not s.block] for each in ("line", "file"))
-    parts += [detect_lines(artifacts, plain[i : i + PASS], keys, family) for i in range(0, len(plain), PASS)]
-    parts += [detect_files(artifacts, whole[i : i + PASS], keys, family) for i in range(0, len(whole), PASS)]
-    for block in dict.fromkeys(s.block for s in own if s.block):
-        parts.append(detect_lines(artifacts, [s for s in own if s.block == block], keys, family))
-    return reduce(DataFrame.unionByName, parts)
+    """Every spec of a family."""
+    return signals(spec_hits(artifacts, [s for s in ALL if s.family == family]), keys)
 
 
 # Named environment keys; key, identity type, provider, rule.
 ENV_KEYS = [
     tuple(x.strip() or None for x in row.split("|"))
     for row in """
-AWS_ACCESS_KEY_ID | cloud IAM user | aws | cloud_key_detected
-AWS_SECRET_ACCESS_KEY | cloud IAM user | aws | cloud_key_detected
-AWS_SESSION_TOKEN | cloud IAM user | aws | cloud_key_detected
-AZURE_CLIENT_SECRET | service account | azure | cloud_key_detected
-GOOGLE_APPLICATION_CREDENTIALS | service account | google cloud | service_account_key_file
-GITHUB_TOKEN | GitHub token | github | github_token_detected
-GH_TOKEN | GitHub token | github | github_token_detected
-OPENAI_API_KEY | API key | openai | ai_provider_key_detected
-ANTHROPIC_API_KEY | API key | anthropic | ai_provider_key_detected
-GEMINI_API_KEY | API key | gemini | ai_provider_key_detected
-GOOGLE_API_KEY | API key | google | ai_provider_key_detected
-AZURE_OPENAI_API_KEY | API key | azure openai | ai_provider_key_detected
-HUGGINGFACEHUB_API_TOKEN | API key | hugging face | ai_provider_key_detected
-REPLICATE_API_TOKEN | API key | replicate | ai_provider_key_detected
-MISTRAL_API_KEY | API key | mistral | ai_provider_key_detected
-COHERE_API_KEY | API key | cohere | ai_provider_key_detected
-TOGETHER_API_KEY | API key | together | ai_provider_key_detected
-GROQ_API_KEY | API key | groq | ai_provider_key_detected
-PERPLEXITY_API_KEY | API key | perplexity | ai_provider_key_detected
-OPENROUTER_API_KEY | API key | openrouter | ai_provider_key_detected
-DEEPSEEK_API_KEY | API key | deepseek | ai_provider_key_detected
-XAI_API_KEY | API key | xai | ai_provider_key_detected
-FIREWORKS_API_KEY | API key | fireworks | ai_provider_key_detected
-CEREBRAS_API_KEY | API key | cerebras | ai_provider_key_detected
-STRIPE_SECRET_KEY | API key | stripe | payment_key_detected
-SENDGRID_API_KEY | API key | sendgrid | secret_leakage
-SLACK_BOT_TOKEN | bot_account | slack | secret_leakage
-GITLAB_TOKEN | GitLab token | gitlab | secret_leakage
-NPM_TOKEN | API key | npm | package_registry_token_detected
-DOCKER_PASSWORD | automation script credential | docker | secret_leakage
-POSTGRES_PASSWORD | database connection identity | postgres | plaintext_env_secret
-TWILIO_AUTH_TOKEN | API key | twilio | secret_leakage
-SUPABASE_SERVICE_ROLE_KEY | service account | supabase | secret_leakage
-CLOUDFLARE_API_TOKEN | API key | cloudflare | cloud_key_detected
-VERCEL_TOKEN | API key | vercel | deployment_platform_token_detected
-DATABASE_URL | database connection identity | database | database_url_with_credentials
-MONGODB_URI | database connection identity | database | database_url_with_credentials
-REDIS_URL | database connection identity | database | database_url_with_credentials
-SECRET_KEY | automation script credential | | plaintext_env_secret
-JWT_SECRET | automation script credential | | plaintext_env_secret
-WEBHOOK_SECRET | webhook secret | | webhook_secret_exposed
-API_KEY | API key | | plaintext_env_secret
-CLIENT_SECRET | OAuth application | | oauth_client_secret_present
-PRIVATE_KEY | service account | | private_key_detected
+AWS_ACCESS_KEY_ID | cloud IAM user | aws | nhi_cloud_key_detected
+AWS_SECRET_ACCESS_KEY | cloud IAM user | aws | nhi_cloud_key_detected
+AWS_SESSION_TOKEN | cloud IAM user | aws | nhi_cloud_key_detected
+AZURE_CLIENT_SECRET | service account | azure | nhi_cloud_key_detected
+GOOGLE_APPLICATION_CREDENTIALS | service account | google cloud | nhi_service_account_key_file
+GITHUB_TOKEN | GitHub token | github | nhi_github_token_detected
+GH_TOKEN | GitHub token | github | nhi_github_token_detected
+OPENAI_API_KEY | API key | openai | nhi_ai_provider_key_detected
+ANTHROPIC_API_KEY | API key | anthropic | nhi_ai_provider_key_detected
+GEMINI_API_KEY | API key | gemini | nhi_ai_provider_key_detected
+GOOGLE_API_KEY | API key | google | nhi_ai_provider_key_detected
+AZURE_OPENAI_API_KEY | API key | azure openai | nhi_ai_provider_key_detected
+HUGGINGFACEHUB_API_TOKEN | API key | hugging face | nhi_ai_provider_key_detected
+REPLICATE_API_TOKEN | API key | replicate | nhi_ai_provider_key_detected
+MISTRAL_API_KEY | API key | mistral | nhi_ai_provider_key_detected
+COHERE_API_KEY | API key | cohere | nhi_ai_provider_key_detected
+TOGETHER_API_KEY | API key | together | nhi_ai_provider_key_detected
+GROQ_API_KEY | API key | groq | nhi_ai_provider_key_detected
+PERPLEXITY_API_KEY | API key | perplexity | nhi_ai_provider_key_detected
+OPENROUTER_API_KEY | API key | openrouter | nhi_ai_provider_key_detected
+DEEPSEEK_API_KEY | API key | deepseek | nhi_ai_provider_key_detected
+XAI_API_KEY | API key | xai | nhi_ai_provider_key_detected
+FIREWORKS_API_KEY | API key | fireworks | nhi_ai_provider_key_detected
+CEREBRAS_API_KEY | API key | cerebras | nhi_ai_provider_key_detected
+STRIPE_SECRET_KEY | API key | stripe | nhi_payment_key_detected
+SENDGRID_API_KEY | API key | sendgrid | nhi_secret_leakage
+SLACK_BOT_TOKEN | bot_account | slack | nhi_secret_leakage
+GITLAB_TOKEN | GitLab token | gitlab | nhi_secret_leakage
+NPM_TOKEN | API key | npm | nhi_package_registry_token_detected
+DOCKER_PASSWORD | automation script credential | docker | nhi_secret_leakage
+POSTGRES_PASSWORD | database connection identity | postgres | nhi_plaintext_env_secret
+TWILIO_AUTH_TOKEN | API key | twilio | nhi_secret_leakage
+SUPABASE_SERVICE_ROLE_KEY | service account | supabase | nhi_secret_leakage
+CLOUDFLARE_API_TOKEN | API key | cloudflare | nhi_cloud_key_detected
+VERCEL_TOKEN | API key | vercel | nhi_deployment_platform_token_detected
+DATABASE_URL | database connection identity | database | nhi_database_url_with_credentials
+MONGODB_URI | database connection identity | database | nhi_database_url_with_credentials
+REDIS_URL | database connection identity | database | nhi_database_url_with_credentials
+SECRET_KEY | automation script credential | | nhi_plaintext_env_secret
+JWT_SECRET | automation script credential | | nhi_plaintext_env_secret
+WEBHOOK_SECRET | webhook secret | | nhi_webhook_secret_exposed
+API_KEY | API key | | nhi_plaintext_env_secret
+CLIENT_SECRET | OAuth application | | nhi_oauth_client_secret_present
+PRIVATE_KEY | service account | | nhi_private_key_detected
 """.strip().splitlines()
 ]
-AI_KEYS = [k for k, _, _, rule in ENV_KEYS if rule == "ai_provider_key_detected"]
+AI_KEYS = [k for k, _, _, rule in ENV_KEYS if rule == "nhi_ai_provider_key_detected"]
 CREDENTIAL_URL = r"://[^:\s/@]*:[^@\s/]+@"
 TEMPLATE_NAME = r"example|sample|template|\.dist"
 SUFFIXES = r"(?:^|_)(?:API_KEY|APIKEY|SECRET|SECRET_KEY|TOKEN|PASSWORD|PASSWD|ACCESS_KEY|AUTH_TOKEN)$"
 
 
-def detect_env_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+@detector
+def detect_env_secrets(artifacts: DataFrame) -> DataFrame:
     """``.env`` files: named keys, telling suffixes, URLs with credentials; templates are of low confidence."""
     lines = X.explode_lines(file_columns(artifacts).where(X.base_name().startswith(".env")), keep=[*X.FILE, *[c for c in HISTORY if c in artifacts.columns]])
     s = F.regexp_replace(F.trim("line"), r"(?i)^export\s+", "")
@@ -271,18 +342,18 @@ def detect_env_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     ai = F.col("key").isin(AI_KEYS)
     low = F.when(X.base_name().rlike(TEMPLATE_NAME), "low")
     production = F.col("key").contains("PROD") | F.lower("value").contains("prod") | X.base_name().rlike(r"production|\.prod")
-    rule = F.concat(F.lit("nhi_"), F.coalesce("rule", F.when(url, "database_url_with_credentials").otherwise("plaintext_env_secret")))
+    rule = F.coalesce("rule", F.when(url, "nhi_database_url_with_credentials").otherwise("nhi_plaintext_env_secret"))
     common = dict(
-        detector="env", evidence=F.concat("key", F.lit("="), F.col("value")), value=F.nullif(F.col("value"), F.lit("")), name=F.col("key"),
+        detector="env", said=F.concat("key", F.lit("="), F.col("value")), value=F.nullif(F.col("value"), F.lit("")), line=F.col("line_no"), name=F.col("key"),
         identity_type=F.coalesce("kind", F.when(url, "database connection identity").otherwise("automation script credential")), source=F.lit("env file"),
         provider=F.coalesce("key_provider", F.when(url, "database")), data_access_level=F.when(url, "customer").otherwise("unknown"),
         data_classes=F.when(ai, lit_array(["ai_prompts"])).otherwise(lit_array([])), production_access=production,
     )
     tags = F.when(ai, lit_array(["plaintext_secret", "env_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "env_secret"]))
-    base = make_signal(lines.where(wanted), keys, rule, tags=tags, explicit_confidence=low, **common)
-    live = lines.where(wanted & ai & production & low.isNull() & ~F.col("fake") & (F.col("value") != "") & ~F.col("value").contains(S.FIXTURE_MARKER))
-    more = make_signal(live, keys, F.lit("nhi_production_ai_key_in_env"), tags=lit_array(["plaintext_secret", "env_secret", "ai_provider", "production"]), explicit_confidence=F.lit("high"), **common)
-    return base.unionByName(more)
+    live = ai & production & low.isNull() & ~F.col("fake") & (F.col("value") != "") & ~F.col("value").contains(S.FIXTURE_MARKER)
+    sure = dict(tags=lit_array(["plaintext_secret", "env_secret", "ai_provider", "production"]), explicit_confidence=F.lit("high"))
+    found = entries((F.lit(True), one(entry(rule, tags=tags, explicit_confidence=low, **common))), (live, one(entry("nhi_production_ai_key_in_env", **sure, **common))))
+    return opened(lines.where(wanted), found)
 
 
 # Words that make a configuration key secret-bearing.
@@ -291,21 +362,29 @@ CONFIG_PATH = r"\.(?:json|ya?ml|toml|ini|cfg|conf|py|js|ts|sh|bash|zsh|ps1)$|doc
 CODE_PAIR = rf"(?i)([A-Za-z0-9_.-]*(?:{KEY_WORDS})[A-Za-z0-9_.-]*)\s*[:=]\s*['\"]([^'\"]+)['\"]"
 
 
-def config_rows(artifacts: DataFrame, path: str = CONFIG_PATH, gate: str = f"(?i){KEY_WORDS}") -> DataFrame:
+def speaks_of_secrets(content: Column) -> Column:
+    """A text that holds one of ``KEY_WORDS``, in any case; plain searches are faster than one pattern."""
+    words = KEY_WORDS.split("|")
+    least = [w for w in words if not any(o != w and o in w for o in words)]
+    low = F.lower(content)
+    return reduce(lambda a, b: a | b, (low.contains(w) for w in least))
+
+
+def config_rows(artifacts: DataFrame, path: str = CONFIG_PATH, gate: Callable[[Column], Column] = speaks_of_secrets) -> DataFrame:
     """(file, key, value, line_no) of JSON, YAML and TOML/INI files by their kind, and the first pair of code lines."""
-    rows = file_columns(artifacts).where(F.col("low_path").rlike(path) & F.col("content").rlike(gate))
+    rows = file_columns(artifacts).where(F.col("low_path").rlike(path) & gate(F.col("content")))
     keep = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
     content = F.col("content")
     json_pairs = F.transform(X.flatten_json(content), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), X.line_for_key_value(content, p["key"], p["value"]).alias("line_no")))
     is_json = F.col("low_path").endswith(".json") & F.try_parse_json(content).isNotNull()
-    pairs = F.when(is_json, json_pairs.cast(X.PAIR)).when(F.col("low_path").rlike(r"\.ya?ml$"), X.yaml_pairs(content)).when(F.col("low_path").rlike(r"\.(?:toml|ini|cfg|conf)$"), X.kv_pairs(content))
-    config = rows.select(*keep, pairs.alias("pairs")).select(*keep, F.inline_outer("pairs")).where("key IS NOT NULL")
-    code = X.explode_lines(rows.where(pairs.isNull()), keep=keep)
-    code = code.where(F.col("line").rlike(CODE_PAIR)).select(*keep, F.regexp_extract("line", CODE_PAIR, 1).alias("key"), F.regexp_extract("line", CODE_PAIR, 2).alias("value"), "line_no")
-    return config.unionByName(code)
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x, i: F.struct(x.alias("s"), (i + 1).alias("n"))), lambda x: x["s"].rlike(CODE_PAIR))
+    code = F.transform(lines, lambda x: F.struct(F.regexp_extract(x["s"], CODE_PAIR, 1).alias("key"), F.regexp_extract(x["s"], CODE_PAIR, 2).alias("value"), x["n"].alias("line_no")))
+    pairs = F.when(is_json, json_pairs.cast(X.PAIR)).when(F.col("low_path").rlike(r"\.ya?ml$"), X.yaml_pairs(content)).when(F.col("low_path").rlike(r"\.(?:toml|ini|cfg|conf)$"), X.kv_pairs(content)).otherwise(code.cast(X.PAIR))
+    return rows.select(*keep, pairs.alias("pairs")).select(*keep, F.inline_outer("pairs")).where("key IS NOT NULL")
 
 
-def detect_credential_assignments(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+@detector
+def detect_credential_assignments(artifacts: DataFrame) -> DataFrame:
     """Secret-named keys with secret-shaped values in configuration and code."""
     rows = config_rows(artifacts).withColumn("low", F.regexp_replace(F.lower(F.regexp_extract("key", r"([^.]*)$", 1)), "-", "_"))
     value = F.coalesce("value", F.lit(""))
@@ -323,16 +402,18 @@ def detect_credential_assignments(artifacts: DataFrame, keys: DataFrame) -> Data
     tags = F.when(ai, lit_array(["plaintext_secret", "hardcoded_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "hardcoded_secret"]))
     kind = F.when(F.col("low").contains("key") | ai, "api_key").otherwise("automation script credential")
     provider = F.when(ai, F.regexp_replace(F.regexp_extract("low", "^(.*?)(?:_api)?_(?:key|token)$", 1), "_", " "))
-    return make_signal(rows, keys, rule, F.concat("key", F.lit(": "), value), value, detector="config", name=F.col("key"), identity_type=kind, source=F.lit("generic config"), provider=provider, tags=tags)
+    return hit(rows, rule, F.concat("key", F.lit(": "), value), value, detector="config", name=F.col("key"), identity_type=kind, source=F.lit("generic config"), provider=provider, tags=tags)
 
 
 # Names of state attributes that hold secrets, beside those of any secret.
+NESTED_PATH = r"(?:^|/)cdk(?:\.context)?\.json$|\.tfstate(?:\.backup)?$"
 STATE_NAME = rf"{SECRET_NAME}|access_key|auth_key|ssh_key|tls_key|certificate_pem"
 
 
-def detect_nested_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+@detector
+def detect_nested_secrets(artifacts: DataFrame) -> DataFrame:
     """JSON kinds: CDK context and Terraform state secrets; a state secret's provider is its resource type's."""
-    rows = file_columns(artifacts).where(F.col("low_path").rlike(r"(?:^|/)cdk(?:\.context)?\.json$|\.tfstate(?:\.backup)?$"))
+    rows = file_columns(artifacts).where(F.col("low_path").rlike(NESTED_PATH))
     flat = rows.select(*X.FILE, "content", F.col("low_path").endswith(".json").alias("cdk"), X.flatten_json(F.col("content")).alias("pairs"))
     types = F.filter("pairs", lambda p: p["key"].endswith(".type"))
     rows = flat.select(*X.FILE, "content", "cdk", types.alias("types"), F.inline_outer("pairs")).where("key IS NOT NULL")
@@ -344,49 +425,62 @@ def detect_nested_secrets(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     rule = F.when(F.col("cdk"), "nhi_aws_cdk_context_secret").otherwise("nhi_terraform_state_plaintext_secret")
     tags = F.when(F.col("cdk"), lit_array(["aws_cdk", "iac", "plaintext_secret"])).otherwise(lit_array(["terraform_state", "iac", "plaintext_secret"]))
     line = X.line_for_key_value(F.col("content"), F.col("key"), F.col("value"))
-    return make_signal(rows, keys, rule, F.concat("key", F.lit(": "), F.col("value")), F.col("value"), line, "state", name=F.col("key"), identity_type=F.lit("cloud_workload_identity"), source=F.lit("infrastructure state"), provider=provider, tags=tags)
+    return hit(rows, rule, F.concat("key", F.lit(": "), F.col("value")), F.col("value"), line, "state", name=F.col("key"), identity_type=F.lit("cloud_workload_identity"), source=F.lit("infrastructure state"), provider=provider, tags=tags)
+
+
+WINDOWED_PATH = r"\.ya?ml$|\.bicep$|(?:^|/)\.pypirc$|(?:^|/)\.netrc$"
+ENV_BLOCK = r"^\s*env\s*:\s*$"
+BICEP_PARAM = r"(?i)^\s*(?:@secure\(\)\s*)?param\s+([A-Za-z_]\w*)\s+(?:string|securestring)\b"
 
 
-def detect_windowed(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
-    """What needs earlier lines: Kubernetes env values by their name, Bicep parameters without ``@secure()``,
+@detector
+def detect_windowed(artifacts: DataFrame) -> DataFrame:
+    """What needs the lines around: Kubernetes environment values, Bicep parameters without a secure decorator,
     passwords of pypirc sections and netrc machines."""
     rows = file_columns(artifacts)
+    keep = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
     in_file = Window.partitionBy(*X.FILE).orderBy("line_no")
     before = in_file.rowsBetween(Window.unboundedPreceding, 0)
-    parts = []
-    k8s = X.explode_lines(rows.where(F.col("low_path").rlike(r"\.ya?ml$") & F.col("content").rlike("apiVersion|kind:") & F.col("content").rlike(r"(?m)^\s*env\s*:\s*$")))
+    content = F.col("content")
+    yaml = F.col("low_path").rlike(r"\.ya?ml$") & content.rlike("apiVersion|kind:") & content.rlike(f"(?m){ENV_BLOCK}")
+    kind = F.when(yaml, "k8s").when(F.col("low_path").endswith(".bicep"), "bicep").when(F.col("low_path").rlike(r"(?:^|/)\.pypirc$"), "pypirc")
+    lines = X.explode_lines(rows.withColumn("kind", kind).where("kind IS NOT NULL"), keep=[*keep, "kind"])
+    lines = X.in_blocks(lines, {"inside": (ENV_BLOCK, F.col("kind") == "k8s")})
     name = F.nullif(F.regexp_extract("line", r"^\s*-\s+name\s*:\s*['\"]?([A-Za-z_][\w.-]*)", 1), F.lit(""))
-    k8s = X.in_block(k8s, r"^\s*env\s*:\s*$").where("inside").withColumn("key", F.last(name, True).over(before))
-    k8s = k8s.withColumn("value", F.trim(F.regexp_extract("line", r"^\s*value\s*:\s*['\"]?([^#\n'\"]*)", 1)))
-    k8s = k8s.where(F.lower("key").rlike(SECRET_NAME) & ~F.col("value").rlike(r"^[${]") & S.looks_like_secret(F.col("value")))
-    parts.append(make_signal(k8s, keys, F.lit("nhi_kubernetes_env_plaintext_secret"), F.trim("line"), F.col("value"), detector="kubernetes env", name=F.col("key"), identity_type=F.lit("service account"), source=F.lit("kubernetes"), provider=F.lit("kubernetes"), tags=lit_array(["kubernetes", "plaintext_secret"])))
-
-    param = r"(?i)^\s*(?:@secure\(\)\s*)?param\s+([A-Za-z_]\w*)\s+(?:string|securestring)\b"
-    bicep = X.explode_lines(rows.where(F.col("low_path").endswith(".bicep")))
-    five = in_file.rowsBetween(-5, -1)
     barrier = F.col("line").rlike(r"^\s*$|^\s*param\s")
-    prior = F.collect_list(F.struct(barrier.alias("stop"), F.col("line").contains("@secure(").alias("secure"), "line_no")).over(five)
-    stop_at = F.coalesce(F.array_max(F.transform(F.filter("prior", lambda p: p["stop"]), lambda p: p["line_no"])), F.lit(0))
-    bicep = bicep.withColumn("prior", prior).withColumn("covered", F.exists("prior", lambda p: p["secure"] & (p["line_no"] > stop_at)))
-    bicep = bicep.withColumn("key", F.regexp_extract("line", param, 1)).where((F.col("key") != "") & F.lower("key").rlike(SECRET_NAME) & ~F.col("covered") & ~F.col("line").contains("@secure("))
-    parts.append(make_signal(bicep, keys, F.lit("nhi_bicep_param_missing_secure_decorator"), F.trim("line"), detector="bicep", name=F.col("key"), identity_type=F.lit("cloud_workload_identity"), source=F.lit("bicep"), provider=F.lit("azure"), tags=lit_array(["bicep", "iac", "missing_secure"]), explicit_confidence=F.lit("high")))
-
-    pypirc = X.explode_lines(rows.where(F.col("low_path").rlike(r"(?:^|/)\.pypirc$")))
+    prior = F.collect_list(F.struct(barrier.alias("stop"), F.col("line").contains("@secure(").alias("secure"), "line_no")).over(in_file.rowsBetween(-5, -1))
     section = F.last(F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]", 1), F.lit("")), True).over(before)
-    pypirc = pypirc.withColumn("section", section).withColumn("value", X.unquote(F.trim(F.regexp_extract("line", r"(?i)^\s*password\s*=\s*(.+)$", 1))))
-    pypirc = pypirc.where(~F.col("value").startswith("$") & (S.looks_like_secret(F.col("value")) | F.col("value").startswith("pypi-")))
-    named = F.coalesce(F.concat(F.lit("["), F.lower("section"), F.lit("] password")), F.lit("password"))
+    # an environment value's name stands in its block
+    lines = lines.withColumns({"key": F.last(F.when(F.col("inside"), name), True).over(before), "prior": prior, "section": section})
+    stop_at = F.coalesce(F.array_max(F.transform(F.filter("prior", lambda p: p["stop"]), lambda p: p["line_no"])), F.lit(0))
+    covered = F.exists("prior", lambda p: p["secure"] & (p["line_no"] > stop_at)) | F.col("line").contains("@secure(")
+    value = F.trim(F.regexp_extract("line", r"^\s*value\s*:\s*['\"]?([^#\n'\"]*)", 1))
+    password = X.unquote(F.trim(F.regexp_extract("line", r"(?i)^\s*password\s*=\s*(.+)$", 1)))
+    param = F.regexp_extract("line", BICEP_PARAM, 1)
+    said, line = F.trim("line"), F.col("line_no")
     publish = ["package_registry", "publish_token", "supply_chain"]
-    parts.append(make_signal(pypirc, keys, F.lit("nhi_pypi_token_in_pypirc"), F.trim("line"), F.col("value"), detector="pypirc", name=named, identity_type=F.lit("api_key"), source=F.lit("pypirc"), provider=F.lit("pypi"), tags=lit_array(["pypi", *publish]), explicit_confidence=F.lit("high")))
-
-    netrc = X.explode_lines(rows.where(F.col("low_path").rlike(r"(?:^|/)\.netrc$")))
-    tokens = netrc.select(*X.FILE, "line_no", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("at", "token"))
+    found = entries(
+        (
+            (F.col("kind") == "k8s") & F.col("inside") & F.lower("key").rlike(SECRET_NAME) & ~value.rlike(r"^[${]") & S.looks_like_secret(value),
+            one(entry("nhi_kubernetes_env_plaintext_secret", said, line, "kubernetes env", value, name=F.col("key"), identity_type=F.lit("service account"), source=F.lit("kubernetes"), provider=F.lit("kubernetes"), tags=lit_array(["kubernetes", "plaintext_secret"]))),
+        ),
+        (
+            (F.col("kind") == "bicep") & (param != "") & F.lower(param).rlike(SECRET_NAME) & ~covered,
+            one(entry("nhi_bicep_param_missing_secure_decorator", said, line, "bicep", name=param, identity_type=F.lit("cloud_workload_identity"), source=F.lit("bicep"), provider=F.lit("azure"), tags=lit_array(["bicep", "iac", "missing_secure"]), explicit_confidence=F.lit("high"))),
+        ),
+        (
+            (F.col("kind") == "pypirc") & ~password.startswith("$") & (S.looks_like_secret(password) | password.startswith("pypi-")),
+            one(entry("nhi_pypi_token_in_pypirc", said, line, "pypirc", password, name=F.coalesce(F.concat(F.lit("["), F.lower("section"), F.lit("] password")), F.lit("password")), identity_type=F.lit("api_key"), source=F.lit("pypirc"), provider=F.lit("pypi"), tags=lit_array(["pypi", *publish]), explicit_confidence=F.lit("high"))),
+        ),
+    )
+    netrc = X.explode_lines(rows.where(F.col("low_path").rlike(r"(?:^|/)\.netrc$")), keep=keep)
+    tokens = netrc.select(*keep, "line_no", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("at", "token"))
     order = Window.partitionBy(*X.FILE).orderBy("line_no", "at")
-    last = F.lag("token").over(order)
-    tokens = tokens.withColumn("before", F.lower(last)).withColumn("machine", F.last(F.when(F.col("before") == "machine", F.col("token")), True).over(order)).withColumn("login", F.last(F.when(F.col("before") == "login", F.col("token")), True).over(order))
+    tokens = tokens.withColumn("before", F.lower(F.lag("token").over(order)))
+    tokens = tokens.withColumns({w: F.last(F.when(F.col("before") == w, F.col("token")), True).over(order) for w in ("machine", "login")})
     tokens = tokens.where((F.col("before") == "password") & S.looks_like_secret(F.col("token")))
-    parts.append(make_signal(tokens, keys, F.lit("nhi_netrc_credential"), F.concat_ws(" ", F.lit("machine"), "machine", F.lit("password")), F.col("token"), detector="netrc", name=F.coalesce(F.concat_ws(":", "machine", "login"), F.lit("netrc password")), identity_type=F.lit("api_key"), source=F.lit("netrc"), provider=F.lit("netrc"), tags=lit_array(["netrc", "package_registry", "supply_chain"]), explicit_confidence=F.lit("high")))
-    return reduce(DataFrame.unionByName, parts)
+    machines = hit(tokens, F.lit("nhi_netrc_credential"), F.concat_ws(" ", F.lit("machine"), "machine", F.lit("password")), F.col("token"), detector="netrc", name=F.coalesce(F.concat_ws(":", "machine", "login"), F.lit("netrc password")), identity_type=F.lit("api_key"), source=F.lit("netrc"), provider=F.lit("netrc"), tags=lit_array(["netrc", "package_registry", "supply_chain"]), explicit_confidence=F.lit("high"))
+    return opened(lines, found).unionByName(machines)
 
 
 # OAuth scopes and extension permissions that reach far.
@@ -396,62 +490,85 @@ RISKY_PERMISSIONS = "tabs cookies webRequest webRequestBlocking debugger nativeM
 WIDE_HOST = r"^(?:<all_urls>$|(?:\*|https?|wss?)://\*)"
 
 
-def detect_documents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+OAUTH_PATH, MANIFEST_PATH, PACKAGE_PATH = r"(?:oauth|app|config)[^/]*\.(?:json|ya?ml)$", r"(?:^|/)(?:browser_extension_)?manifest\.json$", r"(?:^|/)package\.json$"
+RENOVATE_PATH, DEPENDABOT_PATH = r"renovate[^/]*\.json5?$|\.renovaterc", r"dependabot\.ya?ml$"
+DOCUMENT_PATH = "|".join((OAUTH_PATH, MANIFEST_PATH, PACKAGE_PATH, RENOVATE_PATH, DEPENDABOT_PATH))
+MANIFEST = "name string, permissions array<string>, host_permissions array<string>, optional_permissions array<string>, optional_host_permissions array<string>, background struct<service_worker:string,scripts:array<string>>"
+
+
+@detector
+def detect_documents(artifacts: DataFrame) -> DataFrame:
     """Whole documents: OAuth scopes, extension manifests, package scripts, Renovate and Dependabot settings."""
-    rows = file_columns(artifacts)
-    content = F.col("content")
-    parts = []
-    oauth = rows.where(F.col("low_path").rlike(r"(?:oauth|app|config)[^/]*\.(?:json|ya?ml)$") & content.rlike("(?i)scope"))
+    content, path = F.col("content"), F.col("low_path")
+    rows = file_columns(artifacts).where(path.rlike(DOCUMENT_PATH))
+    # each document is parsed once, in a column of its own, and only by its kind
     pairs = F.coalesce(F.transform(X.flatten_json(content), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), F.lit(0).alias("line_no"))).cast(X.PAIR), X.yaml_pairs(content))
-    words = F.flatten(F.transform(F.filter(pairs, lambda p: F.lower(p["key"]).contains("scope")), lambda p: F.split(F.lower(p["value"]), r"[\s,;]+")))
+    rows = rows.withColumns(
+        {
+            "scopes_of": F.when(path.rlike(OAUTH_PATH) & content.rlike("(?i)scope"), pairs),
+            "manifest": F.when(path.rlike(MANIFEST_PATH), F.from_json(content, MANIFEST)),
+            "scripts": F.when(path.rlike(PACKAGE_PATH), F.map_entries(F.from_json(content, "scripts map<string,string>")["scripts"])),
+            "is_renovate": path.rlike(RENOVATE_PATH),
+            "flat": F.when(path.rlike(RENOVATE_PATH), X.flatten_json(X.json5_lite(content))),
+            "is_dependabot": path.rlike(DEPENDABOT_PATH),
+        }
+    )
+    words = F.flatten(F.transform(F.filter("scopes_of", lambda p: F.lower(p["key"]).contains("scope")), lambda p: F.split(F.lower(p["value"]), r"[\s,;]+")))
     clean = F.transform(words, lambda w: F.regexp_replace(w, r"^['\"\[\](){}]+|['\"\[\](){}]+$", ""))
     broad = F.array_sort(F.array_distinct(F.filter(clean, lambda w: w.isin(BROAD_SCOPES) | w.startswith("admin:") | F.regexp_extract(w, r"/([^/]+)$", 1).isin(BROAD_SCOPES))))
-    oauth = oauth.withColumn("broad", broad).where(F.size("broad") > 0)
-    parts.append(make_signal(oauth, keys, F.lit("nhi_broad_oauth_scope"), F.concat(F.lit("Broad OAuth scopes: "), F.array_join("broad", ", ")), None, X.line_of_pattern(content, "(?i)scope"), "oauth", name=X.stem(), identity_type=F.lit("OAuth application"), source=F.lit("OAuth config"), scopes=F.col("broad"), external_access=F.lit(True), tags=lit_array(["oauth", "broad_scope"])))
-
-    manifest = rows.where(F.col("low_path").rlike(r"(?:^|/)(?:browser_extension_)?manifest\.json$"))
-    kind = "name string, permissions array<string>, host_permissions array<string>, optional_permissions array<string>, optional_host_permissions array<string>, background struct<service_worker:string,scripts:array<string>>"
-    none = lit_array([])
-    m = manifest.withColumn("j", F.from_json(content, kind))
-    m = m.withColumn("asked", F.concat(*(F.coalesce(f"j.{c}", none) for c in ("permissions", "host_permissions", "optional_permissions", "optional_host_permissions"))))
-    m = m.withColumn("risky", F.array_sort(F.array_distinct(F.filter("asked", lambda p: p.isin(RISKY_PERMISSIONS) | p.rlike(r"^(?:\*|https?|wss?)://\*|\*://"))))).where(F.size("risky") > 0)
-    behind = (F.col("j.background.service_worker").isNotNull() | (F.size("j.background.scripts") > 0)) & F.exists("risky", lambda p: p.rlike(WIDE_HOST))
-    common = dict(detector="extension", line=F.lit(1), value=None, name=F.coalesce("j.name", F.lit("Browser extension")), identity_type=F.lit("browser_extension"), source=F.lit("browser extension"), permissions=F.col("risky"), external_access=F.lit(True), data_access_level=F.lit("session"))
-    parts.append(make_signal(m, keys, F.lit("nhi_browser_extension_risky_permissions"), F.array_join("risky", ", "), tags=lit_array(["browser_extension", "broad_permissions"]), **common))
-    parts.append(make_signal(m.where(behind), keys, F.lit("nhi_browser_extension_broad_host_background"), F.array_join("risky", ", "), tags=lit_array(["browser_extension", "broad_permissions", "background_script"]), explicit_confidence=F.lit("high"), **common))
-
-    scripts = rows.where(F.col("low_path").rlike(r"(?:^|/)package\.json$")).select("*", F.explode(F.from_json(content, "scripts map<string,string>")["scripts"]).alias("script", "command"))
-    token = F.regexp_extract("command", r"(?i)(?:token|secret|password|api_key)\s*=\s*['\"]?([^'\"\s]+)", 1)
-    checks = [
-        ("nhi_environment_isolation_failure", F.lower(F.concat("script", F.lit(" "), "command")).rlike("deploy|production|prod"), None, ("package", "deployment"), True),
-        ("nhi_hardcoded_secret", S.looks_like_secret(token), token, ("package", "plaintext_secret"), False),
-        ("nhi_npm_script_remote_execution", F.col("command").rlike(r"(?i)\b(?:curl|wget)\b[^\n|]*\|\s*(?:ba|z|k)?sh\b"), None, ("package", "remote_script"), False),
-    ]
-    for rule, ok, value, tags, production in checks:
-        parts.append(make_signal(scripts.where(ok), keys, F.lit(rule), F.concat("script", F.lit(": "), "command"), value, X.line_for_key_value(content, F.col("script"), F.col("command")), "package", name=F.concat(F.lit("npm script "), "script"), identity_type=F.lit("automation script credential"), source=F.lit("package scripts"), tags=lit_array(tags), production_access=F.lit(production)))
+    asked = F.concat(*(F.coalesce(f"manifest.{c}", lit_array([])) for c in ("permissions", "host_permissions", "optional_permissions", "optional_host_permissions")))
+    risky = F.array_sort(F.array_distinct(F.filter(asked, lambda p: p.isin(RISKY_PERMISSIONS) | p.rlike(r"^(?:\*|https?|wss?)://\*|\*://"))))
+    rows = rows.withColumns({"broad": F.coalesce(broad, lit_array([])), "risky": F.when(F.col("manifest").isNotNull(), risky).otherwise(lit_array([])), "unread": F.col("is_renovate") & F.col("flat").isNull()})
+    rows = rows.withColumn("flat", F.coalesce("flat", F.array().cast("array<struct<key:string,value:string>>")))
+    held = F.array_size("risky") > 0
+    behind = held & (F.col("manifest.background.service_worker").isNotNull() | (F.size("manifest.background.scripts") > 0)) & F.exists("risky", lambda p: p.rlike(WIDE_HOST))
+    extension = dict(said=F.array_join("risky", ", "), line=F.lit(1), detector="extension", name=F.coalesce("manifest.name", F.lit("Browser extension")), identity_type=F.lit("browser_extension"), source=F.lit("browser extension"), permissions=F.col("risky"), external_access=F.lit(True), data_access_level=F.lit("session"))
+
+    def script(x: Column) -> Column:
+        key, command = x["key"], x["value"]
+        token = F.regexp_extract(command, r"(?i)(?:token|secret|password|api_key)\s*=\s*['\"]?([^'\"\s]+)", 1)
+        common = dict(said=F.concat(key, F.lit(": "), command), line=X.line_for_key_value(content, key, command), detector="package", name=F.concat(F.lit("npm script "), key), identity_type=F.lit("automation script credential"), source=F.lit("package scripts"))
+        return entries(
+            (F.lower(F.concat(key, F.lit(" "), command)).rlike("deploy|production|prod"), one(entry("nhi_environment_isolation_failure", tags=lit_array(["package", "deployment"]), production_access=F.lit(True), **common))),
+            (S.looks_like_secret(token), one(entry("nhi_hardcoded_secret", value=token, tags=lit_array(["package", "plaintext_secret"]), **common))),
+            (command.rlike(r"(?i)\b(?:curl|wget)\b[^\n|]*\|\s*(?:ba|z|k)?sh\b"), one(entry("nhi_npm_script_remote_execution", tags=lit_array(["package", "remote_script"]), **common))),
+        )
 
-    bots = rows.where(F.col("low_path").rlike(r"renovate[^/]*\.json5?$|\.renovaterc|dependabot\.ya?ml$")).withColumn("is_renovate", F.col("low_path").contains("renovate")).withColumn("flat", X.flatten_json(X.json5_lite(content)))
-    bots = bots.withColumn("unread", F.col("flat").isNull()).withColumn("flat", F.coalesce("flat", F.array().cast("array<struct<key:string,value:string>>")))
+    bot = dict(detector="bots", identity_type=F.lit("bot_account"), source=F.lit("bot config"))
     pair = lambda test: F.exists("flat", test)
-    token = F.filter("flat", lambda p: p["key"].rlike(r"(?i)hostRules.*\.(?:token|password|encrypted)$") & S.looks_like_secret(p["value"]))
-    renovate = [
+    settings = [
         ("nhi_renovate_bot_identity", F.lit(True), "renovate", ()),
         ("nhi_renovate_automerge_enabled", pair(lambda p: p["key"].rlike(r"(?i)automerge$") & (p["value"] == "true")) | F.col("unread") & content.rlike(r"(?i)\bautomerge\b\s*[:=]\s*true"), "automerge", ("automerge",)),
         ("nhi_renovate_vulnerability_alerts_disabled", pair(lambda p: p["key"].rlike(r"(?i)vulnerabilityAlerts(?:\.enabled)?$") & (p["value"] == "false")), "vulnerabilityAlerts", ("alerts_disabled",)),
         ("nhi_renovate_extends_github_preset", pair(lambda p: p["key"].rlike(r"(?i)^extends") & p["value"].startswith("github>")), "github>", ("third_party",)),
     ]
-    bot = dict(detector="bots", identity_type=F.lit("bot_account"), source=F.lit("bot config"))
-    for rule, ok, needle, tags in renovate:
-        parts.append(make_signal(bots.where(F.col("is_renovate") & ok), keys, F.lit(rule), F.lit(needle), None, F.coalesce(X.line_of_pattern(content, f"(?i){needle}"), F.lit(1)), name=F.lit("Renovate bot"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", *tags]), **bot))
-    held = bots.where("is_renovate").select("*", F.explode(token).alias("t"))
-    parts.append(make_signal(held, keys, F.lit("nhi_renovate_host_rules_plaintext_token"), F.concat("t.key", F.lit(": "), "t.value"), F.col("t.value"), X.line_for_key_value(content, F.col("t.key"), F.col("t.value")), name=F.lit("Renovate host rule token"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", "plaintext_secret"]), **bot))
+    renovate = [
+        (F.col("is_renovate") & ok, one(entry(rule, F.lit(needle), F.coalesce(X.line_of_pattern(content, f"(?i){needle}"), F.lit(1)), name=F.lit("Renovate bot"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", *tags]), **bot)))
+        for rule, ok, needle, tags in settings
+    ]
+
+    def token(said: Column, line: Column, value: Column) -> Column:
+        return entry("nhi_renovate_host_rules_plaintext_token", said, line, value=value, name=F.lit("Renovate host rule token"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", "plaintext_secret"]), **bot)
+
+    tokens = F.filter("flat", lambda p: p["key"].rlike(r"(?i)hostRules.*\.(?:token|password|encrypted)$") & S.looks_like_secret(p["value"]))
     # what does not parse even without comments and trailing commas is read a line at a time
-    loose = X.explode_lines(bots.where(F.col("is_renovate") & F.col("unread") & F.lower(content).contains("hostrules")), keep=[*X.FILE, *[c for c in HISTORY if c in artifacts.columns]])
-    loose = loose.withColumn("value", F.regexp_extract("line", r"(?i)\btoken\b\s*[:=]\s*['\"]?([^'\"\s,]+)", 1)).where(~F.col("value").startswith("$") & S.looks_like_secret(F.col("value")))
-    parts.append(make_signal(loose, keys, F.lit("nhi_renovate_host_rules_plaintext_token"), F.trim("line"), F.col("value"), name=F.lit("Renovate host rule token"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", "plaintext_secret"]), **bot))
-    for rule, pattern, tags in (("nhi_dependabot_bot_identity", "(?m)^updates:", ()), ("nhi_dependabot_targets_protected_branch", r"(?m)^\s*target-branch\s*:\s*['\"]?(?:main|master|production|release)", ("protected_branch",))):
-        parts.append(make_signal(bots.where(~F.col("is_renovate") & content.rlike(pattern)), keys, F.lit(rule), F.lit("dependabot update settings"), None, X.line_of_pattern(content, pattern), name=F.lit("Dependabot"), provider=F.lit("github"), tags=lit_array(["bot", "dependabot", *tags]), **bot))
-    return reduce(DataFrame.unionByName, parts)
+    loose = F.transform(F.split(content, "\n"), lambda x, i: F.struct(x.alias("s"), (i + 1).alias("n"), F.regexp_extract(x, r"(?i)\btoken\b\s*[:=]\s*['\"]?([^'\"\s,]+)", 1).alias("v")))
+    loose = F.filter(loose, lambda x: ~x["v"].startswith("$") & S.looks_like_secret(x["v"]))
+    updates = [
+        (F.col("is_dependabot") & content.rlike(pattern), one(entry(rule, F.lit("dependabot update settings"), X.line_of_pattern(content, pattern), name=F.lit("Dependabot"), provider=F.lit("github"), tags=lit_array(["bot", "dependabot", *tags]), **bot)))
+        for rule, pattern, tags in (("nhi_dependabot_bot_identity", "(?m)^updates:", ()), ("nhi_dependabot_targets_protected_branch", r"(?m)^\s*target-branch\s*:\s*['\"]?(?:main|master|production|release)", ("protected_branch",)))
+    ]
+    found = entries(
+        (F.array_size("broad") > 0, one(entry("nhi_broad_oauth_scope", F.concat(F.lit("Broad OAuth scopes: "), F.array_join("broad", ", ")), X.line_of_pattern(content, "(?i)scope"), "oauth", name=X.stem(), identity_type=F.lit("OAuth application"), source=F.lit("OAuth config"), scopes=F.col("broad"), external_access=F.lit(True), tags=lit_array(["oauth", "broad_scope"])))),
+        (held, one(entry("nhi_browser_extension_risky_permissions", tags=lit_array(["browser_extension", "broad_permissions"]), **extension))),
+        (behind, one(entry("nhi_browser_extension_broad_host_background", tags=lit_array(["browser_extension", "broad_permissions", "background_script"]), explicit_confidence=F.lit("high"), **extension))),
+        (F.col("scripts").isNotNull(), F.flatten(F.transform("scripts", script)).cast(ENTRY)),
+        *renovate,
+        (F.col("is_renovate"), F.transform(tokens, lambda t: token(F.concat(t["key"], F.lit(": "), t["value"]), X.line_for_key_value(content, t["key"], t["value"]), t["value"])).cast(ENTRY)),
+        (F.col("unread") & F.lower(content).contains("hostrules"), F.transform(loose, lambda x: token(F.trim(x["s"]), x["n"], x["v"])).cast(ENTRY)),
+        *updates,
+    )
+    return opened(rows, found)
 
 
 # What MCP servers and agents can be allowed to do, and what runs commands.
@@ -465,9 +582,10 @@ PINNED = r"(?i)@[0-9][A-Za-z0-9_.-]*|@[a-f0-9]{40}\b|sha256:[a-f0-9]{32,}|\b[a-f
 MCP_PATH = r"(?:^|/)(?:\.mcp|mcp|mcp_config|claude_desktop_config|cursor_mcp|cline_mcp_settings|mcp_settings|\.claude)\.json$|(?:^|/)librechat\.yaml$|/\.(?:gemini|zed)/settings\.json$|/\.codex/config\.toml$"
 
 
-def detect_mcp(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+@detector
+def detect_mcp(artifacts: DataFrame) -> DataFrame:
     """MCP servers: reach, remote servers, secrets, and their supply chain; servers are groups of flattened keys."""
-    rows = config_rows(artifacts, MCP_PATH, r"(?s)^").withColumn("low_key", F.lower("key")).withColumn("server", X.server_prefix(F.col("key")))
+    rows = config_rows(artifacts, MCP_PATH, lambda _: F.lit(True)).withColumn("low_key", F.lower("key")).withColumn("server", X.server_prefix(F.col("key")))
     value = F.coalesce("value", F.lit(""))
     text = F.concat("low_key", F.lit("="), value)
     command = F.when(F.col("low_key").rlike("command|args|cmd|image|url|source|package"), value)
@@ -497,24 +615,30 @@ def detect_mcp(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
     made = [F.when(ok, F.array(F.struct(F.lit(f"nhi_{r}").alias("rule"), F.lit(n).alias("label"), lit_array(t).alias("marks"), F.lit(a).alias("admin"), F.lit(c).alias("sure"), F.lit(k).alias("attack"))).cast(kind)).otherwise(F.array().cast(kind)) for r, ok, n, t, a, c, k in checks]
     found = per.withColumn("exposed", exposed).withColumn("m", F.concat(*made)).select(*X.FILE, "line_no", "server", "exposed", F.inline_outer("m")).where("rule IS NOT NULL")
     level = F.when(F.array_contains("exposed", "filesystem"), "source-code").otherwise("unknown")
-    servers = make_signal(found, keys, F.col("rule"), F.concat_ws(" ", "label", "server"), None, detector="mcp", name=F.col("label"), identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), tools=F.col("exposed"), tags=F.col("marks"), admin_access=F.col("admin"), external_access=F.lit(True), data_access_level=level, explicit_confidence=F.col("sure"), ai_attack_class=F.col("attack"))
+    servers = hit(found, F.col("rule"), F.concat_ws(" ", "label", "server"), None, detector="mcp", name=F.col("label"), identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), tools=F.col("exposed"), tags=F.col("marks"), admin_access=F.col("admin"), external_access=F.lit(True), data_access_level=level, explicit_confidence=F.col("sure"), ai_attack_class=F.col("attack"))
     bare = F.regexp_replace(value, "(?i)^bearer ", "")
     named = F.regexp_replace("low_key", "-", "_").rlike("token|api_?key|secret|auth|bearer|password|env")
     held = rows.where(named & (S.looks_like_secret(bare) | value.rlike(r"\$\{?[A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|CREDENTIAL)")))
     secret = F.when(S.looks_like_secret(bare), bare)
     marks = F.when(secret.isNotNull(), lit_array(["mcp", "plaintext_secret"])).otherwise(lit_array(["mcp", "secret_env"]))
-    passed = make_signal(held, keys, F.lit("nhi_mcp_env_secret_passthrough"), F.concat("key", F.lit("="), value), secret, detector="mcp", name=F.lit("MCP secret environment passthrough"), identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), data_classes=lit_array(["secrets"]), tags=marks, explicit_confidence=F.lit("high"), ai_attack_class=F.lit("sensitive information disclosure"), attack_chain_stage=F.lit("credential"))
-    leaked = make_signal(held.where(secret.isNotNull()), keys, F.lit("nhi_secret_leakage"), F.concat("key", F.lit("="), value), secret, detector="mcp", name=F.col("key"), identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), tags=lit_array(["mcp", "plaintext_secret"]), explicit_confidence=F.lit("high"))
-    return servers.unionByName(passed).unionByName(leaked)
+    common = dict(said=F.concat("key", F.lit("="), value), line=F.col("line_no"), detector="mcp", value=secret, identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), explicit_confidence=F.lit("high"))
+    leaks = entries(
+        (F.lit(True), one(entry("nhi_mcp_env_secret_passthrough", name=F.lit("MCP secret environment passthrough"), data_classes=lit_array(["secrets"]), tags=marks, ai_attack_class=F.lit("sensitive information disclosure"), attack_chain_stage=F.lit("credential"), **common))),
+        (secret.isNotNull(), one(entry("nhi_secret_leakage", name=F.col("key"), tags=lit_array(["mcp", "plaintext_secret"]), **common))),
+    )
+    return servers.unionByName(opened(held, leaks))
+
 
 
-AGENT_PATH = r"(?:agent|crew|tools?|gateway|litellm|assistant)[^/]*\.(?:ya?ml|json|toml|py)$|\.py$"
 FRAMEWORKS = "langchain|langgraph|llama_?index|crewai|autogen|semantic_kernel|openai_agents|haystack|pydantic_ai|smolagents"
+AGENT_TEXT = rf"(?i){FRAMEWORKS}|agent|tools?\s*[:=\[]|mcp"
+AGENT_PATH = r"(?:agent|crew|tools?|gateway|litellm|assistant)[^/]*\.(?:ya?ml|json|toml|py)$|\.py$"
 
 
-def detect_ai_agents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+@detector
+def detect_ai_agents(artifacts: DataFrame) -> DataFrame:
     """Agent configurations: one rule a file by its tool set, connectors, gateways, sensitive memory, and tool metadata."""
-    rows = file_columns(artifacts).where(F.col("low_path").rlike(AGENT_PATH) & F.col("content").rlike(rf"(?i){FRAMEWORKS}|agent|tools?\s*[:=\[]|mcp"))
+    rows = file_columns(artifacts).where(F.col("low_path").rlike(AGENT_PATH) & F.col("content").rlike(AGENT_TEXT))
     low = F.lower("content")
     rows = rows.withColumn("tools", X.capabilities(F.col("content"), AGENT_TOOLS))
     has = lambda *w: F.arrays_overlap("tools", lit_array(w))
@@ -527,8 +651,8 @@ def detect_ai_agents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
         .when((F.size("tools") > 0) & ~gated, "nhi_ai_agent_unapproved_tool_access")
         .otherwise("nhi_ai_agent_framework_detected")
     )
-    common = dict(detector="agents", value=None, line=F.coalesce(X.line_of_pattern(F.col("content"), rf"(?i){FRAMEWORKS}|agent|tools?"), F.lit(1)), source=F.lit("AI agent config"), tools=F.col("tools"), name=X.stem())
-    agents = make_signal(rows.where(agentic), keys, rule, F.concat(F.lit("Agent tools: "), F.array_join("tools", ", ")), identity_type=F.lit("ai_agent"), tags=lit_array(["ai_agent"]), admin_access=has("shell", "exec"), external_access=F.size("tools") > 0, approval_required=F.when(F.size("tools") > 0, gated), **common)
+    common = dict(detector="agents", line=F.coalesce(X.line_of_pattern(F.col("content"), rf"(?i){FRAMEWORKS}|agent|tools?"), F.lit(1)), source=F.lit("AI agent config"), tools=F.col("tools"), name=X.stem())
+    agent = entry(rule, F.concat(F.lit("Agent tools: "), F.array_join("tools", ", ")), identity_type=F.lit("ai_agent"), tags=lit_array(["ai_agent"]), admin_access=has("shell", "exec"), external_access=F.size("tools") > 0, approval_required=F.when(F.size("tools") > 0, gated), **common)
     checks = [
         ("nhi_tool_connector_high_risk_access", agentic & has("email", "payment", "refund", "deploy", "database"), "tool_connector", ("ai_agent", "tool_connector"), "high-risk connector"),
         ("nhi_ai_agent_sensitive_data_access", agentic & low.rlike("memory|vector|history") & low.rlike("customer|patient|payroll|pii"), "ai_agent", ("ai_agent", "sensitive_data"), "memory over sensitive data"),
@@ -539,57 +663,83 @@ def detect_ai_agents(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
         ("nhi_ai_tool_sensitive_sink", agentic & low.rlike(r"tool") & has("payment", "refund", "deploy", "email"), "tool_connector", ("ai_tool", "privileged_sink"), "tool with a sensitive sink"),
         ("nhi_ai_tool_shadowing", F.size(F.regexp_extract_all(low, F.lit(r"(?m)^\s*(?:-\s*)?['\"]?name['\"]?\s*[:=]\s*['\"]?([\w-]+)"), F.lit(1))) > F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?m)^\s*(?:-\s*)?['\"]?name['\"]?\s*[:=]\s*['\"]?([\w-]+)"), F.lit(1)))), "tool_connector", ("ai_tool", "shadowing"), "two tools share a name"),
     ]
-    kind = "array<struct<rule:string,kind:string,marks:array<string>,said:string>>"
-    made = [F.when(ok, F.array(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("kind"), lit_array(t).alias("marks"), F.lit(e).alias("said"))).cast(kind)).otherwise(F.array().cast(kind)) for r, ok, k, t, e in checks]
-    more = rows.withColumn("m", F.concat(*made)).select("*", F.inline_outer("m")).where("rule IS NOT NULL")
-    level = F.when(F.col("rule").contains("sensitive_data"), "customer").otherwise("unknown")
-    return agents.unionByName(make_signal(more, keys, F.col("rule"), F.col("said"), identity_type=F.col("kind"), tags=F.col("marks"), external_access=F.lit(True), data_access_level=level, **common))
+    more = [
+        (ok, one(entry(r, F.lit(said), identity_type=F.lit(k), tags=lit_array(t), external_access=F.lit(True), data_access_level=F.lit("customer" if "sensitive_data" in r else "unknown"), **common)))
+        for r, ok, k, t, said in checks
+    ]
+    return opened(rows, entries((agentic, one(agent)), *more))
 
 
-def detect_custom_regex(artifacts: DataFrame, keys: DataFrame, rules: list[dict]) -> DataFrame:
+@detector
+def detect_custom_regex(artifacts: DataFrame, rules: list[dict]) -> DataFrame:
     """Every match of each pack pattern, a line at a time, that looks like a secret. The pack's patterns are plan literals."""
     specs = [Spec("custom", r["id"].removeprefix("nhi_"), "", r["pattern"], r.get("title") or r["id"], r.get("identity_type") or "API key", "custom rule pack", value=0, provider=r.get("provider"), tags=("custom_rule",), confidence=r.get("confidence")) for r in rules if r.get("type", "regex") == "regex"]
-    out = detect_lines(artifacts, specs, keys, "custom")
+    out = line_hits(artifacts, specs)
     ids = {f"nhi_{s.rule}": r["id"] for s, r in zip(specs, [r for r in rules if r.get("type", "regex") == "regex"])}
     table = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))
-    return out.withColumn("rule_id", F.coalesce(F.try_element_at(table, F.col("rule_id")), "rule_id"))
+    return out.withColumn("_rule", F.coalesce(F.try_element_at(table, F.col("_rule")), "_rule"))
 
 
-def detect_all(artifacts: DataFrame, keys: DataFrame, custom: list[dict] | None = None) -> DataFrame:
-    """All detectors' signals. Expressions are of the ``try`` kind, so a malformed file costs its own rows only."""
-    parts = [detect_family(artifacts, f, keys) for f in FAMILIES]
-    parts += [f(artifacts, keys) for f in (detect_env_secrets, detect_credential_assignments, detect_nested_secrets, detect_windowed, detect_documents, detect_mcp, detect_ai_agents)]
+def all_hits(artifacts: DataFrame, custom: list[dict] | None = None) -> DataFrame:
+    """Hits of all detectors. Expressions are of the ``try`` kind, so a malformed file costs its own rows only."""
+    parts = [spec_hits(artifacts, ALL)]
+    parts += [f.hits(artifacts) for f in (detect_env_secrets, detect_credential_assignments, detect_nested_secrets, detect_windowed, detect_documents, detect_mcp, detect_ai_agents)]
     if custom and any(r.get("type", "regex") == "regex" for r in custom):
-        parts.append(detect_custom_regex(artifacts, keys, custom))
+        parts.append(detect_custom_regex.hits(artifacts, custom))
     return reduce(DataFrame.unionByName, parts)
 
 
+def relevant(artifacts: DataFrame, custom: list[dict] | None = None) -> DataFrame:
+    """The artifacts that some detector may say anything about, by path and whole text: the one pass over all texts."""
+    whole = {s.path: [] for s in ALL}
+    for s in ALL:
+        whole[s.path].append(f"(?:{s.match})")
+    content = F.col("content")
+    gates = [F.col("low_path").rlike(p) & content.rlike("(?m)" + "|".join(dict.fromkeys(m))) for p, m in whole.items()]
+    gates += [
+        X.base_name().startswith(".env"),
+        F.col("low_path").rlike(CONFIG_PATH) & speaks_of_secrets(content),
+        F.col("low_path").rlike(NESTED_PATH),
+        F.col("low_path").rlike(WINDOWED_PATH),
+        F.col("low_path").rlike(DOCUMENT_PATH),
+        F.col("low_path").rlike(MCP_PATH),
+        F.col("low_path").rlike(AGENT_PATH) & content.rlike(AGENT_TEXT),
+    ]
+    gates += [content.rlike("(?m)" + r["pattern"]) for r in custom or () if r.get("type", "regex") == "regex"]
+    return file_columns(artifacts).where(reduce(lambda a, b: a | b, gates)).drop("low_path")
+
+
+def detect_all(artifacts: DataFrame, keys: DataFrame, custom: list[dict] | None = None) -> DataFrame:
+    """All detectors' signals. The texts are read once, to write the few files that any detector may speak of to the
+    shared folder; the detectors read those."""
+    return signals(all_hits(staged(relevant(artifacts, custom), "relevant"), custom), keys)
+
+
 def audit_hosts(host_files: DataFrame, keys: DataFrame, strings: bool = True) -> DataFrame:
     """Fleet audit over (host, path, mode, content binary): writable configs and modules, modules outside trusted
     folders, unknown or missing ones, and telling strings in binaries."""
     files = host_files.select(F.lit("host").alias("scan_id"), F.col("host").alias("repo"), "path", "mode", F.col("content").alias("raw"))
     files = files.withColumn("is_module", F.col("path").rlike(r"/security/[^/]*\.so$|pam_\w+\.so$")).withColumn("is_config", F.col("path").rlike(r"/pam\.d/|sshd_config"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    known = [f"pam_{m}.so" for m in KNOWN_PAM]
     writable = F.col("mode").bitwiseAND(2) != 0
     fact = dict(detector="host", identity_type=F.lit("linux_auth_module"), source=F.lit("host audit"), permissions=lit_array(["host_authentication"]), data_classes=lit_array(["ssh_credentials"]), admin_access=F.lit(True), approval_required=F.lit(False))
 
     def say(df: DataFrame, rule: str, said: Column, tag: str, confidence: str = "high") -> DataFrame:
-        return make_signal(df, keys, F.lit(f"nhi_linux_pam_{rule}"), said, None, F.lit(None), name=said, tags=lit_array(["linux_auth", "pam", tag]), explicit_confidence=F.lit(confidence), **fact)
+        return hit(df, F.lit(f"nhi_linux_pam_{rule}"), said, None, F.lit(None), name=said, tags=lit_array(["linux_auth", "pam", tag]), explicit_confidence=F.lit(confidence), **fact)
 
     parts = [
         say(files.where(F.col("is_config") & writable), "config_world_writable", F.concat(F.lit("World-writable config "), name), "world_writable"),
         say(files.where(F.col("is_module") & writable), "module_world_writable", F.concat(F.lit("World-writable module "), name), "world_writable"),
         say(files.where(F.col("is_module") & ~F.col("path").rlike(f"^{TRUSTED}")), "module_outside_trusted_dir", F.concat(F.lit("Module outside trusted folders: "), name), "persistence_path"),
-        say(files.where(F.col("is_module") & ~name.isin(known)), "unknown_module", F.concat(F.lit("Unknown module on host: "), name), "unknown_module", "medium"),
+        say(files.where(F.col("is_module") & ~name.isin(KNOWN_PAM)), "unknown_module", F.concat(F.lit("Unknown module on host: "), name), "unknown_module", "medium"),
     ]
     lines = files.where("is_config").select("scan_id", "repo", "path", F.explode(F.split(F.make_valid_utf8(F.col("raw").cast("string")), "\n")).alias("line"))
     refs = lines.select("scan_id", "repo", "path", F.regexp_extract("line", r"(?i)^\s*(?:auth|account|password|session)\s+\S+\s+(?:\S*/)?([\w.-]+\.so)", 1).alias("module")).where("module <> ''").distinct()
     present = files.where("is_module").select("repo", name.alias("module")).distinct()
     parts.append(say(refs.join(present, ["repo", "module"], "left_anti"), "referenced_module_missing", F.concat(F.lit("Referenced module missing: "), "module"), "missing_module", "medium"))
-    parts.append(say(refs.where(~F.col("module").isin(known) & F.col("module").startswith("pam_")), "unknown_module", F.concat(F.lit("Unknown module reference: "), "module"), "unknown_module", "medium"))
+    parts.append(say(refs.where(~F.col("module").isin(KNOWN_PAM) & F.col("module").startswith("pam_")), "unknown_module", F.concat(F.lit("Unknown module reference: "), "module"), "unknown_module", "medium"))
     if strings:
         printed = files.where("is_module").withColumn("s", F.array_join(X.bounded_strings(F.col("raw")), "\n"))
         parts.append(say(printed.where(F.col("s").rlike(r"(?i)\b(?:SSH_CONNECTION|SSH_CLIENT|SSH_TTY|PAM_AUTHTOK|pam_get_authtok|getspnam)\b")), "ssh_credential_theft_indicators", F.concat(F.lit("Credential strings in "), name), "credential_theft"))
         parts.append(say(printed.where(F.col("s").rlike(r"(?i)HISTFILE\s*=\s*/dev/null|unset\s+HISTFILE|auditctl\s+-D")), "antiforensics_indicators", F.concat(F.lit("Anti-forensics strings in "), name), "antiforensics"))
-    return reduce(DataFrame.unionByName, parts)
+    return signals(reduce(DataFrame.unionByName, parts), keys)

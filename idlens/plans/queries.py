@@ -47,29 +47,165 @@ def by_rule(signals: DataFrame) -> DataFrame:
     return signals.groupBy("repo", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
-# What each kind of file of the corpus must yield: detector, kind, rule.
+def by_signal(signals: DataFrame) -> DataFrame:
+    """Signals of one kind of file read alike, so that they are counted by all they say."""
+    said = ["repo", "rule_id", "line_no", "name", "provider", "confidence", F.array_join("tags", ",").alias("tags")]
+    return signals.groupBy(*said).agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+
+
+# What each kind of file of the corpus must yield, and nothing else:
+# detector | kind | line | rule | name | provider | confidence | tags.
 PLANTED = [
-    ("env", 0, "plaintext_env_secret"), ("env", 0, "cloud_key_detected"), ("vendor", 0, "cloud_key_detected"), ("vendor", 14, "encoded_registry_auth_detected"),
-    ("config", 2, "hardcoded_secret"), ("config", 3, "hardcoded_secret"), ("config", 5, "hardcoded_secret"), ("config", 9, "hardcoded_secret"),
-    ("ci", 4, "github_actions_write_all"), ("ci", 4, "github_actions_unpinned_action"), ("ci", 4, "github_actions_expression_injection"), ("ci", 5, "gitlab_ci_plaintext_variable"),
-    ("iac", 6, "plaintext_env_secret"), ("iac", 6, "docker_remote_script_execution"), ("iac", 7, "cloud_admin_policy"), ("iac", 7, "cloud_key_detected"), ("iac", 8, "overprivileged_nhi"),
-    ("windowed", 8, "kubernetes_env_plaintext_secret"), ("registry", 14, "npm_registry_token_in_npmrc"),
-    ("ai", 13, "prompt_artifact_prompt_injection"), ("ai", 13, "prompt_artifact_system_prompt_leakage"), ("ai", 10, "rag_context_to_tool_bridge"),
-    ("host", 15, "linux_pam_absolute_module_path"), ("host", 15, "linux_pam_module_outside_trusted_dir"), ("host", 15, "linux_pam_unknown_module"), ("host", 15, "linux_pam_auth_chain_modified"),
-    ("agents", 10, "ai_agent_shell_access"), ("mcp", 12, "mcp_package_install_without_pinning"), ("mcp", 12, "mcp_server_high_risk_tool_access"),
-]
+    tuple(x.strip() for x in row.split("|"))
+    for row in """
+env | 0 | 2 | nhi_plaintext_env_secret | PAY_TOKEN | - | medium | plaintext_secret,env_secret
+env | 0 | 3 | nhi_cloud_key_detected | AWS_ACCESS_KEY_ID | aws | high | plaintext_secret,env_secret
+vendor | 0 | 3 | nhi_cloud_key_detected | AWS_ACCESS_KEY_ID | aws | high | plaintext_secret,modern_saas
+config | 2 | 2 | nhi_hardcoded_secret | password | - | medium | plaintext_secret,hardcoded_secret
+config | 3 | 1 | nhi_hardcoded_secret | service.api_key | - | medium | plaintext_secret,hardcoded_secret
+ci | 4 | 1 | nhi_github_actions_write_all | GitHub Actions workflow token | github | high | ci_cd,broad_permissions
+ci | 4 | 5 | nhi_github_actions_unpinned_action | acme/ship | github | medium | ci_cd,third_party,unpinned
+ci | 4 | 7 | nhi_github_actions_expression_injection | Untrusted expression in run step | github | medium | ci_cd,expression_injection
+ci | 5 | 2 | nhi_gitlab_ci_plaintext_variable | DEPLOY_TOKEN | gitlab | medium | ci_cd,gitlab,plaintext_secret
+config | 5 | 2 | nhi_hardcoded_secret | DEPLOY_TOKEN | - | medium | plaintext_secret,hardcoded_secret
+iac | 6 | 2 | nhi_plaintext_env_secret | Docker secret variable | - | medium | docker,plaintext_secret
+iac | 6 | 3 | nhi_docker_remote_script_execution | Remote script piped to shell | - | medium | docker,remote_script
+iac | 7 | 2 | nhi_cloud_admin_policy | Broad Terraform IAM policy | cloud | medium | cloud,admin_policy
+iac | 7 | 4 | nhi_cloud_key_detected | Terraform cloud credential | cloud | high | cloud,plaintext_secret
+iac | 8 | 4 | nhi_overprivileged_nhi | Host namespaces | kubernetes | medium | kubernetes,host_namespaces
+windowed | 8 | 9 | nhi_kubernetes_env_plaintext_secret | DB_PASSWORD | kubernetes | medium | kubernetes,plaintext_secret
+config | 9 | 2 | nhi_hardcoded_secret | token | - | medium | plaintext_secret,hardcoded_secret
+agents | 10 | 1 | nhi_ai_agent_shell_access | agents | - | medium | ai_agent
+ai | 10 | 2 | nhi_rag_context_to_tool_bridge | RAG context to tool bridge | - | medium | rag,untrusted_context,tool_bridge
+mcp | 12 | 1 | nhi_mcp_package_install_without_pinning | MCP unpinned server source | - | high | mcp,supply_chain,unpinned
+mcp | 12 | 1 | nhi_mcp_server_high_risk_tool_access | MCP high-risk server | - | high | mcp,high_risk_tools
+ai | 13 | 2 | nhi_prompt_artifact_prompt_injection | prompt instruction | - | high | prompt_artifact,untrusted_context,prompt_injection
+ai | 13 | 2 | nhi_prompt_artifact_system_prompt_leakage | system prompt leakage request | - | high | prompt_artifact,untrusted_context,system_prompt_leakage
+registry | 14 | 1 | nhi_npm_registry_token_in_npmrc | //registry.example.org/:_authToken | npm | high | npm,package_registry,publish_token,supply_chain
+vendor | 14 | 1 | nhi_encoded_registry_auth_detected | Package registry auth | package registry | medium | plaintext_secret,package_registry
+host | 15 | 1 | nhi_linux_pam_absolute_module_path | PAM absolute module path | - | high | linux_auth,pam,absolute_module_path
+host | 15 | 1 | nhi_linux_pam_auth_chain_modified | PAM auth chain modified | - | high | linux_auth,pam,auth_chain
+host | 15 | 1 | nhi_linux_pam_module_outside_trusted_dir | PAM module outside trusted directory | - | high | linux_auth,pam,persistence_path
+host | 15 | 1 | nhi_linux_pam_unknown_module | Unknown PAM module reference | - | medium | linux_auth,pam,unknown_module
+ci | 16 | 3 | nhi_ci_unpinned_component | acme/tool | circleci | medium | ci_cd,circleci,third_party,unpinned
+ci | 16 | 7 | nhi_overprivileged_nhi | CircleCI privileged executor | circleci | medium | ci_cd,circleci,privileged
+ci | 16 | 9 | nhi_hardcoded_secret | API_TOKEN | circleci | medium | ci_cd,circleci,plaintext_secret
+ci | 16 | 10 | nhi_circleci_context_usage | CircleCI context secrets attached | circleci | low | ci_cd,circleci,context
+config | 16 | 9 | nhi_hardcoded_secret | API_TOKEN | - | medium | plaintext_secret,hardcoded_secret
+ci | 17 | 2 | nhi_jenkins_credentials_binding | TOKEN_ID | jenkins | low | ci_cd,jenkins,credential_binding
+ci | 17 | 3 | nhi_hardcoded_secret | DB_PASSWORD | jenkins | medium | ci_cd,jenkins,plaintext_secret
+ci | 17 | 4 | nhi_jenkins_credentials_binding | Jenkins withCredentials binding | jenkins | low | ci_cd,jenkins,credential_binding
+ci | 17 | 5 | nhi_ci_remote_script_execution | Remote script piped to shell in CI step | jenkins | medium | ci_cd,jenkins,remote_script
+ci | 18 | 3 | nhi_ci_cd_broad_permissions | Azure Pipelines persistCredentials | azure devops | medium | ci_cd,azure_pipelines,broad_permissions
+ci | 18 | 4 | nhi_ci_cd_broad_permissions | Azure Pipelines System.AccessToken | azure devops | medium | ci_cd,azure_pipelines,broad_permissions
+ci | 19 | 5 | nhi_ci_unpinned_component | acme/push:latest | bitbucket | medium | ci_cd,bitbucket,third_party,unpinned
+ci | 20 | 4 | nhi_gitlab_ci_dind_privileged | GitLab CI docker-in-docker service | gitlab | medium | ci_cd,gitlab,privileged
+ci | 20 | 8 | nhi_gitlab_ci_debug_trace_enabled | GitLab CI debug tracing enabled | gitlab | high | ci_cd,gitlab,secret_exposure
+ci | 20 | 11 | nhi_gitlab_ci_job_token_exposure | $CI_JOB_TOKEN forwarded to triggered pipeline | gitlab | medium | ci_cd,gitlab,token_exposure
+ci | 20 | 12 | nhi_gitlab_ci_oidc_id_token | GitLab OIDC id_token | gitlab | medium | ci_cd,gitlab,oidc
+ci | 20 | 14 | nhi_gitlab_ci_vault_secrets | GitLab Vault secrets binding | gitlab | medium | ci_cd,gitlab,vault
+ci | 20 | 17 | nhi_gitlab_ci_unprotected_environment | GitLab unprotected deployment environment | gitlab | medium | ci_cd,gitlab,unprotected_environment
+ci | 20 | 18 | nhi_gitlab_ci_deployment_without_protected_check | GitLab deployment without protected-branch gate | gitlab | medium | ci_cd,gitlab,missing_gate
+config | 21 | 2 | nhi_hardcoded_secret | dbPassword | - | medium | plaintext_secret,hardcoded_secret
+iac | 21 | 2 | nhi_helm_values_plaintext_secret | dbPassword | helm | medium | helm,values_yaml,plaintext_secret
+iac | 22 | 2 | nhi_pulumi_config_plaintext_secret | app:dbPassword | pulumi | medium | pulumi,iac,plaintext_secret
+iac | 23 | 6 | nhi_bicep_param_default_plaintext_secret | apiKey | azure | medium | bicep,iac,plaintext_secret
+windowed | 23 | 1 | nhi_bicep_param_missing_secure_decorator | adminPassword | azure | high | bicep,iac,missing_secure
+windowed | 23 | 6 | nhi_bicep_param_missing_secure_decorator | apiKey | azure | high | bicep,iac,missing_secure
+windowed | 24 | 3 | nhi_pypi_token_in_pypirc | [pypi] password | pypi | high | pypi,package_registry,publish_token,supply_chain
+windowed | 25 | 3 | nhi_netrc_credential | m.example:bob | netrc | high | netrc,package_registry,supply_chain
+nested_secrets | 26 | 1 | nhi_terraform_state_plaintext_secret | resources[0].instances[0].attributes.deep.deeper.still[0].at.last.password | aws | medium | terraform_state,iac,plaintext_secret
+config | 27 | 1 | nhi_hardcoded_secret | context.dbPassword | - | medium | plaintext_secret,hardcoded_secret
+nested_secrets | 27 | 1 | nhi_aws_cdk_context_secret | context.dbPassword | aws | medium | aws_cdk,iac,plaintext_secret
+documents_settings | 28 | 1 | nhi_environment_isolation_failure | npm script deploy | - | medium | package,deployment
+documents_settings | 28 | 1 | nhi_hardcoded_secret | npm script login | - | medium | package,plaintext_secret
+documents_settings | 28 | 1 | nhi_npm_script_remote_execution | npm script setup | - | medium | package,remote_script
+config | 29 | 1 | nhi_hardcoded_secret | hostRules[0].token | - | medium | plaintext_secret,hardcoded_secret
+documents_settings | 29 | 1 | nhi_renovate_automerge_enabled | Renovate bot | renovate | medium | bot,renovate,automerge
+documents_settings | 29 | 1 | nhi_renovate_bot_identity | Renovate bot | renovate | medium | bot,renovate
+documents_settings | 29 | 1 | nhi_renovate_extends_github_preset | Renovate bot | renovate | medium | bot,renovate,third_party
+documents_settings | 29 | 1 | nhi_renovate_host_rules_plaintext_token | Renovate host rule token | renovate | medium | bot,renovate,plaintext_secret
+documents_settings | 29 | 1 | nhi_renovate_vulnerability_alerts_disabled | Renovate bot | renovate | medium | bot,renovate,alerts_disabled
+documents_settings | 30 | 2 | nhi_dependabot_bot_identity | Dependabot | github | medium | bot,dependabot
+documents_settings | 30 | 4 | nhi_dependabot_targets_protected_branch | Dependabot | github | medium | bot,dependabot,protected_branch
+documents_settings | 31 | 1 | nhi_browser_extension_broad_host_background | Helper | - | high | browser_extension,broad_permissions,background_script
+documents_settings | 31 | 1 | nhi_browser_extension_risky_permissions | Helper | - | medium | browser_extension,broad_permissions
+documents_settings | 32 | 1 | nhi_broad_oauth_scope | oauth_client | - | medium | oauth,broad_scope
+registry | 33 | 2 | nhi_gradle_repository_credential | repoPassword | gradle | high | gradle,package_registry,publish_token,supply_chain
+registry | 34 | 1 | nhi_hardcoded_secret | git.example.org | git | high | git,credential_store,supply_chain
+vendor | 35 | 1 | nhi_webhook_missing_signature_protection | Webhook without signature check | slack | medium | webhook,missing_signature
+vendor | 35 | 1 | nhi_webhook_secret_exposed | Webhook URL | slack | high | webhook,plaintext_secret
+vendor | 35 | 2 | nhi_webhook_missing_signature_protection | Webhook without signature check | - | medium | webhook,missing_signature
+vendor | 35 | 2 | nhi_webhook_secret_exposed | Webhook URL | - | medium | webhook,plaintext_secret
+ai | 36 | 2 | nhi_llm_output_exec_sink | Model output executed | - | high | ai_code_flow,llm_output,privileged_sink
+ai | 36 | 3 | nhi_llm_output_shell_sink | Model output in shell | - | high | ai_code_flow,llm_output,privileged_sink
+ai | 36 | 4 | nhi_llm_output_sql_sink | Model output in SQL | - | high | ai_code_flow,llm_output,privileged_sink
+ai | 36 | 5 | nhi_llm_output_html_sink | Model output in HTML | - | high | ai_code_flow,llm_output,privileged_sink
+ai | 36 | 6 | nhi_model_trust_remote_code | trust_remote_code model load | - | high | model_supply_chain,remote_code
+ai | 36 | 6 | nhi_model_unpinned_revision | unpinned model revision | - | medium | model_supply_chain,unpinned_model
+ai | 37 | 1 | nhi_ai_provider_unbounded_consumption | AI provider consumption controls | - | medium | ai_provider,unbounded_consumption
+ai | 37 | 1 | nhi_model_gateway_unlogged_routing | model gateway logging | - | medium | model_gateway,ai_gateway
+ai | 37 | 2 | nhi_model_provider_fallback_without_policy | provider fallback policy | - | medium | model_gateway,provider_fallback
+agents | 38 | 1 | nhi_ai_agent_framework_detected | index | - | medium | ai_agent
+ai | 38 | 1 | nhi_rag_no_access_filter | RAG access filter | - | medium | rag,untrusted_context,missing_filter
+ai | 38 | 1 | nhi_rag_poisoning_surface | RAG poisoning surface | - | medium | rag,untrusted_context,poisoning_surface
+ai | 38 | 1 | nhi_rag_untrusted_source_ingestion | RAG ingestion | - | medium | rag,untrusted_context,external_content
+ai | 38 | 1 | nhi_vector_store_cross_tenant_risk | Vector store tenant isolation | - | medium | rag,untrusted_context,cross_tenant
+vendor | 39 | 1 | nhi_package_registry_token_detected | NPM_TOKEN | npm | high | plaintext_secret,modern_saas
+vendor | 39 | 2 | nhi_github_token_detected | GITHUB_FINE_GRAINED_TOKEN | github | high | plaintext_secret,modern_saas
+vendor | 39 | 3 | nhi_github_token_detected | GITHUB_CLASSIC_TOKEN | github | high | plaintext_secret,modern_saas
+vendor | 39 | 4 | nhi_secret_leakage | GITLAB_PAT | gitlab | medium | plaintext_secret,modern_saas
+vendor | 39 | 5 | nhi_ai_provider_key_detected | HUGGINGFACE_TOKEN | hugging face | high | plaintext_secret,modern_saas
+vendor | 39 | 6 | nhi_ai_provider_key_detected | ANTHROPIC_API_KEY | anthropic | high | plaintext_secret,modern_saas
+vendor | 39 | 7 | nhi_payment_key_detected | STRIPE_SECRET_KEY | stripe | high | plaintext_secret,modern_saas
+vendor | 39 | 8 | nhi_deployment_platform_token_detected | VERCEL_TOKEN | vercel | high | plaintext_secret,modern_saas
+vendor | 39 | 9 | nhi_cloud_key_detected | CLOUDFLARE_API_TOKEN | cloudflare | high | plaintext_secret,modern_saas
+vendor | 39 | 10 | nhi_cloud_key_detected | AZURE_STORAGE_ACCOUNT_KEY | azure | high | plaintext_secret,modern_saas
+ci | 40 | 1 | nhi_github_actions_pull_request_target_secrets | pull_request_target secret exposure | github | high | ci_cd,secret_exposure
+ci | 40 | 4 | nhi_github_actions_self_hosted_runner | Self-hosted GitHub Actions runner | github | medium | ci_cd,self_hosted_runner
+ci | 40 | 6 | nhi_github_actions_unpinned_action | actions/checkout | github | low | ci_cd,third_party,unpinned,first_party
+ci | 40 | 8 | nhi_github_actions_prt_untrusted_checkout | pull_request_target checks out PR head | github | high | ci_cd,untrusted_checkout
+ci | 40 | 9 | nhi_ci_deployment_without_approval | CI/CD deployment identity | github | high | ci_cd,deployment_path
+ci | 40 | 9 | nhi_environment_isolation_failure | Production deployment secrets | github | medium | ci_cd,production
+ci | 40 | 12 | nhi_github_actions_secrets_inherit | Reusable workflow inherits all secrets | github | medium | ci_cd,secret_exposure
+host | 41 | 1 | nhi_linux_pam_antiforensics_indicators | PAM/SSH anti-forensics indicator | - | high | linux_auth,pam,antiforensics
+host | 41 | 2 | nhi_linux_pam_auth_chain_modified | Script modifies PAM authentication chain | - | high | linux_auth,pam,auth_chain,deployment_script
+host | 41 | 3 | nhi_linux_pam_auth_chain_modified | SSH UsePAM disabled | - | medium | linux_auth,pam,sshd_config,pam_bypass
+iac | 42 | 2 | nhi_secret_leakage | Kubernetes Secret object | kubernetes | medium | kubernetes,secret_object
+iac | 42 | 3 | nhi_kubernetes_automount_token | Kubernetes automounted token | kubernetes | medium | kubernetes
+iac | 42 | 4 | nhi_kubernetes_cluster_admin | Kubernetes cluster-admin | kubernetes | high | kubernetes,cluster_admin
+iac | 42 | 5 | nhi_docker_privileged_container | Host path mount | kubernetes | medium | kubernetes,host_access
+iac | 42 | 7 | nhi_docker_privileged_container | Privileged pod | kubernetes | medium | kubernetes,privileged
+iac | 42 | 8 | nhi_overprivileged_nhi | Container runs as root | kubernetes | medium | kubernetes,root_user
+ai | 43 | 3 | nhi_model_container_unpinned_digest | model serving image | - | medium | model_supply_chain,container
+ai | 43 | 3 | nhi_model_gateway_unlogged_routing | model gateway logging | - | medium | model_gateway,ai_gateway
+iac | 43 | 3 | nhi_model_gateway_detected | Docker model gateway service | - | high | model_gateway,docker
+iac | 43 | 4 | nhi_docker_privileged_container | Privileged container | - | medium | docker,privileged
+iac | 43 | 6 | nhi_docker_socket_mount | Docker socket mount | - | high | docker,host_access
+mcp | 44 | 1 | nhi_mcp_env_secret_passthrough | MCP secret environment passthrough | - | high | mcp,plaintext_secret
+mcp | 44 | 1 | nhi_mcp_remote_script_execution | MCP remote script execution | - | high | mcp,supply_chain,remote_script
+mcp | 44 | 1 | nhi_mcp_remote_server | MCP remote server | - | high | mcp,remote_server
+mcp | 44 | 1 | nhi_mcp_server_high_risk_tool_access | MCP high-risk server | - | high | mcp,high_risk_tools
+mcp | 44 | 1 | nhi_mcp_unsafe_runtime_flag | MCP unsafe runtime flag | - | high | mcp,unsafe_runtime
+mcp | 44 | 1 | nhi_secret_leakage | mcpServers.web.headers.Authorization | - | high | mcp,plaintext_secret
+""".strip().splitlines()
+]
 REPO_SQL = f"'repo_' || (o_custkey % {corpus.REPOS})"
 N_KINDS = len(corpus.KINDS)
 
 
 def planted_sql(detector: str) -> str:
-    rows = ", ".join(f"({k}, 'nhi_{r}')" for d, k, r in PLANTED if d == detector)
-    return f"SELECT {REPO_SQL} AS repo, rule_id, count(*) AS n, count(DISTINCT o_orderkey) AS files FROM orders JOIN (VALUES {rows}) v(kind, rule_id) ON o_orderkey % {N_KINDS} = kind GROUP BY ALL"
+    said = lambda x: "NULL" if x == "-" else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({kind}, {line}, " + ", ".join(map(said, rest)) + ")" for d, kind, line, *rest in PLANTED if d == detector)
+    return (
+        f"SELECT {REPO_SQL} AS repo, rule_id, line_no, name, provider, confidence, tags, count(*) AS n, count(DISTINCT o_orderkey) AS files "
+        f"FROM orders JOIN (VALUES {rows}) v(kind, line_no, rule_id, name, provider, confidence, tags) ON o_orderkey % {N_KINDS} = kind GROUP BY ALL"
+    )
 
 
 def _detection(name: str, f) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return by_rule(f(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
+        return by_signal(f(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
 
     register(f"detect_{name}", planted_sql(name))(run)
 
@@ -80,21 +216,23 @@ def _family(f: str):
 
 for _f in D.FAMILIES:
     _detection(_f, _family(_f))
-for _n, _d in (("env", D.detect_env_secrets), ("config", D.detect_credential_assignments), ("windowed", D.detect_windowed), ("mcp", D.detect_mcp), ("agents", D.detect_ai_agents)):
+for _n, _d in (
+    ("env", D.detect_env_secrets), ("config", D.detect_credential_assignments), ("nested_secrets", D.detect_nested_secrets), ("windowed", D.detect_windowed),
+    ("documents_settings", D.detect_documents), ("mcp", D.detect_mcp), ("agents", D.detect_ai_agents),
+):
     _detection(_n, _d)
 
 
-@register("detect_nested_secrets")
-def detect_nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_rule(D.detect_nested_secrets(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
+@register("detect_all", " UNION ALL ".join(planted_sql(d) for d in dict.fromkeys(row[0] for row in PLANTED)))
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detector over the corpus at once: all that is planted, and nothing beside it."""
+    return by_signal(D.detect_all(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
 
 
-@register("detect_documents_settings")
-def detect_documents_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_rule(D.detect_documents(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY)))
+HEX_ROWS = ", ".join(f"({i}, {c.count('{h}')})" for i, (_, c) in enumerate(corpus.KINDS) if "{h}" in c)
 
 
-@register("detect_custom_regex", f"SELECT {REPO_SQL} AS repo, 'custom_hex' AS rule_id, count(*) AS n, count(DISTINCT o_orderkey) AS files FROM orders WHERE o_orderkey % {N_KINDS} IN (0, 2, 3, 5, 6, 7, 8, 9, 14) GROUP BY ALL")
+@register("detect_custom_regex", f"SELECT {REPO_SQL} AS repo, 'custom_hex' AS rule_id, sum(v.n)::BIGINT AS n, count(DISTINCT o_orderkey) AS files FROM orders JOIN (VALUES {HEX_ROWS}) v(kind, n) ON o_orderkey % {N_KINDS} = kind GROUP BY ALL")
 def detect_custom_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = src.load_rule_pack('{"rules": [{"id": "custom_hex", "severity": "high", "pattern": "[0-9a-f]{40}"}, {"id": "bad", "pattern": "(a+)+$"}]}')
     return by_rule(D.detect_custom_regex(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY), pack))
@@ -137,7 +275,7 @@ def secret_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", S.looks_like_secret(F.col("v")).alias("secret"), S.is_placeholder(F.col("v")).alias("placeholder"), S.secret_label(F.col("v")).alias("label"))
 
 
-@register("prepared_artifacts", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % {N_KINDS} NOT IN (4) GROUP BY ALL")
+@register("prepared_artifacts", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % {N_KINDS} NOT IN (4, 40) GROUP BY ALL")
 def prepared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name gate, pruned folders, size gate and ignore rules in a row."""
     a = corpus.artifacts(spark, sf_dir)
@@ -155,7 +293,7 @@ def changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.restrict_to_changed(a, changed).groupBy("repo").agg(F.count("*").alias("files"))
 
 
-@register("incremental_misses", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % {N_KINDS} <> 4 OR o_orderkey % 4 <> 0 GROUP BY ALL")
+@register("incremental_misses", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % {N_KINDS} NOT IN (4, 40) GROUP BY ALL")
 def incremental_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine tenths of a second scan come from the cache; here the workflow files, whose signals hold no secret."""
     a = corpus.artifacts(spark, sf_dir)
@@ -173,7 +311,7 @@ def flattened_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("config_pairs", f"SELECT o_orderkey, 'password' AS key, 2 AS line_no FROM orders WHERE o_orderkey % {N_KINDS} = 2 UNION ALL SELECT o_orderkey, 'host', 3 FROM orders WHERE o_orderkey % {N_KINDS} = 2")
 def config_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = corpus.artifacts(spark, sf_dir).where(F.col("path").endswith(".toml"))
+    a = corpus.artifacts(spark, sf_dir).where(F.col("path").endswith("settings.toml"))
     return a.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("o_orderkey"), F.inline(X.kv_pairs(F.col("content")))).drop("value")
 
 
@@ -434,7 +572,7 @@ def custom_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduped_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every signal twice; one stays."""
     found = D.detect_env_secrets(corpus.artifacts(spark, sf_dir), S.key_table(spark, KEY))
-    return by_rule(I.dedupe_signals(found.unionByName(found)))
+    return by_signal(I.dedupe_signals(found.unionByName(found)))
 
 
 @register("deduped_identities", IDS.rstrip(", ") + " SELECT id, 'last' AS name, file_path AS first_path FROM b")
@@ -489,8 +627,8 @@ def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines inside a `variables:` block, and pairs under their section."""
     a = corpus.artifacts(spark, sf_dir)
     number = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("o_orderkey")
-    inside = X.in_block(X.explode_lines(a.where(F.col("path").endswith(".gitlab-ci.yml"))), r"^variables:").where("inside")
-    pairs = X.toml_section_pairs(a.where(F.col("path").endswith(".toml")))
+    inside = X.in_block(X.explode_lines(a.where(F.col("path").rlike(r"^ci/.*\.gitlab-ci\.yml$"))), r"^variables:").where("inside")
+    pairs = X.toml_section_pairs(a.where(F.col("path").endswith("settings.toml")))
     return inside.select(number, "line_no", F.lit("").alias("key")).unionByName(pairs.select(number, "line_no", "key"))
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from idlens.llm.common import materialize
 
 LINES = 3
+#: A window is heavy if more than one of so many windows equal it; there are no more heavy ones than this.
+HEAVY = 1000
 
 
 #: Names a row without a doc_id; empty where there is one. Sorts rows without ids last.
@@ -52,12 +54,16 @@ def covered_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> Da
     """(row, doc_id, gone): the 1-based places of a document's lines that later occurrences cover, merged.
 
     First occurrences are found by a partial aggregate, so a window in every document costs a row a task; a
-    document's list is bounded by its own lines.
+    document's list is bounded by its own lines. Heavy windows are told to all tasks, so none of them has to take
+    in a window's every occurrence; the counts of all windows add up, so that at most ``HEAVY`` rows are broadcast.
     """
     found = materialize(windows(docs, text, lines), "windows")
     here = F.struct(*DOC, "at")
-    repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(repeated, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
+    repeated = materialize(found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    heavy = F.col("n") * HEAVY > found.count()
+    marked = found.join(F.broadcast(repeated.where(heavy).drop("n")), ["h1", "h2"], "left")
+    light = marked.where("first IS NULL").drop("first").join(repeated.where(~heavy).drop("n"), ["h1", "h2"])
+    later = marked.where("first IS NOT NULL").unionByName(light).where(~here.eqNullSafe(F.col("first")))
     places = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + lines - 1)))))
     return later.groupBy(*DOC).agg(places.alias("gone"))
 
@@ -66,19 +72,22 @@ def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> Data
     """``docs`` with the covered lines taken out of ``text``, and columns n_lines and n_removed.
 
     Null text stays null with no lines; a text losing every line becomes empty; other columns pass through, but for
-    input columns of the two added names.
-    Rows that share a doc_id share the places found for it.
+    input columns of the two added names. Rows that share a doc_id share the places found for it. A long text takes
+    time in proportion to its lines. An empty table gives no rows.
     """
     columns = docs.columns
     docs = name_rows(docs, text)
     gone = covered_lines(docs, text, lines).select(F.col(ROW).alias("_gone_row"), F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
     rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id.eqNullSafe(gone._gone_id) & (docs[ROW] == gone._gone_row), "left")
-    split = F.split(docs[text], "\n")
-    left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i + 1))
+    kept = [c for c in columns if c not in ("n_lines", "n_removed")]
+    rows = rows.select(F.struct(*(docs[c] for c in kept)).alias("_row"), docs[text].alias("_text"), F.split(docs[text], "\n").alias("_lines"), "_gone")
+    # the places left come from one hash of those gone
+    places = F.array_except(F.sequence(F.lit(1), F.size("_lines")), F.col("_gone"))
+    left = F.array_join(F.transform(places, lambda i: F.element_at("_lines", i)), "\n")
     return rows.select(
-        *(F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in columns if c not in ("n_lines", "n_removed")),
-        F.coalesce(F.when(docs[text].isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left).alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in kept),
+        F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

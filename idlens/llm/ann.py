@@ -2,8 +2,13 @@
 
 Classes of equal vectors are dealt to shards of bounded size by hash. In a shard, points enter in batches: a
 greedy search over the graph so far proposes neighbours, relaxed distance pruning keeps diverse edges, and
-reverse edges are pruned the same way. Queries, in blocks, meet every shard by beam search; the shards' best are
-merged. All rows are indexed; searches run in lockstep over a block, so a step is a few array operations.
+reverse edges are pruned the same way. Queries, in large parts, meet every shard by beam search; the shards' best are
+merged. A shard goes to Python once a part, and there the searches of a block run in lockstep, so a step is a few
+array operations. All rows are indexed.
+
+Vectors that ``usable`` refuses and rows without an id take no part. An id stands once: of rows that repeat it, the
+one of the smallest vector takes part. Ties of a score go to the smaller id. Vectors of another length than the query's
+are no candidates. Other columns are not read, so their names never clash.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from idlens.llm.common import materialize
@@ -24,8 +29,8 @@ TOP = 5
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 40, 64, 1.2
 #: Points of a shard: eight times the square root of all, within these bounds.
 SHARD_ROWS = (1024, 65_536)
-#: Queries in a block.
-QUERY_ROWS = 256
+#: Queries in a block of a search, and in a part, which share one copy of a shard's index.
+QUERY_ROWS, PART_ROWS = 256, 16_384
 #: Every so many ids is a query.
 STRIDE = 50
 
@@ -122,15 +127,20 @@ def shard_count(n: int) -> int:
     return max(1, math.ceil(n / min(SHARD_ROWS[1], max(SHARD_ROWS[0], 8 * math.sqrt(n)))))
 
 
+def one_an_id(df: DataFrame) -> DataFrame:
+    """(vec_id, v, dim) of usable rows, one for each id."""
+    good = df.where(F.col("vec_id").isNotNull() & usable("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("v"))
+    return good.withColumn("dim", F.size("v"))
+
+
 def build_index(df: DataFrame) -> DataFrame:
     """One row a shard: vectors, graph, entry and the ids of each class, written to the shared scratch folder.
 
     Of equal vectors the ``TOP`` + 1 smallest ids are kept, which no answer needs more of. Vectors of another
     length than most have shards of their own.
     """
-    good = df.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = good.withColumn("r", first).where(F.col("r") <= TOP + 1)
+    few = one_an_id(df).withColumn("r", first).where(F.col("r") <= TOP + 1)
     nodes = materialize(few.groupBy("v", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
     shards = shard_count(nodes.count())
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
@@ -156,41 +166,41 @@ def build_index(df: DataFrame) -> DataFrame:
     return materialize(made, "index")
 
 
-def query_blocks(df: DataFrame, is_query: Column) -> DataFrame:
-    """(block, dim, queries): at most a few hundred queries a row."""
-    rows = df.where(is_query & F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", F.col("embedding").alias("v"), F.size("embedding").alias("dim")).distinct()
-    rows = materialize(rows, "queries")
-    blocks = max(1, math.ceil(rows.count() / QUERY_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    return rows.groupBy("block", "dim").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+def search_shard(shard: pd.Series, queries: pd.DataFrame, top: int, beam: int) -> pd.DataFrame:
+    """(query_id, vec_id, score): each query's best in one shard, a block at a time."""
+    raw = np.frombuffer(shard["vectors"], np.float64).reshape(-1, int(shard["dim"]))
+    graph = np.frombuffer(shard["graph"], np.int32).reshape(-1, DEGREE)
+    sizes, ids = np.frombuffer(shard["sizes"], np.int32), np.frombuffer(shard["ids"], np.int64)
+    ends, x, out = np.cumsum(sizes), unit(raw), []
+    for at in range(0, len(queries), QUERY_ROWS):
+        block = queries.iloc[at : at + QUERY_ROWS]
+        own = np.stack([np.asarray(v, np.float64) for v in block["v"]])
+        near, _ = beam_search(x, graph, int(shard["entry"]), unit(own), min(beam, len(x)))
+        near = near[:, : 2 * (top + 1)]
+        v = raw[np.where(near < 0, 0, near)]
+        norms = np.sqrt(np.einsum("ij,ij->i", own, own))[:, None] * np.sqrt(np.einsum("ijk,ijk->ij", v, v))
+        score = np.einsum("ijk,ik->ij", v, own) / norms
+        for q, row, s in zip(block["vec_id"].tolist(), near.tolist(), score.tolist()):
+            best = [(-y, i) for c, y in zip(row, s) if c >= 0 for i in ids[ends[c] - sizes[c] : ends[c]].tolist() if i != q]
+            out += [(q, i, -y) for y, i in sorted(best)[:top]]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``top`` nearest of other ids found for each query."""
+    """(query_id, rank, vec_id, score): the ``top`` nearest of other ids found for each of ``queries`` (vec_id, v, dim)."""
     shards = index.select("shard").distinct().agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
-    sent = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                raw = np.frombuffer(r.vectors, np.float64).reshape(-1, r.dim)
-                graph = np.frombuffer(r.graph, np.int32).reshape(-1, DEGREE)
-                sizes, ids = np.frombuffer(r.sizes, np.int32), np.frombuffer(r.ids, np.int64)
-                ends = np.cumsum(sizes)
-                x, names = unit(raw), np.array([q["vec_id"] for q in r.queries])
-                own = np.stack([np.asarray(q["v"], np.float64) for q in r.queries])
-                near, _ = beam_search(x, graph, r.entry, unit(own), min(beam, len(x)))
-                near = near[:, : 2 * (top + 1)]
-                v = raw[np.where(near < 0, 0, near)]
-                norms = np.sqrt(np.einsum("ij,ij->i", own, own))[:, None] * np.sqrt(np.einsum("ijk,ijk->ij", v, v))
-                score = np.einsum("ijk,ik->ij", v, own) / norms
-                out = []
-                for q, row, s in zip(names.tolist(), near.tolist(), score.tolist()):
-                    best = [(-y, i) for c, y in zip(row, s) if c >= 0 for i in ids[ends[c] - sizes[c] : ends[c]].tolist() if i != q]
-                    out += [(q, i, -y) for y, i in sorted(best)[:top]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = index.join(sent, ["shard", "dim"]).select("dim", "entry", "vectors", "graph", "ids", "sizes", "queries").mapInPandas(run, "query_id long, vec_id long, score double")
+    queries = materialize(queries, "queries")
+    parts = max(1, math.ceil(queries.count() / PART_ROWS))
+    sent = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(shard: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard) or not len(own):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return search_shard(shard.iloc[0], own.sort_values("vec_id"), top, beam)
+
+    keys = ["shard", "dim", "part"]
+    found = copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -200,4 +210,4 @@ def neighbours(df: DataFrame) -> DataFrame:
 
     Unusable vectors take no part, neither as queries nor as candidates; an empty table gives no rows.
     """
-    return search(build_index(df), query_blocks(df, F.col("vec_id") % STRIDE == 0))
+    return search(build_index(df), one_an_id(df.where(F.col("vec_id") % STRIDE == 0)))

@@ -715,6 +715,16 @@ def detect_all(artifacts: DataFrame, keys: DataFrame, custom: list[dict] | None
     return signals(all_hits(staged(relevant(artifacts, custom), "relevant"), custom), keys)
 
 
+def file_errors(artifacts: DataFrame) -> DataFrame:
+    """(scan_id, repo, path, error) of files that could not be read as what their names say: no content at all, or JSON
+    that does not parse, even without comments and trailing commas, in a kind of file that is read as JSON only."""
+    low, content = F.col("low_path"), F.col("content")
+    as_json = low.rlike(rf"{NESTED_PATH}|{MANIFEST_PATH}|{PACKAGE_PATH}|(?:{MCP_PATH})") & low.rlike(r"\.(?:json|tfstate|backup)$")
+    broken = as_json & (F.trim(content) != "") & F.try_parse_json(X.json5_lite(content)).isNull()
+    error = F.when(content.isNull(), "no content").when(broken, "not JSON")
+    return file_columns(artifacts).select(*X.FILE, error.alias("error")).where("error IS NOT NULL")
+
+
 def audit_hosts(host_files: DataFrame, keys: DataFrame, strings: bool = True) -> DataFrame:
     """Fleet audit over (host, path, mode, content binary): writable configs and modules, modules outside trusted
     folders, unknown or missing ones, and telling strings in binaries."""

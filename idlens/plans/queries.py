@@ -6,6 +6,7 @@ and knows no pattern. Relational queries start from rows that both engines deriv
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -641,6 +642,78 @@ def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", F.array_join(runs, "|").alias("runs"), X.line_for_key_value(text, F.lit("x.key"), F.col("s_name")).alias("key_line"), X.line_at_offset(text, F.instr(text, "b")).alias("offset_line"))
 
 
+@register(
+    "masked_values",
+    f"""SELECT o_orderkey, '[REDACTED:' || CASE WHEN o_orderkey % 2 = 0 THEN 'github_token' ELSE 'secret' END || ' len=' || length(v) || ' fp=' || left(sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(v)))), 8) || ']' AS masked,
+    false AS weak, o_orderkey % 2 = 0 AS word FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'ghp_a1' ELSE 'v1' END || md5(o_orderkey::VARCHAR) AS v FROM orders)""",
+)
+def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks with the head of their fingerprints; no such value is a weak placeholder."""
+    k = F.col("o_orderkey")
+    v = F.concat(F.when(k % 2 == 0, "ghp_a1").otherwise("v1"), F.md5(k.cast("string").cast("binary")))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", v.alias("v"))
+    said = F.when(k % 2 == 0, "an exec call").otherwise("an executor")
+    return orders.select("o_orderkey", S.mask(F.col("v"), S.fingerprint(F.col("v"), S.key_table(spark, KEY))).alias("masked"), (S.is_weak_placeholder(F.col("v")) | S.is_structural_placeholder(F.col("v")) | S.suppress_candidate(F.lit("name"), F.col("v"))).alias("weak"), X.has_word(said, ["exec", "shell"]).alias("word"))
+
+
+@register(
+    "scan_ids",
+    """SELECT o_orderkey, 'scan_' || left(sha256(CASE WHEN o_orderkey % 3 = 0 THEN p || '|2024|' || n || '|' || f WHEN o_orderkey % 2 = 0 THEN p || '|' || c || '|v1' ELSE p || '|' || c || '|v1|dirty|diff' END), 16) AS scan_id
+    FROM (SELECT o_orderkey, 'repo_' || (o_orderkey % 7) AS p, md5(o_orderkey::VARCHAR) AS c, (o_orderkey % 5)::VARCHAR AS n, (o_orderkey % 11)::VARCHAR AS f FROM orders)""",
+)
+def scan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans at a clean commit, at a changed one and at none."""
+    k = F.col("o_orderkey")
+    commit = F.when(k % 3 != 0, F.md5(k.cast("string").cast("binary")))
+    made = R.scan_id(F.concat(F.lit("repo_"), (k % 7).cast("string")), commit, F.lit("v1"), F.when(k % 2 == 0, "").otherwise("diff"), F.lit("2024"), k % 5, k % 11)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", made.alias("scan_id"))
+
+
+@register(
+    "scan_stats",
+    IDS + FINDINGS + f""", a AS (SELECT 's1' AS scan_id, repo, count(*) AS files_scanned, sum(o_orderkey % 100)::BIGINT AS bytes_scanned, count(*) AS identities, 0::BIGINT AS correlations FROM b GROUP BY repo),
+    c AS (SELECT repo, {", ".join(f"count(*) FILTER (severity = '{x}') AS findings_{x}" for x in ("critical", "high", "medium", "low"))} FROM v GROUP BY repo), d AS (SELECT repo, count(*) AS risk_paths FROM ({RISK_SQL}) GROUP BY repo)
+    SELECT a.*, {", ".join(f"coalesce(findings_{x}, 0) AS findings_{x}" for x in ("critical", "high", "medium", "low"))}, coalesce(risk_paths, 0) AS risk_paths FROM a LEFT JOIN c USING (repo) LEFT JOIN d USING (repo)""",
+)
+def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = synthetic.identities(spark, sf_dir)
+    files = i.select("scan_id", "repo", (F.substring("id", 2, 20).cast("long") % 100).alias("n_bytes"))
+    return R.scan_stats(files, i, R.run_rules(i), C.risk_paths(i))
+
+
+@register("stored_findings", IDS + FINDINGS + " SELECT repo, severity, count(*) AS n FROM v GROUP BY ALL")
+def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings read back from the scan store."""
+    root = f"{store.shared_dir(spark)}/idlens/store-{uuid.uuid4().hex}"
+    store.write_scan(root, {"findings": findings_of(spark, sf_dir)})
+    return store.findings_of(spark, root, "s1").groupBy("repo", "severity").agg(F.count("*").alias("n"))
+
+
+@register("scan_document_rows", IDS + FINDINGS + " SELECT repo, rule_id, severity, count(*) AS n FROM v GROUP BY ALL")
+def scan_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan documents say, read back from their JSON."""
+    i = synthetic.identities(spark, sf_dir)
+    made = A.scan_json(i, R.run_rules(i), C.risk_paths(i))
+    read = made.select("repo", F.explode(F.from_json("json", "findings array<struct<rule_id: string, severity: string>>")["findings"]).alias("f"))
+    return read.groupBy("repo", "f.rule_id", "f.severity").agg(F.count("*").alias("n"))
+
+
+@register("degraded_scans", IDS + FINDINGS + """, t AS (SELECT repo, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h FROM v GROUP BY repo), e AS (SELECT DISTINCT repo FROM b WHERE o_orderkey % 97 = 0)
+    SELECT repo, CASE WHEN repo = 'repo_3' THEN 'untrusted' WHEN e.repo IS NOT NULL THEN 'degraded' WHEN c > 0 OR h > 0 THEN 'action_required' ELSE 'clean' END AS trust_level,
+    CASE WHEN repo = 'repo_3' OR c > 0 THEN 'block' WHEN e.repo IS NOT NULL OR h > 0 THEN 'manual_review' ELSE 'pass' END AS policy,
+    CASE WHEN repo = 'repo_3' THEN 10 WHEN c > 0 OR h > 0 THEN 2 ELSE 1 END AS gate FROM t LEFT JOIN e USING (repo)""")
+def degraded_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that could not be read lower the trust in a scan; one that did not end is not trusted at all."""
+    i = synthetic.identities(spark, sf_dir)
+    f = R.run_rules(i)
+    number = F.substring("id", 2, 20).cast("long")
+    errors = D.file_errors(i.where(number % 97 == 0).select("scan_id", "repo", F.concat("file_path", F.lit("/cdk.json")).alias("path"), F.lit("{not json").alias("content")))
+    fatal = i.where("repo = 'repo_3'").select("scan_id", "repo").distinct()
+    scans = R.scan_summary(i, f, errors, fatal)
+    gates = R.gate_status(f.withColumn("baseline_status", F.lit("new")), scans)
+    return scans.join(gates, ["scan_id", "repo"]).select("repo", "trust_level", "policy", "gate")
+
+
 @register("full_scan")
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole scan of the derived corpus: the flagship."""

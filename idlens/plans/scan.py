@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 from idlens.functions.secrets import key_table
 from idlens.operators.correlate import correlate, risk_paths
-from idlens.operators.detect import detect_all
+from idlens.operators.detect import detect_all, file_errors
 from idlens.operators.identities import dedupe_identities, dedupe_signals, enrich_owners, normalize_signals
 from idlens.operators.rules import run_rules, scan_summary
+from idlens.sources.store import staged
 
 
 def identities_of(signals: DataFrame, artifacts: DataFrame | None = None, surface: str = "repo") -> DataFrame:
@@ -19,19 +18,14 @@ def identities_of(signals: DataFrame, artifacts: DataFrame | None = None, surfac
     return base.unionByName(dedupe_identities(correlate(base, artifacts, surface)))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: later stages start from rows, not from the detectors' plans."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="idlens-"))
-    return df.checkpoint()
-
-
 def scan(artifacts: DataFrame, key: bytes | None = None, custom: list[dict] | None = None, blame: DataFrame | None = None, codeowners: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a scan: signals, identities, findings, risk_paths, scans. The first two are computed here."""
-    signals = settled(detect_all(artifacts, key_table(artifacts.sparkSession, key), custom))
-    identities = settled(identities_of(signals, artifacts))
+    """The tables of a scan: signals, identities, findings, risk_paths, errors, scans. The first two are written to the
+    shared folder here, so that later stages start from rows."""
+    signals = staged(detect_all(artifacts, key_table(artifacts.sparkSession, key), custom), "signals")
+    identities = staged(identities_of(signals, artifacts), "identities")
     if blame is not None and codeowners is not None:
         identities = enrich_owners(identities, blame, codeowners)
     findings = run_rules(identities, custom)
-    return {"signals": signals, "identities": identities, "findings": findings, "risk_paths": risk_paths(identities), "scans": scan_summary(identities, findings)}
+    errors = file_errors(artifacts)
+    scans = scan_summary(identities, findings, errors)
+    return {"signals": signals, "identities": identities, "findings": findings, "risk_paths": risk_paths(identities), "errors": errors, "scans": scans}

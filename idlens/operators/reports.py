@@ -50,8 +50,20 @@ def missed_cases(findings: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.where("kind = 'planted'").join(f, ["repo", "path", "rule_id"], "left_anti")
 
 
+#: Rows of a list in one part of a document, about.
+PART_ROWS = 10_000
+
+
+def in_parts(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``part``: its rows dealt by a hash of ``key`` to as many parts as their number asks for, by scan and
+    repository, so that no document holds a hot repository whole."""
+    parts = df.groupBy(*SCAN).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+    return df.join(parts, SCAN).withColumn("part", F.pmod(F.xxhash64(key), "_parts").cast("int")).drop("_parts")
+
+
 def sarif(findings: DataFrame) -> DataFrame:
-    """(scan_id, repo, sarif): one SARIF 2.1.0 document a scan and repository."""
+    """(scan_id, repo, part, sarif): SARIF 2.1.0 documents, one a scan and repository, or several valid ones where there
+    are more findings than one should hold."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     uri = F.regexp_replace(F.regexp_replace("file_path", r"\\", "/"), "^/+", "")
     result = F.struct(
@@ -62,15 +74,21 @@ def sarif(findings: DataFrame) -> DataFrame:
         F.struct(F.col("id").alias("findingId")).alias("partialFingerprints"),
     )
     rule = F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct(F.format_string("%.1f", F.col("risk_score") / 10).alias("security-severity")).alias("properties"))
-    rules = findings.groupBy(*SCAN, "rule_id").agg(F.min_by(rule, "id").alias("r")).groupBy(*SCAN).agg(F.array_sort(F.collect_list("r")).alias("rules"))
-    results = findings.groupBy(*SCAN).agg(F.array_sort(F.collect_list(result)).alias("results"))
+    keys, rows = [*SCAN, "part"], in_parts(findings, "id")
+    rules = rows.groupBy(*keys, "rule_id").agg(F.min_by(rule, "id").alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rules"))
+    results = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(result)).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("idlens").alias("name"), "rules").alias("driver")).alias("tool"), "results")
-    made = rules.join(results, SCAN).select(*SCAN, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+    made = rules.join(results, keys).select(*keys, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
     return S.guard_no_raw_secret(made)
 
 
 def scan_json(identities: DataFrame, findings: DataFrame, paths: DataFrame) -> DataFrame:
-    """(scan_id, repo, json): a whole scan as one document."""
-    lists = [df.groupBy(*SCAN).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in (*SCAN, "ord")])).alias(n)) for n, df in (("identities", identities), ("findings", findings), ("risk_paths", paths))]
-    j = lists[0].join(lists[1], SCAN, "full_outer").join(lists[2], SCAN, "full_outer")
-    return S.guard_no_raw_secret(j.select(*SCAN, F.to_json(F.struct(*SCAN, "identities", "findings", "risk_paths")).alias("json")))
+    """(scan_id, repo, part, json): a whole scan as one document, or as several where a list is longer than one should
+    hold; a part lacks the lists that have no rows in it."""
+    keys = [*SCAN, "part"]
+    lists = [
+        in_parts(df, "id").groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in (*SCAN, "ord")])).alias(n))
+        for n, df in (("identities", identities), ("findings", findings), ("risk_paths", paths))
+    ]
+    j = lists[0].join(lists[1], keys, "full_outer").join(lists[2], keys, "full_outer")
+    return S.guard_no_raw_secret(j.select(*keys, F.to_json(F.struct(*keys, "identities", "findings", "risk_paths")).alias("json")))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import tarfile
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +39,41 @@ def normalize_text(content: Column) -> Column:
 
 
 def read_artifacts(spark: SparkSession, root: str, repo: str, scan_id: str = "s1") -> DataFrame:
-    """All files below a folder. The size gate reads file metadata, so large files are never opened."""
+    """All files below a folder. The size gate reads file metadata, so large files are never opened.
+
+    Spark's file sources pass over names that begin with a dot or an underscore, so ``.env`` files and ``.github``
+    folders do not come this way: bring such trees as archives (``read_archives``) or as a table.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
     clean = root.split("://")[-1].rstrip("/") + "/"
     path = F.regexp_replace("path", f"^.*?{re.escape(clean)}", "")
     return complete(files.select(F.lit(scan_id).alias("scan_id"), F.lit(repo).alias("repo"), path.alias("path"), normalize_text(F.col("content")).alias("content")))
 
 
+def read_archives(spark: SparkSession, root: str, scan_id: str = "s1") -> DataFrame:
+    """All files in the tar and zip archives below a folder, hidden ones too; an archive is a repository of its name.
+
+    Archives are dealt to tasks, and each is opened where it is read; members above the size gate are not.
+    """
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"(?i)\.(?:zip|tar|tgz|tar\.gz)$"))
+    repo = F.regexp_extract("path", r"([^/]+?)(?i)(?:\.zip|\.tar|\.tgz|\.tar\.gz)$", 1)
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf["repo"], pdf["content"]):
+                rows = []
+                if zipfile.is_zipfile(io.BytesIO(raw)):
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        rows = [(name, m.filename, z.read(m)) for m in z.infolist() if not m.is_dir() and m.file_size <= MAX_BYTES]
+                else:
+                    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+                        rows = [(name, m.name.removeprefix("./"), t.extractfile(m).read()) for m in t if m.isfile() and m.size <= MAX_BYTES]
+                yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+
+    files = archives.select(repo.alias("repo"), "content").mapInPandas(members, "repo string, path string, content binary")
+    return artifacts_from_table(files, F.col("repo"), F.col("path"), F.col("content"), scan_id)
+
+
 def complete(df: DataFrame) -> DataFrame:
     return df.withColumn("n_bytes", F.octet_length("content").cast("long")).withColumn("content_sha", F.sha2(F.col("content").cast("binary"), 256))
 

@@ -1,6 +1,7 @@
 """Detection and the tail of a scan on small fixtures."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +12,12 @@ from idlens.operators import baseline as B
 from idlens.operators import correlate as C
 from idlens.operators import detect as D
 from idlens.operators import identities as I
+from idlens.operators import reports as P
 from idlens.operators import rules as R
 from idlens.operators.specs import ALL
-from idlens.plans import queries, synthetic
+from idlens.plans import corpus, queries, synthetic
 from idlens.sources import artifacts as A
+from idlens.sources import store
 
 from .conftest import SF
 
@@ -174,6 +177,81 @@ def test_against_sql(spark, name):
     assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, theirs))
 
 
+def test_files_that_cannot_be_read(spark):
+    """A broken state file and a file without content lower the trust in their scan; comments alone do not."""
+    a = art(spark, ("t/a.tfstate", '{"x": '), ("b/.env", None), ("renovate.json", "{// c\n}"), ("p/package.json", '{"a": 1,}'), ("q/package.json", ""), ("n/notes.json", "{"))
+    errors = D.file_errors(a)
+    assert sorted((r.path, r.error) for r in errors.collect()) == [("b/.env", "no content"), ("t/a.tfstate", "not JSON")]
+    i = synthetic.identities(spark, SF).where("repo = 'repo_1'").withColumn("repo", F.lit("r1"))
+    f = R.run_rules(i)
+    [row] = R.scan_summary(i, f, errors).collect()
+    assert (row.trust_level, row.policy, row.n_errors) == ("degraded", "block" if row.n_critical else "manual_review", 2)
+    scans = R.scan_summary(i.limit(0), f.limit(0), errors, errors.select("scan_id", "repo"))
+    assert [(r.trust_level, r.policy, r.summary) for r in scans.collect()] == [("untrusted", "block", "No findings.")]
+    assert [r.gate for r in R.gate_status(f.limit(0).withColumn("baseline_status", F.lit("new")), scans).collect()] == [10]
+
+
+def test_one_pass_finds_all(spark):
+    """The gate loses nothing: each detector over all artifacts says what the whole detection says of it."""
+    keys = S.key_table(spark, b"k")
+    a = corpus.artifacts(spark, SF).where("pmod(hash(path), 8) = 0")
+    said = lambda df: sorted(map(str, df.select("path", "rule_id", "line_no", "name", "evidence", "secret_fingerprint", "masked_secret", "confidence", "tags").collect()))
+    each = [D.detect_family(a, f, keys) for f in D.FAMILIES] + [f(a, keys) for f in (D.detect_env_secrets, D.detect_credential_assignments, D.detect_nested_secrets, D.detect_windowed, D.detect_documents, D.detect_mcp, D.detect_ai_agents)]
+    whole = D.detect_all(a, keys)
+    assert said(whole) == sorted(x for df in each for x in said(df)) and whole._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 16
+
+
+def test_folder_store_and_documents(spark, tmp_path):
+    """A folder is read with its line ends and bytes made clean; a scan is stored, read, listed, replaced and cleared."""
+    (tmp_path / "repo/sub").mkdir(parents=True)
+    (tmp_path / "repo/sub/x.env").write_bytes(b"A=1\r\nPAY_TOKEN=" + HEX.encode() + b"\rB=\xff2\n")
+    (tmp_path / "repo/big.txt").write_bytes(b"x" * (A.MAX_BYTES + 1))
+    got = A.read_artifacts(spark, str(tmp_path / "repo"), "r1").collect()
+    assert [(r.path, r.content) for r in got] == [("sub/x.env", f"A=1\nPAY_TOKEN={HEX}\nB=\ufffd2\n")]
+    (tmp_path / "repo/sub/x.env").rename(tmp_path / "repo/sub/.env")
+    (tmp_path / "packed").mkdir()
+    for kind in ("zip", "gztar"):
+        shutil.make_archive(str(tmp_path / f"packed/{kind}"), kind, tmp_path / "repo")
+    packed = A.read_archives(spark, str(tmp_path / "packed")).collect()
+    assert sorted((r.repo, r.path, r.content) for r in packed) == [(k, "sub/.env", got[0].content) for k in ("gztar", "zip")]
+    made = A.artifacts_from_table(spark.createDataFrame([("d", "p", b"x\r\ny")], "r string, p string, c binary"), F.col("r"), F.col("p"), F.col("c")).collect()
+    assert [(r.repo, r.path, r.content, r.n_bytes) for r in made] == [("d", "p", "x\ny", 3)]
+    i = synthetic.identities(spark, SF).drop("ord")
+    f, root = R.run_rules(synthetic.identities(spark, SF)), str(tmp_path / "store")
+    scans = i.select("scan_id", "repo").distinct().withColumn("completed_at", F.lit("2024"))
+    for _ in range(2):
+        store.write_scan(root, {"findings": f, "scans": scans})
+    assert store.findings_of(spark, root, "s1").count() == f.count() and store.latest_scans(store.read_table(spark, root, "scans")).count() == 40
+    with pytest.raises(ValueError):
+        store.write_scan(root, {"scans": scans}, trust="untrusted")
+    assert store.clear(spark, root) == ["scans", "findings"] and store.clear(spark, root) == []
+
+
+def test_documents_in_parts(spark, monkeypatch):
+    """More findings than a document should hold make several valid ones, which hold each finding once."""
+    monkeypatch.setattr(P, "PART_ROWS", 20)
+    i = synthetic.identities(spark, SF).where("repo IN ('repo_1', 'repo_2')")
+    f = R.run_rules(i)
+    made = [json.loads(r.sarif) for r in P.sarif(f).collect()]
+    results = [r for d in made for r in d["runs"][0]["results"]]
+    assert len(made) > 4 and len(results) == f.count() and all({r["ruleId"] for r in d["runs"][0]["results"]} == {r["id"] for r in d["runs"][0]["tool"]["driver"]["rules"]} for d in made)
+    docs = [json.loads(r.json) for r in P.scan_json(i, f, C.risk_paths(i)).collect()]
+    assert sum(len(d.get("findings", [])) for d in docs) == f.count() and sum(len(d.get("identities", [])) for d in docs) == i.count()
+
+
+def test_rare_correlations(spark):
+    """Rules that the synthetic rows never raise: untrusted deployment, build sink, shadow admin, unguarded env file."""
+    base = synthetic.identities(spark, SF).where("repo = 'repo_1'").limit(4)
+    none = F.array().cast("array<string>")
+    tag = lambda *w: F.array(*map(F.lit, w))
+    one = base.limit(1).withColumns({"permissions": none, "tags": none, "has_secret": F.lit(False), "admin_access": F.lit(False), "production_access": F.lit(False)})
+    ci = one.withColumns({"tags": tag("ci_cd"), "admin_access": F.lit(True), "production_access": F.lit(True), "id": F.lit("a")})
+    action = one.withColumns({"tags": tag("third_party", "unpinned"), "id": F.lit("b")})
+    host = one.withColumns({"tags": tag("docker", "host_access"), "has_secret": F.lit(True), "file_path": F.lit("x/.env"), "id": F.lit("c")})
+    rules = {r.r for r in C.correlate(ci.unionByName(action).unionByName(host), art(spark, ("README.md", "x"))).select(F.col("ord.rule_id").alias("r")).collect()}
+    assert {f"nhi_{r}" for r in ("untrusted_ci_deploy_path", "build_pipeline_secret_sink", "shadow_admin_path", "secret_file_not_gitignored")} <= rules
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from idlens.streaming.stream import scan_stream
 

@@ -40,9 +40,11 @@ LAYOUT = {
 def library_encoder(path: str, vocab: Vocabulary) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encodes pre-tokens with the tokenizers library, many in one call."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers
 
     library = Tokenizer.from_file(path)
+    # pre-tokens are normalised already, and doing so twice can reorder marks
+    library.normalizer = normalizers.Sequence([])
     ends_word = np.zeros(max(vocab.tokens) + 1, bool)
     ends_word[[i for i, t in vocab.tokens.items() if t.endswith(vocab.suffix)]] = True
 
@@ -61,8 +63,8 @@ def library_encoder(path: str, vocab: Vocabulary) -> Callable[[list[str]], tuple
 def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = 2) -> DataFrame:
     """(doc_id, at, n_tokens, ids) for each row, in the order of its partition.
 
-    Ids come from the tokenizers library, asked once for each distinct pre-token of a partition, followed by
-    ``end_id``. Null text counts as empty.
+    Ids come from the tokenizers library, asked once for each distinct pre-token of a worker, followed by ``end_id``.
+    Null text counts as empty; long texts are encoded whole. An empty table gives no rows.
     """
     schema = T.StructType(
         [
@@ -87,11 +89,13 @@ def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = 2) -> D
 
 
 def write_tokens(df: DataFrame, path: str, to: str, text: str = "text", end_id: int = 2) -> None:
-    """Write the tokens of ``df`` in ascending doc_id order (null first, equal ids by text).
+    """Write the tokens of ``df`` in ascending doc_id order (null first, equal ids by a hash of the text, then by text).
 
-    Texts are range-partitioned before they are encoded, as they are smaller than their ids.
+    Texts are range-partitioned before they are encoded, as they are smaller than their ids. Equal ids, or none, are
+    spread by the hash. Other columns are not read, so their names never clash.
     """
-    ordered = df.select("doc_id", text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", text)
+    keyed = df.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("spread"))
+    ordered, text = keyed.repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text"), "text"
     tokens = tokenize(ordered, path, text, end_id)
     tokens.select("doc_id", F.monotonically_increasing_id().alias("pos"), "at", "n_tokens", "ids").write.options(**LAYOUT).parquet(to)
 

@@ -212,11 +212,12 @@ def merged(old: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
 def descend(nodes: DataFrame, groups: int, edges: DataFrame, threshold: float) -> DataFrame:
     """Edges that the members of each list make with one another; lists without a fresh entry rest.
 
+    So do lists with no room left: their members are of one component by them, and that is compared whole anyway.
     Many lists go to Python together, as many to a group as make up some megabytes of vectors.
     """
     own = lists(edges, threshold, "fresh")
-    awake = own.where("fresh").select("a").distinct()
-    own = own.join(awake, "a", "left_semi").select(F.col("a").alias("centre"), F.col("b").alias("rep"), "sim", "fresh")
+    awake = own.groupBy("a").agg(F.max("fresh").alias("fresh"), F.count_if(F.col("sim") >= threshold).alias("n")).where("fresh").where(F.col("n") < LONGEST)
+    own = own.join(awake.select("a"), "a", "left_semi").select(F.col("a").alias("centre"), F.col("b").alias("rep"), "sim", "fresh")
     local = own.join(nodes.select("rep", "v"), "rep").withColumn("group", F.pmod(F.xxhash64("centre"), F.lit(groups)))
     return local.groupBy("group").applyInPandas(lambda pdf: meetings(pdf, threshold), EDGES)
 
@@ -264,8 +265,12 @@ def audit(nodes: DataFrame, edges: DataFrame, found: DataFrame, threshold: float
     """
     near = both_ways(edges).groupBy(F.col("a").alias("rep")).agg(F.max("sim").alias("best"))
     kind = F.when(F.col("links") >= LIST, "full").when(F.col("links") > 0, "linked").when(F.col("best") >= threshold - 0.1, "near").otherwise("none")
+    kinds = materialize(nodes.select("rep").join(found, "rep", "left").join(near, "rep", "left").select("rep", kind.alias("kind"), "links"), "kinds")
+    sizes = kinds.groupBy("kind").agg(F.count("*").alias("n"))
+    # a draw by hash of about twice as many first, so that the ordering is over few rows
+    few = F.pmod(F.xxhash64("rep", F.lit(26)), F.lit(1 << 30)) * F.col("n") < F.lit(2.0 * AUDIT_ROWS * (1 << 30))
     order = Window.partitionBy("kind").orderBy(F.xxhash64("rep"))
-    drawn = nodes.join(found, "rep", "left").join(near, "rep", "left").withColumn("kind", kind).select("rep", "kind", "links").withColumn("r", F.row_number().over(order))
+    drawn = kinds.join(F.broadcast(sizes), "kind").where(few).withColumn("r", F.row_number().over(order))
     drawn = materialize(drawn.where(F.col("r") <= AUDIT_ROWS).select("rep", "kind", "links"), "drawn")
     # at most four times AUDIT_ROWS vectors
     sample = nodes.join(F.broadcast(drawn), "rep").select("rep", "label", "dim", "v").toPandas()

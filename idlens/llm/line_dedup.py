@@ -75,12 +75,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> Data
     input columns of the two added names. Rows that share a doc_id share the places found for it. A long text takes
     time in proportion to its lines. An empty table gives no rows.
     """
-    columns = docs.columns
-    docs = name_rows(docs, text)
-    gone = covered_lines(docs, text, lines).select(F.col(ROW).alias("_gone_row"), F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
-    rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id.eqNullSafe(gone._gone_id) & (docs[ROW] == gone._gone_row), "left")
-    kept = [c for c in columns if c not in ("n_lines", "n_removed")]
-    rows = rows.select(F.struct(*(docs[c] for c in kept)).alias("_row"), docs[text].alias("_text"), F.split(docs[text], "\n").alias("_lines"), "_gone")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # columns of the input stay packed, so that their names never meet those used here
+    packed = name_rows(docs.select("doc_id", F.col(text).alias("_text"), F.struct(*kept).alias("_row")), "_text")
+    gone = covered_lines(packed, "_text", lines).select(F.col(ROW).alias("_gone_row"), F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    rows = packed.join(gone.hint("shuffle_hash"), packed.doc_id.eqNullSafe(gone._gone_id) & (packed[ROW] == gone._gone_row), "left")
+    rows = rows.select("_row", "_text", F.split("_text", "\n").alias("_lines"), "_gone")
     # the places left come from one hash of those gone
     places = F.array_except(F.sequence(F.lit(1), F.size("_lines")), F.col("_gone"))
     left = F.array_join(F.transform(places, lambda i: F.element_at("_lines", i)), "\n")

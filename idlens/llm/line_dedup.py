@@ -76,8 +76,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> Data
     time in proportion to its lines. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    # columns of the input stay packed, so that their names never meet those used here
-    packed = name_rows(docs.select("doc_id", F.col(text).alias("_text"), F.struct(*kept).alias("_row")), "_text")
+    # other columns of the input stay packed, so that their names never meet those used here
+    packed = name_rows(docs.select("doc_id", F.col(text).alias("_text"), F.struct(*(c for c in kept if c != text)).alias("_row")), "_text")
     gone = covered_lines(packed, "_text", lines).select(F.col(ROW).alias("_gone_row"), F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
     rows = packed.join(gone.hint("shuffle_hash"), packed.doc_id.eqNullSafe(gone._gone_id) & (packed[ROW] == gone._gone_row), "left")
     rows = rows.select("_row", "_text", F.split("_text", "\n").alias("_lines"), "_gone")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idlens.llm import ann, bpe, embedding_dedup, language, line_dedup, minhash_dedup, mixing, pii, token_files, toxicity
+from idlens.llm import ann, bpe, embedding_dedup, fill_in_middle, language, lexical_search, line_dedup, minhash_dedup, mixing, packing, pii, token_files, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,8 +59,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_minhash_dedup, op4_embedding_dedup, op5_language, op6_mixing, op7_ann, op8_pii, op9_line_dedup, op10_token_files)
-}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_toxicity, op3_minhash_dedup, op4_embedding_dedup, op5_language, op6_mixing, op7_ann, op8_pii, op9_line_dedup, op10_token_files,
+        op11_packing, op12_lexical_search, op13_fill_in_middle,
+    )
+}
+
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}

@@ -6,9 +6,10 @@ reverse edges are pruned the same way. Queries, in large parts, meet every shard
 merged. A shard goes to Python once a part, and there the searches of a block run in lockstep, so a step is a few
 array operations. All rows are indexed.
 
-Vectors that ``usable`` refuses and rows without an id take no part. An id stands once: of rows that repeat it, the
-one of the smallest vector takes part. Ties of a score go to the smaller id. Vectors of another length than the query's
-are no candidates. Other columns are not read, so their names never clash.
+Vectors that ``usable`` refuses and rows without an id take no part. Rows that repeat an id each take part: as queries,
+which give results of their own under one query_id, and as candidates of all rows but themselves. Ties of a score go to
+the smaller id. Vectors of another length than the query's are no candidates. Other columns are not read, so their names
+never clash.
 """
 
 from __future__ import annotations
@@ -127,20 +128,19 @@ def shard_count(n: int) -> int:
     return max(1, math.ceil(n / min(SHARD_ROWS[1], max(SHARD_ROWS[0], 8 * math.sqrt(n)))))
 
 
-def one_an_id(df: DataFrame) -> DataFrame:
-    """(vec_id, v, dim) of usable rows, one for each id."""
-    good = df.where(F.col("vec_id").isNotNull() & usable("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("v"))
-    return good.withColumn("dim", F.size("v"))
+def usable_rows(df: DataFrame) -> DataFrame:
+    """(vec_id, v, dim) of the rows that take part."""
+    return df.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
 
 
 def build_index(df: DataFrame) -> DataFrame:
     """One row a shard: vectors, graph, entry and the ids of each class, written to the shared scratch folder.
 
-    Of equal vectors the ``TOP`` + 1 smallest ids are kept, which no answer needs more of. Vectors of another
-    length than most have shards of their own.
+    Of equal vectors the ``TOP`` + 1 smallest ids are kept, repeated ones as often as they stand, which no answer
+    needs more of. Vectors of another length than most have shards of their own.
     """
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = one_an_id(df).withColumn("r", first).where(F.col("r") <= TOP + 1)
+    few = usable_rows(df).withColumn("r", first).where(F.col("r") <= TOP + 1)
     nodes = materialize(few.groupBy("v", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
     shards = shard_count(nodes.count())
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
@@ -167,7 +167,7 @@ def build_index(df: DataFrame) -> DataFrame:
 
 
 def search_shard(shard: pd.Series, queries: pd.DataFrame, top: int, beam: int) -> pd.DataFrame:
-    """(query_id, vec_id, score): each query's best in one shard, a block at a time."""
+    """(query, query_id, vec_id, score): each query's best in one shard, a block at a time."""
     raw = np.frombuffer(shard["vectors"], np.float64).reshape(-1, int(shard["dim"]))
     graph = np.frombuffer(shard["graph"], np.int32).reshape(-1, DEGREE)
     sizes, ids = np.frombuffer(shard["sizes"], np.int32), np.frombuffer(shard["ids"], np.int64)
@@ -180,28 +180,35 @@ def search_shard(shard: pd.Series, queries: pd.DataFrame, top: int, beam: int) -
         v = raw[np.where(near < 0, 0, near)]
         norms = np.sqrt(np.einsum("ij,ij->i", own, own))[:, None] * np.sqrt(np.einsum("ijk,ijk->ij", v, v))
         score = np.einsum("ijk,ik->ij", v, own) / norms
-        for q, row, s in zip(block["vec_id"].tolist(), near.tolist(), score.tolist()):
-            best = [(-y, i) for c, y in zip(row, s) if c >= 0 for i in ids[ends[c] - sizes[c] : ends[c]].tolist() if i != q]
-            out += [(q, i, -y) for y, i in sorted(best)[:top]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        same = (v == own[:, None, :]).all(2)
+        for number, q, row, s, equal in zip(block["query"].tolist(), block["vec_id"].tolist(), near.tolist(), score.tolist(), same.tolist()):
+            best = []
+            for c, y, e in zip(row, s, equal):
+                if c >= 0:
+                    there = ids[ends[c] - sizes[c] : ends[c]].tolist()
+                    if e and q in there:  # the query's own row
+                        there.remove(q)
+                    best += [(-y, i) for i in there]
+            out += [(number, q, i, -y) for y, i in sorted(best)[:top]]
+    return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``top`` nearest of other ids found for each of ``queries`` (vec_id, v, dim)."""
+    """(query_id, rank, vec_id, score): the ``top`` nearest other rows found for each of ``queries`` (vec_id, v, dim)."""
     shards = index.select("shard").distinct().agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
-    queries = materialize(queries, "queries")
+    queries = materialize(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
     parts = max(1, math.ceil(queries.count() / PART_ROWS))
     sent = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(shard: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_shard(shard.iloc[0], own.sort_values("vec_id"), top, beam)
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
+        return search_shard(shard.iloc[0], own.sort_values(["vec_id", "query"]), top, beam)
 
     keys = ["shard", "dim", "part"]
-    found = copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -210,4 +217,4 @@ def neighbours(df: DataFrame) -> DataFrame:
 
     Unusable vectors take no part, neither as queries nor as candidates; an empty table gives no rows.
     """
-    return search(build_index(df), one_an_id(df.where(F.col("vec_id") % STRIDE == 0)))
+    return search(build_index(df), usable_rows(df.where(F.col("vec_id") % STRIDE == 0)))

@@ -100,9 +100,10 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def hash_fraction(col, fraction: float) -> F.Column:
+def hash_fraction(col, fraction: float | F.Column) -> F.Column:
     """Deterministic row sample by a hash of ``col``; ``fraction`` >= 1 keeps every row."""
-    return F.pmod(F.xxhash64(col, F.lit(20)), F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))
+    most = F.floor(fraction * (1 << 30)) if isinstance(fraction, F.Column) else F.lit(int(fraction * (1 << 30)))
+    return F.pmod(F.xxhash64(col, F.lit(20)), F.lit(1 << 30)) < most
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

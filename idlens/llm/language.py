@@ -21,8 +21,8 @@ from idlens.llm.unicode_tables import code_points, letters
 
 #: Entries of a profile, and of a document's list.
 PROFILE = 300
-#: About how many labelled documents profiles are learned from, at most.
-SAMPLE_ROWS = 20_000
+#: About how many labelled documents each language's profile is learned from, at most.
+SAMPLE_ROWS = 5_000
 UNKNOWN = "und"
 
 
@@ -52,14 +52,17 @@ def ranked(codes: np.ndarray, n: int = PROFILE) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, list[int]]:
     """Profiles by language, from documents that are not held out and have a language.
 
-    The sample is by a hash of doc_id, about ``sample_rows`` documents; counts are summed by Spark and only the
-    profiles, 300 entries a language, reach the driver. Texts with a null language or id teach nothing.
+    The sample is by a hash of doc_id, about ``sample_rows`` documents of each language, so that a rare one is learned
+    too; counts are summed by Spark and only the profiles, 300 entries a language, reach the driver. Texts with a null
+    language or id teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    total = known.count()
-    if not total:
+    totals = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not totals:
         return {}
-    rows = known.where(hash_fraction("doc_id", sample_rows / total)).select("lang", text)
+    # one row a language, as many as there are profiles
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, sample_rows / n)) for lang, n in totals.items()], T.StructType([docs.schema["lang"], T.StructField("_share", T.DoubleType())]))
+    rows = known.select("doc_id", "lang", text).join(F.broadcast(share), "lang").where(hash_fraction("doc_id", F.col("_share"))).select("lang", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches, text):
@@ -117,5 +120,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text")
 
 
 def identify(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Learn from the labelled documents and predict all: (doc_id, held_out, lang_pred, score)."""
+    """Learn from the labelled documents and predict all: (doc_id, held_out, lang_pred, score).
+
+    One row for each row: rows that repeat an id or lack one are predicted each by its own text, very long texts whole.
+    Other columns are not read, so their names never clash; an empty table gives no rows.
+    """
     return predict(docs, learn(docs, text, sample_rows), text).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

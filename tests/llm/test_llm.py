@@ -282,10 +282,36 @@ def test_neighbours(spark):
 
 
 def test_neighbours_of_repeated_ids(spark):
-    """Of rows that repeat an id the one of the smallest vector takes part; columns with names used inside do not clash."""
-    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0]), (3, [3.0, 0.1]), (4, [1.0, 1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("v", "dim", "shard", "part", "rank", "score")})
-    assert [(r.query_id, r["rank"], r.vec_id) for r in ann.neighbours(df).orderBy("rank").collect()] == [(50, 1, 1), (50, 2, 2), (50, 3, 3)]
+    """Rows that repeat an id each take part; a query leaves out its own row alone. Names used inside do not clash."""
+    rows = [(50, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [1.0, 1.0]), (3, [3.0, 0.1]), (4, [1.0, 1.0, 1.0])]
+    names = ("v", "dim", "shard", "part", "rank", "score", "query")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in names})
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in ann.neighbours(df).orderBy("rank").collect()]
+    assert got == [(50, 1, 3, 0.999), (50, 2, 1, 0.995), (50, 3, 1, 0.995), (50, 4, 2, 0.707), (50, 5, 1, 0.0)]
+    two = spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["rank"], r.vec_id, r.score) for r in ann.neighbours(two).collect()) == [(1, 50, 0.0), (1, 50, 1.0), (1, 50, 1.0), (2, 50, 0.0), (2, 50, 0.0), (2, 50, 0.0)]
+
+
+def test_neighbours_in_many_shards_and_parts(spark, monkeypatch):
+    """Several shards and parts of queries: recall against brute force, and scores of the rows named."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", (200, 300))
+    monkeypatch.setattr(ann, "PART_ROWS", 15)
+    rnd = np.random.default_rng(12)
+    centre = rnd.standard_normal((60, 20))
+    x = centre[rnd.integers(0, 60, 2500)] + rnd.standard_normal((2500, 20)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build_index(df)
+    assert index.select("shard").distinct().count() > 5
+    got = {}
+    for r in ann.search(index, ann.usable_rows(df.where("vec_id % 50 = 0"))).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 2500, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert len(got) == 50 and hit / 250 >= 0.9
 
 
 def test_language(docs):
@@ -296,6 +322,14 @@ def test_language(docs):
     assert got[1000].lang_pred == got[1001].lang_pred == "und" and language.identify(docs.limit(0)).count() == 0
 
 
+def test_language_of_a_rare_one(spark):
+    """Each language has a sample of its own, so one document in a thousand is learned from."""
+    rows = [(i, f"the house and the street number {i}", "en") for i in range(3000)] + [(5000 + i, "żółć gęśl jaźń wąż źdźbło", "pl") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(d, sample_rows=20).collect()}
+    assert all(got[5000 + i] == "pl" for i in range(3)) and all(got[i] == "en" for i in range(3000))
+
+
 def profile_of(texts, n=300):
     count = Counter()
     for t in texts:
@@ -413,6 +447,17 @@ def test_pii_adds_altered_formats_and_no_failing_ones(spark):
     assert got[5001].spans == "" and got[5002].spans == "" and all(len(got[i].spans.split(",")) == 2 for i in range(900))
 
 
+def test_redact(spark):
+    """Every row is redacted by its own spans: rows without an id, repeated ones, long texts, clashing columns."""
+    rows = [(None, "mail a@b.com"), (1, "call +1 555 123 4567 now"), (1, "nothing"), (1, "mail a@b.com"), (2, None), (3, ""), (4, "x 10.0.0.1\n" * 100 + "plain words " * 20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("k") for c in ("base", "spans", "row", "kept", "t", "more")})
+    got = pii.redact(d)
+    assert got.columns == d.columns and got.where("base = 'k' AND kept = 'k'").count() == 7
+    said = {"mail a@b.com": "mail [email]", "call +1 555 123 4567 now": "call [phone] now", rows[-1][1]: "x [ip]\n" * 100 + "plain words " * 20_000}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, said.get(t, t)) for i, t in rows)
+    assert pii.redact(d.limit(0)).count() == 0
+
+
 def test_stages_on_odd_rows(spark):
     """Every stage on null, empty, repeated and clashing rows, and on an empty table."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

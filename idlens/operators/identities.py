@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idlens.functions import globs
 from idlens.functions import secrets as S
 from idlens.functions.catalog import IDENTITY_TYPES, TYPE_ALIASES
 from idlens.functions.text import FILE, explode_lines
@@ -91,7 +92,7 @@ def parse_codeowners(artifacts: DataFrame) -> DataFrame:
     best = artifacts.where(rank > 0).groupBy(*SCAN).agg(F.min_by(F.struct("path", "content"), rank).alias("f")).select(*SCAN, "f.*")
     words = F.split(F.trim(F.regexp_replace("line", r"(?:^|\s)#.*$", "")), r"\s+")
     lines = explode_lines(best).withColumn("w", words).where(F.size("w") >= 2)
-    return lines.select("repo", F.col("line_no").alias("ord"), F.col("w")[0].alias("pattern"), F.array_join(F.slice("w", 2, 1000), " ").alias("owners"))
+    return lines.select("repo", F.col("line_no").alias("ord"), F.col("w")[0].alias("pattern"), F.array_join(F.slice("w", F.lit(2), F.size("w")), " ").alias("owners"))
 
 
 def owner_regex(pattern: Column) -> Column:
@@ -105,9 +106,11 @@ def owner_regex(pattern: Column) -> Column:
 
 
 def match_codeowners(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, path, owners): the last matching rule of the path's repository."""
-    rx = rules.select("repo", "ord", "owners", owner_regex(F.col("pattern")).alias("rx"))
-    hit = paths.select("repo", "path").distinct().join(rx, "repo").where(F.expr("regexp_like(path, rx)"))
+    """(repo, path, owners): the last matching rule of the path's repository, met by repository and anchor."""
+    pattern = F.col("pattern")
+    anchor = globs.any_name_anchor(F.regexp_replace(pattern, "^/", ""), F.startswith(pattern, F.lit("/")))
+    rx = rules.select("repo", "ord", "owners", anchor.alias("anchor"), owner_regex(pattern).alias("rx"))
+    hit = globs.matches(paths.select("repo", "path").distinct(), rx, "path", globs.any_name_keys(F.col("path")))
     return hit.groupBy("repo", "path").agg(F.max_by("owners", "ord").alias("owners"))
 
 

@@ -287,6 +287,24 @@ def prepared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("repo").agg(F.count("*").alias("files"))
 
 
+FOLDER_SQL = "SELECT 'nation_' || c_nationkey AS repo, CASE c_custkey % 3 WHEN 0 THEN '.env' WHEN 1 THEN 'yml' ELSE 'txt' END AS kind, count(*) AS files, sum(length('KEY=') + 64)::BIGINT AS bytes FROM customer WHERE c_custkey % 5 <> 0 GROUP BY ALL"
+
+
+@register("scanned_folder", FOLDER_SQL)
+def scanned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a file of a folder tree in the shared folder, hidden names and folders among them, read back
+    through the data source; a fifth stand in folders that are never entered."""
+    k = F.col("c_custkey")
+    folder = F.when(k % 5 == 0, "node_modules/x/").otherwise("")
+    name = F.when(k % 3 == 0, F.concat(F.lit("svc"), k, F.lit("/.env"))).when(k % 3 == 1, F.concat(F.lit(".github/workflows/w"), k, F.lit(".yml"))).otherwise(F.concat(F.lit("docs/_n"), k, F.lit(".txt")))
+    text = F.concat(F.lit("KEY="), F.sha2(k.cast("string").cast("binary"), 256))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    root = f"{store.shared_dir(spark)}/idlens/tree-{uuid.uuid4().hex}"
+    src.write_files(customers.select(F.concat(F.lit("nation_"), F.col("c_nationkey"), F.lit("/"), folder, name).alias("path"), text.cast("binary").alias("content")), root)
+    found = src.read_artifacts(spark, root)
+    return found.groupBy("repo", F.regexp_extract("path", r"(\.env|yml|txt)$", 1).alias("kind")).agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"))
+
+
 @register("changed_only", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL")
 def changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = corpus.artifacts(spark, sf_dir)
@@ -698,10 +716,17 @@ def scan_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("repo", "f.rule_id", "f.severity").agg(F.count("*").alias("n"))
 
 
-@register("degraded_scans", IDS + FINDINGS + """, t AS (SELECT repo, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h FROM v GROUP BY repo), e AS (SELECT DISTINCT repo FROM b WHERE o_orderkey % 97 = 0)
+TITLES_SQL = "(VALUES " + ", ".join(f"('{row[0]}', '{row[1]}')" for row in rule_rows()) + ") k(rule_id, title)"
+
+
+@register("degraded_scans", IDS + FINDINGS + f", o AS (WITH {OVERALL}), p AS (SELECT repo, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, arg_min(title, struct_pack(a := -risk, b := rule_id)) AS top FROM v JOIN {TITLES_SQL} USING (rule_id) GROUP BY repo)" + """,
+    e AS (SELECT repo, count(*) AS n FROM b WHERE o_orderkey % 97 = 0 GROUP BY repo)
     SELECT repo, CASE WHEN repo = 'repo_3' THEN 'untrusted' WHEN e.repo IS NOT NULL THEN 'degraded' WHEN c > 0 OR h > 0 THEN 'action_required' ELSE 'clean' END AS trust_level,
     CASE WHEN repo = 'repo_3' OR c > 0 THEN 'block' WHEN e.repo IS NOT NULL OR h > 0 THEN 'manual_review' ELSE 'pass' END AS policy,
-    CASE WHEN repo = 'repo_3' THEN 10 WHEN c > 0 OR h > 0 THEN 2 ELSE 1 END AS gate FROM t LEFT JOIN e USING (repo)""")
+    CASE WHEN repo = 'repo_3' THEN 10 WHEN c > 0 OR h > 0 THEN 2 ELSE 1 END AS gate, CASE WHEN repo = 'repo_3' THEN 100 ELSE overall_score END AS overall_score,
+    CASE WHEN repo = 'repo_3' THEN 'The scan did not end, so nothing it says can be relied on; it blocks until one ends.'
+      WHEN e.repo IS NOT NULL THEN 'Incomplete: ' || e.n || ' files or steps failed. What is missing below is not proven clean.'
+      ELSE c || ' critical and ' || h || ' high findings. Worst first: ' || top || '.' END AS summary FROM p JOIN o USING (repo) LEFT JOIN e USING (repo)""")
 def degraded_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that could not be read lower the trust in a scan; one that did not end is not trusted at all."""
     i = synthetic.identities(spark, sf_dir)
@@ -711,7 +736,7 @@ def degraded_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     fatal = i.where("repo = 'repo_3'").select("scan_id", "repo").distinct()
     scans = R.scan_summary(i, f, errors, fatal)
     gates = R.gate_status(f.withColumn("baseline_status", F.lit("new")), scans)
-    return scans.join(gates, ["scan_id", "repo"]).select("repo", "trust_level", "policy", "gate")
+    return scans.join(gates, ["scan_id", "repo"]).select("repo", "trust_level", "policy", "gate", "overall_score", "summary")
 
 
 @register("full_scan")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import io
 import json
-import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from idlens.functions import globs
 from idlens.functions.text import base_name, extension
+from idlens.sources import folders, patterns
 
 MAX_BYTES = 2_097_152
 
@@ -38,16 +40,38 @@ def normalize_text(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
 
 
-def read_artifacts(spark: SparkSession, root: str, repo: str, scan_id: str = "s1") -> DataFrame:
-    """All files below a folder. The size gate reads file metadata, so large files are never opened.
+def read_artifacts(spark: SparkSession, root: str, repo: str | None = None, scan_id: str = "s1") -> DataFrame:
+    """All files below a folder, hidden ones too; links are not followed and ignored folders never entered.
 
-    Spark's file sources pass over names that begin with a dot or an underscore, so ``.env`` files and ``.github``
-    folders do not come this way: bring such trees as archives (``read_archives``) or as a table.
+    ``repo`` names the repository; without it each folder of the first level is one, and files beside them belong to a
+    repository of an empty name. Sizes and paths are judged from the listing, so files above the size gate are never
+    opened, and filters on ``file`` (the path below ``root``) reach the source too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
-    clean = root.split("://")[-1].rstrip("/") + "/"
-    path = F.regexp_replace("path", f"^.*?{re.escape(clean)}", "")
-    return complete(files.select(F.lit(scan_id).alias("scan_id"), F.lit(repo).alias("repo"), path.alias("path"), normalize_text(F.col("content")).alias("content")))
+    folders.register(spark)
+    files = spark.read.format(folders.NAME).option("prune", json.dumps(IGNORED_DIRS)).load(root).where(F.col("length") <= MAX_BYTES)
+    first = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^([^/]*)/", 1)).otherwise("")
+    below = F.regexp_replace("path", "^[^/]*/", "") if repo is None else F.col("path")
+    name = first if repo is None else F.lit(repo)
+    return complete(files.select(F.lit(scan_id).alias("scan_id"), name.alias("repo"), below.alias("path"), normalize_text(F.col("content")).alias("content")))
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (path, content binary) as files below ``root``, a folder that all executors share; how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, made, n = folders.Tree(root, []), set(), 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                parent = tree.full(path).rpartition("/")[0]
+                if parent not in made:
+                    tree.fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with tree.fs.open_output_stream(tree.full(path)) as f:
+                    f.write(content)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_archives(spark: SparkSession, root: str, scan_id: str = "s1") -> DataFrame:
@@ -58,17 +82,23 @@ def read_archives(spark: SparkSession, root: str, scan_id: str = "s1") -> DataFr
     archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"(?i)\.(?:zip|tar|tgz|tar\.gz)$"))
     repo = F.regexp_extract("path", r"([^/]+?)(?i)(?:\.zip|\.tar|\.tgz|\.tar\.gz)$", 1)
 
+    def opened(raw: bytes) -> Iterator[tuple[str, bytes]]:
+        if zipfile.is_zipfile(io.BytesIO(raw)):
+            with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                for m in z.infolist():
+                    if not m.is_dir() and m.file_size <= MAX_BYTES:
+                        yield m.filename, z.read(m)
+        else:
+            with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+                for m in t:
+                    if m.isfile() and m.size <= MAX_BYTES:
+                        yield m.name.removeprefix("./"), t.extractfile(m).read()
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, raw in zip(pdf["repo"], pdf["content"]):
-                rows = []
-                if zipfile.is_zipfile(io.BytesIO(raw)):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        rows = [(name, m.filename, z.read(m)) for m in z.infolist() if not m.is_dir() and m.file_size <= MAX_BYTES]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-                        rows = [(name, m.name.removeprefix("./"), t.extractfile(m).read()) for m in t if m.isfile() and m.size <= MAX_BYTES]
-                yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+                for path, content in opened(raw):
+                    yield pd.DataFrame([(name, path, content)], columns=["repo", "path", "content"])
 
     files = archives.select(repo.alias("repo"), "content").mapInPandas(members, "repo string, path string, content binary")
     return artifacts_from_table(files, F.col("repo"), F.col("path"), F.col("content"), scan_id)
@@ -98,25 +128,35 @@ def size_gate(df: DataFrame) -> DataFrame:
     return df.where(F.col("n_bytes") <= MAX_BYTES)
 
 
+def ignore_body(pattern: Column) -> tuple[Column, Column]:
+    """A gitignore pattern without its signs, and whether it is rooted: a ``/`` leads it or stands inside."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, "^!", ""), "/+$", "")
+    body = F.regexp_replace(bare, "^/", "")
+    return body, F.startswith(bare, F.lit("/")) | body.contains("/")
+
+
 def ignore_regex(pattern: Column) -> Column:
     """A gitignore pattern as a regex: ``*`` and ``?`` stay in a segment, ``**`` spans, a leading ``/`` anchors."""
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, "^!", ""), "/+$", ""), r"([.+^$(){}|\[\]\\])", r"\\$1")
-    anchored = F.startswith(body, F.lit("/")) | F.regexp_replace(body, "^/", "").contains("/")
-    body = F.replace(F.regexp_replace(body, "^/", ""), F.lit("**/"), F.lit("\x01"))
+    body, rooted = ignore_body(pattern)
+    body = F.replace(F.regexp_replace(body, r"([.+^$(){}|\[\]\\])", r"\\$1"), F.lit("**/"), F.lit("\x01"))
     body = F.replace(F.replace(body, F.lit("**"), F.lit("\x02")), F.lit("*"), F.lit("[^/]*"))
     body = F.replace(F.replace(F.replace(body, F.lit("?"), F.lit("[^/]")), F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*"))
-    return F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), body, F.lit("$"))
+    return F.concat(F.when(rooted, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), body, F.lit("$"))
 
 
 def apply_ignore_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Drops ignored files. For each path and each folder above it the last matching rule decides; an ignored
-    folder takes its subtree. Rules are (repo, ord, pattern), joined by repository."""
-    clean = rules.select("repo", "ord", "pattern", ignore_regex(F.trim("pattern")).alias("rx"), F.startswith(F.trim("pattern"), F.lit("!")).alias("back")).where("trim(pattern) <> '' AND NOT trim(pattern) LIKE '#%'")
+    folder takes its subtree. Rules are (repo, ord, pattern), met by repository and anchor."""
+    pattern = F.trim("pattern")
+    clean = rules.where((pattern != "") & ~pattern.startswith("#"))
+    clean = clean.select("repo", "ord", globs.last_name_anchor(*ignore_body(pattern)).alias("anchor"), ignore_regex(pattern).alias("rx"), F.startswith(pattern, F.lit("!")).alias("back"))
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    seen = df.select("repo", "path").distinct().select("repo", "path", F.explode(prefixes).alias("prefix"))
-    last = seen.join(clean, "repo").where(F.expr("regexp_like(prefix, rx)")).groupBy("repo", "path", "prefix").agg(F.max_by(~F.col("back"), "ord").alias("gone"))
-    return df.join(last.where("gone").select("repo", "path").distinct(), ["repo", "path"], "left_anti")
+    # a folder is judged once, however many files are below it
+    seen = df.select("repo", F.explode(prefixes).alias("prefix")).distinct()
+    last = globs.matches(seen, clean, "prefix", globs.last_name_keys(F.col("prefix"))).groupBy("repo", "prefix").agg(F.max_by(~F.col("back"), "ord").alias("gone"))
+    gone = df.select("repo", "path", F.explode(prefixes).alias("prefix")).join(last.where("gone"), ["repo", "prefix"])
+    return df.join(gone.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
 
 
 def restrict_to_changed(df: DataFrame, changed: DataFrame) -> DataFrame:
@@ -161,10 +201,20 @@ def added_lines(patches: DataFrame) -> DataFrame:
     return rows.select("repo", c[0].alias("sha"), c[1].alias("short_sha"), c[2].alias("author"), c[4].alias("date"), "path", (F.col("hunk.start") + F.col("nth") - 1).cast("int").alias("line_no"), F.substring("line", F.lit(2), F.length("line")).alias("text"))
 
 
-def scan_history(lines: DataFrame, detect, max_commits: int = 1000) -> DataFrame:
-    """Detectors over each commit's added snippet, with true line numbers; the newest ``max_commits`` of a repository."""
-    newest = F.dense_rank().over(Window.partitionBy("repo").orderBy(F.desc("date"), "sha"))
-    kept = lines.withColumn("_r", newest).where(F.col("_r") <= max_commits)
+def scan_history(lines: DataFrame, detect, max_commits: int | None = None, since: str | None = None) -> DataFrame:
+    """Detectors over each commit's added snippet, with true line numbers.
+
+    Every commit counts, unless ``since`` (an ISO date or time) or ``max_commits``, the newest ones of a repository, say
+    otherwise. Dates with offsets compare as points in time; a commit whose date cannot be read is not older than any.
+    """
+    kept = lines
+    if since:
+        kept = kept.where(F.coalesce(F.try_to_timestamp("date") >= F.to_timestamp(F.lit(since)), F.lit(True)))
+    if max_commits:
+        # ranked among commits, not among their lines
+        commits = kept.groupBy("repo", "sha").agg(F.max(F.try_to_timestamp("date")).alias("_at"), F.max("date").alias("_date"))
+        newest = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc_nulls_last("_at"), F.desc("_date"), "sha"))
+        kept = kept.join(commits.withColumn("_r", newest).where(F.col("_r") <= max_commits).select("repo", "sha"), ["repo", "sha"], "left_semi")
     snippet = kept.groupBy("repo", "sha", "short_sha", "author", "date", "path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     snippet = snippet.select(F.col("sha").alias("scan_id"), "repo", "path", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("content"), F.col("sha").alias("commit_sha"), F.col("short_sha").alias("commit_short_sha"), F.col("author").alias("commit_author"), F.col("date").alias("commit_date"), F.transform("l", lambda x: x["line_no"]).alias("lines"))
     maps = snippet.select("scan_id", "repo", "path", "lines", *(F.col(c).alias(f"_{c}") for c in ("commit_sha", "commit_short_sha", "commit_author", "commit_date")))
@@ -177,13 +227,10 @@ def scan_history(lines: DataFrame, detect, max_commits: int = 1000) -> DataFrame
     return out.drop("lines", "_commit_sha", "_commit_short_sha", "_commit_author", "_commit_date")
 
 
-NESTED = re.compile(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*{]")
-
-
 def load_rule_pack(text: str) -> list[dict]:
-    """Valid rules of a JSON pack, a handful of rows on the driver. Rules without id, with an unknown severity, a
-    pattern over 512 characters, nested quantifiers or a syntax error, and structural ones without ``when`` go;
-    a pack without a valid rule is an error."""
+    """Valid rules of a JSON pack, a handful of rows on the driver. Rules without id, with an unknown severity, a pattern
+    over 512 characters, one that ``patterns.refused`` refuses, and structural ones without ``when`` go; a pack without a
+    valid rule is an error. Patterns come back in the dialect that Spark runs."""
     out = []
     for r in json.loads(text).get("rules", []):
         if not r.get("id") or r.get("severity", "medium") not in ("low", "medium", "high", "critical"):
@@ -193,12 +240,9 @@ def load_rule_pack(text: str) -> list[dict]:
                 continue
         else:
             pattern = r.get("pattern") or ""
-            try:
-                re.compile(pattern)
-            except re.error:
-                continue
-            if not pattern or len(pattern) > 512 or NESTED.search(pattern):
+            if not pattern or len(pattern) > 512 or patterns.refused(pattern):
                 continue
+            r = r | {"pattern": patterns.translated(pattern)}
         out.append(r)
     if not out:
         raise ValueError("no valid rule in the pack")

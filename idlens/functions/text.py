@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE = ["scan_id", "repo", "path"]
@@ -81,16 +83,34 @@ def kv_pairs(content: Column) -> Column:
     return F.transform(lines, pair).cast(PAIR)
 
 
+def numbered_lines(content: Column) -> Column:
+    """array<struct<n,s>>: the lines of a text, 1-based."""
+    return F.transform(F.split(content, "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("s")))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def last_before(marks: Column, n: Column, field: str) -> Column:
+    """``field`` of the last of ``marks`` (ascending ``n``) at or before ``n``; null where there is none."""
+    return F.try_element_at(F.filter(marks, lambda m: m["n"] <= n), F.lit(-1))[field]
+
+
 def toml_section_pairs(df: DataFrame) -> DataFrame:
-    """(file, line_no, key, value) with the section before the key: the last header by a window over the file."""
-    lines = explode_lines(df).withColumn("s", F.trim("line"))
-    upto = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.regexp_extract("s", r"^\[+([^\]]+)\]+$", 1)
-    lines = lines.withColumn("section", F.last(F.when(header != "", unquote(F.trim(header))), True).over(upto))
-    pairs = lines.where(F.col("s").rlike(r"^[A-Za-z0-9_.-]+\s*=\s*.+$"))
-    key = F.regexp_extract("s", r"^([A-Za-z0-9_.-]+)", 1)
-    value = unquote(F.trim(F.regexp_extract("s", r"=\s*(.+)$", 1)))
-    return pairs.select(*FILE, "line_no", F.concat_ws(".", "section", key).alias("key"), value.alias("value"))
+    """(file, line_no, key, value) with the section before the key, all in the file's own row."""
+    lines = F.transform(numbered_lines(F.col("content")), lambda x: F.struct(x["n"].alias("n"), F.trim(x["s"]).alias("s")))
+    header = r"^\[+([^\]]+)\]+$"
+    sections = F.transform(F.filter("l", lambda x: x["s"].rlike(header)), lambda x: F.struct(x["n"].alias("n"), unquote(F.trim(F.regexp_extract(x["s"], header, 1))).alias("section")))
+    pairs = F.filter("l", lambda x: x["s"].rlike(r"^[A-Za-z0-9_.-]+\s*=\s*.+$"))
+
+    def pair(x: Column) -> Column:
+        key = F.concat_ws(".", last_before(F.col("h"), x["n"], "section"), F.regexp_extract(x["s"], r"^([A-Za-z0-9_.-]+)", 1))
+        return F.struct(x["n"].alias("line_no"), key.alias("key"), unquote(F.trim(F.regexp_extract(x["s"], r"=\s*(.+)$", 1))).alias("value"))
+
+    rows = df.select(*FILE, lines.alias("l")).withColumn("h", sections)
+    return rows.select(*FILE, F.inline(F.transform(pairs, pair)))
 
 
 def json_depth(content: Column) -> Column:
@@ -134,25 +154,41 @@ def json5_lite(content: Column) -> Column:
     return F.when(F.try_parse_json(content).isNotNull(), content).otherwise(bare)
 
 
-def in_blocks(lines: DataFrame, headers: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Lines with a flag for each name of ``headers``: they stand in the indented block that the last line of its
-    pattern opened, among files of its condition. All flags share one sort of a file's lines."""
-    upto = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    bare = F.regexp_replace("line", r"#.*$", "")
-    rows = lines.withColumns({"_indent": F.length(F.regexp_extract(bare, r"^( *(?:- +)?)", 1)), "_lead": F.length(F.regexp_extract("line", r"^( *)", 1)), "_blank": F.trim(bare) == ""})
-    opens = {n: where & F.col("line").rlike(header) for n, (header, where) in headers.items()}
-    heads = {f"_head_{n}": F.last(F.when(o, F.struct("line_no", F.col("_indent").alias("indent"))), True).over(upto) for n, o in opens.items()}
-    rows = rows.withColumns(heads)
-    # the last line at or left of its block's header ends the block
-    ends = {f"_end_{n}": F.max(F.when(~F.col("_blank") & ~o & (F.col("_lead") <= F.col(f"_head_{n}.indent")), F.col("line_no"))).over(upto) for n, o in opens.items()}
-    rows = rows.withColumns(ends)
-    inside = {n: F.col(f"_head_{n}").isNotNull() & ~o & (F.coalesce(f"_end_{n}", F.lit(0)) < F.col(f"_head_{n}.line_no")) for n, o in opens.items()}
-    return rows.withColumns(inside).drop("_indent", "_lead", "_blank", *heads, *ends)
-
-
-def in_block(lines: DataFrame, header: str) -> DataFrame:
-    """Lines with ``inside``: they stand in the indented block that the last ``header`` line opened."""
-    return in_blocks(lines, {"inside": (header, F.lit(True))})
+BLOCKS = "array<struct<a:int,b:int>>"
+
+
+def blocks(lines: Column, header: str) -> Column:
+    """The indented blocks of a file's ``numbered_lines``, as struct<a, b>: a line n stands in one if a < n < b.
+
+    A block opens at a line that matches ``header`` and ends before the first later line that is not blank and stands no
+    further right, or at the next header. Comments count neither for a header's indent nor as lines. The work is that of
+    the file's lines times its headers, in the file's own row.
+    """
+    bare = lambda x: F.regexp_replace(x["s"], r"#.*$", "")
+    heads = F.transform(F.filter(lines, lambda x: x["s"].rlike(header)), lambda x: F.struct(x["n"].alias("n"), F.length(F.regexp_extract(bare(x), r"^( *(?:- +)?)", 1)).alias("indent")))
+    stops = F.transform(F.filter(lines, lambda x: (F.trim(bare(x)) != "") & ~x["s"].rlike(header)), lambda x: F.struct(x["n"].alias("n"), F.length(F.regexp_extract(x["s"], r"^( *)", 1)).alias("lead")))
+    never = F.lit(2**31 - 1)
+
+    def block(heads: Column, stops: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            following = F.coalesce(F.try_element_at(heads, (i + 2).cast("int"))["n"], never)
+            stop = F.coalesce(F.array_min(F.transform(F.filter(stops, lambda x: (x["n"] > h["n"]) & (x["lead"] <= h["indent"])), lambda x: x["n"])), never)
+            return F.struct(h["n"].alias("a"), F.least(following, stop).alias("b"))
+
+        return F.transform(heads, one).cast(BLOCKS)
+
+    return let(heads, lambda h: let(stops, lambda s: block(h, s)))
+
+
+def inside(found: Column, n: Column) -> Column:
+    """Whether line ``n`` stands in one of ``blocks``."""
+    return F.exists(found, lambda x: (n > x["a"]) & (n < x["b"]))
+
+
+def in_block(df: DataFrame, header: str, keep: list[str] | None = None) -> DataFrame:
+    """Lines of files with ``inside``: they stand in the indented block that the last ``header`` line opened."""
+    rows = df.select(*(keep or FILE), numbered_lines(F.col("content")).alias("_l")).withColumn("_b", blocks(F.col("_l"), header))
+    return rows.select(*(keep or FILE), "_b", F.inline("_l")).select(*(keep or FILE), F.col("s").alias("line"), F.col("n").alias("line_no"), inside(F.col("_b"), F.col("n")).alias("inside"))
 
 
 # Names of one capability.

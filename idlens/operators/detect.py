@@ -1,23 +1,26 @@
-"""Detection: artifacts to signals.
+"""Detection: artifacts to signals, in one pass over the texts.
 
-Every family of specs is one projection over the artifacts: path and content gates first, then one array of
-matches a line, opened by ``inline``. Constants of a spec come from a small broadcast table. Values are masked
-and fingerprinted in the projection that finds them and dropped there.
+Every detector is a ``Part``: a gate over path and text, and one array of hits a file or a line. A scan puts the arrays
+of all its parts into one projection over the source: files that no gate lets through go first; what needs a whole file,
+its blocks and sections included, is worked out in the file's own row; then lines are opened, and the hits. Values
+are masked and fingerprinted in the same stage and dropped there, so that no raw value meets an exchange, a cache
+or a file. Constants of a spec come from a small broadcast table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce, wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idlens.functions import anchors
 from idlens.functions import secrets as S
 from idlens.functions import text as X
 from idlens.functions.catalog import SURE_RULES
 from idlens.operators.specs import ALL, FAMILIES, KNOWN_PAM, SECRET_NAME, TRUSTED, Spec
-from idlens.sources.store import staged
 
 # What a detector says of an identity besides where it stands: column and type.
 FACTS = {
@@ -88,14 +91,20 @@ def signals(hits: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-ENTRY = "array<struct<rule:string,said:string,value:string,line:int,detector:string," + ",".join(f"{c}:{kind}" for c, kind in FACTS.items()) + ">>"
+#: What an entry says beside the columns that a match of a spec has too; null in those, as it comes from the spec's row.
+MORE = {"rule": "string", "detector": "string"} | {c: kind for c, kind in FACTS.items() if c not in ("name", "production_access")}
+MORE_KIND = "struct<" + ",".join(f"{c}:{kind}" for c, kind in MORE.items()) + ">"
+ENTRY = f"array<struct<spec:int,value:string,name:string,production_access:boolean,line:int,said:string,more:{MORE_KIND}>>"
 
 
 def entry(rule: Column | str, said: Column, line: Column, detector: str, value: Column | None = None, **facts: Column) -> Column:
     """A hit as a struct, so that one projection can hold the hits of many checks."""
-    shared = {"rule": F.lit(rule) if isinstance(rule, str) else rule, "said": said, "value": F.lit(None) if value is None else value, "line": line, "detector": F.lit(detector)}
     given = {c: facts[c] if c in facts else F.lit(None) if c in NULLABLE else EMPTY[kind]() for c, kind in FACTS.items()}
-    return F.struct(*(v.cast("string" if k != "line" else "int").alias(k) for k, v in shared.items()), *(v.cast(FACTS[c]).alias(c) for c, v in given.items()))
+    given |= {"rule": F.lit(rule) if isinstance(rule, str) else rule, "detector": F.lit(detector)}
+    more = F.struct(*(given[c].cast(kind).alias(c) for c, kind in MORE.items()))
+    shared = {"spec": F.lit(None), "value": F.lit(None) if value is None else value, "name": given["name"], "production_access": given["production_access"], "line": line, "said": said}
+    kinds = {"spec": "int", "production_access": "boolean", "line": "int"}
+    return F.struct(*(v.cast(kinds.get(c, "string")).alias(c) for c, v in shared.items()), more.alias("more"))
 
 
 def entries(*checks: tuple[Column, Column]) -> Column:
@@ -104,14 +113,6 @@ def entries(*checks: tuple[Column, Column]) -> Column:
     return F.concat(*(F.when(ok, e).otherwise(none) for ok, e in checks))
 
 
-def opened(rows: DataFrame, found: Column) -> DataFrame:
-    """The hits of an array of entries a row."""
-    history = [c for c in HISTORY if c in rows.columns]
-    # outer, so that no filter on the array's size is derived, which would work it out twice
-    out = rows.select(*X.FILE, *history, F.inline_outer(found)).where("rule IS NOT NULL")
-    return hit(out, F.col("rule"), F.col("said"), F.col("value"), F.col("line"), F.col("detector"), **{c: F.col(c) for c in FACTS})
-
-
 def one(e: Column) -> Column:
     return F.array(e).cast(ENTRY)
 
@@ -121,15 +122,80 @@ def make_signal(df: DataFrame, keys: DataFrame, rule: Column, evidence: Column,
     return signals(hit(df, rule, evidence, value, line, detector, **facts), keys)
 
 
-def detector(find: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A detector (artifacts, keys, ...) of signals from a function (artifacts, ...) of hits, which stays at hand as
-    ``hits``, so that a whole scan makes signals of all hits at once."""
+@dataclass
+class Part:
+    """A detector's share of the pass. ``layers`` are columns of a file's row that its arrays read, each layer after the
+    one before, worked out only for files that pass ``gate``; so are ``file``, an array of entries a file, and
+    ``line``, one a line (columns line, line_no)."""
+
+    gate: Column
+    layers: list[dict[str, Column]] = field(default_factory=list)
+    file: Callable[[], Column] | None = None
+    line: Callable[[], Column] | None = None
+    specs: list[Spec] = field(default_factory=list)
 
-    @wraps(find)
+
+def hits(artifacts: DataFrame, parts: list[Part]) -> DataFrame:
+    """Hits of all parts. One narrow stage over the artifacts: no exchange but for the broadcast table of specs."""
+    keep = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
+    none = F.array().cast(ENTRY)
+    rows = file_columns(artifacts).withColumn("low_text", F.lower("content"))
+    # opened from an array, so that the filter on the gates does not work them out a second time
+    gates = F.array(F.struct(F.array(*(F.coalesce(p.gate, F.lit(False)) for p in parts)).alias("_gates")))
+    rows = rows.select(*keep, "low_path", "content", F.inline(gates)).where(F.exists("_gates", lambda ok: ok))
+    open_ = [F.col("_gates")[i] for i in range(len(parts))]
+    for p, ok in zip(parts, open_):
+        for layer in p.layers:
+            rows = rows.withColumns({c: F.when(ok, v) for c, v in layer.items()})
+    found = [F.when(ok, p.file()).otherwise(none) for p, ok in zip(parts, open_) if p.file]
+    found = F.concat(*found) if found else none
+    by_line = [(p, ok) for p, ok in zip(parts, open_) if p.line]
+    if by_line:
+        kind = f"array<struct<line_no:int,line:string,found:{ENTRY}>>"
+        lines = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"), none.alias("found"))).cast(kind)
+        lines = F.when(reduce(lambda a, b: a | b, (ok for _, ok in by_line)), lines).otherwise(F.array().cast(kind))
+        whole = F.array(F.struct(F.lit(0).alias("line_no"), F.lit(None).alias("line"), found.alias("found"))).cast(kind)
+        carried = [c for p, _ in by_line for layer in p.layers for c in layer if c.startswith("_line_")]
+        # outer, so that no filter on the array's size is derived, which would work it out twice
+        rows = rows.select(*keep, "_gates", *carried, F.inline_outer(F.concat(whole, lines)))
+        found = F.when(F.col("line_no") == 0, F.col("found")).otherwise(F.concat(*(F.when(ok, p.line()).otherwise(none) for p, ok in by_line)))
+    rows = rows.select(*keep, F.inline_outer(found)).where("more IS NOT NULL OR spec IS NOT NULL")
+    rows = rows.select(*keep, "spec", "value", "name", "production_access", "line", "said", "more.*")
+    specs = [s for p in parts for s in p.specs]
+    return named(rows, specs) if specs else hit(rows, F.col("rule"), F.col("said"), F.col("value"), F.col("line"), F.col("detector"), **{c: F.col(c) for c in FACTS})
+
+
+def named(rows: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Hits of opened entries, those of specs with the rule and facts of their row; ``specs`` are a fixed list, so its
+    table broadcasts."""
+    dims = spec_table(rows.sparkSession, specs)
+    dims = F.broadcast(dims.select("spec", *(F.col(c).alias(f"_of_{c}") for c in dims.columns if c != "spec")))
+    of_spec = F.col("spec").isNotNull()
+    valued = [i for i, s in enumerate(specs) if s.value >= 0]
+    tested = [i for i, s in enumerate(specs) if s.value >= 0 and s.tested]
+    rows = rows.withColumn("value", F.when(~of_spec, F.col("value")).when(F.col("spec").isin(valued), X.unquote(F.trim("value"))))
+    # a URL of a host that is not known to take webhooks is a credential only by its last part
+    judged = F.when(F.col("spec").isin([i for i, s in enumerate(specs) if s.tail]), F.regexp_extract("value", r"([^/]*)/*$", 1)).otherwise(F.col("value"))
+    fine = F.when(F.col("spec").isin(tested), S.looks_like_secret(judged)).otherwise((F.col("value") != "") & ~S.is_placeholder(F.col("value")))
+    rows = rows.where(~of_spec | F.col("value").isNull() | fine).join(dims, "spec", "left")
+    facts = {c: F.when(of_spec, F.col(f"_of_{c}")).otherwise(F.col(c)) for c in FACTS if c not in ("name", "production_access")}
+    hidden = F.col("spec").isin([i for i, s in enumerate(specs) if s.hidden])
+    shown = F.when(of_spec & hidden, F.lit(None)).otherwise(F.col("value"))
+    return hit(
+        rows, F.coalesce("rule", "_of_rule_id"), F.coalesce("_of_said", "said"), shown, F.col("line"), F.coalesce("detector", "_of_family"),
+        **facts, name=F.when(of_spec, F.coalesce("name", "_of_rule_id")).otherwise(F.col("name")), production_access=F.col("production_access"),
+    )
+
+
+def detector(make: Callable[..., Part]) -> Callable[..., DataFrame]:
+    """A detector (artifacts, keys, ...) of signals from a function that makes its part, which stays at hand as ``part``,
+    so that a whole scan has all parts in one pass."""
+
+    @wraps(make)
     def run(artifacts: DataFrame, keys: DataFrame, *more) -> DataFrame:
-        return signals(find(artifacts, *more), keys)
+        return signals(hits(artifacts, [make(*more)]), keys)
 
-    run.hits = find
+    run.part = make
     return run
 
 
@@ -139,30 +205,28 @@ def file_columns(artifacts: DataFrame) -> DataFrame:
 
 def spec_table(spark: SparkSession, specs: list[Spec]) -> DataFrame:
     rows = [
-        (i, s.family, f"nhi_{s.rule}", s.kind, s.source, s.provider, list(s.tags), list(s.permissions), [], list(s.tools), list(s.data_classes), s.admin, s.external, s.approval, s.logging, s.level, s.confidence, s.attack, s.stage, s.evidence)
+        (i, s.family, s.rule if s.family == "custom" else f"nhi_{s.rule}", s.kind, s.source, s.provider, list(s.tags), list(s.permissions), [], list(s.tools), list(s.data_classes), s.admin, s.external, s.approval, s.logging, s.level, s.confidence, s.attack, s.stage, s.evidence)
         for i, s in enumerate(specs)
     ]
     kind = "spec int, family string, rule_id string, identity_type string, source string, provider string, tags array<string>, permissions array<string>, scopes array<string>, tools array<string>, data_classes array<string>, admin_access boolean, external_access boolean, approval_required boolean, logging_enabled boolean, data_access_level string, explicit_confidence string, ai_attack_class string, attack_chain_stage string, said string"
     return spark.createDataFrame(rows, kind)
 
 
-MATCH = "array<struct<spec:int,value:string,name:string,production:boolean>>"
-
-
-def _matches(i: int, s: Spec, text: Column) -> Column:
-    """The matches of one spec in a line or a text."""
+def _matches(i: int, s: Spec, text: Column, line_no: Column, said: Column) -> Column:
+    """The matches of one spec in a line or a text, as entries without ``more``."""
     name = F.nullif(F.regexp_extract(text, s.match, s.named), F.lit("")) if s.named >= 0 else F.lit(s.name)
     production = F.lit(False) if s.production is None else F.lit(True) if s.production == "" else text.rlike(s.production)
+    shown, more = F.trim(said), F.lit(None).cast(MORE_KIND)
 
     def one(v: Column) -> Column:
-        return F.struct(F.lit(i).alias("spec"), v.alias("value"), name.alias("name"), production.alias("production"))
+        return F.struct(F.lit(i).alias("spec"), v.alias("value"), name.alias("name"), production.alias("production_access"), line_no.alias("line"), shown.alias("said"), more.alias("more"))
 
     if s.value < 0:
-        return F.array(one(F.lit(None).cast("string"))).cast(MATCH)
+        return F.array(one(F.lit(None).cast("string"))).cast(ENTRY)
     values = F.regexp_extract_all(text, F.lit(s.match), F.lit(s.value))
     if s.whole:  # the whole match where its group is empty
         values = F.zip_with(values, F.regexp_extract_all(text, F.lit(s.match), F.lit(0)), lambda v, w: F.coalesce(F.nullif(v, F.lit("")), w))
-    return F.transform(values, one).cast(MATCH)
+    return F.transform(values, one).cast(ENTRY)
 
 
 def _file_gate(s: Spec) -> Column:
@@ -172,98 +236,80 @@ def _file_gate(s: Spec) -> Column:
     return gate & ~F.col("content").rlike(s.unless) if s.unless else gate
 
 
-def _finish(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """Hits of opened matches; ``specs`` are a fixed list, so its table broadcasts."""
-    dims = F.broadcast(spec_table(rows.sparkSession, specs))
-    valued = [i for i, s in enumerate(specs) if s.value >= 0]
-    tested = [i for i, s in enumerate(specs) if s.value >= 0 and s.tested]
-    rows = rows.withColumn("value", F.when(F.col("spec").isin(valued), X.unquote(F.trim("value"))))
-    # a URL of a host that is not known to take webhooks is a credential only by its last part
-    judged = F.when(F.col("spec").isin([i for i, s in enumerate(specs) if s.tail]), F.regexp_extract("value", r"([^/]*)/*$", 1)).otherwise(F.col("value"))
-    fine = F.when(F.col("spec").isin(tested), S.looks_like_secret(judged)).otherwise((F.col("value") != "") & ~S.is_placeholder(F.col("value")))
-    rows = rows.where(F.col("value").isNull() | fine).join(dims, "spec")
-    facts = {c: F.col(c) for c in FACTS if c not in ("name", "production_access")}
-    shown = F.when(F.col("spec").isin([i for i, s in enumerate(specs) if s.hidden]), F.lit(None)).otherwise(F.col("value"))
-    return hit(
-        rows, F.col("rule_id"), F.coalesce("said", F.trim("line")), shown, detector=F.col("family"),
-        **facts, name=F.coalesce("name", "rule_id"), production_access=F.col("production"),
-    )
+def _path_gate(path: str, patterns: list[str]) -> Column:
+    """Files of a path that some pattern matches. Where a pattern's words are known, only texts that hold one are put to
+    it; a few plain searches stand for the long alternation."""
+    text = lambda own: F.col("content").rlike("(?m)" + "|".join(dict.fromkeys(f"(?:{m})" for m in own)))
+    telling = [m for m in patterns if anchors.words(m)]
+    silent = [m for m in patterns if not anchors.words(m)]
+    ways = [text(silent)] if silent else []
+    if telling:
+        held = reduce(lambda a, b: a | b, (F.col("low_text").contains(w) for w in anchors.shortest({w for m in telling for w in anchors.words(m)})))
+        ways.append(held & text(telling))
+    return F.col("low_path").rlike(path) & reduce(lambda a, b: a | b, ways)
 
 
-def line_hits(artifacts: DataFrame, specs: list[Spec]) -> DataFrame:
-    """Line specs in one pass, whatever their families and blocks. ``block`` specs see the lines that stand in their
-    block, and its header."""
+def spec_part(specs: list[Spec]) -> Part:
+    """All specs: of lines, with their blocks, of a file's first line, and of whole texts. The lines of a ``block`` spec
+    stand in its block, or are its header."""
     by_path: dict[str, list[str]] = {}
     for s in specs:
-        by_path.setdefault(s.path, []).append(f"(?:{s.match})")
-    gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(p) & F.col("content").rlike("(?m)" + "|".join(m)) for p, m in by_path.items()))
-    rows = file_columns(artifacts).where(gate)
-    # specs with equal conditions on the file share a flag; one array of them all, as the optimizer would try every way
-    # to put columns of their own into the gate
+        by_path.setdefault(s.path, []).append(s.match)
+    gate = reduce(lambda a, b: a | b, (_path_gate(p, m) for p, m in by_path.items()))
+    # specs with equal conditions on the file share a flag
     gates = {(s.path, s.also, s.unless): s for s in specs}
-    flag = {key: F.col("flags")[i] for i, key in enumerate(gates)}
-    flags = F.array(*map(_file_gate, gates.values())).alias("flags")
-    kept = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
-    lines = X.explode_lines(rows.select(*kept, "low_path", "content", flags), keep=[*kept, "low_path", "flags"])
-    blocks = {(s.path, s.block): f"b{i}" for i, s in enumerate(s for s in specs if s.block)}
-    if blocks:
-        # only lines of files that have blocks take part in the windows
-        lines = X.in_blocks(lines, {name: (block, F.col("low_path").rlike(path)) for (path, block), name in blocks.items()})
-    comment = F.col("line").rlike(r"^\s*(?:#|//)")
-
-    def found(i: int, s: Spec) -> Column:
-        ok = flag[s.path, s.also, s.unless] & F.col("line").rlike(s.match)
+    flag = {key: F.col("_line_flags")[i] for i, key in enumerate(gates)}
+    content = F.col("content")
+    spans = list(dict.fromkeys((s.path, s.block) for s in specs if s.block))
+    none, empty = F.array().cast(X.BLOCKS), F.array().cast(ENTRY)
+    lines = X.numbered_lines(content)
+
+    def blocks(path: str, header: str) -> Column:
+        there = F.col("low_path").rlike(path) & content.rlike("(?m)" + header)
+        return F.when(there, X.let(lines, lambda x: X.blocks(x, header))).otherwise(none)
+
+    layer = {"_line_flags": F.array(*map(_file_gate, gates.values()))}
+    if spans:
+        layer["_line_blocks"] = F.array(*(blocks(path, header) for path, header in spans))
+
+    def holds(s: Spec, line: Column, n: Column) -> Column:
+        ok = flag[s.path, s.also, s.unless] & line.rlike(s.match)
         if s.block:
-            ok = ok & (F.col(blocks[s.path, s.block]) | F.col("line").rlike(s.block))
+            ok = ok & (X.inside(F.col("_line_blocks")[spans.index((s.path, s.block))], n) | line.rlike(s.block))
         if s.skip:
-            ok = ok & ~F.col("line").rlike(s.skip)
-        if not s.comments:
-            ok = ok & ~comment
-        return F.when(ok, _matches(i, s, F.col("line"))).otherwise(F.array().cast(MATCH))
-
-    # outer, so that no filter on the array's size is derived, which would work it out twice
-    rows = lines.withColumn("m", F.concat(*(found(i, s) for i, s in enumerate(specs))))
-    opened = rows.select(*kept, "line_no", "line", F.inline_outer("m")).where("spec IS NOT NULL")
-    if any(s.once for s in specs):
-        once = [i for i, s in enumerate(specs) if s.once]
-        first = F.min("line_no").over(Window.partitionBy(*X.FILE, "spec"))
-        opened = opened.withColumn("first_line", first).where(~F.col("spec").isin(once) | (F.col("line_no") == F.col("first_line"))).drop("first_line")
-    return _finish(opened, specs)
-
-
-def file_hits(artifacts: DataFrame, specs: list[Spec]) -> DataFrame:
-    """Whole-text specs in one projection; the line is that of the first match."""
-    rows = file_columns(artifacts)
-    kind = MATCH[:-2] + ",line_no:int>>"
-
-    def found(i: int, s: Spec) -> Column:
-        line = X.line_of_pattern(F.col("content"), s.match)
-        one = F.transform(_matches(i, s, F.col("content")), lambda m: F.struct(m["spec"].alias("spec"), m["value"].alias("value"), m["name"].alias("name"), m["production"].alias("production"), line.alias("line_no")))
-        return F.when(_file_gate(s) & F.col("content").rlike(s.match), one.cast(kind)).otherwise(F.array().cast(kind))
-
-    gate = reduce(lambda a, b: a | b, (F.col("low_path").rlike(p) for p in dict.fromkeys(s.path for s in specs)))
-    rows = rows.where(gate).withColumn("m", F.concat(*(found(i, s) for i, s in enumerate(specs))))
-    opened = rows.select(*X.FILE, *[c for c in HISTORY if c in artifacts.columns], F.inline_outer("m")).where("spec IS NOT NULL").withColumn("line", F.lit(""))
-    return _finish(opened, specs)
-
-
-def spec_hits(artifacts: DataFrame, specs: list[Spec]) -> DataFrame:
-    """Hits of specs: at most three passes, over lines, over lines with their blocks, and over whole texts."""
-    passes = [
-        (line_hits, [s for s in specs if s.each == "line" and not s.block]),
-        (line_hits, [s for s in specs if s.each == "line" and s.block]),
-        (file_hits, [s for s in specs if s.each == "file"]),
-    ]
-    return reduce(DataFrame.unionByName, (f(artifacts, own) for f, own in passes if own))
+            ok = ok & ~line.rlike(s.skip)
+        return ok if s.comments else ok & ~line.rlike(r"^\s*(?:#|//)")
+
+    def by_line() -> Column:
+        line, n = F.col("line"), F.col("line_no")
+        return F.concat(*(F.when(holds(s, line, n), _matches(i, s, line, n, line)).otherwise(empty) for i, s in enumerate(specs) if s.each == "line" and not s.once))
+
+    def of_first(i: int, s: Spec) -> Column:
+        first = F.slice(F.filter(lines, lambda x: holds(s, x["s"], x["n"])), 1, 1)
+        return F.flatten(F.transform(first, lambda x: _matches(i, s, x["s"], x["n"], x["s"])))
+
+    def by_file() -> Column:
+        found = []
+        for i, s in enumerate(specs):
+            if s.each == "file":
+                at = X.line_of_pattern(content, s.match)
+                found.append(F.when(flag[s.path, s.also, s.unless] & content.rlike(s.match), _matches(i, s, content, at, F.lit(""))))
+            elif s.once:
+                found.append(F.when(flag[s.path, s.also, s.unless] & content.rlike(f"(?m){s.match}"), of_first(i, s)))
+        return F.concat(*(F.coalesce(f, empty) for f in found))
+
+    of_line = any(s.each == "line" and not s.once for s in specs)
+    of_file = any(s.each == "file" or s.once for s in specs)
+    return Part(gate, [layer], by_file if of_file else None, by_line if of_line else None, specs)
 
 
 def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame) -> DataFrame:
-    return signals(line_hits(artifacts, specs), keys)
+    return signals(hits(artifacts, [spec_part(specs)]), keys)
 
 
 def detect_family(artifacts: DataFrame, family: str, keys: DataFrame) -> DataFrame:
     """Every spec of a family."""
-    return signals(spec_hits(artifacts, [s for s in ALL if s.family == family]), keys)
+    return detect_lines(artifacts, [s for s in ALL if s.family == family], keys)
 
 
 # Named environment keys; key, identity type, provider, rule.
@@ -323,37 +369,47 @@ SUFFIXES = r"(?:^|_)(?:API_KEY|APIKEY|SECRET|SECRET_KEY|TOKEN|PASSWORD|PASSWD|AC
 
 
 @detector
-def detect_env_secrets(artifacts: DataFrame) -> DataFrame:
+def detect_env_secrets() -> Part:
     """``.env`` files: named keys, telling suffixes, URLs with credentials; templates are of low confidence."""
-    lines = X.explode_lines(file_columns(artifacts).where(X.base_name().startswith(".env")), keep=[*X.FILE, *[c for c in HISTORY if c in artifacts.columns]])
-    s = F.regexp_replace(F.trim("line"), r"(?i)^export\s+", "")
-    value = F.trim(F.regexp_extract(s, r"^[^=]*=(.*)$", 1))
-    value = F.when(value.rlike("^['\"]"), value).otherwise(F.trim(F.regexp_replace(value, r" #.*$", "")))
-    lines = lines.where(F.trim("line").rlike(r"^[^#][^=]*=")).select("*", F.upper(F.trim(F.regexp_extract(s, r"^([^=]*)=", 1))).alias("key"), X.unquote(value).alias("value"))
-    named = lines.sparkSession.createDataFrame(ENV_KEYS, "key string, kind string, key_provider string, rule string")
-    lines = lines.join(F.broadcast(named), "key", "left")
-    url = F.col("key").rlike(r"_(?:URL|URI|DSN)$")
-    linked = F.col("value").rlike(CREDENTIAL_URL)
-    # tests of the value are columns of their own, so that no expression repeats them
-    lines = lines.withColumn("secret", S.looks_like_secret(F.col("value")) | F.col("value").contains("PRIVATE KEY")).withColumn("fake", S.is_placeholder(F.col("value")))
-    secret = F.col("secret")
-    fallback = F.col("kind").isNull() & F.col("key").rlike(SUFFIXES) & secret
-    wanted = (url & linked) | (~url & F.col("kind").isNotNull() & ((F.col("value") == "") | secret)) | fallback
-    ai = F.col("key").isin(AI_KEYS)
-    low = F.when(X.base_name().rlike(TEMPLATE_NAME), "low")
-    production = F.col("key").contains("PROD") | F.lower("value").contains("prod") | X.base_name().rlike(r"production|\.prod")
-    rule = F.coalesce("rule", F.when(url, "nhi_database_url_with_credentials").otherwise("nhi_plaintext_env_secret"))
-    common = dict(
-        detector="env", said=F.concat("key", F.lit("="), F.col("value")), value=F.nullif(F.col("value"), F.lit("")), line=F.col("line_no"), name=F.col("key"),
-        identity_type=F.coalesce("kind", F.when(url, "database connection identity").otherwise("automation script credential")), source=F.lit("env file"),
-        provider=F.coalesce("key_provider", F.when(url, "database")), data_access_level=F.when(url, "customer").otherwise("unknown"),
-        data_classes=F.when(ai, lit_array(["ai_prompts"])).otherwise(lit_array([])), production_access=production,
-    )
-    tags = F.when(ai, lit_array(["plaintext_secret", "env_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "env_secret"]))
-    live = ai & production & low.isNull() & ~F.col("fake") & (F.col("value") != "") & ~F.col("value").contains(S.FIXTURE_MARKER)
-    sure = dict(tags=lit_array(["plaintext_secret", "env_secret", "ai_provider", "production"]), explicit_confidence=F.lit("high"))
-    found = entries((F.lit(True), one(entry(rule, tags=tags, explicit_confidence=low, **common))), (live, one(entry("nhi_production_ai_key_in_env", **sure, **common))))
-    return opened(lines.where(wanted), found)
+    known = F.create_map(*(x for k, *row in ENV_KEYS for x in (F.lit(k), F.struct(*(F.lit(v).cast("string").alias(c) for c, v in zip(("kind", "provider", "rule"), row))))))
+    template, production_name = X.base_name().rlike(TEMPLATE_NAME), X.base_name().rlike(r"production|\.prod")
+
+    def parsed(line: Column) -> Column:
+        s = F.regexp_replace(F.trim(line), r"(?i)^export\s+", "")
+        value = F.trim(F.regexp_extract(s, r"^[^=]*=(.*)$", 1))
+        value = F.when(value.rlike("^['\"]"), value).otherwise(F.trim(F.regexp_replace(value, r" #.*$", "")))
+        return F.struct(F.upper(F.trim(F.regexp_extract(s, r"^([^=]*)=", 1))).alias("key"), X.unquote(value).alias("value"))
+
+    def judged(p: Column) -> Column:
+        secret = S.looks_like_secret(p["value"]) | p["value"].contains("PRIVATE KEY")
+        return F.struct(p["key"].alias("key"), p["value"].alias("value"), F.try_element_at(known, p["key"]).alias("known"), secret.alias("secret"), S.is_placeholder(p["value"]).alias("fake"))
+
+    def found(p: Column) -> Column:
+        key, value, secret, kind = p["key"], p["value"], p["secret"], p["known"]["kind"]
+        url = key.rlike(r"_(?:URL|URI|DSN)$")
+        fallback = kind.isNull() & key.rlike(SUFFIXES) & secret
+        wanted = (url & value.rlike(CREDENTIAL_URL)) | (~url & kind.isNotNull() & ((value == "") | secret)) | fallback
+        ai = key.isin(AI_KEYS)
+        low = F.when(template, "low")
+        production = key.contains("PROD") | F.lower(value).contains("prod") | production_name
+        rule = F.coalesce(p["known"]["rule"], F.when(url, "nhi_database_url_with_credentials").otherwise("nhi_plaintext_env_secret"))
+        common = dict(
+            detector="env", said=F.concat(key, F.lit("="), value), value=F.nullif(value, F.lit("")), line=F.col("line_no"), name=key,
+            identity_type=F.coalesce(kind, F.when(url, "database connection identity").otherwise("automation script credential")), source=F.lit("env file"),
+            provider=F.coalesce(p["known"]["provider"], F.when(url, "database")), data_access_level=F.when(url, "customer").otherwise("unknown"),
+            data_classes=F.when(ai, lit_array(["ai_prompts"])).otherwise(lit_array([])), production_access=production,
+        )
+        tags = F.when(ai, lit_array(["plaintext_secret", "env_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "env_secret"]))
+        live = ai & production & low.isNull() & ~p["fake"] & (value != "") & ~value.contains(S.FIXTURE_MARKER)
+        sure = dict(tags=lit_array(["plaintext_secret", "env_secret", "ai_provider", "production"]), explicit_confidence=F.lit("high"))
+        return F.when(wanted, entries((F.lit(True), one(entry(rule, tags=tags, explicit_confidence=low, **common))), (live, one(entry("nhi_production_ai_key_in_env", **sure, **common)))))
+
+    def by_line() -> Column:
+        line = F.col("line")
+        whole = X.let(parsed(line), lambda p: X.let(judged(p), found))
+        return F.coalesce(F.when(F.trim(line).rlike(r"^[^#][^=]*="), whole), F.array().cast(ENTRY))
+
+    return Part(X.base_name().startswith(".env"), line=by_line)
 
 
 # Words that make a configuration key secret-bearing.
@@ -370,39 +426,45 @@ def speaks_of_secrets(content: Column) -> Column:
     return reduce(lambda a, b: a | b, (low.contains(w) for w in least))
 
 
-def config_rows(artifacts: DataFrame, path: str = CONFIG_PATH, gate: Callable[[Column], Column] = speaks_of_secrets) -> DataFrame:
-    """(file, key, value, line_no) of JSON, YAML and TOML/INI files by their kind, and the first pair of code lines."""
-    rows = file_columns(artifacts).where(F.col("low_path").rlike(path) & gate(F.col("content")))
-    keep = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
-    content = F.col("content")
+def config_pairs() -> Column:
+    """array<struct<key,value,line_no>> of JSON, YAML and TOML/INI files by their kind, and of code lines the first pair."""
+    content, path = F.col("content"), F.col("low_path")
     json_pairs = F.transform(X.flatten_json(content), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), X.line_for_key_value(content, p["key"], p["value"]).alias("line_no")))
-    is_json = F.col("low_path").endswith(".json") & F.try_parse_json(content).isNotNull()
-    lines = F.filter(F.transform(F.split(content, "\n"), lambda x, i: F.struct(x.alias("s"), (i + 1).alias("n"))), lambda x: x["s"].rlike(CODE_PAIR))
+    is_json = path.endswith(".json") & F.try_parse_json(content).isNotNull()
+    lines = F.filter(X.numbered_lines(content), lambda x: x["s"].rlike(CODE_PAIR))
     code = F.transform(lines, lambda x: F.struct(F.regexp_extract(x["s"], CODE_PAIR, 1).alias("key"), F.regexp_extract(x["s"], CODE_PAIR, 2).alias("value"), x["n"].alias("line_no")))
-    pairs = F.when(is_json, json_pairs.cast(X.PAIR)).when(F.col("low_path").rlike(r"\.ya?ml$"), X.yaml_pairs(content)).when(F.col("low_path").rlike(r"\.(?:toml|ini|cfg|conf)$"), X.kv_pairs(content)).otherwise(code.cast(X.PAIR))
-    return rows.select(*keep, pairs.alias("pairs")).select(*keep, F.inline_outer("pairs")).where("key IS NOT NULL")
+    by_kind = F.when(is_json, json_pairs.cast(X.PAIR)).when(path.rlike(r"\.ya?ml$"), X.yaml_pairs(content)).when(path.rlike(r"\.(?:toml|ini|cfg|conf)$"), X.kv_pairs(content)).otherwise(code.cast(X.PAIR))
+    return F.filter(by_kind, lambda p: p["key"].isNotNull())
 
 
 @detector
-def detect_credential_assignments(artifacts: DataFrame) -> DataFrame:
+def detect_credential_assignments() -> Part:
     """Secret-named keys with secret-shaped values in configuration and code."""
-    rows = config_rows(artifacts).withColumn("low", F.regexp_replace(F.lower(F.regexp_extract("key", r"([^.]*)$", 1)), "-", "_"))
-    value = F.coalesce("value", F.lit(""))
-    shaped = S.looks_like_secret(value) | value.contains("-----BEGIN") | value.contains("://")
-    rows = rows.where(F.col("low").rlike(KEY_WORDS) & ~S.suppress_candidate(F.col("low"), value) & shaped)
-    ai = F.upper("low").isin(AI_KEYS)
-    rule = (
-        F.when(ai, "nhi_ai_provider_key_detected")
-        .when(F.col("low").contains("private_key") | F.lower(value).contains("private key"), "nhi_private_key_detected")
-        .when(F.col("low").contains("client_secret"), "nhi_oauth_client_secret_present")
-        .when(F.col("low").contains("webhook"), "nhi_webhook_secret_exposed")
-        .when(F.col("low").contains("password") & value.contains("://"), "nhi_database_url_with_credentials")
-        .otherwise("nhi_hardcoded_secret")
-    )
-    tags = F.when(ai, lit_array(["plaintext_secret", "hardcoded_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "hardcoded_secret"]))
-    kind = F.when(F.col("low").contains("key") | ai, "api_key").otherwise("automation script credential")
-    provider = F.when(ai, F.regexp_replace(F.regexp_extract("low", "^(.*?)(?:_api)?_(?:key|token)$", 1), "_", " "))
-    return hit(rows, rule, F.concat("key", F.lit(": "), value), value, detector="config", name=F.col("key"), identity_type=kind, source=F.lit("generic config"), provider=provider, tags=tags)
+
+    def found(p: Column) -> Column:
+        low = F.regexp_replace(F.lower(F.regexp_extract(p["key"], r"([^.]*)$", 1)), "-", "_")
+        return X.let(F.struct(p["key"].alias("key"), F.coalesce(p["value"], F.lit("")).alias("value"), p["line_no"].alias("line_no"), low.alias("low")), judged)
+
+    def judged(p: Column) -> Column:
+        value, low = p["value"], p["low"]
+        shaped = S.looks_like_secret(value) | value.contains("-----BEGIN") | value.contains("://")
+        wanted = low.rlike(KEY_WORDS) & ~S.suppress_candidate(low, value) & shaped
+        ai = F.upper(low).isin(AI_KEYS)
+        rule = (
+            F.when(ai, "nhi_ai_provider_key_detected")
+            .when(low.contains("private_key") | F.lower(value).contains("private key"), "nhi_private_key_detected")
+            .when(low.contains("client_secret"), "nhi_oauth_client_secret_present")
+            .when(low.contains("webhook"), "nhi_webhook_secret_exposed")
+            .when(low.contains("password") & value.contains("://"), "nhi_database_url_with_credentials")
+            .otherwise("nhi_hardcoded_secret")
+        )
+        tags = F.when(ai, lit_array(["plaintext_secret", "hardcoded_secret", "ai_provider"])).otherwise(lit_array(["plaintext_secret", "hardcoded_secret"]))
+        kind = F.when(low.contains("key") | ai, "api_key").otherwise("automation script credential")
+        provider = F.when(ai, F.regexp_replace(F.regexp_extract(low, "^(.*?)(?:_api)?_(?:key|token)$", 1), "_", " "))
+        return F.when(wanted, entry(rule, F.concat(p["key"], F.lit(": "), value), p["line_no"], "config", value, name=p["key"], identity_type=kind, source=F.lit("generic config"), provider=provider, tags=tags))
+
+    found_in = lambda: F.array_compact(F.transform(F.coalesce("config_pairs", F.array().cast(X.PAIR)), found)).cast(ENTRY)
+    return Part(F.col("low_path").rlike(CONFIG_PATH) & speaks_of_secrets(F.col("content")), [{"config_pairs": config_pairs()}], found_in)
 
 
 # Names of state attributes that hold secrets, beside those of any secret.
@@ -411,21 +473,27 @@ STATE_NAME = rf"{SECRET_NAME}|access_key|auth_key|ssh_key|tls_key|certificate_pe
 
 
 @detector
-def detect_nested_secrets(artifacts: DataFrame) -> DataFrame:
+def detect_nested_secrets() -> Part:
     """JSON kinds: CDK context and Terraform state secrets; a state secret's provider is its resource type's."""
-    rows = file_columns(artifacts).where(F.col("low_path").rlike(NESTED_PATH))
-    flat = rows.select(*X.FILE, "content", F.col("low_path").endswith(".json").alias("cdk"), X.flatten_json(F.col("content")).alias("pairs"))
-    types = F.filter("pairs", lambda p: p["key"].endswith(".type"))
-    rows = flat.select(*X.FILE, "content", "cdk", types.alias("types"), F.inline_outer("pairs")).where("key IS NOT NULL")
-    last = F.lower(F.regexp_extract("key", r"([^.]*)$", 1))
-    rows = rows.where(F.when(F.col("cdk"), last.rlike(SECRET_NAME)).otherwise(last.rlike(STATE_NAME)) & S.looks_like_secret(F.col("value")))
-    above = F.filter("types", lambda t: F.startswith(F.col("key"), F.regexp_replace(t["key"], "type$", "")))
-    deepest = F.try_element_at(F.array_sort(F.transform(above, lambda t: F.struct(F.length(t["key"]).alias("n"), t["value"].alias("v")))), F.lit(-1))["v"]
-    provider = F.when(F.col("cdk"), "aws").otherwise(F.coalesce(F.regexp_extract(deepest, "^([a-z0-9]+)_", 1), F.lit("terraform")))
-    rule = F.when(F.col("cdk"), "nhi_aws_cdk_context_secret").otherwise("nhi_terraform_state_plaintext_secret")
-    tags = F.when(F.col("cdk"), lit_array(["aws_cdk", "iac", "plaintext_secret"])).otherwise(lit_array(["terraform_state", "iac", "plaintext_secret"]))
-    line = X.line_for_key_value(F.col("content"), F.col("key"), F.col("value"))
-    return hit(rows, rule, F.concat("key", F.lit(": "), F.col("value")), F.col("value"), line, "state", name=F.col("key"), identity_type=F.lit("cloud_workload_identity"), source=F.lit("infrastructure state"), provider=provider, tags=tags)
+    content, cdk = F.col("content"), F.col("low_path").endswith(".json")
+    types = F.filter("state_pairs", lambda p: p["key"].endswith(".type"))
+
+    def wanted(p: Column) -> Column:
+        last = F.lower(F.regexp_extract(p["key"], r"([^.]*)$", 1))
+        return F.when(cdk, last.rlike(SECRET_NAME)).otherwise(last.rlike(STATE_NAME)) & S.looks_like_secret(p["value"])
+
+    def found(p: Column) -> Column:
+        above = F.filter("state_types", lambda t: F.startswith(p["key"], F.regexp_replace(t["key"], "type$", "")))
+        deepest = F.try_element_at(F.array_sort(F.transform(above, lambda t: F.struct(F.length(t["key"]).alias("n"), t["value"].alias("v")))), F.lit(-1))["v"]
+        provider = F.when(cdk, "aws").otherwise(F.coalesce(F.regexp_extract(deepest, "^([a-z0-9]+)_", 1), F.lit("terraform")))
+        rule = F.when(cdk, "nhi_aws_cdk_context_secret").otherwise("nhi_terraform_state_plaintext_secret")
+        tags = F.when(cdk, lit_array(["aws_cdk", "iac", "plaintext_secret"])).otherwise(lit_array(["terraform_state", "iac", "plaintext_secret"]))
+        line = X.line_for_key_value(content, p["key"], p["value"])
+        return entry(rule, F.concat(p["key"], F.lit(": "), p["value"]), line, "state", p["value"], name=p["key"], identity_type=F.lit("cloud_workload_identity"), source=F.lit("infrastructure state"), provider=provider, tags=tags)
+
+    pairs = F.coalesce(X.flatten_json(content), F.array().cast("array<struct<key:string,value:string>>"))
+    found_in = lambda: F.transform(F.filter("state_pairs", lambda p: p["key"].isNotNull() & wanted(p)), found).cast(ENTRY)
+    return Part(F.col("low_path").rlike(NESTED_PATH), [{"state_pairs": pairs}, {"state_types": types}], found_in)
 
 
 WINDOWED_PATH = r"\.ya?ml$|\.bicep$|(?:^|/)\.pypirc$|(?:^|/)\.netrc$"
@@ -434,53 +502,67 @@ BICEP_PARAM = r"(?i)^\s*(?:@secure\(\)\s*)?param\s+([A-Za-z_]\w*)\s+(?:string|se
 
 
 @detector
-def detect_windowed(artifacts: DataFrame) -> DataFrame:
+def detect_windowed() -> Part:
     """What needs the lines around: Kubernetes environment values, Bicep parameters without a secure decorator,
-    passwords of pypirc sections and netrc machines."""
-    rows = file_columns(artifacts)
-    keep = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
-    in_file = Window.partitionBy(*X.FILE).orderBy("line_no")
-    before = in_file.rowsBetween(Window.unboundedPreceding, 0)
-    content = F.col("content")
-    yaml = F.col("low_path").rlike(r"\.ya?ml$") & content.rlike("apiVersion|kind:") & content.rlike(f"(?m){ENV_BLOCK}")
-    kind = F.when(yaml, "k8s").when(F.col("low_path").endswith(".bicep"), "bicep").when(F.col("low_path").rlike(r"(?:^|/)\.pypirc$"), "pypirc")
-    lines = X.explode_lines(rows.withColumn("kind", kind).where("kind IS NOT NULL"), keep=[*keep, "kind"])
-    lines = X.in_blocks(lines, {"inside": (ENV_BLOCK, F.col("kind") == "k8s")})
-    name = F.nullif(F.regexp_extract("line", r"^\s*-\s+name\s*:\s*['\"]?([A-Za-z_][\w.-]*)", 1), F.lit(""))
-    barrier = F.col("line").rlike(r"^\s*$|^\s*param\s")
-    prior = F.collect_list(F.struct(barrier.alias("stop"), F.col("line").contains("@secure(").alias("secure"), "line_no")).over(in_file.rowsBetween(-5, -1))
-    section = F.last(F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]", 1), F.lit("")), True).over(before)
-    # an environment value's name stands in its block
-    lines = lines.withColumns({"key": F.last(F.when(F.col("inside"), name), True).over(before), "prior": prior, "section": section})
-    stop_at = F.coalesce(F.array_max(F.transform(F.filter("prior", lambda p: p["stop"]), lambda p: p["line_no"])), F.lit(0))
-    covered = F.exists("prior", lambda p: p["secure"] & (p["line_no"] > stop_at)) | F.col("line").contains("@secure(")
-    value = F.trim(F.regexp_extract("line", r"^\s*value\s*:\s*['\"]?([^#\n'\"]*)", 1))
-    password = X.unquote(F.trim(F.regexp_extract("line", r"(?i)^\s*password\s*=\s*(.+)$", 1)))
-    param = F.regexp_extract("line", BICEP_PARAM, 1)
-    said, line = F.trim("line"), F.col("line_no")
-    publish = ["package_registry", "publish_token", "supply_chain"]
-    found = entries(
-        (
-            (F.col("kind") == "k8s") & F.col("inside") & F.lower("key").rlike(SECRET_NAME) & ~value.rlike(r"^[${]") & S.looks_like_secret(value),
-            one(entry("nhi_kubernetes_env_plaintext_secret", said, line, "kubernetes env", value, name=F.col("key"), identity_type=F.lit("service account"), source=F.lit("kubernetes"), provider=F.lit("kubernetes"), tags=lit_array(["kubernetes", "plaintext_secret"]))),
-        ),
-        (
-            (F.col("kind") == "bicep") & (param != "") & F.lower(param).rlike(SECRET_NAME) & ~covered,
-            one(entry("nhi_bicep_param_missing_secure_decorator", said, line, "bicep", name=param, identity_type=F.lit("cloud_workload_identity"), source=F.lit("bicep"), provider=F.lit("azure"), tags=lit_array(["bicep", "iac", "missing_secure"]), explicit_confidence=F.lit("high"))),
-        ),
-        (
-            (F.col("kind") == "pypirc") & ~password.startswith("$") & (S.looks_like_secret(password) | password.startswith("pypi-")),
-            one(entry("nhi_pypi_token_in_pypirc", said, line, "pypirc", password, name=F.coalesce(F.concat(F.lit("["), F.lower("section"), F.lit("] password")), F.lit("password")), identity_type=F.lit("api_key"), source=F.lit("pypirc"), provider=F.lit("pypi"), tags=lit_array(["pypi", *publish]), explicit_confidence=F.lit("high"))),
-        ),
-    )
-    netrc = X.explode_lines(rows.where(F.col("low_path").rlike(r"(?:^|/)\.netrc$")), keep=keep)
-    tokens = netrc.select(*keep, "line_no", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("at", "token"))
-    order = Window.partitionBy(*X.FILE).orderBy("line_no", "at")
-    tokens = tokens.withColumn("before", F.lower(F.lag("token").over(order)))
-    tokens = tokens.withColumns({w: F.last(F.when(F.col("before") == w, F.col("token")), True).over(order) for w in ("machine", "login")})
-    tokens = tokens.where((F.col("before") == "password") & S.looks_like_secret(F.col("token")))
-    machines = hit(tokens, F.lit("nhi_netrc_credential"), F.concat_ws(" ", F.lit("machine"), "machine", F.lit("password")), F.col("token"), detector="netrc", name=F.coalesce(F.concat_ws(":", "machine", "login"), F.lit("netrc password")), identity_type=F.lit("api_key"), source=F.lit("netrc"), provider=F.lit("netrc"), tags=lit_array(["netrc", "package_registry", "supply_chain"]), explicit_confidence=F.lit("high"))
-    return opened(lines, found).unionByName(machines)
+    passwords of pypirc sections and netrc machines. The lines around are those of the file's own row."""
+    path, content, lines = F.col("low_path"), F.col("content"), F.col("near_lines")
+    kind = F.when(path.rlike(r"\.ya?ml$"), F.when(content.rlike("apiVersion|kind:") & content.rlike(f"(?m){ENV_BLOCK}"), "k8s")).when(path.endswith(".bicep"), "bicep").when(path.rlike(r"(?:^|/)\.pypirc$"), "pypirc").when(path.rlike(r"(?:^|/)\.netrc$"), "netrc")
+    is_kind = lambda k: F.col("near_kind") == k
+
+    def marks(pattern: str, field: str, among: Column) -> Column:
+        """(n, field) of the lines whose pattern has a group that is not empty."""
+        made = F.transform(among, lambda x: F.struct(x["n"].alias("n"), F.nullif(F.regexp_extract(x["s"], pattern, 1), F.lit("")).alias(field)))
+        return F.filter(made, lambda x: x[field].isNotNull())
+
+    in_env = F.filter(lines, lambda x: X.inside(F.col("near_blocks"), x["n"]))
+    tokens = F.flatten(F.transform(lines, lambda x: F.transform(F.split(F.trim(x["s"]), r"\s+"), lambda t: F.struct(x["n"].alias("line"), t.alias("token")))))
+    layers = [
+        {"near_kind": kind},
+        {"near_lines": F.when(F.col("near_kind").isNotNull(), X.numbered_lines(content))},
+        {"near_blocks": F.when(is_kind("k8s"), X.blocks(lines, ENV_BLOCK))},
+        {
+            "near_env": F.when(is_kind("k8s"), in_env),
+            "near_sections": F.when(is_kind("pypirc"), marks(r"^\s*\[([^\]]+)\]", "v", lines)),
+            "near_tokens": F.when(is_kind("netrc"), F.transform(tokens, lambda t, i: F.struct(i.cast("int").alias("n"), t["line"].alias("line"), t["token"].alias("token"), F.lower(F.get(tokens, (i - 1).cast("int"))["token"]).alias("before")))),
+        },
+        {
+            # an environment value's name stands in its block
+            "near_names": marks(r"^\s*-\s+name\s*:\s*['\"]?([A-Za-z_][\w.-]*)", "v", F.col("near_env")),
+            "near_machines": F.filter("near_tokens", lambda t: t["before"] == "machine"),
+            "near_logins": F.filter("near_tokens", lambda t: t["before"] == "login"),
+        },
+    ]
+
+    def env_value(x: Column) -> Column:
+        value = F.trim(F.regexp_extract(x["s"], r"^\s*value\s*:\s*['\"]?([^#\n'\"]*)", 1))
+        name = X.last_before(F.col("near_names"), x["n"], "v")
+        ok = F.lower(name).rlike(SECRET_NAME) & ~value.rlike(r"^[${]") & S.looks_like_secret(value)
+        return F.when(ok, entry("nhi_kubernetes_env_plaintext_secret", F.trim(x["s"]), x["n"], "kubernetes env", value, name=name, identity_type=F.lit("service account"), source=F.lit("kubernetes"), provider=F.lit("kubernetes"), tags=lit_array(["kubernetes", "plaintext_secret"])))
+
+    def bicep(x: Column) -> Column:
+        param = F.regexp_extract(x["s"], BICEP_PARAM, 1)
+        prior = F.filter(lines, lambda p: (p["n"] < x["n"]) & (p["n"] >= x["n"] - 5))
+        stop = F.coalesce(F.array_max(F.transform(F.filter(prior, lambda p: p["s"].rlike(r"^\s*$|^\s*param\s")), lambda p: p["n"])), F.lit(0))
+        covered = X.let(F.struct(prior.alias("prior"), stop.alias("stop")), lambda v: F.exists(v["prior"], lambda p: p["s"].contains("@secure(") & (p["n"] > v["stop"]))) | x["s"].contains("@secure(")
+        ok = (param != "") & F.lower(param).rlike(SECRET_NAME) & ~covered
+        return F.when(ok, entry("nhi_bicep_param_missing_secure_decorator", F.trim(x["s"]), x["n"], "bicep", name=param, identity_type=F.lit("cloud_workload_identity"), source=F.lit("bicep"), provider=F.lit("azure"), tags=lit_array(["bicep", "iac", "missing_secure"]), explicit_confidence=F.lit("high")))
+
+    def pypirc(x: Column) -> Column:
+        password = X.unquote(F.trim(F.regexp_extract(x["s"], r"(?i)^\s*password\s*=\s*(.+)$", 1)))
+        section = X.last_before(F.col("near_sections"), x["n"], "v")
+        ok = ~password.startswith("$") & (S.looks_like_secret(password) | password.startswith("pypi-"))
+        return F.when(ok, entry("nhi_pypi_token_in_pypirc", F.trim(x["s"]), x["n"], "pypirc", password, name=F.coalesce(F.concat(F.lit("["), F.lower(section), F.lit("] password")), F.lit("password")), identity_type=F.lit("api_key"), source=F.lit("pypirc"), provider=F.lit("pypi"), tags=lit_array(["pypi", "package_registry", "publish_token", "supply_chain"]), explicit_confidence=F.lit("high")))
+
+    def netrc(t: Column) -> Column:
+        machine, login = (X.last_before(F.col(c), t["n"], "token") for c in ("near_machines", "near_logins"))
+        ok = (t["before"] == "password") & S.looks_like_secret(t["token"])
+        return F.when(ok, entry("nhi_netrc_credential", F.concat_ws(" ", F.lit("machine"), machine, F.lit("password")), t["line"], "netrc", t["token"], name=F.coalesce(F.concat_ws(":", machine, login), F.lit("netrc password")), identity_type=F.lit("api_key"), source=F.lit("netrc"), provider=F.lit("netrc"), tags=lit_array(["netrc", "package_registry", "supply_chain"]), explicit_confidence=F.lit("high")))
+
+    def by_file() -> Column:
+        each = [("k8s", F.col("near_env"), env_value), ("bicep", F.filter(lines, lambda x: x["s"].rlike(BICEP_PARAM)), bicep), ("pypirc", lines, pypirc), ("netrc", F.col("near_tokens"), netrc)]
+        return entries(*((is_kind(k), F.array_compact(F.transform(rows, test)).cast(ENTRY)) for k, rows, test in each))
+
+    return Part(path.rlike(WINDOWED_PATH), layers, by_file)
 
 
 # OAuth scopes and extension permissions that reach far.
@@ -497,29 +579,26 @@ MANIFEST = "name string, permissions array<string>, host_permissions array<strin
 
 
 @detector
-def detect_documents(artifacts: DataFrame) -> DataFrame:
+def detect_documents() -> Part:
     """Whole documents: OAuth scopes, extension manifests, package scripts, Renovate and Dependabot settings."""
     content, path = F.col("content"), F.col("low_path")
-    rows = file_columns(artifacts).where(path.rlike(DOCUMENT_PATH))
     # each document is parsed once, in a column of its own, and only by its kind
     pairs = F.coalesce(F.transform(X.flatten_json(content), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), F.lit(0).alias("line_no"))).cast(X.PAIR), X.yaml_pairs(content))
-    rows = rows.withColumns(
-        {
-            "scopes_of": F.when(path.rlike(OAUTH_PATH) & content.rlike("(?i)scope"), pairs),
-            "manifest": F.when(path.rlike(MANIFEST_PATH), F.from_json(content, MANIFEST)),
-            "scripts": F.when(path.rlike(PACKAGE_PATH), F.map_entries(F.from_json(content, "scripts map<string,string>")["scripts"])),
-            "is_renovate": path.rlike(RENOVATE_PATH),
-            "flat": F.when(path.rlike(RENOVATE_PATH), X.flatten_json(X.json5_lite(content))),
-            "is_dependabot": path.rlike(DEPENDABOT_PATH),
-        }
-    )
+    parsed = {
+        "scopes_of": F.when(path.rlike(OAUTH_PATH) & content.rlike("(?i)scope"), pairs),
+        "manifest": F.when(path.rlike(MANIFEST_PATH), F.from_json(content, MANIFEST)),
+        "scripts": F.when(path.rlike(PACKAGE_PATH), F.map_entries(F.from_json(content, "scripts map<string,string>")["scripts"])),
+        "is_renovate": path.rlike(RENOVATE_PATH),
+        "renovate_pairs": F.when(path.rlike(RENOVATE_PATH), X.flatten_json(X.json5_lite(content))),
+        "is_dependabot": path.rlike(DEPENDABOT_PATH),
+    }
     words = F.flatten(F.transform(F.filter("scopes_of", lambda p: F.lower(p["key"]).contains("scope")), lambda p: F.split(F.lower(p["value"]), r"[\s,;]+")))
     clean = F.transform(words, lambda w: F.regexp_replace(w, r"^['\"\[\](){}]+|['\"\[\](){}]+$", ""))
     broad = F.array_sort(F.array_distinct(F.filter(clean, lambda w: w.isin(BROAD_SCOPES) | w.startswith("admin:") | F.regexp_extract(w, r"/([^/]+)$", 1).isin(BROAD_SCOPES))))
     asked = F.concat(*(F.coalesce(f"manifest.{c}", lit_array([])) for c in ("permissions", "host_permissions", "optional_permissions", "optional_host_permissions")))
     risky = F.array_sort(F.array_distinct(F.filter(asked, lambda p: p.isin(RISKY_PERMISSIONS) | p.rlike(r"^(?:\*|https?|wss?)://\*|\*://"))))
-    rows = rows.withColumns({"broad": F.coalesce(broad, lit_array([])), "risky": F.when(F.col("manifest").isNotNull(), risky).otherwise(lit_array([])), "unread": F.col("is_renovate") & F.col("flat").isNull()})
-    rows = rows.withColumn("flat", F.coalesce("flat", F.array().cast("array<struct<key:string,value:string>>")))
+    no_pairs = F.array().cast("array<struct<key:string,value:string>>")
+    judged = {"broad": F.coalesce(broad, lit_array([])), "risky": F.when(F.col("manifest").isNotNull(), risky).otherwise(lit_array([])), "unread": F.col("is_renovate") & F.col("renovate_pairs").isNull(), "flat": F.coalesce("renovate_pairs", no_pairs)}
     held = F.array_size("risky") > 0
     behind = held & (F.col("manifest.background.service_worker").isNotNull() | (F.size("manifest.background.scripts") > 0)) & F.exists("risky", lambda p: p.rlike(WIDE_HOST))
     extension = dict(said=F.array_join("risky", ", "), line=F.lit(1), detector="extension", name=F.coalesce("manifest.name", F.lit("Browser extension")), identity_type=F.lit("browser_extension"), source=F.lit("browser extension"), permissions=F.col("risky"), external_access=F.lit(True), data_access_level=F.lit("session"))
@@ -558,7 +637,7 @@ def detect_documents(artifacts: DataFrame) -> DataFrame:
         (F.col("is_dependabot") & content.rlike(pattern), one(entry(rule, F.lit("dependabot update settings"), X.line_of_pattern(content, pattern), name=F.lit("Dependabot"), provider=F.lit("github"), tags=lit_array(["bot", "dependabot", *tags]), **bot)))
         for rule, pattern, tags in (("nhi_dependabot_bot_identity", "(?m)^updates:", ()), ("nhi_dependabot_targets_protected_branch", r"(?m)^\s*target-branch\s*:\s*['\"]?(?:main|master|production|release)", ("protected_branch",)))
     ]
-    found = entries(
+    found = lambda: entries(
         (F.array_size("broad") > 0, one(entry("nhi_broad_oauth_scope", F.concat(F.lit("Broad OAuth scopes: "), F.array_join("broad", ", ")), X.line_of_pattern(content, "(?i)scope"), "oauth", name=X.stem(), identity_type=F.lit("OAuth application"), source=F.lit("OAuth config"), scopes=F.col("broad"), external_access=F.lit(True), tags=lit_array(["oauth", "broad_scope"])))),
         (held, one(entry("nhi_browser_extension_risky_permissions", tags=lit_array(["browser_extension", "broad_permissions"]), **extension))),
         (behind, one(entry("nhi_browser_extension_broad_host_background", tags=lit_array(["browser_extension", "broad_permissions", "background_script"]), explicit_confidence=F.lit("high"), **extension))),
@@ -568,7 +647,7 @@ def detect_documents(artifacts: DataFrame) -> DataFrame:
         (F.col("unread") & F.lower(content).contains("hostrules"), F.transform(loose, lambda x: token(F.trim(x["s"]), x["n"], x["v"])).cast(ENTRY)),
         *updates,
     )
-    return opened(rows, found)
+    return Part(path.rlike(DOCUMENT_PATH), [parsed, judged], found)
 
 
 # What MCP servers and agents can be allowed to do, and what runs commands.
@@ -583,51 +662,79 @@ MCP_PATH = r"(?:^|/)(?:\.mcp|mcp|mcp_config|claude_desktop_config|cursor_mcp|cli
 
 
 @detector
-def detect_mcp(artifacts: DataFrame) -> DataFrame:
-    """MCP servers: reach, remote servers, secrets, and their supply chain; servers are groups of flattened keys."""
-    rows = config_rows(artifacts, MCP_PATH, lambda _: F.lit(True)).withColumn("low_key", F.lower("key")).withColumn("server", X.server_prefix(F.col("key")))
-    value = F.coalesce("value", F.lit(""))
-    text = F.concat("low_key", F.lit("="), value)
-    command = F.when(F.col("low_key").rlike("command|args|cmd|image|url|source|package"), value)
-    per = rows.groupBy(*X.FILE, "server").agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "key", text.alias("t")))), lambda p: p["t"])).alias("all"),
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "key", command.alias("t")))), lambda p: p["t"])).alias("commands"),
-        F.min("line_no").alias("line_no"),
-        F.bool_or(F.col("low_key").endswith(".url") & value.rlike("(?i)^(?:https?|wss?)://") | F.col("low_key").rlike(r"\.(?:type|transport)$") & F.lower(value).isin("sse", "http", "streamable-http", "streamable_http")).alias("remote"),
-        F.bool_or(F.col("low_key").rlike("args|command|path|root|dir") & F.lower(value).rlike(r"^(?:\.{1,2}|/|\\|~)$|^(?:\$\{workspacefolder\}|\$home|%userprofile%|~[/\\]|c:[\\/]users|/users|/home)")).alias("broad"),
-    )
-    per = per.withColumn("tools", X.capabilities(F.col("all"), MCP_TOOLS)).withColumn("runs", F.lower("commands").rlike(RUNNERS)).withColumn("packs", F.lower("commands").rlike(PACKAGERS)).withColumn("pinned", F.col("commands").rlike(PINNED))
-    exposed = F.array_sort(F.array_distinct(F.concat("tools", F.when(F.col("runs"), lit_array(["shell"])).otherwise(lit_array([])))))
-    has = lambda *w: F.arrays_overlap(exposed, lit_array(w))
-    checks = [
-        ("mcp_filesystem_broad_access", has("filesystem") & F.col("broad"), "MCP filesystem server", ("mcp", "filesystem"), True, "high", None),
-        ("mcp_server_high_risk_tool_access", has(*HIGH_RISK), "MCP high-risk server", ("mcp", "high_risk_tools"), True, "high", None),
-        ("mcp_remote_server", F.col("remote"), "MCP remote server", ("mcp", "remote_server"), False, "high", None),
-        ("mcp_package_install_without_pinning", F.col("packs") & ~F.col("pinned"), "MCP unpinned server source", ("mcp", "supply_chain", "unpinned"), False, "high", "agentic supply chain"),
-        ("mcp_unpinned_remote_server", F.col("commands").rlike(r"(?i)https?://github\.com/[\w.-]+/[\w.-]+") & ~F.col("pinned"), "MCP GitHub source without commit pin", ("mcp", "supply_chain", "github", "unpinned"), False, "high", "agentic supply chain"),
-        ("mcp_writable_local_server_path", F.col("commands").rlike(r"(?i)(?<![A-Za-z0-9])(?:\.{1,2}[\\/]|~[\\/]|\$\{workspaceFolder\}|%USERPROFILE%|/tmp/|/var/tmp/).+\.(?:py|js|ts|mjs|cjs|sh|ps1)"), "MCP writable local server path", ("mcp", "supply_chain", "local_path"), True, "medium", "agentic supply chain"),
-        ("mcp_remote_script_execution", F.col("all").rlike(r"(?i)(?:curl|wget)\b.+\|\s*(?:bash|sh|powershell|pwsh)|https?://[^ \t'\",]+(?:\.sh|\.ps1|install)"), "MCP remote script execution", ("mcp", "supply_chain", "remote_script"), True, "high", "unexpected code execution"),
-        ("mcp_unsafe_runtime_flag", F.col("all").rlike("(?i)--(?:dangerously-[a-z0-9-]+|allow-all|no-sandbox|unsafe|privileged|disable-sandbox)"), "MCP unsafe runtime flag", ("mcp", "unsafe_runtime"), True, "high", "excessive agency"),
-        ("mcp_toxic_tool_combination", has("filesystem") & has("shell") & has("browser", "email", "github", "gdrive", "database", "aws", "azure", "gcp"), "MCP filesystem execution network bridge", ("mcp", "toxic_flow", "privileged_sink"), True, "high", "toxic flow"),
-        ("model_container_unpinned_digest", F.lower("all").rlike("docker") & F.lower("all").rlike("image|docker run") & ~F.col("all").contains("sha256:"), "MCP Docker server without digest pin", ("mcp", "supply_chain", "docker"), False, "medium", "agentic supply chain"),
-    ]
-    kind = "array<struct<rule:string,label:string,marks:array<string>,admin:boolean,sure:string,attack:string>>"
-    made = [F.when(ok, F.array(F.struct(F.lit(f"nhi_{r}").alias("rule"), F.lit(n).alias("label"), lit_array(t).alias("marks"), F.lit(a).alias("admin"), F.lit(c).alias("sure"), F.lit(k).alias("attack"))).cast(kind)).otherwise(F.array().cast(kind)) for r, ok, n, t, a, c, k in checks]
-    found = per.withColumn("exposed", exposed).withColumn("m", F.concat(*made)).select(*X.FILE, "line_no", "server", "exposed", F.inline_outer("m")).where("rule IS NOT NULL")
-    level = F.when(F.array_contains("exposed", "filesystem"), "source-code").otherwise("unknown")
-    servers = hit(found, F.col("rule"), F.concat_ws(" ", "label", "server"), None, detector="mcp", name=F.col("label"), identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), tools=F.col("exposed"), tags=F.col("marks"), admin_access=F.col("admin"), external_access=F.lit(True), data_access_level=level, explicit_confidence=F.col("sure"), ai_attack_class=F.col("attack"))
-    bare = F.regexp_replace(value, "(?i)^bearer ", "")
-    named = F.regexp_replace("low_key", "-", "_").rlike("token|api_?key|secret|auth|bearer|password|env")
-    held = rows.where(named & (S.looks_like_secret(bare) | value.rlike(r"\$\{?[A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|CREDENTIAL)")))
-    secret = F.when(S.looks_like_secret(bare), bare)
-    marks = F.when(secret.isNotNull(), lit_array(["mcp", "plaintext_secret"])).otherwise(lit_array(["mcp", "secret_env"]))
-    common = dict(said=F.concat("key", F.lit("="), value), line=F.col("line_no"), detector="mcp", value=secret, identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), explicit_confidence=F.lit("high"))
-    leaks = entries(
-        (F.lit(True), one(entry("nhi_mcp_env_secret_passthrough", name=F.lit("MCP secret environment passthrough"), data_classes=lit_array(["secrets"]), tags=marks, ai_attack_class=F.lit("sensitive information disclosure"), attack_chain_stage=F.lit("credential"), **common))),
-        (secret.isNotNull(), one(entry("nhi_secret_leakage", name=F.col("key"), tags=lit_array(["mcp", "plaintext_secret"]), **common))),
-    )
-    return servers.unionByName(opened(held, leaks))
+def detect_mcp() -> Part:
+    """MCP servers: reach, remote servers, secrets, and their supply chain; servers are groups of flattened keys, put
+    together in the file's own row."""
+
+    def pair(p: Column) -> Column:
+        low, value = F.lower(p["key"]), F.coalesce(p["value"], F.lit(""))
+        return X.let(F.struct(p["line_no"].alias("line_no"), p["key"].alias("key"), low.alias("low"), value.alias("value")), lambda x: F.struct(
+            x["line_no"].alias("line_no"), x["key"].alias("key"), F.concat(x["low"], F.lit("="), x["value"]).alias("text"), x["low"].alias("low"), x["value"].alias("value"),
+            F.when(x["low"].rlike("command|args|cmd|image|url|source|package"), x["value"]).alias("command"), X.server_prefix(x["key"]).alias("server"),
+        ))
+
+    def server(name: Column) -> Column:
+        return X.let(F.filter("mcp_pairs", lambda x: x["server"] == name), lambda own: F.struct(
+            name.alias("server"),
+            F.concat_ws(" ", F.transform(own, lambda x: x["text"])).alias("all"),
+            F.concat_ws(" ", F.transform(own, lambda x: x["command"])).alias("commands"),
+            F.array_min(F.transform(own, lambda x: x["line_no"])).alias("line_no"),
+            F.exists(own, lambda x: x["low"].endswith(".url") & x["value"].rlike("(?i)^(?:https?|wss?)://") | x["low"].rlike(r"\.(?:type|transport)$") & F.lower(x["value"]).isin("sse", "http", "streamable-http", "streamable_http")).alias("remote"),
+            F.exists(own, lambda x: x["low"].rlike("args|command|path|root|dir") & F.lower(x["value"]).rlike(r"^(?:\.{1,2}|/|\\|~)$|^(?:\$\{workspacefolder\}|\$home|%userprofile%|~[/\\]|c:[\\/]users|/users|/home)")).alias("broad"),
+        ))
+
+    def reach(s: Column) -> Column:
+        runs = F.lower(s["commands"]).rlike(RUNNERS)
+        exposed = F.array_sort(F.array_distinct(F.concat(X.capabilities(s["all"], MCP_TOOLS), F.when(runs, lit_array(["shell"])).otherwise(lit_array([])))))
+        facts = [s[c].alias(c) for c in ("server", "all", "commands", "line_no", "remote", "broad")]
+        return F.struct(*facts, exposed.alias("exposed"), F.lower(s["commands"]).rlike(PACKAGERS).alias("packs"), s["commands"].rlike(PINNED).alias("pinned"))
+
+    def judged(s: Column) -> Column:
+        has = lambda *w: F.arrays_overlap(s["exposed"], lit_array(w))
+        all_, commands = s["all"], s["commands"]
+        checks = [
+            ("mcp_filesystem_broad_access", has("filesystem") & s["broad"], "MCP filesystem server", ("mcp", "filesystem"), True, "high", None),
+            ("mcp_server_high_risk_tool_access", has(*HIGH_RISK), "MCP high-risk server", ("mcp", "high_risk_tools"), True, "high", None),
+            ("mcp_remote_server", s["remote"], "MCP remote server", ("mcp", "remote_server"), False, "high", None),
+            ("mcp_package_install_without_pinning", s["packs"] & ~s["pinned"], "MCP unpinned server source", ("mcp", "supply_chain", "unpinned"), False, "high", "agentic supply chain"),
+            ("mcp_unpinned_remote_server", commands.rlike(r"(?i)https?://github\.com/[\w.-]+/[\w.-]+") & ~s["pinned"], "MCP GitHub source without commit pin", ("mcp", "supply_chain", "github", "unpinned"), False, "high", "agentic supply chain"),
+            ("mcp_writable_local_server_path", commands.rlike(r"(?i)(?<![A-Za-z0-9])(?:\.{1,2}[\\/]|~[\\/]|\$\{workspaceFolder\}|%USERPROFILE%|/tmp/|/var/tmp/).+\.(?:py|js|ts|mjs|cjs|sh|ps1)"), "MCP writable local server path", ("mcp", "supply_chain", "local_path"), True, "medium", "agentic supply chain"),
+            ("mcp_remote_script_execution", all_.rlike(r"(?i)(?:curl|wget)\b.+\|\s*(?:bash|sh|powershell|pwsh)|https?://[^ \t'\",]+(?:\.sh|\.ps1|install)"), "MCP remote script execution", ("mcp", "supply_chain", "remote_script"), True, "high", "unexpected code execution"),
+            ("mcp_unsafe_runtime_flag", all_.rlike("(?i)--(?:dangerously-[a-z0-9-]+|allow-all|no-sandbox|unsafe|privileged|disable-sandbox)"), "MCP unsafe runtime flag", ("mcp", "unsafe_runtime"), True, "high", "excessive agency"),
+            ("mcp_toxic_tool_combination", has("filesystem") & has("shell") & has("browser", "email", "github", "gdrive", "database", "aws", "azure", "gcp"), "MCP filesystem execution network bridge", ("mcp", "toxic_flow", "privileged_sink"), True, "high", "toxic flow"),
+            ("model_container_unpinned_digest", F.lower(all_).rlike("docker") & F.lower(all_).rlike("image|docker run") & ~all_.contains("sha256:"), "MCP Docker server without digest pin", ("mcp", "supply_chain", "docker"), False, "medium", "agentic supply chain"),
+        ]
+        level = F.when(F.array_contains(s["exposed"], "filesystem"), "source-code").otherwise("unknown")
+        common = dict(identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), tools=s["exposed"], external_access=F.lit(True), data_access_level=level)
+        made = [
+            (ok, one(entry(f"nhi_{r}", F.concat_ws(" ", F.lit(n), s["server"]), s["line_no"], "mcp", name=F.lit(n), tags=lit_array(t), admin_access=F.lit(a), explicit_confidence=F.lit(c), ai_attack_class=F.lit(k), **common)))
+            for r, ok, n, t, a, c, k in checks
+        ]
+        return entries(*made)
+
+    def leak(p: Column) -> Column:
+        value, bare = p["value"], F.regexp_replace(p["value"], "(?i)^bearer ", "")
+        secret = F.when(S.looks_like_secret(bare), bare)
+        return X.let(F.struct(p["key"].alias("key"), value.alias("value"), p["line_no"].alias("line_no"), p["low"].alias("low"), secret.alias("secret")), leaked)
+
+    def leaked(p: Column) -> Column:
+        value, secret = p["value"], p["secret"]
+        named_so = F.regexp_replace(p["low"], "-", "_").rlike("token|api_?key|secret|auth|bearer|password|env")
+        held = named_so & (secret.isNotNull() | value.rlike(r"\$\{?[A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|CREDENTIAL)"))
+        marks = F.when(secret.isNotNull(), lit_array(["mcp", "plaintext_secret"])).otherwise(lit_array(["mcp", "secret_env"]))
+        common = dict(said=F.concat(p["key"], F.lit("="), value), line=p["line_no"], detector="mcp", value=secret, identity_type=F.lit("mcp_server"), source=F.lit("MCP config"), explicit_confidence=F.lit("high"))
+        return entries(
+            (held, one(entry("nhi_mcp_env_secret_passthrough", name=F.lit("MCP secret environment passthrough"), data_classes=lit_array(["secrets"]), tags=marks, ai_attack_class=F.lit("sensitive information disclosure"), attack_chain_stage=F.lit("credential"), **common))),
+            (held & secret.isNotNull(), one(entry("nhi_secret_leakage", name=p["key"], tags=lit_array(["mcp", "plaintext_secret"]), **common))),
+        )
 
+    layers = [
+        {"mcp_pairs": F.array_sort(F.transform(F.coalesce(config_pairs(), F.array().cast(X.PAIR)), pair))},
+        {"mcp_servers": F.transform(F.array_distinct(F.transform("mcp_pairs", lambda x: x["server"])), server)},
+        {"mcp_reach": F.transform("mcp_servers", reach)},
+    ]
+    found = lambda: F.concat(F.flatten(F.transform("mcp_reach", judged)), F.flatten(F.transform("mcp_pairs", leak))).cast(ENTRY)
+    return Part(F.col("low_path").rlike(MCP_PATH), layers, found)
 
 
 FRAMEWORKS = "langchain|langgraph|llama_?index|crewai|autogen|semantic_kernel|openai_agents|haystack|pydantic_ai|smolagents"
@@ -636,23 +743,22 @@ AGENT_PATH = r"(?:agent|crew|tools?|gateway|litellm|assistant)[^/]*\.(?:ya?ml|js
 
 
 @detector
-def detect_ai_agents(artifacts: DataFrame) -> DataFrame:
+def detect_ai_agents() -> Part:
     """Agent configurations: one rule a file by its tool set, connectors, gateways, sensitive memory, and tool metadata."""
-    rows = file_columns(artifacts).where(F.col("low_path").rlike(AGENT_PATH) & F.col("content").rlike(AGENT_TEXT))
-    low = F.lower("content")
-    rows = rows.withColumn("tools", X.capabilities(F.col("content"), AGENT_TOOLS))
-    has = lambda *w: F.arrays_overlap("tools", lit_array(w))
+    low = F.col("agent_text")
+    tools = F.col("agent_tools")
+    has = lambda *w: F.arrays_overlap(tools, lit_array(w))
     gated = low.rlike("approval|human_in_the_loop|require_confirmation|interrupt_before")
     agentic = low.rlike(rf"{FRAMEWORKS}|agent")
     rule = (
         F.when(has("shell", "exec") & ~gated, "nhi_ai_agent_shell_access")
         .when(has("filesystem") & ~gated, "nhi_ai_agent_filesystem_access")
         .when(has("github") & low.rlike("write|repo|workflow") & ~gated, "nhi_ai_agent_github_write_access")
-        .when((F.size("tools") > 0) & ~gated, "nhi_ai_agent_unapproved_tool_access")
+        .when((F.size(tools) > 0) & ~gated, "nhi_ai_agent_unapproved_tool_access")
         .otherwise("nhi_ai_agent_framework_detected")
     )
-    common = dict(detector="agents", line=F.coalesce(X.line_of_pattern(F.col("content"), rf"(?i){FRAMEWORKS}|agent|tools?"), F.lit(1)), source=F.lit("AI agent config"), tools=F.col("tools"), name=X.stem())
-    agent = entry(rule, F.concat(F.lit("Agent tools: "), F.array_join("tools", ", ")), identity_type=F.lit("ai_agent"), tags=lit_array(["ai_agent"]), admin_access=has("shell", "exec"), external_access=F.size("tools") > 0, approval_required=F.when(F.size("tools") > 0, gated), **common)
+    common = dict(detector="agents", line=F.coalesce(X.line_of_pattern(F.col("content"), rf"(?i){FRAMEWORKS}|agent|tools?"), F.lit(1)), source=F.lit("AI agent config"), tools=tools, name=X.stem())
+    agent = entry(rule, F.concat(F.lit("Agent tools: "), F.array_join(tools, ", ")), identity_type=F.lit("ai_agent"), tags=lit_array(["ai_agent"]), admin_access=has("shell", "exec"), external_access=F.size(tools) > 0, approval_required=F.when(F.size(tools) > 0, gated), **common)
     checks = [
         ("nhi_tool_connector_high_risk_access", agentic & has("email", "payment", "refund", "deploy", "database"), "tool_connector", ("ai_agent", "tool_connector"), "high-risk connector"),
         ("nhi_ai_agent_sensitive_data_access", agentic & low.rlike("memory|vector|history") & low.rlike("customer|patient|payroll|pii"), "ai_agent", ("ai_agent", "sensitive_data"), "memory over sensitive data"),
@@ -667,52 +773,34 @@ def detect_ai_agents(artifacts: DataFrame) -> DataFrame:
         (ok, one(entry(r, F.lit(said), identity_type=F.lit(k), tags=lit_array(t), external_access=F.lit(True), data_access_level=F.lit("customer" if "sensitive_data" in r else "unknown"), **common)))
         for r, ok, k, t, said in checks
     ]
-    return opened(rows, entries((agentic, one(agent)), *more))
+    layers = [{"agent_text": F.lower("content"), "agent_tools": X.capabilities(F.col("content"), AGENT_TOOLS)}]
+    return Part(F.col("low_path").rlike(AGENT_PATH) & F.col("content").rlike(AGENT_TEXT), layers, lambda: entries((agentic, one(agent)), *more))
+
+
+def custom_specs(rules: list[dict]) -> list[Spec]:
+    return [
+        Spec("custom", r["id"], "", r["pattern"], r.get("title") or r["id"], r.get("identity_type") or "API key", "custom rule pack", value=0, provider=r.get("provider"), tags=("custom_rule",), confidence=r.get("confidence"))
+        for r in rules
+        if r.get("type", "regex") == "regex"
+    ]
 
 
 @detector
-def detect_custom_regex(artifacts: DataFrame, rules: list[dict]) -> DataFrame:
+def detect_custom_regex(rules: list[dict]) -> Part:
     """Every match of each pack pattern, a line at a time, that looks like a secret. The pack's patterns are plan literals."""
-    specs = [Spec("custom", r["id"].removeprefix("nhi_"), "", r["pattern"], r.get("title") or r["id"], r.get("identity_type") or "API key", "custom rule pack", value=0, provider=r.get("provider"), tags=("custom_rule",), confidence=r.get("confidence")) for r in rules if r.get("type", "regex") == "regex"]
-    out = line_hits(artifacts, specs)
-    ids = {f"nhi_{s.rule}": r["id"] for s, r in zip(specs, [r for r in rules if r.get("type", "regex") == "regex"])}
-    table = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))
-    return out.withColumn("_rule", F.coalesce(F.try_element_at(table, F.col("_rule")), "_rule"))
-
-
-def all_hits(artifacts: DataFrame, custom: list[dict] | None = None) -> DataFrame:
-    """Hits of all detectors. Expressions are of the ``try`` kind, so a malformed file costs its own rows only."""
-    parts = [spec_hits(artifacts, ALL)]
-    parts += [f.hits(artifacts) for f in (detect_env_secrets, detect_credential_assignments, detect_nested_secrets, detect_windowed, detect_documents, detect_mcp, detect_ai_agents)]
-    if custom and any(r.get("type", "regex") == "regex" for r in custom):
-        parts.append(detect_custom_regex.hits(artifacts, custom))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def relevant(artifacts: DataFrame, custom: list[dict] | None = None) -> DataFrame:
-    """The artifacts that some detector may say anything about, by path and whole text: the one pass over all texts."""
-    whole = {s.path: [] for s in ALL}
-    for s in ALL:
-        whole[s.path].append(f"(?:{s.match})")
-    content = F.col("content")
-    gates = [F.col("low_path").rlike(p) & content.rlike("(?m)" + "|".join(dict.fromkeys(m))) for p, m in whole.items()]
-    gates += [
-        X.base_name().startswith(".env"),
-        F.col("low_path").rlike(CONFIG_PATH) & speaks_of_secrets(content),
-        F.col("low_path").rlike(NESTED_PATH),
-        F.col("low_path").rlike(WINDOWED_PATH),
-        F.col("low_path").rlike(DOCUMENT_PATH),
-        F.col("low_path").rlike(MCP_PATH),
-        F.col("low_path").rlike(AGENT_PATH) & content.rlike(AGENT_TEXT),
-    ]
-    gates += [content.rlike("(?m)" + r["pattern"]) for r in custom or () if r.get("type", "regex") == "regex"]
-    return file_columns(artifacts).where(reduce(lambda a, b: a | b, gates)).drop("low_path")
+    return spec_part(custom_specs(rules))
+
+
+def all_parts(custom: list[dict] | None = None) -> list[Part]:
+    """The parts of all detectors; specs of the catalog and of a pack share one."""
+    whole = (detect_env_secrets, detect_credential_assignments, detect_nested_secrets, detect_windowed, detect_documents, detect_mcp, detect_ai_agents)
+    return [spec_part([*ALL, *custom_specs(custom or [])]), *(d.part() for d in whole)]
 
 
 def detect_all(artifacts: DataFrame, keys: DataFrame, custom: list[dict] | None = None) -> DataFrame:
-    """All detectors' signals. The texts are read once, to write the few files that any detector may speak of to the
-    shared folder; the detectors read those."""
-    return signals(all_hits(staged(relevant(artifacts, custom), "relevant"), custom), keys)
+    """All detectors' signals, from one pass over the texts. Expressions are of the ``try`` kind, so a malformed file costs
+    its own rows only."""
+    return signals(hits(artifacts, all_parts(custom)), keys)
 
 
 def file_errors(artifacts: DataFrame) -> DataFrame:

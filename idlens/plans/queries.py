@@ -646,7 +646,7 @@ def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines inside a `variables:` block, and pairs under their section."""
     a = corpus.artifacts(spark, sf_dir)
     number = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("o_orderkey")
-    inside = X.in_block(X.explode_lines(a.where(F.col("path").rlike(r"^ci/.*\.gitlab-ci\.yml$"))), r"^variables:").where("inside")
+    inside = X.in_block(a.where(F.col("path").rlike(r"^ci/.*\.gitlab-ci\.yml$")), r"^variables:").where("inside")
     pairs = X.toml_section_pairs(a.where(F.col("path").endswith("settings.toml")))
     return inside.select(number, "line_no", F.lit("").alias("key")).unionByName(pairs.select(number, "line_no", "key"))
 

@@ -86,7 +86,7 @@ def test_pairs(spark):
 def test_in_block(spark):
     text = "job:\n  run: |\n    one\n\n    two\n  env: x\nrun: y"
     df = spark.createDataFrame([("s", "r", "p", text)], "scan_id string, repo string, path string, content string")
-    rows = X.in_block(X.explode_lines(df), r"^\s*(?:-\s+)?run\s*:").where("inside AND trim(line) <> ''").collect()
+    rows = X.in_block(df, r"^\s*(?:-\s+)?run\s*:").where("inside AND trim(line) <> ''").collect()
     assert sorted(r.line.strip() for r in rows) == ["one", "two"]
 
 

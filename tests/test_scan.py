@@ -187,7 +187,8 @@ def test_files_that_cannot_be_read(spark):
     [row] = R.scan_summary(i, f, errors).collect()
     assert (row.trust_level, row.policy, row.n_errors) == ("degraded", "block" if row.n_critical else "manual_review", 2)
     scans = R.scan_summary(i.limit(0), f.limit(0), errors, errors.select("scan_id", "repo"))
-    assert [(r.trust_level, r.policy, r.summary) for r in scans.collect()] == [("untrusted", "block", "No findings.")]
+    said = "The scan did not end, so nothing it says can be relied on; it blocks until one ends."
+    assert [(r.trust_level, r.policy, r.summary, r.overall_score) for r in scans.collect()] == [("untrusted", "block", said, 100)]
     assert [r.gate for r in R.gate_status(f.limit(0).withColumn("baseline_status", F.lit("new")), scans).collect()] == [10]
 
 
@@ -266,3 +267,83 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == rules_of(detect(rows, b"k")["signals"])
+
+
+def test_detection_writes_and_shuffles_no_raw_value(spark, tmp_path):
+    """A scan leaves no planted value in the shared folder, and its detection is one stage: nothing raw is exchanged."""
+    import os
+
+    from idlens.functions import secrets as S
+    from idlens.operators import detect as D
+    from idlens.plans.scan import scan
+    from idlens.sources import artifacts as src
+    from idlens.sources.store import shared_dir
+
+    value = "zq7Rk2Lm9Xw4Tv8Bn3Hs6Pd1"
+    files = [
+        ("a/.env", f"PAY_TOKEN={value}\n"), ("a/config.json", '{"api_key": "' + value + '"}'), ("ci/.gitlab-ci.yml", f"variables:\n  DEPLOY_TOKEN: {value}\n"),
+        ("h/.netrc", f"machine m\n login u\n password {value}\n"), ("k/d.yaml", f"apiVersion: v1\nenv:\n  - name: DB_PASSWORD\n    value: {value}\n"),
+        ("m/mcp.json", '{"mcpServers": {"x": {"url": "https://h.example/s", "headers": {"Authorization": "Bearer ' + value + '"}}}}'),
+    ]
+    rows = spark.createDataFrame([("r", p, c) for p, c in files], "repo string, path string, content string")
+    artifacts = src.artifacts_from_table(rows, F.col("repo"), F.col("path"), F.col("content"))
+    keys = S.key_table(spark, b"k")
+    signals = D.detect_all(artifacts, keys)
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan and "Repartition" not in plan
+    assert signals.count() >= len(files)
+    tables = scan(artifacts, b"k")
+    assert tables["findings"].count() > 0
+    for folder, _, names in os.walk(shared_dir(spark).removeprefix("file:")):
+        for name in names:
+            with open(os.path.join(folder, name), "rb") as f:
+                assert value.encode() not in f.read(), (folder, name)
+
+
+def test_block_flags_equal_a_plain_walk(spark):
+    """Random indented texts: the lines that stand in blocks, by a walk over the lines."""
+    import random
+    import re
+
+    from idlens.functions import text as X
+
+    def walk(lines):
+        out, head = set(), None
+        for n, s in enumerate(lines, 1):
+            bare = re.sub(r"#.*$", "", s)
+            if re.search(r"^\s*(?:-\s+)?run\s*:", s):
+                head = len(re.match(r"^( *(?:- +)?)", bare)[1])
+            elif head is not None:
+                if bare.strip(" ") and len(re.match(r"^( *)", s)[1]) <= head:
+                    head = None
+                else:
+                    out.add(n)
+        return out
+
+    rnd = random.Random(5)
+    parts = ["run: x", "- run: |", "echo", "# note", "", "key: v  # run: no", "- item"]
+    texts = ["\n".join(" " * rnd.choice([0, 2, 4, 6]) + rnd.choice(parts) for _ in range(rnd.randint(1, 25))) for _ in range(200)]
+    d = spark.createDataFrame([("s", "r", str(i), t) for i, t in enumerate(texts)], "scan_id string, repo string, path string, content string")
+    got = {}
+    for r in X.in_block(d, r"^\s*(?:-\s+)?run\s*:").where("inside").collect():
+        got.setdefault(int(r.path), set()).add(r.line_no)
+    assert all(got.get(i, set()) == walk(t.split("\n")) for i, t in enumerate(texts))
+
+
+def test_anchor_words_stand_in_every_match(spark):
+    """Each spec's words, where it tells some, stand in what it finds in the planted corpus."""
+    import re
+
+    from idlens.functions import anchors
+    from idlens.operators.specs import ALL
+    from idlens.plans import corpus
+
+    texts = [r.content for r in corpus.artifacts(spark, "/root/testdata/sf0.001").select("content").limit(200).collect()]
+    told = 0
+    for s in ALL:
+        words = anchors.words(s.match)
+        for t in texts if words else ():
+            for m in re.finditer(s.match, t, re.MULTILINE):
+                told += 1
+                assert any(w in m[0].lower() for w in words), (s.match, m[0])
+    assert told > 100 and anchors.words(r"(?i)gh[pousr]_\w+") == ("ghp_", "gho_", "ghu_", "ghs_", "ghr_") and anchors.words(r"\w+") is None

@@ -26,6 +26,7 @@ from idlens.plans import corpus, synthetic
 from idlens.plans.scan import scan
 from idlens.sources import artifacts as src
 from idlens.sources import store
+from idlens.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -707,6 +708,27 @@ def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.findings_of(spark, root, "s1").groupBy("repo", "severity").agg(F.count("*").alias("n"))
 
 
+@register("streamed_findings", IDS + FINDINGS + ", " + CORRELATIONS + """, w AS (SELECT repo, rule_id, count(*) AS n FROM v GROUP BY ALL)
+  SELECT repo, rule_id, n, 'rule' AS kind FROM w UNION ALL SELECT repo, rule_id, count(*), 'correlation' FROM c GROUP BY ALL""")
+def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and correlations of a stream of two batches, none of which holds a repository whole."""
+    root = f"{store.shared_dir(spark)}/idlens/stream-{uuid.uuid4().hex}"
+    place = "struct<path: string, detector: string, line_no: int, rule_id: string, name: string, evidence: string>"
+    rows = synthetic.identities(spark, sf_dir).withColumn("ord", F.col("ord").cast(place))
+    rows.withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(2))).repartitionByRange(2, "cut").drop("cut").write.parquet(f"{root}/in")
+    none = rows.where("false").select("scan_id", "repo", F.lit("").alias("path"))
+
+    def take(df: DataFrame, number: int) -> None:
+        state.advance(f"{root}/state", {"signals": df, "guards": none, "errors": none.withColumn("error", F.lit(""))}, number, base=lambda i: i)
+
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    live.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found, correlated = state.current(spark, f"{root}/state", "findings"), F.col("source") == "advanced correlation"
+    rules = found.where(~correlated).groupBy("repo", "rule_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("rule"))
+    made = state.current(spark, f"{root}/state", "identities").where(correlated).groupBy("repo", F.col("ord.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+    return rules.union(made.withColumn("kind", F.lit("correlation")))
+
+
 @register("scan_document_rows", IDS + FINDINGS + " SELECT repo, rule_id, severity, count(*) AS n FROM v GROUP BY ALL")
 def scan_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scan documents say, read back from their JSON."""

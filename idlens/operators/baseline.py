@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from idlens.functions import secrets as S
 from idlens.operators.identities import SCAN
+from idlens.sources.store import write_tables
 
 
 def baseline_key() -> Column:
@@ -17,13 +18,22 @@ def baseline_key() -> Column:
     return F.when(text != "", S.stable_id("base", "rule_id", path, text)).otherwise(bare)
 
 
-def write_baseline(findings: DataFrame, trust: str = "clean") -> DataFrame:
-    """Accepted-finding entries; an untrusted scan gives none."""
-    entries = findings.select(
-        baseline_key().alias("key"), "rule_id", "file_path", "line_number", "identity_name", "title", "severity",
+def write_baseline(findings: DataFrame, trust: str = "clean", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted-finding entries; of an untrusted scan they are refused, as its findings say nothing."""
+    if trust == "untrusted":
+        raise ValueError("an untrusted scan gives no baseline")
+    return findings.select(
+        *keep, baseline_key().alias("key"), "rule_id", "file_path", "line_number", "identity_name", "title", "severity",
         F.lit(None).cast("string").alias("accepted_by"), F.lit(None).cast("string").alias("accepted_until"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("review_required"),
     )
-    return entries.where(F.lit(trust != "untrusted"))
+
+
+def save_baseline(root: str, findings: DataFrame, scans: DataFrame) -> None:
+    """Write the baselines of ``scans`` (repo, trust_level) to the store below ``root``, replacing those of the same
+    repositories, also where no finding is left. Repositories with an untrusted scan keep the baseline they have."""
+    sound = scans.groupBy("repo").agg(F.bool_or(F.col("trust_level") == "untrusted").alias("bad")).where("NOT bad").select("repo")
+    entries = write_baseline(findings.join(sound, "repo", "left_semi"), keep=("repo",))
+    write_tables(root, {"baseline": entries, "baselined": sound}, by=("repo",))
 
 
 def active_baseline(baseline: DataFrame, today: Column | None = None) -> DataFrame:

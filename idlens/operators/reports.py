@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,13 +84,17 @@ def sarif(findings: DataFrame) -> DataFrame:
     return S.guard_no_raw_secret(made)
 
 
-def scan_json(identities: DataFrame, findings: DataFrame, paths: DataFrame) -> DataFrame:
+def scan_json(identities: DataFrame, findings: DataFrame, paths: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """(scan_id, repo, part, json): a whole scan as one document, or as several where a list is longer than one should
-    hold; a part lacks the lists that have no rows in it."""
+    hold; a part lacks the lists that have no rows in it. ``related`` (of ``related_links``) is dealt to parts by the
+    related identity, so what a correlation relates may stand in several."""
     keys = [*SCAN, "part"]
+    named = [("identities", identities, "id"), ("findings", findings, "id"), ("risk_paths", paths, "id")]
+    if related is not None:
+        named.append(("related", related, "related_id"))
     lists = [
-        in_parts(df, "id").groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in (*SCAN, "ord")])).alias(n))
-        for n, df in (("identities", identities), ("findings", findings), ("risk_paths", paths))
+        in_parts(df, key).groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in (*SCAN, "ord")])).alias(n))
+        for n, df, key in named
     ]
-    j = lists[0].join(lists[1], keys, "full_outer").join(lists[2], keys, "full_outer")
-    return S.guard_no_raw_secret(j.select(*keys, F.to_json(F.struct(*keys, "identities", "findings", "risk_paths")).alias("json")))
+    j = reduce(lambda a, b: a.join(b, keys, "full_outer"), lists)
+    return S.guard_no_raw_secret(j.select(*keys, F.to_json(F.struct(*keys, *(n for n, _, _ in named))).alias("json")))

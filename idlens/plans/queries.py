@@ -407,6 +407,23 @@ def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.identities(spark, sf_dir).select("id", R.score_identity().alias("score")).select("id", "score", R.severity_label(F.col("score")).alias("label"))
 
 
+@register(
+    "related_links",
+    IDS + f"""r AS (SELECT *, row_number() OVER (ORDER BY file_path, line_number, name, id) AS o FROM b),
+    u AS (SELECT repo, id FROM b WHERE production_access AND kind IN (3, 6) AND {UNGATED} AND (admin_access OR deploys) AND repo IN (SELECT repo FROM b WHERE kind IN (3, 6) AND admin_access)),
+    t AS (SELECT repo, id, o, kind, provider AS target, admin_access OR production_access OR has_secret AS big FROM r WHERE provider IS NOT NULL
+      UNION ALL SELECT repo, id, o, kind, data_access_level, admin_access OR production_access OR has_secret FROM r WHERE data_access_level <> 'unknown'),
+    q AS (SELECT repo, target, count(*) AS n, row_number() OVER (PARTITION BY repo ORDER BY min(o), target) AS nth FROM t GROUP BY repo, target HAVING count(*) >= 3 AND count(DISTINCT kind) >= 2 AND bool_or(big))
+    SELECT repo, 'nhi_ci_deployment_without_approval' AS rule_id, count(*) OVER (PARTITION BY repo) AS n_related, id AS related_id FROM u
+    UNION ALL SELECT repo, 'nhi_shared_target_exposure', n, id FROM t JOIN q USING (repo, target) WHERE nth = 1""",
+)
+def related_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identities behind the correlations that relate any number of them."""
+    i = synthetic.identities(spark, sf_dir).withColumn("ord", F.col("ord").cast(synthetic.PLACE))
+    links = C.related_links(i.unionByName(C.correlate(i)))
+    return links.where(F.col("rule_id").isin("nhi_ci_deployment_without_approval", "nhi_shared_target_exposure")).select("repo", "rule_id", "n_related", "related_id")
+
+
 MATTERS = "(admin_access OR production_access OR external_access OR data_access_level <> 'unknown' OR deploys OR kind IN (0, 1, 2, 3, 4, 6))"
 FINDINGS = f"""f AS (
   SELECT b.*, 'nhi_hardcoded_secret' AS rule_id, 75 AS base, true AS boosted FROM b WHERE has_secret
@@ -713,8 +730,7 @@ def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and correlations of a stream of two batches, none of which holds a repository whole."""
     root = f"{store.shared_dir(spark)}/idlens/stream-{uuid.uuid4().hex}"
-    place = "struct<path: string, detector: string, line_no: int, rule_id: string, name: string, evidence: string>"
-    rows = synthetic.identities(spark, sf_dir).withColumn("ord", F.col("ord").cast(place))
+    rows = synthetic.identities(spark, sf_dir).withColumn("ord", F.col("ord").cast(synthetic.PLACE))
     rows.withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(2))).repartitionByRange(2, "cut").drop("cut").write.parquet(f"{root}/in")
     none = rows.where("false").select("scan_id", "repo", F.lit("").alias("path"))
 

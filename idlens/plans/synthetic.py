@@ -34,6 +34,9 @@ COLUMNS = [
 ]
 BASE_SQL = "SELECT o_orderkey, " + ", ".join(f"{e} AS {c}" for c, e in COLUMNS) + " FROM orders"
 
+#: The type of ``ord`` in identities of signals and correlations.
+PLACE = "struct<path: string, detector: string, line_no: int, rule_id: string, name: string, evidence: string>"
+
 TYPES = ["ai_agent", "mcp_server", "model_gateway", "ci_runner", "service_account", "api_key", "deployment_identity", "webhook_identity"]
 
 

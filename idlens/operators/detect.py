@@ -33,6 +33,7 @@ FACTS = {
     "scopes": "array<string>",
     "tools": "array<string>",
     "data_classes": "array<string>",
+    "ai_risk_refs": "array<string>",
     "admin_access": "boolean",
     "production_access": "boolean",
     "external_access": "boolean",
@@ -205,10 +206,10 @@ def file_columns(artifacts: DataFrame) -> DataFrame:
 
 def spec_table(spark: SparkSession, specs: list[Spec]) -> DataFrame:
     rows = [
-        (i, s.family, s.rule if s.family == "custom" else f"nhi_{s.rule}", s.kind, s.source, s.provider, list(s.tags), list(s.permissions), [], list(s.tools), list(s.data_classes), s.admin, s.external, s.approval, s.logging, s.level, s.confidence, s.attack, s.stage, s.evidence)
+        (i, s.family, s.rule if s.family == "custom" else f"nhi_{s.rule}", s.kind, s.source, s.provider, list(s.tags), list(s.permissions), [], list(s.tools), list(s.data_classes), s.admin, s.external, s.approval, s.logging, s.level, s.confidence, s.attack, s.stage, s.evidence, list(s.refs))
         for i, s in enumerate(specs)
     ]
-    kind = "spec int, family string, rule_id string, identity_type string, source string, provider string, tags array<string>, permissions array<string>, scopes array<string>, tools array<string>, data_classes array<string>, admin_access boolean, external_access boolean, approval_required boolean, logging_enabled boolean, data_access_level string, explicit_confidence string, ai_attack_class string, attack_chain_stage string, said string"
+    kind = "spec int, family string, rule_id string, identity_type string, source string, provider string, tags array<string>, permissions array<string>, scopes array<string>, tools array<string>, data_classes array<string>, admin_access boolean, external_access boolean, approval_required boolean, logging_enabled boolean, data_access_level string, explicit_confidence string, ai_attack_class string, attack_chain_stage string, said string, ai_risk_refs array<string>"
     return spark.createDataFrame(rows, kind)
 
 
@@ -779,7 +780,7 @@ def detect_ai_agents() -> Part:
 
 def custom_specs(rules: list[dict]) -> list[Spec]:
     return [
-        Spec("custom", r["id"], "", r["pattern"], r.get("title") or r["id"], r.get("identity_type") or "API key", "custom rule pack", value=0, provider=r.get("provider"), tags=("custom_rule",), confidence=r.get("confidence"))
+        Spec("custom", r["id"], "", r["pattern"], r.get("title") or r["id"], r.get("identity_type") or "API key", "custom rule pack", value=0, provider=r.get("provider"), tags=("custom_rule",), confidence=r.get("confidence"), refs=tuple(r.get("ai_risk_refs") or ()))
         for r in rules
         if r.get("type", "regex") == "regex"
     ]
@@ -803,14 +804,21 @@ def detect_all(artifacts: DataFrame, keys: DataFrame, custom: list[dict] | None
     return signals(hits(artifacts, all_parts(custom)), keys)
 
 
+#: Detectors that read files as JSON only, and which.
+JSON_READERS = {"nested": NESTED_PATH, "extension": MANIFEST_PATH, "package": PACKAGE_PATH, "mcp": MCP_PATH}
+
+
 def file_errors(artifacts: DataFrame) -> DataFrame:
-    """(scan_id, repo, path, error) of files that could not be read as what their names say: no content at all, or JSON
-    that does not parse, even without comments and trailing commas, in a kind of file that is read as JSON only."""
+    """(scan_id, repo, path, detector, error) of files that could not be read as what their names say: no content at all,
+    or, for each detector that reads the file as JSON only, JSON that does not parse even without comments and trailing
+    commas. What other detectors find in such a file stands."""
     low, content = F.col("low_path"), F.col("content")
-    as_json = low.rlike(rf"{NESTED_PATH}|{MANIFEST_PATH}|{PACKAGE_PATH}|(?:{MCP_PATH})") & low.rlike(r"\.(?:json|tfstate|backup)$")
+    readers = F.array_compact(F.array(*(F.when(low.rlike(path), F.lit(name)) for name, path in JSON_READERS.items())))
+    as_json = (F.size(readers) > 0) & low.rlike(r"\.(?:json|tfstate|backup)$")
     broken = as_json & (F.trim(content) != "") & F.try_parse_json(X.json5_lite(content)).isNull()
-    error = F.when(content.isNull(), "no content").when(broken, "not JSON")
-    return file_columns(artifacts).select(*X.FILE, error.alias("error")).where("error IS NOT NULL")
+    failed = F.when(content.isNull(), F.array(F.lit("all"))).when(broken, readers)
+    error = F.when(content.isNull(), "no content").otherwise("not JSON")
+    return file_columns(artifacts).select(*X.FILE, F.explode(failed).alias("detector"), error.alias("error"))
 
 
 def audit_hosts(host_files: DataFrame, keys: DataFrame, strings: bool = True) -> DataFrame:

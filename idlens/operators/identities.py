@@ -63,7 +63,7 @@ def normalize_signals(signals: DataFrame) -> DataFrame:
         F.when(has_secret, "missing").alias("rotation_status"),
         "permissions", "scopes", "tools", F.col("tools").alias("tool_permissions"), "data_classes",
         "admin_access", "production_access", "external_access", "approval_required", "logging_enabled", "data_access_level",
-        "ai_attack_class", "attack_chain_stage", "confidence", tags.alias("tags"), F.array_compact(evidence).alias("evidence"),
+        "ai_risk_refs", "ai_attack_class", "attack_chain_stage", "confidence", tags.alias("tags"), F.array_compact(evidence).alias("evidence"),
         F.array().cast("array<string>").alias("related_identities"),
         sha.alias("commit_sha"), "commit_short_sha", "commit_author", "commit_date",
         F.struct(*ORDER).alias("ord"),

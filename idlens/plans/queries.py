@@ -576,6 +576,19 @@ def ai_ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ai_ref_counts(R.run_rules(i.withColumn("tags", tags)))
 
 
+@register(
+    "identity_ai_refs",
+    IDS + FINDINGS + f", w AS (SELECT id, rule_id, CASE WHEN o_orderkey % 5 = 0 THEN ['LLM01:2025', 'own:' || coalesce(provider, 'none')] ELSE []::VARCHAR[] END AS own FROM v)"
+    + f" SELECT id AS identity_id, rule_id, array_to_string(list_sort(list_distinct(list_concat(own, ai))), ',') AS refs FROM w JOIN {CATALOG_SQL} USING (rule_id)",
+)
+def identity_ai_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings refer to what their rule and their identity refer to."""
+    i = synthetic.identities(spark, sf_dir)
+    own = F.array(F.lit("LLM01:2025"), F.concat(F.lit("own:"), F.coalesce("provider", F.lit("none"))))
+    i = i.withColumn("ai_risk_refs", F.when(F.substring("id", 2, 20).cast("long") % 5 == 0, own).otherwise(F.col("ai_risk_refs")))
+    return R.run_rules(i).select("identity_id", "rule_id", F.array_join("ai_risk_refs", ",").alias("refs"))
+
+
 @register("sarif_results", IDS + FINDINGS + " SELECT repo, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM v GROUP BY ALL")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the SARIF documents say, read back from their JSON."""
@@ -708,13 +721,18 @@ def scan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "scan_stats",
     IDS + FINDINGS + f""", a AS (SELECT 's1' AS scan_id, repo, count(*) AS files_scanned, sum(o_orderkey % 100)::BIGINT AS bytes_scanned, count(*) AS identities, 0::BIGINT AS correlations FROM b GROUP BY repo),
+    z AS (SELECT repo, count(*) FILTER (o_orderkey % 97 = 0) AS errors, count(DISTINCT file_path) FILTER (o_orderkey % 13 = 0) AS cache_hits FROM b GROUP BY repo), o AS (WITH {OVERALL}),
     c AS (SELECT repo, {", ".join(f"count(*) FILTER (severity = '{x}') AS findings_{x}" for x in ("critical", "high", "medium", "low"))} FROM v GROUP BY repo), d AS (SELECT repo, count(*) AS risk_paths FROM ({RISK_SQL}) GROUP BY repo)
-    SELECT a.*, {", ".join(f"coalesce(findings_{x}, 0) AS findings_{x}" for x in ("critical", "high", "medium", "low"))}, coalesce(risk_paths, 0) AS risk_paths FROM a LEFT JOIN c USING (repo) LEFT JOIN d USING (repo)""",
+    SELECT a.*, {", ".join(f"coalesce(findings_{x}, 0) AS findings_{x}" for x in ("critical", "high", "medium", "low"))}, coalesce(risk_paths, 0) AS risk_paths,
+    errors, cache_hits, CASE WHEN overall_score >= 80 THEN 'Critical' WHEN overall_score >= 60 THEN 'High' WHEN overall_score >= 40 THEN 'Medium' WHEN overall_score >= 20 THEN 'Low' ELSE 'Clean' END AS severity_label, 'repo' AS surface
+    FROM a LEFT JOIN c USING (repo) LEFT JOIN d USING (repo) LEFT JOIN z USING (repo) LEFT JOIN o USING (repo)""",
 )
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = synthetic.identities(spark, sf_dir)
     files = i.select("scan_id", "repo", (F.substring("id", 2, 20).cast("long") % 100).alias("n_bytes"))
-    return R.scan_stats(files, i, R.run_rules(i), C.risk_paths(i))
+    number, place = F.substring("id", 2, 20).cast("long"), ["scan_id", "repo", F.col("file_path").alias("path")]
+    errors = D.file_errors(i.where(number % 97 == 0).select("scan_id", "repo", F.concat("file_path", F.lit("/cdk.json")).alias("path"), F.lit("{not json").alias("content")))
+    return R.scan_stats(files, i, R.run_rules(i), C.risk_paths(i), errors, i.where(number % 13 == 0).select(*place))
 
 
 @register("stored_findings", IDS + FINDINGS + " SELECT repo, severity, count(*) AS n FROM v GROUP BY ALL")

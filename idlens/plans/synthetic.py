@@ -55,7 +55,7 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
         "secret_fingerprint", F.lit(None).cast("string").alias("masked_secret"), "has_secret", F.when(F.col("has_secret"), "missing").alias("rotation_status"),
         pick(F.col("deploys"), "deployment").alias("permissions"), none.alias("scopes"), pick(F.col("kind").isin(0, 1), "shell").alias("tools"), pick(F.col("kind").isin(0, 1), "shell").alias("tool_permissions"), none.alias("data_classes"),
         "admin_access", "production_access", "external_access", "approval_required", "logging_enabled", "data_access_level",
-        F.lit(None).cast("string").alias("ai_attack_class"), F.lit(None).cast("string").alias("attack_chain_stage"), "confidence", tags.alias("tags"), F.array(F.concat(F.lit("evidence "), "name")).alias("evidence"), none.alias("related_identities"),
+        none.alias("ai_risk_refs"), F.lit(None).cast("string").alias("ai_attack_class"), F.lit(None).cast("string").alias("attack_chain_stage"), "confidence", tags.alias("tags"), F.array(F.concat(F.lit("evidence "), "name")).alias("evidence"), none.alias("related_identities"),
         "commit_sha", F.left("commit_sha", F.lit(7)).alias("commit_short_sha"), F.lit(None).cast("string").alias("commit_author"), F.lit(None).cast("string").alias("commit_date"),
         F.struct(F.col("file_path").alias("path"), F.lit("synthetic").alias("detector"), "line_number", F.lit("r").alias("rule_id"), "name", F.col("id").alias("evidence")).alias("ord"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from idlens.functions import globs
 from idlens.functions.text import base_name, extension
-from idlens.sources import folders, patterns
+from idlens.sources import folders, keyfilter, patterns
 
 MAX_BYTES = 2_097_152
 
@@ -163,16 +163,27 @@ def restrict_to_changed(df: DataFrame, changed: DataFrame) -> DataFrame:
     return df.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
 
 
-def split_cached(artifacts: DataFrame, cached: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
-    """(misses, reusable signals): the key is content, name and detector version. Signals with a secret, and those
-    of custom rules, are never reused; ``cached`` has content_sha, name, version and the signal columns."""
-    named = artifacts.withColumn("_name", base_name())
-    hit = cached.where((F.col("version") == version) & F.col("secret_fingerprint").isNull() & (F.col("detector") != "custom"))
-    keys = cached.where(F.col("version") == version).groupBy("content_sha", "name_key").agg(F.bool_or(F.col("secret_fingerprint").isNotNull() | (F.col("detector") == "custom")).alias("hot")).where("NOT hot")
-    misses = named.join(keys.select("content_sha", F.col("name_key").alias("_name")), ["content_sha", "_name"], "left_anti").drop("_name")
-    rows = named.select("scan_id", "repo", "path", "content_sha", F.col("_name").alias("name_key"))
-    reused = rows.join(hit.drop("scan_id", "repo", "path", "version"), ["content_sha", "name_key"]).join(keys, ["content_sha", "name_key"], "left_semi")
-    return misses, reused.drop("content_sha", "name_key")
+def split_cached(artifacts: DataFrame, cached: DataFrame, version: str, blocks: int = keyfilter.BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """(misses, reused signals): the key is content, name and detector version. Signals with a secret, and those of
+    custom rules, are never reused; ``cached`` has content_sha, name_key, version and the signal columns.
+
+    Contents are never exchanged. A filter of the cached keys tells most misses from their own row; of the rest, keys
+    alone are put to the cache, and those it does not hold make a second filter. A row is a miss if the first filter
+    lacks its key or the second has it, so each row is on one side and every reused one is in the cache. A filter that
+    errs sends a cached file to be scanned again, whose result is the same. Files without content are misses.
+    """
+    key, named = ["content_sha", "name_key"], artifacts.withColumn("name_key", base_name())
+    current = cached.where(F.col("version") == version)
+    kept = F.col("secret_fingerprint").isNull() & (F.col("detector") != "custom")
+    keys = current.groupBy(*key).agg(F.bool_and(F.coalesce(kept, F.lit(False))).alias("all_kept")).where("all_kept").select(*key)
+    marked = keyfilter.mark(named, key, keyfilter.build(keys, key, blocks), "_cached", blocks)
+    odd = marked.where("_cached").select(*key).distinct().join(keys, key, "left_anti")
+    marked = keyfilter.mark(marked, key, keyfilter.build(odd, key, blocks), "_odd", blocks)
+    known = F.col("_cached") & ~F.col("_odd")
+    misses = marked.where(~known).drop("name_key", "_cached", "_odd")
+    rows = marked.where(known).select("scan_id", "repo", "path", *key)
+    hits = current.where(kept).drop("scan_id", "repo", "path", "version")
+    return misses, rows.join(hits, key).drop(*key)
 
 
 def incremental_scan(artifacts: DataFrame, cached: DataFrame, version: str, detect) -> DataFrame:
@@ -227,26 +238,35 @@ def scan_history(lines: DataFrame, detect, max_commits: int | None = None, since
     return out.drop("lines", "_commit_sha", "_commit_short_sha", "_commit_author", "_commit_date")
 
 
+def rule_fault(rule: dict) -> str | None:
+    """Why a rule of a pack is not run; None if it is."""
+    if not rule.get("id"):
+        return "no id"
+    if rule.get("severity", "medium") not in ("low", "medium", "high", "critical"):
+        return "unknown severity"
+    if rule.get("type", "regex") == "structural":
+        return None if rule.get("when") else "no condition"
+    pattern = rule.get("pattern") or ""
+    if not pattern:
+        return "no pattern"
+    if len(pattern) > 512:
+        return "pattern over 512 characters"
+    return "unsafe or invalid pattern" if patterns.refused(pattern) else None
+
+
 def load_rule_pack(text: str) -> list[dict]:
-    """Valid rules of a JSON pack, a handful of rows on the driver. Rules without id, with an unknown severity, a pattern
-    over 512 characters, one that ``patterns.refused`` refuses, and structural ones without ``when`` go; a pack without a
-    valid rule is an error. Patterns come back in the dialect that Spark runs."""
-    out = []
-    for r in json.loads(text).get("rules", []):
-        if not r.get("id") or r.get("severity", "medium") not in ("low", "medium", "high", "critical"):
-            continue
-        if r.get("type", "regex") == "structural":
-            if not r.get("when"):
-                continue
-        else:
-            pattern = r.get("pattern") or ""
-            if not pattern or len(pattern) > 512 or patterns.refused(pattern):
-                continue
-            r = r | {"pattern": patterns.translated(pattern)}
-        out.append(r)
-    if not out:
+    """The rules of a JSON pack that have no ``rule_fault``, a handful of rows on the driver; a pack without one is an
+    error. Patterns come back in the dialect that Spark runs."""
+    sound = [r for r in json.loads(text).get("rules", []) if not rule_fault(r)]
+    if not sound:
         raise ValueError("no valid rule in the pack")
-    return out
+    return [r if r.get("type", "regex") == "structural" else r | {"pattern": patterns.translated(r["pattern"])} for r in sound]
+
+
+def rule_pack_errors(spark: SparkSession, text: str) -> DataFrame:
+    """(rule, error) of the rules that ``load_rule_pack`` leaves out: a bad rule costs its own detector only."""
+    faults = [(str(r.get("id") or f"rule {n}"), fault) for n, r in enumerate(json.loads(text).get("rules", []), 1) if (fault := rule_fault(r))]
+    return spark.createDataFrame(faults, "rule string, error string")
 
 
 def host_inventory(table: DataFrame) -> DataFrame:

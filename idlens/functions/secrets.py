@@ -128,40 +128,61 @@ def replace_found(text: Column, pattern: str, group: int, spare) -> Column:
     return F.aggregate(todo, text, lambda t, m: F.replace(t, m, mask(m)))
 
 
+# Key blocks; names that a secret is assigned to.
 PEM = r"(?is)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----"
 
 
-def redact_path(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Key blocks and passwords in URLs only, so that hash-named paths stay whole."""
-    t = F.col(to)
-    df = df.withColumn(to, F.regexp_replace(column, PEM, "[REDACTED PRIVATE KEY BLOCK]"))
-    return df.withColumn(to, F.when(t.contains("://"), replace_found(t, r"://[^:\s/]+:([^@\s/]+)@", 1, lambda m: m.startswith("[REDACTED"))).otherwise(t))
-
-
 KEYWORD = (
     r"(?i)[A-Za-z0-9_-]{0,32}?(?:secret|token|password|passwd|api[_-]?key|access[_-]?key|client[_-]?secret|private[_-]?key|"
     r"webhook[_-]?secret|credential)s?[A-Za-z0-9_-]{0,32}['\"]?\s*[:=]\s*['\"]?([^'\"\s,}]+)"
 )
 
 
-def redact_text(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Five passes over evidence: key blocks, URL passwords, bearer values, keyword assignments, long random runs.
+def _plain(m: Column) -> Column:
+    return m.startswith("$") | m.startswith("[REDACTED") | is_structural_placeholder(m)
+
+
+def _mixed(m: Column) -> Column:
+    return m.rlike("[A-Za-z]") & (m.rlike("[0-9_+=-]") | (m.rlike("[a-z]") & m.rlike("[A-Z]")))
+
+
+RUN = r"(?<![A-Za-z0-9_+=-])([A-Za-z0-9_+=-]{32,})(?![A-Za-z0-9_+=-])"
+#: Key blocks and passwords in URLs only, so that hash-named paths stay whole.
+PATH_PASSES = [
+    lambda t: F.regexp_replace(t, PEM, "[REDACTED PRIVATE KEY BLOCK]"),
+    lambda t: F.when(t.contains("://"), replace_found(t, r"://[^:\s/]+:([^@\s/]+)@", 1, lambda m: m.startswith("[REDACTED"))).otherwise(t),
+]
+#: And bearer values, keyword assignments, long random runs.
+TEXT_PASSES = [
+    *PATH_PASSES,
+    lambda t: F.when(t.rlike("(?i)bearer"), replace_found(t, r"(?i)\bbearer\s+([A-Za-z0-9_\-.=+/]{8,})", 1, lambda m: F.length(m) < 16)).otherwise(t),
+    lambda t: F.when(t.rlike("(?i)secret|token|passw|key|credential"), replace_found(t, KEYWORD, 1, lambda m: (F.length(m) < 8) | _plain(m))).otherwise(t),
+    lambda t: F.when(F.length(t) >= 32, replace_found(t, RUN, 1, lambda m: _plain(m) | ~_mixed(m))).otherwise(t),
+]
+
+
+def _passes(df: DataFrame, column: str, to: str, passes: list) -> DataFrame:
+    """Each pass is a column of its own, so that no expression holds another pass's text twice."""
+    for n, one in enumerate(passes):
+        df = df.withColumn(to, one(F.col(to if n else column)))
+    return df
 
-    Each pass is a column of its own, so that no expression holds another pass's text twice.
-    """
 
-    def plain(m: Column) -> Column:
-        return m.startswith("$") | m.startswith("[REDACTED") | is_structural_placeholder(m)
+def redact_path(df: DataFrame, column: str, to: str) -> DataFrame:
+    """Paths without key blocks and URL passwords."""
+    return _passes(df, column, to, PATH_PASSES)
+
+
+def redact_text(df: DataFrame, column: str, to: str) -> DataFrame:
+    """Evidence without anything that looks like a credential."""
+    return _passes(df, column, to, TEXT_PASSES)
 
-    def mixed(m: Column) -> Column:
-        return m.rlike("[A-Za-z]") & (m.rlike("[0-9_+=-]") | (m.rlike("[a-z]") & m.rlike("[A-Z]")))
 
-    t = F.col(to)
-    df = redact_path(df, column, to)
-    df = df.withColumn(to, F.when(t.rlike("(?i)bearer"), replace_found(t, r"(?i)\bbearer\s+([A-Za-z0-9_\-.=+/]{8,})", 1, lambda m: F.length(m) < 16)).otherwise(t))
-    df = df.withColumn(to, F.when(t.rlike("(?i)secret|token|passw|key|credential"), replace_found(t, KEYWORD, 1, lambda m: (F.length(m) < 8) | plain(m))).otherwise(t))
-    run = r"(?<![A-Za-z0-9_+=-])([A-Za-z0-9_+=-]{32,})(?![A-Za-z0-9_+=-])"
-    return df.withColumn(to, F.when(F.length(t) >= 32, replace_found(t, run, 1, lambda m: plain(m) | ~mixed(m))).otherwise(t))
+def redact_items(items: Column) -> Column:
+    """The same for each text of a list; a pass's text is a lambda's argument, so it stands once."""
+    for one in TEXT_PASSES:
+        items = F.transform(items, one)
+    return items
 
 
 def stable_id(prefix: str, *parts) -> Column:

@@ -616,14 +616,16 @@ def detect_documents() -> Part:
 
     bot = dict(detector="bots", identity_type=F.lit("bot_account"), source=F.lit("bot config"))
     pair = lambda test: F.exists("flat", test)
+    merging = F.size(F.filter("flat", lambda p: p["key"].rlike(r"(?i)automerge$") & (p["value"] == "true")))
+    merges = F.concat(F.lit("automerge is on in "), F.greatest(F.lit(1), merging).cast("string"), F.lit(" place(s)"))
     settings = [
         ("nhi_renovate_bot_identity", F.lit(True), "renovate", ()),
-        ("nhi_renovate_automerge_enabled", pair(lambda p: p["key"].rlike(r"(?i)automerge$") & (p["value"] == "true")) | F.col("unread") & content.rlike(r"(?i)\bautomerge\b\s*[:=]\s*true"), "automerge", ("automerge",)),
+        ("nhi_renovate_automerge_enabled", (merging > 0) | F.col("unread") & content.rlike(r"(?i)\bautomerge\b\s*[:=]\s*true"), "automerge", ("automerge",)),
         ("nhi_renovate_vulnerability_alerts_disabled", pair(lambda p: p["key"].rlike(r"(?i)vulnerabilityAlerts(?:\.enabled)?$") & (p["value"] == "false")), "vulnerabilityAlerts", ("alerts_disabled",)),
         ("nhi_renovate_extends_github_preset", pair(lambda p: p["key"].rlike(r"(?i)^extends") & p["value"].startswith("github>")), "github>", ("third_party",)),
     ]
     renovate = [
-        (F.col("is_renovate") & ok, one(entry(rule, F.lit(needle), F.coalesce(X.line_of_pattern(content, f"(?i){needle}"), F.lit(1)), name=F.lit("Renovate bot"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", *tags]), **bot)))
+        (F.col("is_renovate") & ok, one(entry(rule, merges if needle == "automerge" else F.lit(needle), F.coalesce(X.line_of_pattern(content, f"(?i){needle}"), F.lit(1)), name=F.lit("Renovate bot"), provider=F.lit("renovate"), tags=lit_array(["bot", "renovate", *tags]), **bot)))
         for rule, ok, needle, tags in settings
     ]
 

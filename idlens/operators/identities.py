@@ -37,17 +37,18 @@ def normalize_bool(c: Column, default: bool | None = False) -> Column:
 
 
 def normalize_string_list(c: Column) -> Column:
-    """A JSON list, or text parted by commas, semicolons, newlines or else blanks; trimmed, first-seen distinct."""
+    """A JSON list, or text parted by commas, semicolons, newlines or else blanks; trimmed, redacted, first-seen distinct."""
     t = F.trim(c)
     parsed = F.when(t.rlike(r"(?s)^\[.*\]$"), F.from_json(t, "array<string>"))
     parts = F.split(t, r"[,;\n]+|\s{2,}")
     parts = F.when((F.size(parts) == 1) & t.contains(" ") & ~t.rlike(r":\\|/|\\"), F.split(t, r"\s+")).otherwise(parts)
     clean = F.transform(F.coalesce(parsed, parts), lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", ""))
-    return F.coalesce(F.array_distinct(F.filter(clean, lambda x: x != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(S.redact_items(F.filter(clean, lambda x: x != ""))), F.array().cast("array<string>"))
 
 
 def normalize_signals(signals: DataFrame) -> DataFrame:
-    """One projection from signal to identity."""
+    """One projection from signal to identity, whose place is a redacted path."""
+    signals = S.redact_path(signals, "path", "path")
     tags = F.array_sort(F.array_distinct(F.concat(F.array("rule_id"), "tags")))
     has_secret = F.col("secret_fingerprint").isNotNull() | F.array_contains(tags, "plaintext_secret")
     sha = F.when(F.col("commit_sha").rlike("^[0-9a-fA-F]{7,64}$"), F.col("commit_sha"))

@@ -20,10 +20,12 @@ def ai_ref_counts(findings: DataFrame) -> DataFrame:
 
 
 def top_themes(findings: DataFrame, n: int = 5) -> DataFrame:
-    """The most common categories of a repository; ties by name."""
-    counts = findings.groupBy("repo", "category").agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "category"))
-    return counts.withColumn("rank", r.cast("long")).where(F.col("rank") <= n)
+    """The most common categories of a repository; of equal ones first the one seen first in the findings' order."""
+    first = F.min(F.struct(-F.col("risk_score"), "rule_id", "file_path", "category"))
+    counts = findings.groupBy("repo", "category").agg(F.count("*").alias("n"), first.alias("first"))
+    r = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "first"))
+    counts = counts.withColumn("rank", r.cast("long")).drop("first")
+    return counts.where(F.col("rank") <= n)
 
 
 def blast_radius(identities: DataFrame) -> DataFrame:

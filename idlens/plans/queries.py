@@ -474,7 +474,7 @@ def owasp_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.owasp_counts(findings_of(spark, sf_dir))
 
 
-@register("top_themes", IDS + FINDINGS + f", q AS (SELECT repo, category, count(*) AS n FROM v JOIN {CATALOG_SQL} USING (rule_id) GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, category) AS rank FROM q) SELECT * FROM w WHERE rank <= 5")
+@register("top_themes", IDS + FINDINGS + f", p AS (SELECT repo, category, row_number() OVER (ORDER BY risk DESC, rule_id, file_path, category) AS seen FROM v JOIN {CATALOG_SQL} USING (rule_id)), q AS (SELECT repo, category, count(*) AS n, min(seen) AS seen FROM p GROUP BY repo, category), w AS (SELECT repo, category, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, seen) AS rank FROM q) SELECT * FROM w WHERE rank <= 5")
 def top_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.top_themes(findings_of(spark, sf_dir))
 

@@ -190,6 +190,22 @@ mcp | 44 | 1 | nhi_mcp_remote_server | MCP remote server | - | high | mcp,remote
 mcp | 44 | 1 | nhi_mcp_server_high_risk_tool_access | MCP high-risk server | - | high | mcp,high_risk_tools
 mcp | 44 | 1 | nhi_mcp_unsafe_runtime_flag | MCP unsafe runtime flag | - | high | mcp,unsafe_runtime
 mcp | 44 | 1 | nhi_secret_leakage | mcpServers.web.headers.Authorization | - | high | mcp,plaintext_secret
+vendor | 45 | 1 | nhi_database_url_with_credentials | CONNECTION_URL_CREDENTIALS | database | medium | plaintext_secret,modern_saas
+vendor | 45 | 2 | nhi_bearer_token_detected | Authorization Bearer token | - | medium | plaintext_secret,http_auth
+vendor | 45 | 3 | nhi_monitoring_dsn_exposed | SENTRY_DSN | sentry | medium | plaintext_secret,modern_saas
+vendor | 45 | 4 | nhi_jwt_detected | JWT-like token | - | medium | plaintext_secret,jwt
+iac | 46 | 2 | nhi_terraform_provisioner_exec | Terraform exec provisioner | cloud | medium | cloud,provisioner_exec
+iac | 46 | 6 | nhi_service_account_key_file | Service account key resource | cloud | high | cloud,service_account_key
+iac | 47 | 2 | nhi_docker_add_remote_url | ADD fetches remote URL | - | medium | docker,remote_content
+ai | 48 | 1 | nhi_prompt_artifact_sensitive_disclosure | secret disclosure request | - | high | prompt_artifact,untrusted_context,sensitive_disclosure
+ai | 48 | 2 | nhi_prompt_artifact_excessive_agency | excessive agency instruction | - | high | prompt_artifact,untrusted_context,excessive_agency
+ai | 48 | 3 | nhi_prompt_artifact_hidden_instruction | hidden prompt instruction | - | high | prompt_artifact,untrusted_context,hidden_instruction
+config | 49 | 2 | nhi_hardcoded_secret | token | - | medium | plaintext_secret,hardcoded_secret
+registry | 49 | 2 | nhi_cargo_registry_token | cargo registry token | cargo | high | cargo,package_registry,publish_token,supply_chain
+host | 50 | 1 | nhi_linux_pam_auth_chain_modified | PAM auth chain modified | - | high | linux_auth,pam,auth_chain
+host | 50 | 1 | nhi_linux_pam_persistence_path | pam_exec.so | - | high | linux_auth,pam,persistence_path
+ai | 51 | 1 | nhi_model_pickle_artifact | pickle model artifact | - | high | model_supply_chain,model_artifact
+agents | 52 | 1 | nhi_ai_agent_filesystem_access | crew | - | high | ai_agent
 """.strip().splitlines()
 ]
 REPO_SQL = f"'repo_' || (o_custkey % {corpus.REPOS})"
@@ -277,7 +293,7 @@ def secret_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", S.looks_like_secret(F.col("v")).alias("secret"), S.is_placeholder(F.col("v")).alias("placeholder"), S.secret_label(F.col("v")).alias("label"))
 
 
-@register("prepared_artifacts", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % {N_KINDS} NOT IN (4, 40) GROUP BY ALL")
+@register("prepared_artifacts", f"SELECT {REPO_SQL} AS repo, count(*) AS files FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % {N_KINDS} NOT IN (4, 40, 48) GROUP BY ALL")
 def prepared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name gate, pruned folders, size gate and ignore rules in a row."""
     a = corpus.artifacts(spark, sf_dir)
@@ -337,7 +353,7 @@ def config_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "codeowners_match",
-    f"""SELECT {REPO_SQL} AS repo, CASE WHEN o_orderkey % {N_KINDS} IN (2, 3) THEN '@config' WHEN o_orderkey % {N_KINDS} = 7 THEN '@infra @ops' ELSE '@all' END AS owners, count(*) AS files FROM orders GROUP BY ALL""",
+    f"""SELECT {REPO_SQL} AS repo, CASE WHEN o_orderkey % {N_KINDS} IN (2, 3) THEN '@config' WHEN o_orderkey % {N_KINDS} IN (7, 46) THEN '@infra @ops' ELSE '@all' END AS owners, count(*) AS files FROM orders GROUP BY ALL""",
 )
 def codeowners_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = corpus.artifacts(spark, sf_dir)

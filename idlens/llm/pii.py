@@ -14,6 +14,9 @@ There are no labels of personal data, so the trees learn from weak ones that are
 * the rest, loose candidates that pass the check and that something speaks for, are unknown. Only these are judged
   and may be added.
 
+All labelled candidates of the table count, no sample of them: candidates alike in label and features become one
+weighted row, which trees, calibration and threshold take as so many candidates.
+
 A candidate is added if its calibrated chance reaches the threshold: the lowest one at which the part left out has
 the wanted precision. Where there is none, nothing is added.
 
@@ -25,18 +28,20 @@ count once. An empty table gives no rows. Other columns are not read, whatever t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idlens.llm.common import hash_fraction, materialize
+from idlens.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: About how many candidates the trees learn from, at most.
-SAMPLE_ROWS = 20_000
+#: Splits that the trees may try of a feature, at least; more where there are more kinds of candidate.
+LEAST_BINS = 256
 #: Least chance and least precision on the part left out of an added span.
 THRESHOLD, PRECISION = 0.5, 0.95
 
@@ -195,7 +200,7 @@ def scan(docs: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
 
 
 def labelled(scanned: DataFrame) -> DataFrame:
-    """(row, start, k, stop, label, features): the weak labels of the module's head; null for unknown candidates.
+    """(row, start, k, stop, label) and ``FEATURES``: the weak labels of the module's head; null for unknown candidates.
 
     Candidates that overlap a base span of their kind are left out: they are spans already.
     """
@@ -209,50 +214,59 @@ def labelled(scanned: DataFrame) -> DataFrame:
     unlike = ~F.col("c.fit") | F.col("c.joined") | other | ~spoken
     loose = loose.select(*shared, F.when(unlike, 0.0).alias("label"), *features)
     taught = scanned.where(F.size("taught") > 0).select("row", F.explode("taught").alias("c"))
-    rows = loose.union(taught.select(*shared, F.col("c.fit").cast("double").alias("label"), *features))
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).drop(*FEATURES)
+    return loose.union(taught.select(*shared, F.col("c.fit").cast("double").alias("label"), *features))
 
 
-def threshold_of(judged: DataFrame) -> tuple[float, float] | None:
-    """(threshold, precision) of (label, prediction) rows left out of the fit: the lowest calibrated chance, at least
-    ``THRESHOLD``, from which on the share of positives is ``PRECISION`` or more; None where there is none.
+def lessons(rows: DataFrame) -> DataFrame:
+    """(part, label, n) and ``FEATURES``: how many of the labelled candidates are alike, in each of three parts.
 
-    The rows are a fifth of the bounded sample that the trees learn from, and so are the counts.
+    The parts, by a hash of row and start: six tenths fit the trees (0), two calibrate (1), two set the threshold (2).
     """
-    counts = judged.groupBy("prediction").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("prediction")).collect()
-    best, good, n = None, 0.0, 0
-    for r in counts:
-        good, n = good + r.good, n + r.n
-        if r.prediction >= THRESHOLD and good / n >= PRECISION:
-            best = r.prediction, good / n
-    return best
+    fold = F.pmod(F.xxhash64("row", "start", F.lit(22)), F.lit(10))
+    part = F.when(fold < 6, 0).when(fold < 8, 1).otherwise(2).alias("part")
+    return rows.where("label IS NOT NULL").groupBy(part, "label", *FEATURES).agg(F.count("*").cast("double").alias("n"))
 
 
-def added(scanned: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
-    """(row, more): spans of the unknown candidates the trees select; None where they cannot learn or gain nothing.
+def vectors(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).drop(*FEATURES)
 
-    The trees see about ``sample_rows`` labelled candidates by a hash of row and start: six tenths fit them, two
-    calibrate, two set the threshold.
+
+def threshold_of(judged: DataFrame) -> float | None:
+    """The threshold from (label, prediction, n) rows left out of the fit: the lowest calibrated chance, at least
+    ``THRESHOLD``, from which on the share of positives is ``PRECISION`` or more; None where there is none.
+
+    Counts from the highest chance down are sums over steps of a thousandth, then over the chances within a step.
     """
+    chances = judged.where(F.col("prediction") >= THRESHOLD).groupBy("prediction").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
+    chances = chances.withColumn("step", F.floor(F.col("prediction") * 1000))
+    above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    # at most 501 steps, whatever the table
+    steps = chances.groupBy("step").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    steps = steps.select("step", *(F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("good", "n")))
+    within = Window.partitionBy("step").orderBy(F.desc("prediction"))
+    upto = [(F.col(f"{c}_above") + F.sum(c).over(within)).alias(c) for c in ("good", "n")]
+    return chances.join(F.broadcast(steps), "step").select("prediction", *upto).where(F.col("good") >= PRECISION * F.col("n")).agg(F.min("prediction")).first()[0]
+
+
+def added(scanned: DataFrame) -> DataFrame | None:
+    """(row, more): spans of the unknown candidates the trees select; None where they cannot learn or gain nothing."""
     rows = labelled(scanned)
-    known = rows.where("label IS NOT NULL")
-    total = known.count()
-    if not total:
-        return None
-    fold = F.pmod(F.xxhash64("row", "start", F.lit(22)), F.lit(10))
-    fit = known.where(hash_fraction(F.xxhash64("row", "start"), sample_rows / total)).withColumn("fold", fold).coalesce(4).cache()
-    parts = fit.where("fold < 6"), fit.where("fold IN (6, 7)"), fit.where("fold > 7")
+    known = materialize(vectors(lessons(rows)), "pii-lessons")
+    parts = [known.where(F.col("part") == i) for i in range(3)]
     if len(parts[0].select("label").distinct().collect()) < 2 or not parts[1].head(1):
         return None
-    trees = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=13).fit(parts[0])
+    # with so many bins Spark looks at every row for the splits, not at a sample of the rows
+    bins = max(LEAST_BINS, math.isqrt(parts[0].count()) + 1)
+    trees = GBTClassifier(weightCol="n", maxIter=15, maxDepth=4, maxBins=bins, stepSize=0.3, seed=13).fit(parts[0])
     margin = vector_to_array("rawPrediction")[1].alias("margin")
-    calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(trees.transform(parts[1]).select("label", margin))
-    level = threshold_of(calibration.transform(trees.transform(parts[2]).select("label", margin)))
-    fit.unpersist()
+    # equal margins meet first, as the regression would have them meet in the driver
+    margins = trees.transform(parts[1]).select("label", "n", margin).groupBy("margin").agg((F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("label"), F.sum("n").alias("n"))
+    calibration = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="n").fit(margins)
+    level = threshold_of(calibration.transform(trees.transform(parts[2]).select("label", "n", margin)))
     if level is None:
         return None
-    scored = calibration.transform(trees.transform(rows.where("label IS NULL")).select("row", "start", "k", "stop", margin))
-    good = scored.where(F.col("prediction") >= level[0])
+    scored = calibration.transform(trees.transform(vectors(rows.where("label IS NULL"))).select("row", "start", "k", "stop", margin))
+    good = scored.where(F.col("prediction") >= level)
     return good.groupBy("row").agg(F.collect_set(F.struct("start", F.col("k").alias("kind"), "stop")).alias("more"))
 
 

@@ -447,6 +447,32 @@ def test_pii_adds_altered_formats_and_no_failing_ones(spark):
     assert got[5001].spans == "" and got[5002].spans == "" and all(len(got[i].spans.split(",")) == 2 for i in range(900))
 
 
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    """More labelled candidates than fit an old sample: all of a part's are counted, in the trees, the calibration and the threshold."""
+    seen = []
+    for model in (pii.GBTClassifier, pii.IsotonicRegression):
+        fit = model.fit
+        monkeypatch.setattr(model, "fit", lambda self, rows, fit=fit: seen.append(rows.agg(F.sum("n") if "n" in rows.columns else F.count("*")).first()[0]) or fit(self, rows))
+    judge = pii.threshold_of
+    monkeypatch.setattr(pii, "threshold_of", lambda rows: seen.append(rows.agg(F.sum("n") if "n" in rows.columns else F.count("*")).first()[0]) or judge(rows))
+    text = F.concat(F.lit("call +1 555 123 "), F.col("doc_id") + 1000, F.lit(" on 2024-05-01 10:11 at 10.0.0.1 or 10.0.0.999"))
+    scanned = pii.scan(spark.range(9000).select(F.col("id").alias("doc_id")).withColumn("text", text))
+    assert pii.added(scanned) is None or len(seen) == 3
+    folds = dict(pii.labelled(scanned).where("label IS NOT NULL").groupBy(F.pmod(F.xxhash64("row", "start", F.lit(22)), F.lit(10))).count().collect())
+    assert sum(folds.values()) > 25_000
+    assert seen == [sum(n for f, n in folds.items() if a <= f <= b) for a, b in ((0, 5), (6, 7), (8, 9))]
+
+
+def test_pii_threshold(spark):
+    """The lowest chance from which on enough are right, also within a step of the sums, against counting one by one."""
+    rnd = random.Random(4)
+    for wrong in (0.02, 0.06, 0.9):
+        rows = [(float(rnd.random() > wrong * (2 - 2 * p)), p, float(rnd.randrange(1, 9))) for p in (rnd.choice((0.3, 0.5, 0.7, 0.9, 0.9001, 0.9002, 1.0)) for _ in range(400))]
+        want = [p for p in {p for _, p, _ in rows} if p >= 0.5 and sum(y * n for y, q, n in rows if q >= p) >= 0.95 * sum(n for _, q, n in rows if q >= p)]
+        assert pii.threshold_of(spark.createDataFrame(rows, "label double, prediction double, n double")) == min(want, default=None)
+    assert pii.threshold_of(spark.createDataFrame([(0.0, 1.0, 2.0)], "label double, prediction double, n double")) is None
+
+
 def test_redact(spark):
     """Every row is redacted by its own spans: rows without an id, repeated ones, long texts, clashing columns."""
     rows = [(None, "mail a@b.com"), (1, "call +1 555 123 4567 now"), (1, "nothing"), (1, "mail a@b.com"), (2, None), (3, ""), (4, "x 10.0.0.1\n" * 100 + "plain words " * 20_000)]

@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,9 @@ SPLIT_LATIN = re.compile(
 )
 # Signs of Latin-1 that ``SPLIT_LATIN`` would take for punctuation: separators, blanks, letters and numbers.
 NOT_LATIN = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+#: ``SPLIT_LATIN`` over many texts, each ended by LF; and what a text must not hold for that.
+SPLIT_LINES = re.compile(SPLIT_LATIN.pattern + r"|\n")
+NOT_LINES = r"[^\x00-\xff]|[" + "".join(rf"\x{b:02x}" for b in NOT_LATIN) + r"]|<\|"
 
 
 def byte_symbols() -> list[str]:
@@ -184,7 +188,7 @@ class Places(dict):
 
 
 class WordIds:
-    """Ids of the words seen so far; starts afresh beyond ``CACHE_WORDS`` of them.
+    """Ids of the words seen so far; beyond ``CACHE_WORDS`` of them it starts afresh, or keeps the frequent ones.
 
     One object serves all tasks that a Python worker runs, so a word is encoded once a worker.
     """
@@ -195,10 +199,35 @@ class WordIds:
 
     def clear(self) -> None:
         special = self.vocab.special
-        self.place = Places(list(special))
+        # LF, which no word holds, has no ids: it marks ends
+        self.place = Places([*special, "\n"])
         self.pool = np.array(list(special.values()), np.int32)
-        self.size = np.ones(len(special), np.int32)
-        self.start = np.arange(len(special), dtype=np.int64)
+        self.size = np.array([1] * len(special) + [0], np.int32)
+        self.start = np.arange(len(special) + 1, dtype=np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def renew(self) -> None:
+        """Forget the words met once, and the rarer ones beyond half of ``CACHE_WORDS``."""
+        uses = np.concatenate([self.uses, np.zeros(len(self.place) - len(self.uses), np.int64)])
+        uses[: len(self.vocab.special) + 1] = np.iinfo(np.int64).max
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: CACHE_WORDS // 2]])
+        words = list(self.place)
+        self.place = Places([words[i] for i in kept.tolist()])
+        self.pool, upto = gather(self.pool, self.start[kept], self.size[kept])
+        self.start, self.size, self.uses = upto[:-1], self.size[kept], uses[kept] // 2
+
+    def places(self, words: Iterator[str], n: int) -> np.ndarray:
+        """Where the ids of ``n`` words are, once those of new words are there too."""
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, n)
+        if new := self.place.new:
+            flat, size = self.encode_words(new)
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size.astype(np.int32)])
+            self.pool = np.concatenate([self.pool, flat.astype(np.int32)])
+            self.place.new = []
+        return at
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin (and the end)."""
@@ -206,18 +235,51 @@ class WordIds:
             self.clear()
         docs = [self.vocab.words(t) for t in texts]
         count = [len(d) for d in docs]
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(docs)), np.int64, sum(count))
-        if new := self.place.new:
-            flat, size = self.encode_words(new)
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size.astype(np.int32)])
-            self.pool = np.concatenate([self.pool, flat.astype(np.int32)])
-            self.place.new = []
-        size = self.size[at]
-        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        ids = self.pool[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
+        at = self.places(chain.from_iterable(docs), sum(count))
+        ids, upto = gather(self.pool, self.start[at], self.size[at])
         return ids, upto[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of an Arrow array (null: empty).
+
+        No word holds a blank, so texts are cut at blanks in Arrow and each distinct piece is split into words once.
+        """
+        if any(len(t.split()) != 1 or t != t.strip() for t in self.vocab.special):
+            return self.encode([t or "" for t in texts.to_pylist()])
+        if len(self.place) > CACHE_WORDS:
+            self.renew()
+        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        met = pieces.flatten().dictionary_encode()
+        odd = pc.match_substring_regex(met.dictionary, NOT_LINES).to_numpy(zero_copy_only=False).astype(bool)
+        lines = met.dictionary.filter(pa.array(~odd))
+        words: list[str] = []
+        if len(lines):
+            words = SPLIT_LINES.findall(pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), "\n")[0].as_py().lower())
+            words.append("\n")
+        for piece in met.dictionary.filter(pa.array(odd)).to_pylist():
+            words += self.vocab.words(piece)
+            words.append("\n")
+        at = self.places(iter(words), len(words))
+        flat, upto = gather(self.pool, self.start[at], self.size[at])
+        marks = np.flatnonzero(at == self.place["\n"])
+        ends = upto[marks]
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        start, size = np.empty(len(ends), np.int64), np.empty(len(ends), np.int64)
+        start[order], size[order] = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+        each = met.indices.to_numpy(zero_copy_only=False)
+        times = np.bincount(each, minlength=len(ends))[order]
+        uses = np.bincount(at, np.repeat(times, np.diff(marks, prepend=-1)), len(self.place)).astype(np.int64)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        ids, upto = gather(flat, start[each], size[each])
+        return ids, upto[np.concatenate([[0], np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)]
+
+
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``pool`` one after the other, and where each begins (and the end)."""
+    upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return pool[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])], upto
+
 
 _words: dict[tuple[str, str], WordIds] = {}
 
@@ -256,6 +318,14 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_0
                 texts, at, size = [], i + 1, 0
 
 
+def array_blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``size`` bytes of text."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(upto // size)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 def with_column(batch: pa.RecordBatch, *columns: tuple[str, pa.Array]) -> pa.RecordBatch:
     names = [*batch.schema.names, *(n for n, _ in columns)]
     return pa.RecordBatch.from_arrays([*batch.columns, *(c for _, c in columns)], names=names)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idlens.llm.bpe import Vocabulary, text_blocks, with_column, word_ids
+from idlens.llm.bpe import Vocabulary, array_blocks, with_column, word_ids
 from idlens.llm.common import lean, scratch_dir, text_batches
 
 #: Options of the Parquet writer: sizes in bytes, page row limit, encodings.
@@ -77,8 +77,8 @@ def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = 2) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, known = 0, word_ids(path, "library", lambda vocab: library_encoder(path, vocab))
-        for batch, texts in text_blocks(batches, text):
-            flat, bounds = known.encode(texts)
+        for batch in array_blocks(batches, text):
+            flat, bounds = known.encode_array(batch.column(text))
             flat = np.insert(flat, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,28 @@ def passes(kind, s):
     return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in s.split(".")), "card": 14 <= len(d) <= 19 and luhn, "phone": 10 <= len(d) <= 15}[kind]
 
 
+def test_token_words_are_split_once_a_piece_and_frequent_ones_kept(monkeypatch):
+    """Arrow texts get the ids that each text gets alone; frequent words are encoded once though the memory is full again and again."""
+    path = tokenizer_path()
+    vocab = bpe.vocabulary(path)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 300)
+    encode_words, asked = token_files.library_encoder(path, vocab), Counter()
+    known, plain = bpe.WordIds(vocab, lambda words: asked.update(words) or encode_words(words)), bpe.WordIds(vocab, encode_words)
+    rnd = random.Random(11)
+    odd = [None, "", " ", "\n\n", " a  b ", "x<|endoftext|>y <|endoftext|> <|endof text|>", "a\x1cb\x85c\xa0d\u2028e", "don't DON'T 'll", "ΑΣ ΣΑΣ. İ ǅ ﬁ ½²", "e\u0301 \u0301a ह\u093c", "x\x00y\x0b\x0cz", "日本語 7,5€ Ünï"]
+    for turn in range(12):
+        texts = [*odd, *(" ".join([*("the of and".split()), *("".join(rnd.choice("abcdeéß'.,!7<|") for _ in range(rnd.randrange(1, 7))) for _ in range(30))]) for _ in range(20))]
+        rnd.shuffle(texts)
+        ids, bounds = known.encode_array(pa.array(["cut", *texts])[1:])
+        want, ends = plain.encode([t or "" for t in texts])
+        assert ids.tolist() == want.tolist() and bounds.tolist() == ends.tolist()
+    assert len(asked) > 900 and asked["the"] == asked["of"] == asked["and"] == 1
+    assert all(len(x) == n for x, n in zip(known.encode_array(pa.array([], pa.string())), (0, 1)))
+    batch = pa.record_batch({"text": pa.array(["ab", None, "c" * 30, "", "d" * 9, "e"])})
+    for size in (1, 8, 10, 1000):
+        assert [t for b in bpe.array_blocks([batch, batch.slice(0, 0)], "text", size) for t in b.column("text").to_pylist()] == batch.column("text").to_pylist()
+
+
 def test_pii(spark, rows):
     rnd = random.Random(3)
     texts = [*rows, *((9000 + i, "".join(rnd.choice("0123456789 .-+@a.b_%()é") for _ in range(60))) for i in range(400)), (9900, "mail me a@b.co.uk, é +1 (555) 123-4567 or 4111 1111 1111 1111 at 10.0.0.300")]

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from idlens.operators import correlate as C
+from idlens.operators import identities as I
 from idlens.operators import reports as A
 from idlens.operators import rules as R
 from idlens.plans import synthetic
@@ -54,3 +55,13 @@ def test_links_in_documents(spark, monkeypatch):
 def test_no_correlations_no_links(spark):
     base = hot(spark)
     assert C.related_links(base).count() == 0 and C.related_links(base.where("false")).count() == 0
+
+
+def test_history_correlations_of_one_place(spark):
+    """Two secrets of one file, name and commit, both still current, are two correlations, each with its own pair."""
+    one = hot(spark).limit(1).withColumns({"name": F.lit("token"), "file_path": F.lit("a.env"), "commit_short_sha": F.lit("abcdef0")})
+    cases = [(f"{when}{n}", f"fp{n}", sha) for n in (1, 2) for when, sha in (("old", "abcdef0123"), ("now", None))]
+    case = spark.createDataFrame(cases, "id string, secret_fingerprint string, commit_sha string")
+    base = one.drop("id", "secret_fingerprint", "commit_sha").crossJoin(case).select(*one.columns).withColumn("ord", F.struct(*(F.col("id").alias("evidence") if c == "evidence" else F.col(f"ord.{c}") for c in I.ORDER)).cast(synthetic.PLACE))
+    made = I.dedupe_identities(C.correlate_history_secret_still_current(base)).collect()
+    assert sorted(tuple(r.related_identities) for r in made) == [("old1", "now1"), ("old2", "now2")]

@@ -125,11 +125,13 @@ def make_signal(df: DataFrame, keys: DataFrame, rule: Column, evidence: Column,
 
 @dataclass
 class Part:
-    """A detector's share of the pass. ``layers`` are columns of a file's row that its arrays read, each layer after the
-    one before, worked out only for files that pass ``gate``; so are ``file``, an array of entries a file, and
-    ``line``, one a line (columns line, line_no)."""
+    """A detector's share of the pass. ``early`` are columns of every file's row that ``gate`` reads. ``layers`` are columns
+    of a file's row that its arrays read, each layer after the one before, worked out only for files that pass ``gate``; so
+    are ``file``, an array of entries a file, and ``line``, one a line (columns line, line_no) where ``opens`` holds."""
 
     gate: Column
+    early: dict[str, Column] = field(default_factory=dict)
+    opens: Column | None = None
     layers: list[dict[str, Column]] = field(default_factory=list)
     file: Callable[[], Column] | None = None
     line: Callable[[], Column] | None = None
@@ -141,9 +143,11 @@ def hits(artifacts: DataFrame, parts: list[Part]) -> DataFrame:
     keep = [*X.FILE, *[c for c in HISTORY if c in artifacts.columns]]
     none = F.array().cast(ENTRY)
     rows = file_columns(artifacts).withColumn("low_text", F.lower("content"))
+    early = {c: v for p in parts for c, v in p.early.items()}
+    rows = rows.withColumns(early) if early else rows
     # opened from an array, so that the filter on the gates does not work them out a second time
     gates = F.array(F.struct(F.array(*(F.coalesce(p.gate, F.lit(False)) for p in parts)).alias("_gates")))
-    rows = rows.select(*keep, "low_path", "content", F.inline(gates)).where(F.exists("_gates", lambda ok: ok))
+    rows = rows.select(*keep, "low_path", "low_text", "content", *early, F.inline(gates)).where(F.exists("_gates", lambda ok: ok))
     open_ = [F.col("_gates")[i] for i in range(len(parts))]
     for p, ok in zip(parts, open_):
         for layer in p.layers:
@@ -154,7 +158,7 @@ def hits(artifacts: DataFrame, parts: list[Part]) -> DataFrame:
     if by_line:
         kind = f"array<struct<line_no:int,line:string,found:{ENTRY}>>"
         lines = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"), none.alias("found"))).cast(kind)
-        lines = F.when(reduce(lambda a, b: a | b, (ok for _, ok in by_line)), lines).otherwise(F.array().cast(kind))
+        lines = F.when(reduce(lambda a, b: a | b, (ok if p.opens is None else ok & p.opens for p, ok in by_line)), lines).otherwise(F.array().cast(kind))
         whole = F.array(F.struct(F.lit(0).alias("line_no"), F.lit(None).alias("line"), found.alias("found"))).cast(kind)
         carried = [c for p, _ in by_line for layer in p.layers for c in layer if c.startswith("_line_")]
         # outer, so that no filter on the array's size is derived, which would work it out twice
@@ -230,24 +234,18 @@ def _matches(i: int, s: Spec, text: Column, line_no: Column, said: Column) -> Co
     return F.transform(values, one).cast(ENTRY)
 
 
-def _file_gate(s: Spec) -> Column:
-    gate = F.col("low_path").rlike(s.path)
-    if s.also:
-        gate = gate & F.col("content").rlike(s.also)
-    return gate & ~F.col("content").rlike(s.unless) if s.unless else gate
+def _words_held(patterns: list[str]) -> Column:
+    """Texts that hold a word of some pattern. Patterns that tell no word are searched for themselves."""
+    telling = {w for m in patterns for w in anchors.words(m) or ()}
+    silent = [m for m in patterns if not anchors.words(m)]
+    ways = [F.col("low_text").contains(w) for w in anchors.shortest(telling)]
+    if silent:
+        ways.append(F.col("content").rlike("(?m)" + "|".join(dict.fromkeys(f"(?:{m})" for m in silent))))
+    return reduce(lambda a, b: a | b, ways)
 
 
-def _path_gate(path: str, patterns: list[str]) -> Column:
-    """Files of a path that some pattern matches. Where a pattern's words are known, only texts that hold one are put to
-    it; a few plain searches stand for the long alternation."""
-    text = lambda own: F.col("content").rlike("(?m)" + "|".join(dict.fromkeys(f"(?:{m})" for m in own)))
-    telling = [m for m in patterns if anchors.words(m)]
-    silent = [m for m in patterns if not anchors.words(m)]
-    ways = [text(silent)] if silent else []
-    if telling:
-        held = reduce(lambda a, b: a | b, (F.col("low_text").contains(w) for w in anchors.shortest({w for m in telling for w in anchors.words(m)})))
-        ways.append(held & text(telling))
-    return F.col("low_path").rlike(path) & reduce(lambda a, b: a | b, ways)
+#: Specs that stand together in one step of a line or a file.
+CHUNK = 8
 
 
 def spec_part(specs: list[Spec]) -> Part:
@@ -256,25 +254,37 @@ def spec_part(specs: list[Spec]) -> Part:
     by_path: dict[str, list[str]] = {}
     for s in specs:
         by_path.setdefault(s.path, []).append(s.match)
-    gate = reduce(lambda a, b: a | b, (_path_gate(p, m) for p, m in by_path.items()))
-    # specs with equal conditions on the file share a flag
-    gates = {(s.path, s.also, s.unless): s for s in specs}
-    flag = {key: F.col("_line_flags")[i] for i, key in enumerate(gates)}
+    path = {p: F.col("_line_paths")[i] for i, p in enumerate(by_path)}
+    gate = reduce(lambda a, b: a | b, (path[p] & _words_held(m) for p, m in by_path.items()))
+    # what a file tells a spec to look for: most of those of its path have no word in it
+    flag = {s: F.col("_line_flags")[i] for i, s in enumerate(specs)}
     content = F.col("content")
     spans = list(dict.fromkeys((s.path, s.block) for s in specs if s.block))
     none, empty = F.array().cast(X.BLOCKS), F.array().cast(ENTRY)
     lines = X.numbered_lines(content)
+    each_line = [(i, s) for i, s in enumerate(specs) if s.each == "line" and not s.once]
+
+    def flagged(s: Spec) -> Column:
+        ok = path[s.path] & _words_held([s.match])
+        if s.also:
+            ok = ok & content.rlike(s.also)
+        return ok & ~content.rlike(s.unless) if s.unless else ok
 
     def blocks(path: str, header: str) -> Column:
-        there = F.col("low_path").rlike(path) & content.rlike("(?m)" + header)
-        return F.when(there, X.let(lines, lambda x: X.blocks(x, header))).otherwise(none)
+        asked = reduce(lambda a, b: a | b, (flag[s] for s in specs if (s.path, s.block) == (path, header)))
+        return F.when(asked & content.rlike("(?m)" + header), X.let(lines, lambda x: X.blocks(x, header))).otherwise(none)
 
-    layer = {"_line_flags": F.array(*map(_file_gate, gates.values()))}
+    # a few specs are asked for at once, so that a line passes by most of them in one step
+    every = lambda these: [these[k : k + CHUNK] for k in range(0, len(these), CHUNK)]
+    line_chunks = every(each_line)
+    any_of = lambda these: reduce(lambda a, b: a | b, (F.coalesce(flag[s], F.lit(False)) for _, s in these))
+
+    layers = [{"_line_flags": F.array(*map(flagged, specs))}, {"_line_chunks": F.array(*map(any_of, line_chunks)).cast("array<boolean>")}]
     if spans:
-        layer["_line_blocks"] = F.array(*(blocks(path, header) for path, header in spans))
+        layers.append({"_line_blocks": F.array(*(blocks(path, header) for path, header in spans))})
 
     def holds(s: Spec, line: Column, n: Column) -> Column:
-        ok = flag[s.path, s.also, s.unless] & line.rlike(s.match)
+        ok = flag[s] & line.rlike(s.match)
         if s.block:
             ok = ok & (X.inside(F.col("_line_blocks")[spans.index((s.path, s.block))], n) | line.rlike(s.block))
         if s.skip:
@@ -283,25 +293,27 @@ def spec_part(specs: list[Spec]) -> Part:
 
     def by_line() -> Column:
         line, n = F.col("line"), F.col("line_no")
-        return F.concat(*(F.when(holds(s, line, n), _matches(i, s, line, n, line)).otherwise(empty) for i, s in enumerate(specs) if s.each == "line" and not s.once))
+        found = lambda these: F.concat(*(F.when(holds(s, line, n), _matches(i, s, line, n, line)).otherwise(empty) for i, s in these))
+        return F.concat(*(F.when(F.col("_line_chunks")[k], found(these)).otherwise(empty) for k, these in enumerate(line_chunks)))
 
     def of_first(i: int, s: Spec) -> Column:
         first = F.slice(F.filter(lines, lambda x: holds(s, x["s"], x["n"])), 1, 1)
         return F.flatten(F.transform(first, lambda x: _matches(i, s, x["s"], x["n"], x["s"])))
 
     def by_file() -> Column:
-        found = []
-        for i, s in enumerate(specs):
+        def found(i: int, s: Spec) -> Column:
             if s.each == "file":
                 at = X.line_of_pattern(content, s.match)
-                found.append(F.when(flag[s.path, s.also, s.unless] & content.rlike(s.match), _matches(i, s, content, at, F.lit(""))))
-            elif s.once:
-                found.append(F.when(flag[s.path, s.also, s.unless] & content.rlike(f"(?m){s.match}"), of_first(i, s)))
-        return F.concat(*(F.coalesce(f, empty) for f in found))
+                return F.when(flag[s] & content.rlike(s.match), _matches(i, s, content, at, F.lit("")))
+            return F.when(flag[s] & content.rlike(f"(?m){s.match}"), of_first(i, s))
+
+        chunks = every([(i, s) for i, s in enumerate(specs) if s.each == "file" or s.once])
+        return F.concat(*(F.when(any_of(these), F.concat(*(F.coalesce(found(i, s), empty) for i, s in these))).otherwise(empty) for these in chunks))
 
-    of_line = any(s.each == "line" and not s.once for s in specs)
     of_file = any(s.each == "file" or s.once for s in specs)
-    return Part(gate, [layer], by_file if of_file else None, by_line if of_line else None, specs)
+    opens = F.exists("_line_chunks", lambda ok: ok) if each_line else None
+    early = {"_line_paths": F.array(*(F.col("low_path").rlike(p) for p in by_path))}
+    return Part(gate, early, opens, layers, by_file if of_file else None, by_line if each_line else None, specs)
 
 
 def detect_lines(artifacts: DataFrame, specs: list[Spec], keys: DataFrame) -> DataFrame:
@@ -465,7 +477,7 @@ def detect_credential_assignments() -> Part:
         return F.when(wanted, entry(rule, F.concat(p["key"], F.lit(": "), value), p["line_no"], "config", value, name=p["key"], identity_type=kind, source=F.lit("generic config"), provider=provider, tags=tags))
 
     found_in = lambda: F.array_compact(F.transform(F.coalesce("config_pairs", F.array().cast(X.PAIR)), found)).cast(ENTRY)
-    return Part(F.col("low_path").rlike(CONFIG_PATH) & speaks_of_secrets(F.col("content")), [{"config_pairs": config_pairs()}], found_in)
+    return Part(F.col("low_path").rlike(CONFIG_PATH) & speaks_of_secrets(F.col("content")), layers=[{"config_pairs": config_pairs()}], file=found_in)
 
 
 # Names of state attributes that hold secrets, beside those of any secret.
@@ -494,7 +506,7 @@ def detect_nested_secrets() -> Part:
 
     pairs = F.coalesce(X.flatten_json(content), F.array().cast("array<struct<key:string,value:string>>"))
     found_in = lambda: F.transform(F.filter("state_pairs", lambda p: p["key"].isNotNull() & wanted(p)), found).cast(ENTRY)
-    return Part(F.col("low_path").rlike(NESTED_PATH), [{"state_pairs": pairs}, {"state_types": types}], found_in)
+    return Part(F.col("low_path").rlike(NESTED_PATH), layers=[{"state_pairs": pairs}, {"state_types": types}], file=found_in)
 
 
 WINDOWED_PATH = r"\.ya?ml$|\.bicep$|(?:^|/)\.pypirc$|(?:^|/)\.netrc$"
@@ -563,7 +575,7 @@ def detect_windowed() -> Part:
         each = [("k8s", F.col("near_env"), env_value), ("bicep", F.filter(lines, lambda x: x["s"].rlike(BICEP_PARAM)), bicep), ("pypirc", lines, pypirc), ("netrc", F.col("near_tokens"), netrc)]
         return entries(*((is_kind(k), F.array_compact(F.transform(rows, test)).cast(ENTRY)) for k, rows, test in each))
 
-    return Part(path.rlike(WINDOWED_PATH), layers, by_file)
+    return Part(path.rlike(WINDOWED_PATH), layers=layers, file=by_file)
 
 
 # OAuth scopes and extension permissions that reach far.
@@ -650,7 +662,7 @@ def detect_documents() -> Part:
         (F.col("unread") & F.lower(content).contains("hostrules"), F.transform(loose, lambda x: token(F.trim(x["s"]), x["n"], x["v"])).cast(ENTRY)),
         *updates,
     )
-    return Part(path.rlike(DOCUMENT_PATH), [parsed, judged], found)
+    return Part(path.rlike(DOCUMENT_PATH), layers=[parsed, judged], file=found)
 
 
 # What MCP servers and agents can be allowed to do, and what runs commands.
@@ -737,7 +749,7 @@ def detect_mcp() -> Part:
         {"mcp_reach": F.transform("mcp_servers", reach)},
     ]
     found = lambda: F.concat(F.flatten(F.transform("mcp_reach", judged)), F.flatten(F.transform("mcp_pairs", leak))).cast(ENTRY)
-    return Part(F.col("low_path").rlike(MCP_PATH), layers, found)
+    return Part(F.col("low_path").rlike(MCP_PATH), layers=layers, file=found)
 
 
 FRAMEWORKS = "langchain|langgraph|llama_?index|crewai|autogen|semantic_kernel|openai_agents|haystack|pydantic_ai|smolagents"
@@ -777,7 +789,7 @@ def detect_ai_agents() -> Part:
         for r, ok, k, t, said in checks
     ]
     layers = [{"agent_text": F.lower("content"), "agent_tools": X.capabilities(F.col("content"), AGENT_TOOLS)}]
-    return Part(F.col("low_path").rlike(AGENT_PATH) & F.col("content").rlike(AGENT_TEXT), layers, lambda: entries((agentic, one(agent)), *more))
+    return Part(F.col("low_path").rlike(AGENT_PATH) & F.col("content").rlike(AGENT_TEXT), layers=layers, file=lambda: entries((agentic, one(agent)), *more))
 
 
 def custom_specs(rules: list[dict]) -> list[Spec]:

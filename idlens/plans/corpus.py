@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPOS = 20
+#: Files that one task makes and scans, about: a few MB of keys give a corpus that is far dearer to scan than to read.
+TASK_FILES = 20_000
 
 # Kind: path template and content template. {k}: order key, {h}: 40 hex digits of its hash, {u}: 16 upper-case ones.
 KINDS = [
@@ -74,12 +76,16 @@ def fill(template: str, key: Column) -> Column:
     hex40 = F.left(F.sha2(key.cast("string").cast("binary"), 256), F.lit(40))
     upper16 = F.upper(F.left(F.md5(key.cast("string").cast("binary")), F.lit(16)))
     text = F.lit(template.replace("{{", "{").replace("}}", "}"))
-    return F.replace(F.replace(F.replace(text, F.lit("{k}"), key.cast("string")), F.lit("{h}"), hex40), F.lit("{u}"), upper16)
+    for mark, value in (("{k}", key.cast("string")), ("{h}", hex40), ("{u}", upper16)):
+        if mark in template:
+            text = F.replace(text, F.lit(mark), value)
+    return text
 
 
 def artifacts(spark: SparkSession, sf_dir: str, scan: str = "s1") -> DataFrame:
     """(scan_id, repo, path, content, n_bytes, content_sha) of every order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = orders.repartition(-(-orders.count() // TASK_FILES) or 1, "o_orderkey")
     kind = F.pmod("o_orderkey", F.lit(len(KINDS)))
     path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (p, c) in enumerate(KINDS):

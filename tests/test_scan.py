@@ -2,6 +2,7 @@
 
 import json
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -347,3 +348,34 @@ def test_anchor_words_stand_in_every_match(spark):
                 told += 1
                 assert any(w in m[0].lower() for w in words), (s.match, m[0])
     assert told > 100 and anchors.words(r"(?i)gh[pousr]_\w+") == ("ghp_", "gho_", "ghu_", "ghs_", "ghr_") and anchors.words(r"\w+") is None
+
+
+def test_corpus_of_one_small_file_is_many_tasks(spark, monkeypatch):
+    """Keys of a corpus stand in a row group that one task reads; the files made of them are dealt to several."""
+    monkeypatch.setattr(corpus, "TASK_FILES", 100)
+    files = corpus.artifacts(spark, SF)
+    n = files.count()
+    assert files.rdd.getNumPartitions() == -(-n // 100) > 1 and files.select("path").distinct().count() == n
+
+
+def test_files_tell_which_specs_can_match(spark):
+    """Words of a spec tell the files it is put to; lines of others are not opened, and what is found stays the same."""
+    part = D.spec_part([s for s in ALL if s.family == "ai"])
+    rows = D.file_columns(corpus.artifacts(spark, SF)).withColumn("low_text", F.lower("content")).withColumns(part.early)
+    for layer in part.layers:
+        rows = rows.withColumns({c: F.when(part.gate, v) for c, v in layer.items()})
+    opened = rows.where(F.coalesce(part.gate & part.opens, F.lit(False)))
+    assert 0 < opened.count() < rows.count() / 4
+    assert opened.where("path LIKE 'docs/%' OR path LIKE 'k8s/%'").count() == 0
+
+
+def test_conditions_on_texts_are_put_once(spark):
+    """Conditions that look for several words anywhere begin at a text's start only, so that a long text with none of them
+    takes a search, not one from each of its places."""
+    asked = {s.also for s in ALL if s.also and "(?=" in s.also}
+    assert len(asked) == 2
+    began = time.time()
+    for also in asked:
+        for text, want in (("x " * 30_000, False), ("customer of chroma: load( http ) " + "x " * 1000, True), ("\n\nhttp\n\nload(\ntenant\nfaiss", True)):
+            assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(also)).head()[0] is want
+    assert time.time() - began < 20

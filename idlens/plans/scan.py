@@ -13,8 +13,9 @@ from idlens.sources.store import staged
 
 
 def identities_of(signals: DataFrame, artifacts: DataFrame | None = None, surface: str = "repo") -> DataFrame:
-    """Identities of deduplicated signals and the correlations between them."""
-    base = dedupe_identities(normalize_signals(dedupe_signals(signals)))
+    """Identities of deduplicated signals and the correlations between them. Identities are written to the shared folder
+    before they are correlated, as correlations read them a dozen times."""
+    base = staged(dedupe_identities(normalize_signals(dedupe_signals(signals))), "base")
     return base.unionByName(dedupe_identities(correlate(base, artifacts, surface)))
 
 

@@ -5,10 +5,12 @@ import json
 from pyspark.sql import functions as F
 
 from idlens.operators import correlate as C
+from idlens.operators import detect as D
 from idlens.operators import identities as I
 from idlens.operators import reports as A
 from idlens.operators import rules as R
 from idlens.plans import synthetic
+from idlens.plans.scan import identities_of
 from tests.conftest import SF
 
 
@@ -65,3 +67,19 @@ def test_history_correlations_of_one_place(spark):
     base = one.drop("id", "secret_fingerprint", "commit_sha").crossJoin(case).select(*one.columns).withColumn("ord", F.struct(*(F.col("id").alias("evidence") if c == "evidence" else F.col(f"ord.{c}") for c in I.ORDER)).cast(synthetic.PLACE))
     made = I.dedupe_identities(C.correlate_history_secret_still_current(base)).collect()
     assert sorted(tuple(r.related_identities) for r in made) == [("old1", "now1"), ("old2", "now2")]
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_a_scan_starts_from_rows(spark, tmp_path, capsys):
+    """Correlations read written identities, not what makes them anew; a summary goes through the findings once."""
+    base = hot(spark)
+    R.run_rules(base).write.parquet(str(tmp_path / "rows-f"))
+    found = spark.read.parquet(str(tmp_path / "rows-f"))
+    assert plan_of(R.scan_summary(base, found), capsys).count("rows-f") == 1
+    signals = spark.createDataFrame([], "scan_id string, repo string, path string, line_no int, detector string, rule_id string, " + ", ".join(f"{c} {k}" for c, k in D.FACTS.items() if c != "explicit_confidence") + ", evidence string, secret_fingerprint string, masked_secret string, confidence string, " + ", ".join(f"{c} string" for c in D.HISTORY))
+    assert "_n#" in plan_of(I.dedupe_signals(signals), capsys) and "_n#" not in plan_of(identities_of(signals), capsys)

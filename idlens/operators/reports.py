@@ -94,9 +94,18 @@ def scan_json(identities: DataFrame, findings: DataFrame, paths: DataFrame, rela
     named = [("identities", identities, "id"), ("findings", findings, "id"), ("risk_paths", paths, "id")]
     if related is not None:
         named.append(("related", related, "related_id"))
-    lists = [
-        in_parts(df, key).groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in (*SCAN, "ord")])).alias(n))
-        for n, df, key in named
-    ]
-    j = reduce(lambda a, b: a.join(b, keys, "full_outer"), lists)
-    return S.guard_no_raw_secret(j.select(*keys, F.to_json(F.struct(*keys, *(n for n, _, _ in named))).alias("json")))
+
+    def items(n: int, df: DataFrame, key: str) -> DataFrame:
+        """A list's rows, each written and checked by itself, so that no document is parsed or written whole."""
+        item = F.to_json(F.struct(*[c for c in df.columns if c not in (*SCAN, "ord")]))
+        rows = in_parts(df.select(*SCAN, F.col(key).alias("key"), item.alias("item")), "key")
+        return S.guard_no_raw_secret(rows.select(*keys, F.lit(n).alias("list"), "item"))
+
+    # dealt by document before they are gathered: a task holds a few documents, however large the partitions of a
+    # shuffle are, and documents are put together from their rows' texts
+    tasks = -(-identities.count() // PART_ROWS) or 1
+    rows = reduce(DataFrame.union, (items(n, df, key) for n, (_, df, key) in enumerate(named))).repartition(tasks, *keys)
+    docs = rows.groupBy(*keys).agg(*(F.collect_list(F.when(F.col("list") == n, F.col("item"))).alias(name) for n, (name, _, _) in enumerate(named)))
+    head = F.regexp_replace(F.to_json(F.struct(*keys)), r"\}$", "")
+    lists = [F.when(F.size(name) > 0, F.concat(F.lit(f',"{name}":['), F.array_join(name, ","), F.lit("]"))).otherwise("") for name, _, _ in named]
+    return docs.select(*keys, F.concat(head, *lists, F.lit("}")).alias("json"))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from idlens.operators import correlate as C
@@ -83,3 +84,18 @@ def test_a_scan_starts_from_rows(spark, tmp_path, capsys):
     assert plan_of(R.scan_summary(base, found), capsys).count("rows-f") == 1
     signals = spark.createDataFrame([], "scan_id string, repo string, path string, line_no int, detector string, rule_id string, " + ", ".join(f"{c} {k}" for c, k in D.FACTS.items() if c != "explicit_confidence") + ", evidence string, secret_fingerprint string, masked_secret string, confidence string, " + ", ".join(f"{c} string" for c in D.HISTORY))
     assert "_n#" in plan_of(I.dedupe_signals(signals), capsys) and "_n#" not in plan_of(identities_of(signals), capsys)
+
+
+def test_documents_are_dealt_before_they_are_gathered(spark, monkeypatch, capsys):
+    """A task holds few documents whatever the shuffle's partitions, and documents are put together from texts of rows; no
+    row of a document is left out, and a raw value in one still fails the job."""
+    monkeypatch.setattr(A, "PART_ROWS", 100)
+    base = hot(spark)
+    docs = A.scan_json(base, R.run_rules(base), C.risk_paths(base))
+    plan = plan_of(docs, capsys)
+    assert "FullOuter" not in plan and f", {-(-base.count() // 100)}), REPARTITION_BY_NUM" in plan
+    read = [json.loads(r.json) for r in docs.collect()]
+    assert sorted(x["id"] for d in read for x in d.get("identities", [])) == sorted(r.id for r in base.select("id").collect())
+    assert all(v for d in read for v in d.values() if isinstance(v, list)) and {tuple(d)[:3] for d in read} == {("scan_id", "repo", "part")}
+    with pytest.raises(Exception, match="raw secret"):
+        A.scan_json(base.withColumn("name", F.lit("FAKE_SECRET_DO_NOT_USE")), R.run_rules(base), C.risk_paths(base)).collect()
